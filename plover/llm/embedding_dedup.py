@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plover.llm import buckets
-from plover.llm.graph import connected_components
+from plover.llm.graph import connected_components, forest
 from plover.session import materialize
 
 
@@ -54,23 +54,6 @@ def _sketch(tables: int, bits: int):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges from the pairs that join all they link, each node to its root."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
-        root[max(x, y)] = min(x, y)
-    nodes = [x for x in root if find(x) != x]
-    return nodes, [find(x) for x in nodes]
-
-
 def _links(cosine: float, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in buckets.whole_groups(batches, rows=4_000):
@@ -99,7 +82,7 @@ def _links(cosine: float, tables: int):
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
             some = np.flatnonzero(links)
-            nodes, roots = _forest(ids[i], ids[j])
+            nodes, roots = forest(ids[i], ids[j])
             none = [None] * len(some)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([*ids[some].tolist(), *nodes]), pa.array([*none, *roots], pa.int64()), pa.array([*links[some].tolist(), *[0] * len(nodes)], pa.int64())],

@@ -10,11 +10,12 @@ error, the radius is 15 of 32 and a pair at a similarity of 0.75 stays in reach
 of some chunk but for about 2 in 100,000.
 
 Pairs are not listed within a bucket. First each member is compared with its
-bucket's least document and the links form components; then, in buckets that
-still hold two components or more, members of different components are
-compared, in blocks (`buckets`). So groups of copies cost a comparison a
-member and yet no link between different components is lost. A pair within the
-radius is confirmed on the two full shingle sets.
+bucket's most central document and the links form components; then, in buckets
+that still hold two components or more, members of different components are
+compared inside tasks, in pairs of blocks, and only edges that join components
+leave the task. So groups of copies cost a comparison a member and yet no link
+between different components is lost. Every pair within the radius is confirmed
+on the two full shingle sets.
 
 Texts with equal sets are one class from the start, so exact copies never meet.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plover.llm import buckets
-from plover.llm.graph import connected_components
+from plover.llm.graph import connected_components, forest
 from plover.llm.words import WordHashes, mixed, plain_words, shingle_set
 from plover.session import materialize
 
@@ -92,28 +93,103 @@ def _chunk_keys(chunks: int, chunk_size: int) -> F.Column:
     return F.array(*keys)
 
 
-def _cross_pairs(size: int, radius: int, percent: int):
-    """Pairs of different components, within the radius and not too unequal in size."""
+def _crossing(group: pa.Table, size: int, chunk_size: int, radius: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group to confirm: of different components, within the radius, and not too unequal in size.
+
+    A pair that shares several keys counts under the first only, which its two
+    signatures tell.
+    """
+    comp, n, slot, keys, block = (group.column(c).to_numpy() for c in ("component", "n", "slot", "pair_key", "block"))
+    alone = group.column("alone").to_numpy(zero_copy_only=False)
+    signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(-1, size)
+    for i, j in buckets.group_pairs(keys, block, alone):
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        keep = (comp[i] != comp[j]) & (100 * small >= percent * large)
+        i, j = i[keep], j[keep]
+        equal = (signatures[i] == signatures[j]).reshape(len(i), -1, chunk_size)
+        wrong = chunk_size - equal.sum(axis=2)
+        chunk = (wrong <= 1).argmax(axis=1)
+        left_out = equal[np.arange(len(i)), chunk].argmin(axis=1)
+        keep = (wrong.sum(axis=1) <= radius) & (chunk * chunk_size + left_out == slot[i])
+        if keep.any():
+            yield i[keep], j[keep]
+
+
+def _survivors(size: int, chunk_size: int, radius: int, percent: int):
+    """The rows of each group that are in some pair to confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in buckets.whole_groups(batches):
-            ids, comp, n, keys, block = (group.column(c).to_numpy() for c in ("id", "component", "n", "pair_key", "block"))
-            alone = group.column("alone").to_numpy(zero_copy_only=False)
-            signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(-1, size)
-            found = []
-            for i, j in buckets.group_pairs(keys, block, alone):
-                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                keep = (comp[i] != comp[j]) & (100 * small >= percent * large)
-                i, j = i[keep], j[keep]
-                keep = (signatures[i] != signatures[j]).sum(axis=1) <= radius
-                found.append(np.stack([np.minimum(ids[i[keep]], ids[j[keep]]), np.maximum(ids[i[keep]], ids[j[keep]])], 1))
-            if found:
-                a, b = np.unique(np.concatenate(found), axis=0).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            hit = np.zeros(group.num_rows, bool)
+            for i, j in _crossing(group, size, chunk_size, radius, percent):
+                hit[i] = hit[j] = True
+            yield from group.filter(pa.array(hit)).to_batches()
+
+    return run
+
+
+def _overlaps(sets: list[np.ndarray], rows: np.ndarray, wide: int = 20_000) -> np.ndarray:
+    """Sizes of the intersections of every two of the chosen sets."""
+    where = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
+    _, column, times = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True, return_counts=True)
+    keep = times[column] > 1  # others add nothing to an intersection
+    _, column = np.unique(column[keep], return_inverse=True)
+    where, out = where[keep], np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, wide):
+        some = (column >= at) & (column < at + wide)
+        held = np.zeros((len(rows), wide), np.float32)
+        held[where[some], column[some] - at] = 1
+        out += held @ held.T
+    return out
+
+
+def _cross_links(size: int, chunk_size: int, radius: int, percent: int):
+    """Edges that join what is linked among the pairs to confirm, by their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for many in buckets.whole_groups(batches, rows=512):
+            keys = many.column("pair_key").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            firsts, seconds = [], []
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                group = many.slice(at, end - at)
+                pairs = list(_crossing(group, size, chunk_size, radius, percent))
+                if not pairs:
+                    continue
+                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                rows, place = np.unique(np.r_[i, j], return_inverse=True)
+                sets = [x.values.to_numpy() for x in group.column("shingles").combine_chunks()]
+                common = _overlaps(sets, rows)[place[: len(i)], place[len(i) :]].astype(np.int64)
+                ids, n = group.column("id").to_numpy(), group.column("n").to_numpy()
+                keep = 100 * common >= percent * (n[i] + n[j] - common)
+                firsts.append(ids[i[keep]])
+                seconds.append(ids[j[keep]])
+            if firsts:
+                nodes, roots = forest(np.concatenate(firsts), np.concatenate(seconds))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _cross_blocks(placed: DataFrame, block: int = buckets.BLOCK) -> DataFrame:
+    """Rows of keys that hold two components or more, once for each pair of blocks to compare.
+
+    In each key, the component with the most members needs no comparison with
+    itself: its blocks meet only those of the others, and the others' blocks
+    meet all. So the cost follows the members outside the largest component.
+    """
+    parts = placed.groupBy(F.col("key").alias("k"), F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("rows"))
+    keys = parts.groupBy("k").agg(F.sum("rows").alias("all_rows"), F.max(F.struct("rows", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    keys = keys.select("k", F.col("top.c").alias("main"), F.ceil(F.col("top.rows") / block).cast("int").alias("inner_blocks"), F.ceil((F.col("all_rows") - F.col("top.rows")) / block).cast("int").alias("outer_blocks"))
+    rows = placed.join(keys, F.col("key") == F.col("k")).withColumn("inner", F.col("component") == F.col("main"))
+    spread = F.xxhash64("id")
+    rows = rows.withColumn("block", F.when(F.col("inner"), F.col("outer_blocks") + F.pmod(spread, F.col("inner_blocks"))).otherwise(F.pmod(spread, F.col("outer_blocks"))).cast("int"))
+    others = F.when(F.col("inner"), F.col("outer_blocks")).otherwise(F.col("outer_blocks") + F.col("inner_blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    rows = rows.withColumn("pair_key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).withColumn("alone", F.col("block") == F.col("other"))
+    return rows.select("id", "component", "slot", "pair_key", "block", "alone")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar on their full sets."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -146,18 +222,22 @@ def near_duplicates(
     classes = sketch.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature"))
     classes = materialize(classes, "classes")
 
-    keyed = classes.select("id", F.explode(_chunk_keys(chunks, chunk_size)).alias("key"))
-    least = keyed.groupBy(F.col("key").alias("least_key")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
-    shared = materialize(keyed.join(least, F.col("key") == F.col("least_key")).select("key", "id", "least"), "shared")
+    keyed = classes.select("id", F.posexplode(_chunk_keys(chunks, chunk_size)).alias("slot", "key"))
+    crowded = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = materialize(keyed.join(crowded, F.col("key") == F.col("k")).select("key", "slot", "id", "members"), "shared")
+    # The most central member: the one whose keys are shared the most.
+    central = shared.groupBy(F.col("id").alias("c_id")).agg(F.sum("members").alias("central"))
+    ranked = shared.join(central, F.col("id") == F.col("c_id"))
+    pivots = ranked.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top")).select("k", (-F.col("top.minus")).alias("pivot"))
+    stars = shared.join(pivots, F.col("key") == F.col("k")).filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
     part = classes.select(F.col("id").alias("part_id"), "n", "signature")
-    stars = shared.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     one = part.select(F.col("part_id").alias("a"), F.col("n").alias("n1"), F.col("signature").alias("s1"))
     two = part.select(F.col("part_id").alias("b"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
     at = lambda k: F.substring("s1", 2 * k + 1, 2) != F.substring("s2", 2 * k + 1, 2)
     distance = sum((at(k).cast("int") for k in range(1, size)), at(0).cast("int"))
     near = stars.join(one, "a").join(two, "b").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")).filter(distance <= radius)
-    near = materialize(near.select("a", "b"), "near")
+    near = near.select("a", "b")
 
     involved = materialize(shared.select("id").distinct(), "involved")
     chosen = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
@@ -165,13 +245,14 @@ def near_duplicates(
     links = materialize(_confirmed(near, sets, percent), "links")
     joined = connected_components(links)
 
-    placed = shared.select("key", "id").join(joined, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    placed = materialize(placed, "placed")
-    divided = placed.groupBy(F.col("key").alias("divided_key")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("divided_key")
-    rows = placed.join(divided, F.col("key") == F.col("divided_key"), "left_semi").join(part, F.col("id") == F.col("part_id")).drop("part_id")
-    cross = buckets.block_pairs(rows, ["key"], "id").select("id", "component", "n", "signature", "pair_key", "block", "alone")
-    cross = cross.mapInArrow(_cross_pairs(size, radius, percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(cross, sets, percent), "more")
+    placed = shared.join(joined, F.col("id") == F.col("node"), "left").select("key", "slot", "id", F.coalesce("component", "id").alias("component"))
+    blocks = _cross_blocks(materialize(placed, "placed")).join(part, F.col("id") == F.col("part_id")).drop("part_id")
+    blocks = blocks.repartition("pair_key").sortWithinPartitions("pair_key")
+    how = (size, chunk_size, radius, percent)
+    survivors = materialize(blocks.mapInArrow(_survivors(*how), blocks.schema), "survivors")
+    dressed = survivors.join(sets.withColumnRenamed("id", "s_id"), F.col("id") == F.col("s_id")).drop("s_id")
+    dressed = dressed.repartition("pair_key").sortWithinPartitions("pair_key")
+    more = materialize(dressed.mapInArrow(_cross_links(*how), "a long, b long"), "more")
     joined = connected_components(links.unionByName(more))
 
     labels = joined.select(F.col("node").alias("class"), F.col("component"))
