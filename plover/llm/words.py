@@ -58,3 +58,11 @@ def shingle_set(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     if not len(hashes):
         return hashes
     return np.unique(ngrams(hashes, min(width, len(hashes))) + np.uint64(min(width, len(hashes))))
+
+
+_LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def letter_words(text: str | None) -> list[bytes]:
+    """Words as `plain_words`, with ASCII punctuation taken as white space too."""
+    return text.encode("utf-8", "replace").translate(_LETTERS).lower().split() if text else []
