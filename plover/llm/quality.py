@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plover.llm.words import WordHashes
 from plover.session import materialize
@@ -52,12 +53,16 @@ def surface(text: str | None, hashes: WordHashes) -> list[float]:
     ]
 
 
-@F.arrow_udf("array<double>")
-def surface_features(text: pa.Array) -> pa.Array:
+def _surfaces(text: pa.Array) -> pa.Array:
     hashes = WordHashes()
     return pa.array([surface(x.as_py(), hashes) for x in text], pa.list_(pa.float64()))
 
 
+def surface_features(text: Column) -> Column:
+    """ARRAY<DOUBLE> of ``FEATURES``."""
+    return F.arrow_udf(_surfaces, T.ArrayType(T.DoubleType()))(text)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """``weights``: intercept first; features are centred and scaled before."""
