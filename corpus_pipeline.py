@@ -1,13 +1,98 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over `documents`.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; its rows are written as Parquet and reread as the next one's docs. All
+but the last return the columns of `documents`; the last returns the mix, a row
+for each drawn copy of a document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plover.llm.decontamination import contaminated
+from plover.llm.mixing import WORD, mix
+from plover.llm.near_dedup import near_duplicates
+from plover.llm.quality import quality_scores, surface_features, with_score
+from plover.llm.secrets import redact, scan_versions
 from plover.session import materialize, table
 
-STAGES: list = []
+#: Tables of ids to drop or of findings with at most so many rows are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def _checked(small: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier scores under 0.5.
+
+    Scores are computed beside the text, so whole texts aren't shuffled.
+    """
+    _, model, sites, share = quality_scores(docs, table(spark, sf_dir, "labels"))
+    features = F.col("_features")
+    rows = docs.withColumn("_features", surface_features(F.col("text"))).withColumn("evidence", model.log_odds(features))
+    rows = rows.withColumns({"host": F.col("source"), "path": F.col("lang")})
+    return with_score(rows, sites, share, features[0] > 0).filter("score >= 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the least by id, of each group of near-duplicates; of repeated rows, one."""
+    groups = materialize(near_duplicates(docs), "groups")
+    gone = materialize(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    rest = docs.join(_checked(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    again = materialize(groups.groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("again_id"), "again")
+    if not again.count():
+        return rest
+    # Only the rows whose id repeats are shuffled.
+    same = F.col("doc_id").eqNullSafe(F.col("again_id"))
+    return rest.join(_checked(again), same, "left_anti").unionByName(rest.join(_checked(again), same, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    found = contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = materialize(found.select(F.col("id").alias("gone_id")).distinct(), "gone")
+    return docs.join(_checked(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by a mark; documents stay."""
+    findings, _ = scan_versions(docs, path_col="doc_id")
+    some = findings.filter(F.size("spans") > 0).select(F.col("path").alias("found_id"), "spans").dropDuplicates(["found_id"])
+    some = materialize(some, "secrets")
+    rows = docs.join(_checked(some), F.col("doc_id") == F.col("found_id"), "left")
+    text = redact(F.col("text"), F.col("spans"))
+    rows = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text))
+    rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return rows.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row per drawn copy, with its shard and its place in the shard.
+
+    A copy of which only the first words are drawn is cut after them.
+    """
+    drawn = mix(docs).select("doc_id", "size", "source_size", "target", F.explode("copies").alias("c"))
+    drawn = drawn.select(F.col("doc_id").alias("mixed_id"), "size", "source_size", "target", "c.copy", "c.shard", "c.words", "c.local_order")
+    rows = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
+    pieces = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int"))
+    text = F.when(F.col("words") < F.col("size"), F.array_join(pieces, " ")).otherwise(F.col("text"))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+]
 
+#: Models and similarity joins are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,7 @@
 """Document quality by hierarchical empirical Bayes.
 
 Evidence: a logistic model over surface features of the whole text, fitted by
-Newton steps whose sums Spark aggregates over all labelled rows. Site level:
+Newton steps whose sums are aggregated over all labelled rows. Site level:
 each host's and each path's share of good documents, a known label counting as
 it is and any other document by its evidence, shrunk host to global and path to
 host. The strength of each prior comes from the spread between groups beyond
@@ -13,6 +13,7 @@ ones.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,36 +79,51 @@ class QualityModel:
         return F.greatest(F.lit(-12.0), F.least(F.lit(12.0), out))
 
 
+def _totals(rows: DataFrame, of) -> np.ndarray:
+    """Sums over all rows of the vector that ``of`` (features, labels) gives for a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | float = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                total = total + of(x, batch.column(1).to_numpy().astype(np.float64))
+        values = np.atleast_1d(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["place", "value"])
+
+    sums = rows.select("features", "label").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    return np.array([r["value"] for r in sums.orderBy("place").collect()])
+
+
 def fit_evidence(labelled: DataFrame, steps: int = 8, ridge: float = 1.0) -> QualityModel:
-    """Ridge logistic regression of ``label`` (0/1) on ``features``.
+    """Ridge logistic regression of ``label`` (0/1) on ``features``, over all rows.
 
-    Only sums reach the driver: one aggregate for the moments and one a step.
+    Only sums reach the driver: the moments, then a gradient and a Hessian a step.
     """
     n = len(FEATURES)
-    x = [F.col("features")[k] for k in range(n)]
-    row = labelled.agg(F.count(F.lit(1)), *[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x], F.avg("label")).first()
-    if not row[0]:
+    first = _totals(labelled, lambda x, y: np.r_[len(y), y.sum(), x.sum(axis=0), (x * x).sum(axis=0)])
+    if len(first) < 2:
         return QualityModel((0.0,) * n, (1.0,) * n, (0.0,) * (n + 1))
-    mean, scale = [v for v in row[1 : n + 1]], [v if v and v > 1e-9 else 1.0 for v in row[n + 1 : 2 * n + 1]]
-    scaled = labelled.select("label", *[((c - F.lit(m)) / F.lit(s)).alias(f"x{k}") for k, (c, m, s) in enumerate(zip(x, mean, scale, strict=True), 1)], F.lit(1.0).alias("x0"))
-    rate = min(max(row[-1], 1e-3), 1 - 1e-3)
+    mean = first[2 : n + 2] / first[0]
+    deviation = np.sqrt(np.maximum(first[n + 2 :] / first[0] - mean**2, 0))
+    scale = np.where(deviation > 1e-6, deviation, 1.0)
+    rate = (first[1] + 0.5) / (first[0] + 1)
     w = np.r_[math.log(rate / (1 - rate)), np.zeros(n)]
-    pairs = [(i, j) for i in range(n + 1) for j in range(i, n + 1)]
+
+    def parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = np.c_[np.ones(len(y)), (x - mean) / scale]
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        return np.r_[z.T @ (y - p), ((z * (p * (1 - p))[:, None]).T @ z).ravel()]
+
+    pull = np.r_[0.0, np.full(n, ridge)]
     for _ in range(steps):
-        z = sum((F.lit(float(w[k])) * F.col(f"x{k}") for k in range(1, n + 1)), F.lit(float(w[0])))
-        p = scaled.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).withColumn("v", F.col("p") * (1 - F.col("p")))
-        sums = p.agg(*[F.sum((F.col("label") - F.col("p")) * F.col(f"x{k}")) for k in range(n + 1)], *[F.sum(F.col("v") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
-        pull = np.r_[0.0, np.full(n, ridge)]
-        hessian = np.diag(pull + 1e-9)
-        for (i, j), value in zip(pairs, sums[n + 1 :], strict=True):
-            hessian[i, j] += value
-            if i != j:
-                hessian[j, i] += value
-        move = np.linalg.solve(hessian, np.array(sums[: n + 1]) - pull * w)
+        sums = _totals(labelled, parts)
+        hessian = sums[n + 1 :].reshape(n + 1, n + 1) + np.diag(pull + 1e-9)
+        move = np.linalg.solve(hessian, sums[: n + 1] - pull * w)
         w = w + np.clip(move, -3, 3)
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-4:
             break
-    return QualityModel(tuple(mean), tuple(scale), tuple(float(v) for v in w))
+    return QualityModel(tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()))
 
 
 def _strength(groups: DataFrame, parent: str) -> float:
