@@ -106,7 +106,7 @@ def _crossing(group: pa.Table, size: int, chunk_size: int, radius: int, percent:
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         keep = (comp[i] != comp[j]) & (100 * small >= percent * large)
         i, j = i[keep], j[keep]
-        equal = (signatures[i] == signatures[j]).reshape(len(i), -1, chunk_size)
+        equal = (signatures[i] == signatures[j]).reshape(len(i), size // chunk_size, chunk_size)
         wrong = chunk_size - equal.sum(axis=2)
         chunk = (wrong <= 1).argmax(axis=1)
         left_out = equal[np.arange(len(i)), chunk].argmin(axis=1)
