@@ -1 +1,242 @@
-"""Queries."""
+"""Join queries: with status, cascading, as-of, band, point-in-time, peers, semi and anti."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from plover.operators import joins
+from plover.plans.registry import query
+from plover.sources.tables import BENCHMARK_SQL, PRICES_SQL, benchmark_prices, prices
+
+_FILINGS_SQL = "f AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE k % 10 = 1)"
+
+
+def _filings(t):
+    """Orders per customer, a tenth of them twice, as a table with repeated keys."""
+    counts = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(counts.filter("k % 10 = 1"))
+
+
+@query("j01_status_join", f"""WITH {_FILINGS_SQL}, c AS (SELECT k, count(*) AS right_count FROM r GROUP BY 1)
+SELECT c_custkey AS k, r.n, coalesce(right_count, 0) AS right_count, CASE WHEN c_custkey % 97 = 0 THEN 'invalid_key' WHEN right_count IS NULL THEN 'not_found' WHEN right_count > 1 THEN 'duplicate_match' ELSE 'matched' END AS join_status
+FROM customer LEFT JOIN r ON r.k = c_custkey LEFT JOIN c ON c.k = c_custkey""")
+def j01(t):
+    left = t.customer.select(F.col("c_custkey").alias("k"))
+    out = joins.status_join(left, _filings(t), "k", F.col("k") % 97 != 0)
+    return out.select("k", "n", F.coalesce("right_count", F.lit(0)).alias("right_count"), "join_status")
+
+
+@query("j02_j03_cascade_join", """WITH p AS (SELECT p_partkey, p_name, p_brand, p_size FROM part), one AS (SELECT p_brand AS kb, min(p_partkey) AS v FROM part WHERE p_size = 1 GROUP BY 1 HAVING count(*) = 1),
+two AS (SELECT p_type AS kt, min(p_partkey) AS v FROM part WHERE p_size < 30 GROUP BY 1), q AS (SELECT l_partkey AS pk, min(l_orderkey) AS v FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1)
+SELECT part.p_partkey, coalesce(q.v, one.v, two.v) AS v, CASE WHEN q.v IS NOT NULL THEN 'number' WHEN one.v IS NOT NULL THEN 'code' WHEN two.v IS NOT NULL THEN 'name' END AS match_method
+FROM part LEFT JOIN q ON pk = part.p_partkey LEFT JOIN one ON kb = part.p_brand LEFT JOIN two ON kt = part.p_type""")
+def j02(t):
+    numbers = t.lineitem.filter("l_partkey % 3 = 0").groupBy("l_partkey").agg(F.min("l_orderkey").alias("v"))
+    codes = joins.only_unambiguous(t.part.filter("p_size = 1").select("p_brand", F.col("p_partkey").alias("v")), "p_brand")
+    names = t.part.filter("p_size < 30").groupBy("p_type").agg(F.min("p_partkey").alias("v"))
+    steps = [("number", "p_partkey", numbers, "l_partkey"), ("code", "p_brand", codes, "p_brand"), ("name", "p_type", names, "p_type")]
+    return joins.cascade_join(t.part.select("p_partkey", "p_brand", "p_type"), steps, "v").select("p_partkey", "v", "match_method")
+
+
+@query("j04_j05_candidates_with_margin", """WITH c AS (SELECT a.s_suppkey AS k, b.n_nationkey AS cand, CASE WHEN a.s_nationkey = b.n_nationkey THEN 1.0 WHEN (a.s_suppkey + b.n_nationkey) % 5 = 0 THEN 0.97 ELSE 0.3 END AS score FROM supplier a JOIN nation b ON a.s_suppkey % 5 = b.n_regionkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, cand) AS n, coalesce(lead(score) OVER (PARTITION BY k ORDER BY score DESC, cand), 0.0) AS nxt FROM c)
+SELECT k, CASE WHEN score < 0.92 THEN 'not_found' WHEN score - nxt < 0.05 THEN 'ambiguous' ELSE 'matched' END AS match_status, score AS best_score, nxt AS second_score, CASE WHEN score >= 0.92 AND score - nxt >= 0.05 THEN cand END AS cand FROM r WHERE n = 1""")
+def j05(t):
+    met = t.supplier.join(F.broadcast(t.nation), F.col("s_suppkey") % 5 == F.col("n_regionkey"))
+    score = F.when(F.col("s_nationkey") == F.col("n_nationkey"), 1.0).when((F.col("s_suppkey") + F.col("n_nationkey")) % 5 == 0, 0.97).otherwise(0.3)
+    rows = met.select(F.col("s_suppkey").alias("k"), F.col("n_nationkey").alias("cand"), score.alias("score"))
+    return joins.best_with_margin(rows, "k", "cand", "score", 0.92, 0.05)
+
+
+@query("j06_exact_alias_match", "SELECT doc_id, n_nationkey AS company FROM documents JOIN nation ON 'src' || n_nationkey = source")
+def j06(t):
+    aliases = t.nation.select(F.col("n_nationkey").alias("company"), F.explode(F.array(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")), F.lower("n_name"))).alias("alias"))
+    return t.documents.select("doc_id", "source").join(aliases, F.col("source") == F.col("alias")).select("doc_id", "company").distinct()
+
+
+@query("j08_asof_forward_backward", f"""WITH {PRICES_SQL}, {BENCHMARK_SQL}, e AS (SELECT symbol, i, day FROM px WHERE i % 40 = 0),
+f AS (SELECT e.symbol, e.i, min(b.day) AS d FROM e JOIN bench b ON b.day >= e.day GROUP BY 1, 2), k AS (SELECT e.symbol, e.i, max(b.day) AS d FROM e JOIN bench b ON b.day <= e.day + INTERVAL 1 YEAR GROUP BY 1, 2)
+SELECT e.symbol, e.i, b0.index_close AS base_close, b1.index_close AS year_close, round((b1.index_close/b0.index_close - 1)*100, 6) AS bench_pct FROM e LEFT JOIN f USING (symbol, i) LEFT JOIN bench b0 ON b0.day = f.d LEFT JOIN k USING (symbol, i) LEFT JOIN bench b1 ON b1.day = k.d""")
+def j08(t):
+    bench = benchmark_prices(t.lineitem)
+    events = prices(t.lineitem).filter("i % 40 = 0").select("symbol", "i", "day", F.lit(1).alias("market"), F.add_months("day", 12).alias("later"))
+    base = joins.asof_join(events, bench, "market", "day", "day", ["index_close"], "forward").withColumnRenamed("index_close", "base_close").drop("asof_time")
+    year = joins.asof_join(base, bench, "market", "later", "day", ["index_close"], "backward").withColumnRenamed("index_close", "year_close")
+    return year.select("symbol", "i", "base_close", "year_close", ((F.col("year_close") / F.col("base_close") - 1) * 100).alias("bench_pct"))
+
+
+@query("j09_j10_j11_asof_orders_to_prices", f"""WITH {PRICES_SQL}, o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 4 = 0)
+SELECT o.o_orderkey, p.close, p.day AS price_day FROM o ASOF LEFT JOIN px p ON p.symbol = o.symbol AND p.day <= o.day""")
+def j09(t):
+    orders = t.orders.filter("o_orderkey % 4 = 0").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
+    out = joins.asof_join(orders, prices(t.lineitem).select("symbol", "day", "close"), "symbol", "day", "day", ["close"])
+    return out.select("o_orderkey", "close", F.col("asof_time").alias("price_day"))
+
+
+@query("j12_base_then_trading_rows", f"""WITH {PRICES_SQL}, o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 16 = 0),
+b AS (SELECT o.o_orderkey, o.symbol, min(i) AS i FROM o JOIN px ON px.symbol = o.symbol AND px.day >= o.day GROUP BY 1, 2)
+SELECT b.o_orderkey, w.w AS window_days, round((p1.close/p0.close - 1)*100, 6) AS stock_return FROM b JOIN px p0 ON p0.symbol = b.symbol AND p0.i = b.i CROSS JOIN (VALUES (5), (20), (60)) w(w) JOIN px p1 ON p1.symbol = b.symbol AND p1.i = b.i + w.w""")
+def j12(t):
+    series = prices(t.lineitem)
+    orders = t.orders.filter("o_orderkey % 16 = 0").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
+    base = joins.asof_join(orders, series.select("symbol", "day", "close", "i"), "symbol", "day", "day", ["close", "i"], "forward").filter("i is not null")
+    wanted = base.select("o_orderkey", "symbol", "close", "i", F.explode(F.array(F.lit(5), F.lit(20), F.lit(60))).alias("window_days")).withColumn("at", F.col("i") + F.col("window_days"))
+    target = series.select(F.col("symbol").alias("s"), F.col("i").alias("ti"), F.col("close").alias("later"))
+    met = wanted.join(target, (F.col("symbol") == F.col("s")) & (F.col("at") == F.col("ti")))
+    return met.select("o_orderkey", "window_days", ((F.col("later") / F.col("close") - 1) * 100).alias("stock_return"))
+
+
+@query("j13_point_in_time_size", f"""WITH {PRICES_SQL}, c AS (SELECT symbol, day, close*1000 AS cap FROM px WHERE i % 60 = 1), e AS (SELECT symbol, i, day, close FROM px WHERE i % 50 = 0)
+SELECT e.symbol, e.i, c.cap, round(c.cap*e.close/(c.cap/1000), 4) AS estimate, CASE WHEN c.cap IS NULL THEN 'missing' WHEN c.day = e.day THEN 'exact' ELSE 'estimated' END AS label FROM e ASOF LEFT JOIN c ON c.symbol = e.symbol AND c.day <= e.day""", digits=4)
+def j13(t):
+    series = prices(t.lineitem)
+    caps = series.filter("i % 60 = 1").select("symbol", "day", (F.col("close") * 1000).alias("cap"))
+    out = joins.asof_join(series.filter("i % 50 = 0").select("symbol", "i", "day", "close"), caps, "symbol", "day", "day", ["cap"])
+    label = F.when(F.col("cap").isNull(), "missing").when(F.col("asof_time") == F.col("day"), "exact").otherwise("estimated")
+    return out.select("symbol", "i", "cap", (F.col("cap") * F.col("close") / (F.col("cap") / 1000)).alias("estimate"), label.alias("label"))
+
+
+@query("j14_peer_median", """WITH n AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1), g AS (SELECT s.*, CASE WHEN n.n >= 4 THEN 'fine:' || s.s_nationkey ELSE 'coarse:' || n_regionkey END AS grp FROM supplier s JOIN n USING (s_nationkey) JOIN nation ON n_nationkey = s.s_nationkey)
+SELECT a.s_suppkey, a.grp AS peer_group, count(b.s_suppkey) AS peers, round(median(b.s_acctbal), 6) AS peer_median FROM g a LEFT JOIN g b ON b.grp = a.grp AND b.s_suppkey <> a.s_suppkey GROUP BY 1, 2""")
+def j14(t):
+    """Median over the other members of the peer group: a self-join inside bounded groups."""
+    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = joins.peer_groups(rows.select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("string").alias("fine"), F.col("n_regionkey").cast("string").alias("coarse")), "fine", "coarse", 4)
+    other = rows.select(F.col("s_suppkey").alias("o_key"), F.col("s_acctbal").alias("o_bal"), F.col("peer_group").alias("o_group"))
+    met = rows.join(other, (F.col("peer_group") == F.col("o_group")) & (F.col("s_suppkey") != F.col("o_key")), "left")
+    return met.groupBy("s_suppkey", "peer_group").agg(F.count("o_key").alias("peers"), F.percentile("o_bal", 0.5).alias("peer_median"))
+
+
+@query("j15_e06_latest_in_lookback", """WITH o AS (SELECT o_custkey, o_orderdate::DATE AS d, max(o_orderkey) AS k FROM orders GROUP BY 1, 2), e AS (SELECT c_custkey, DATE '1995-01-01' + (c_custkey % 1000)::INT AS day FROM customer)
+SELECT c_custkey, max_by(k, d) AS latest_order FROM e LEFT JOIN o ON o_custkey = c_custkey AND d BETWEEN day - 364 AND day GROUP BY 1""")
+def j15(t):
+    filings = t.orders.groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("d")).agg(F.max("o_orderkey").alias("k"))
+    events = t.customer.select("c_custkey", F.expr("date_add(date'1995-01-01', cast(c_custkey % 1000 as int))").alias("day"))
+    out = joins.asof_join(events, filings.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "day", "d", ["k"], tolerance_days=364)
+    return out.select("c_custkey", F.col("k").alias("latest_order"))
+
+
+_FACTS = "facts AS (SELECT o_custkey AS cust, year(o_orderdate)::INT AS y, round(sum(o_totalprice), 2) AS value, make_date(year(o_orderdate)::INT, 12, 31) AS fin, make_date(year(o_orderdate)::INT, 12, 31) + (30 + o_custkey % 90)::INT AS filed FROM orders GROUP BY ALL)"
+
+
+def _facts(t):
+    """Yearly totals per customer, filed some weeks after the year's end."""
+    rows = t.orders.groupBy(F.col("o_custkey").alias("cust"), F.year("o_orderdate").alias("y")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    rows = rows.withColumn("end", F.make_date("y", F.lit(12), F.lit(31)))
+    return rows.withColumn("filed", F.date_add("end", (30 + F.col("cust") % 90).cast("int")))
+
+
+@query("j16_e01_point_in_time_facts", f"WITH {_FACTS}, e AS (SELECT c_custkey AS cust, DATE '1996-02-15' + (c_custkey % 300)::INT AS day FROM customer) SELECT e.cust AS event_id, max_by(y, fin) AS y, round(max_by(value, fin), 2) AS value FROM e LEFT JOIN facts f ON f.cust = e.cust AND filed <= day AND fin <= day GROUP BY 1")
+def j16(t):
+    events = t.customer.select(F.col("c_custkey").alias("event_id"), F.col("c_custkey").alias("cust"), F.expr("date_add(date'1996-02-15', cast(c_custkey % 300 as int))").alias("day"))
+    return joins.point_in_time(events, _facts(t), "cust", "day", [F.col("end"), F.col("filed")], ["y", "value"]).select("event_id", "y", "value")
+
+
+@query("j17_e02_prior_year_change", f"WITH {_FACTS} SELECT a.cust, a.y, round((a.value - b.value)/abs(b.value), 6) AS change FROM facts a JOIN facts b ON b.cust = a.cust AND date_diff('day', b.fin, a.fin) BETWEEN 250 AND 500")
+def j17(t):
+    facts = _facts(t)
+    before = facts.select(F.col("cust").alias("c0"), F.col("value").alias("v0"), F.col("end").alias("end0"), (F.col("y") + 1).alias("y1"))
+    met = facts.join(before, (F.col("cust") == F.col("c0")) & (F.col("y") == F.col("y1"))).filter(F.datediff("end", "end0").between(250, 500))
+    return met.select("cust", "y", F.try_divide(F.col("value") - F.col("v0"), F.abs("v0")).alias("change"))
+
+
+@query("j18_group_having", "SELECT s_suppkey, count(*) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(*) >= 600")
+def j18(t):
+    return t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n")).filter("n >= 600")
+
+
+@query("j19_j20_j25_anti_joins", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
+def j19(t):
+    done = t.orders.filter("o_orderstatus = 'F' and o_totalprice > 200000").select("o_custkey")
+    return t.customer.join(done, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("j21_digest_twice_joined", """SELECT c.c_custkey, max(f.n) AS f_orders, max(o.n) AS o_orders, string_agg(DISTINCT p.o_orderpriority, ',' ORDER BY p.o_orderpriority) AS priorities FROM customer c
+LEFT JOIN (SELECT o_custkey, count(*) n FROM orders WHERE o_orderstatus='F' GROUP BY 1) f ON f.o_custkey = c.c_custkey LEFT JOIN (SELECT o_custkey, count(*) n FROM orders WHERE o_orderstatus='O' GROUP BY 1) o ON o.o_custkey = c.c_custkey LEFT JOIN orders p ON p.o_custkey = c.c_custkey GROUP BY 1""")
+def j21(t):
+    status = lambda s: t.orders.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias(f"k{s}")).agg(F.count(F.lit(1)).alias(f"{s.lower()}_orders"))
+    words = t.orders.groupBy(F.col("o_custkey").alias("kp")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"))
+    out = t.customer.join(status("F"), F.col("kF") == F.col("c_custkey"), "left").join(status("O"), F.col("kO") == F.col("c_custkey"), "left").join(words, F.col("kp") == F.col("c_custkey"), "left")
+    return out.select("c_custkey", "f_orders", "o_orders", F.nullif("priorities", F.lit("")).alias("priorities"))
+
+
+@query("j22_j24_j26_scored_digest", "SELECT l.doc_id, d.source, l.quality FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN benchmark b ON b.item_id = l.doc_id WHERE l.quality >= 1 ORDER BY l.quality DESC, l.doc_id LIMIT 50")
+def j22(t):
+    met = t.labels.filter("quality >= 1").join(t.documents.select("doc_id", "source"), "doc_id").join(t.benchmark.select(F.col("item_id").alias("doc_id"), F.lit(1).alias("reviewed")), "doc_id", "left")
+    return met.orderBy(F.col("quality").desc(), "doc_id").limit(50).select("doc_id", "source", "quality")
+
+
+@query("j23_latest_with_ties", "SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+def j23(t):
+    newest = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("d"))
+    return t.orders.join(newest, (F.col("o_custkey") == F.col("k")) & (F.col("o_orderdate") == F.col("d"))).select("o_custkey", "o_orderkey")
+
+
+@query("j27_j28_validated_merge", "SELECT n_name, count(*) AS suppliers, round(avg(s_acctbal), 6) AS mean_balance FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+def j27(t):
+    """Many-to-one: the query fails if the right key repeats."""
+    right = t.nation.join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    check = right.agg((F.count(F.lit(1)) == F.countDistinct("n_nationkey")).alias("ok"))
+    met = t.supplier.join(F.broadcast(right), F.col("s_nationkey") == F.col("n_nationkey")).crossJoin(F.broadcast(check))
+    met = met.filter(F.when(F.col("ok"), True).otherwise(F.raise_error(F.lit("right key repeats")).cast("boolean")))
+    return met.groupBy("n_name").agg(F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("mean_balance"))
+
+
+@query("j29_j30_fill_blank_targets", """WITH l AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal END AS v, s_nationkey FROM supplier), a AS (SELECT p_partkey AS k, p_retailprice AS x FROM part WHERE p_partkey % 2 = 0), b AS (SELECT n_nationkey AS k, n_regionkey::DOUBLE AS x FROM nation)
+SELECT s_suppkey, coalesce(v, a.x, b.x) AS v, CASE WHEN v IS NOT NULL THEN 'kept' WHEN a.x IS NOT NULL THEN 'exact' WHEN b.x IS NOT NULL THEN 'core' ELSE 'blank' END AS filled FROM l LEFT JOIN a ON a.k = s_suppkey LEFT JOIN b ON b.k = s_nationkey""")
+def j29(t):
+    left = t.supplier.select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal")).alias("v"))
+    exact = t.part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("ka"), F.col("p_retailprice").alias("xa"))
+    core = t.nation.select(F.col("n_nationkey").alias("kb"), F.col("n_regionkey").cast("double").alias("xb"))
+    met = left.join(exact, F.col("ka") == F.col("s_suppkey"), "left").join(F.broadcast(core), F.col("kb") == F.col("s_nationkey"), "left")
+    filled = F.when(F.col("v").isNotNull(), "kept").when(F.col("xa").isNotNull(), "exact").when(F.col("xb").isNotNull(), "core").otherwise("blank")
+    return met.select("s_suppkey", F.coalesce("v", "xa", "xb").alias("v"), filled.alias("filled"))
+
+
+@query("j31_title_holds_alias", "SELECT DISTINCT doc_id, a.alias FROM documents, (VALUES ('release'), ('the'), ('entre'), ('license'), ('nicht')) a(alias) WHERE contains(lower(text), a.alias)")
+def j31(t):
+    """A bounded list of aliases goes to every task; each is looked up in the lower-cased text."""
+    aliases = F.array(*[F.lit(a) for a in ("release", "the", "entre", "license", "nicht")])
+    hits = F.filter(aliases, lambda a: F.contains(F.col("_t"), a))
+    return t.documents.select("doc_id", F.lower("text").alias("_t")).select("doc_id", F.explode(hits).alias("alias"))
+
+
+@query("j32_terms_and_aliases", r"SELECT doc_id, (regexp_matches(text, '(?i)\b(the|and)\b')) AS has_term, regexp_matches(text, '(?i)licen[cs]e') AS has_alias FROM documents WHERE lang = 'en' AND regexp_matches(text, '(?i)\b(the|and)\b') AND regexp_matches(text, '(?i)licen[cs]e')")
+def j32(t):
+    rows = t.documents.filter("lang = 'en'").select("doc_id", F.col("text").rlike(r"(?i)\b(the|and)\b").alias("has_term"), F.col("text").rlike("(?i)licen[cs]e").alias("has_alias"))
+    return rows.filter("has_term and has_alias")
+
+
+@query("j33_band_semi_join", "SELECT o_orderkey FROM orders o WHERE o_orderpriority = '1-URGENT' AND EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderpriority = '5-LOW' AND abs(date_diff('day', o.o_orderdate::DATE, x.o_orderdate::DATE)) <= 7)")
+def j33(t):
+    rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority")
+    low = rows.filter("o_orderpriority = '5-LOW'").select("o_custkey", F.col("day").alias("other_day"))
+    return joins.band_join(rows.filter("o_orderpriority = '1-URGENT'"), low, "o_custkey", "day", "other_day", 7, "left_semi").select("o_orderkey")
+
+
+@query("j34_membership_pivot", "SELECT o_custkey, max((o_orderpriority = '1-URGENT')::INT) AS urgent, max((o_orderpriority = '5-LOW')::INT) AS low FROM orders GROUP BY 1")
+def j34(t):
+    out = t.orders.groupBy("o_custkey").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.max(F.lit(1)))
+    return out.select("o_custkey", F.coalesce("1-URGENT", F.lit(0)).alias("urgent"), F.coalesce("5-LOW", F.lit(0)).alias("low"))
+
+
+@query("j35_gather_by_row_number", "WITH n AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_custkey FROM orders) SELECT o_custkey, o_orderkey FROM n WHERE r = o_custkey % 5 + 1")
+def j35(t):
+    rows = t.orders.withColumn("r", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    return rows.filter(F.col("r") == F.col("o_custkey") % 5 + 1).select("o_custkey", "o_orderkey")
+
+
+@query("j39_event_impact", f"""WITH {PRICES_SQL}, o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 32 = 0), b AS (SELECT o.o_orderkey, o.symbol, min(i) AS i FROM o JOIN px ON px.symbol = o.symbol AND px.day >= o.day GROUP BY 1, 2)
+SELECT o_orderkey, round((q.close/p.close - 1)*100, 6) AS impact FROM b LEFT JOIN px p ON p.symbol = b.symbol AND p.i = b.i - 3 LEFT JOIN px q ON q.symbol = b.symbol AND q.i = b.i + 3""")
+def j39(t):
+    series = prices(t.lineitem).withColumns({"before": F.lag("close", 3).over(Window.partitionBy("symbol").orderBy("i")), "after": F.lead("close", 3).over(Window.partitionBy("symbol").orderBy("i"))})
+    orders = t.orders.filter("o_orderkey % 32 = 0").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
+    out = joins.asof_join(orders, series.select("symbol", "day", "i", "before", "after"), "symbol", "day", "day", ["i", "before", "after"], "forward").filter("i is not null")
+    return out.select("o_orderkey", ((F.col("after") / F.col("before") - 1) * 100).alias("impact"))
+
+
+@query("j40_full_outer_join", "SELECT coalesce(s_suppkey, p_partkey) AS k, s_suppkey IS NOT NULL AS in_left, p_partkey IS NOT NULL AS in_right FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) FULL JOIN (SELECT p_partkey FROM part WHERE p_partkey <= 50) ON s_suppkey = p_partkey")
+def j40(t):
+    met = t.supplier.filter("s_suppkey % 2 = 0").select("s_suppkey").join(t.part.filter("p_partkey <= 50").select("p_partkey"), F.col("s_suppkey") == F.col("p_partkey"), "full")
+    return met.select(F.coalesce("s_suppkey", "p_partkey").alias("k"), F.col("s_suppkey").isNotNull().alias("in_left"), F.col("p_partkey").isNotNull().alias("in_right"))
