@@ -1 +1,219 @@
-"""Queries."""
+"""Projection and cleaning queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plover.functions import clean as c
+from plover.operators.joins import only_unambiguous
+from plover.plans.registry import query
+
+#: Raw number texts made from part keys, the same in both engines.
+_RAW = "CASE p_partkey % 6 WHEN 0 THEN p_size || '百万円' WHEN 1 THEN p_size || ',5' || p_size || '千円' WHEN 2 THEN p_size || '億' || p_size || '万' WHEN 3 THEN '約 ' || p_size || '.25 %' WHEN 4 THEN 'n/a' ELSE '(' || p_size || '.5)' END"
+
+
+def _raw(t):
+    return t.part.selectExpr("p_partkey", f"{_RAW} AS raw")
+
+
+@query("p03_p02_corporate_number", "SELECT c_custkey, regexp_replace(regexp_replace(translate('  ' || c_custkey || '－１２-' || c_nationkey || '.0', '０１２３４５６７８９', '0123456789'), '[\\s\\-ー－]', '', 'g'), '\\.0$', '') AS number FROM customer")
+def p03(t):
+    return t.customer.select("c_custkey", c.corporate_number(F.concat(F.lit("  "), F.col("c_custkey").cast("string"), F.lit("－１２-"), F.col("c_nationkey").cast("string"), F.lit(".0"))).alias("number"))
+
+
+@query("p04_amount_with_unit", f"WITH r AS (SELECT p_partkey, {_RAW} AS raw FROM part) SELECT p_partkey, TRY_CAST(nullif(regexp_extract(replace(raw, ',', ''), '-?\\d+(?:\\.\\d+)?'), '') AS DOUBLE) * CASE WHEN contains(raw, '百万円') THEN 1e6 WHEN contains(raw, '千円') THEN 1e3 ELSE 1 END AS value FROM r")
+def p04(t):
+    return _raw(t).select("p_partkey", c.amount_with_unit(F.col("raw")).alias("value"))
+
+
+@query("p05_money_by_units", "SELECT p_partkey, p_size*1e8 + p_size*1e4 + 7 AS value FROM part")
+def p05(t):
+    raw = F.concat(F.col("p_size").cast("string"), F.lit("億 "), F.col("p_size").cast("string"), F.lit("万7"))
+    return t.part.select("p_partkey", c.japanese_money(raw).alias("value"))
+
+
+@query("p06_suffixed_number", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size*1e8 WHEN 1 THEN p_size*1e4 WHEN 2 THEN p_size + 0.5 END AS value FROM part")
+def p06(t):
+    size = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(size, F.lit("億円"))).when(F.col("p_partkey") % 4 == 1, F.concat(size, F.lit("万円"))).when(F.col("p_partkey") % 4 == 2, F.concat(size, F.lit(".5%"))).otherwise(F.lit("-"))
+    return t.part.select("p_partkey", c.suffixed_number(raw).alias("value"))
+
+
+@query("p07_p08_first_number", f"WITH r AS (SELECT p_partkey, {_RAW} AS raw FROM part) SELECT p_partkey, TRY_CAST(nullif(regexp_extract(replace(raw, ',', ''), '-?\\d+(?:\\.\\d+)?'), '') AS DOUBLE) AS value FROM r")
+def p07(t):
+    return _raw(t).select("p_partkey", c.first_number(F.col("raw")).alias("value"))
+
+
+@query("p09_ledger_number", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN -(p_size + 0.5) WHEN 1 THEN p_size*0.01 WHEN 2 THEN p_size*1e12 END AS value FROM part")
+def p09(t):
+    size = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("("), size, F.lit(".5)"))).when(F.col("p_partkey") % 4 == 1, F.concat(size, F.lit("%"))).when(F.col("p_partkey") % 4 == 2, F.concat(size, F.lit("兆円"))).otherwise(F.lit("#DIV/0!"))
+    return t.part.select("p_partkey", c.ledger_number(raw).alias("value"))
+
+
+@query("p10_p11_text_keys", "SELECT p_partkey, trim(regexp_replace(p_name || '  ' || chr(10) || p_brand, '\\s+', ' ', 'g')) AS line, regexp_replace(lower(p_name || p_type), '[^a-z0-9]', '', 'g') AS key FROM part")
+def p10(t):
+    return t.part.select("p_partkey", c.one_line(F.concat("p_name", F.lit("  \n"), "p_brand")).alias("line"), c.match_key(F.concat("p_name", "p_type")).alias("key"))
+
+
+@query("p12_p13_p14_p15_company_key", "SELECT s_suppkey, 'supplier' || s_suppkey AS key FROM supplier")
+def p12(t):
+    form = F.element_at(F.array(F.lit(" Co., Ltd."), F.lit(" Inc."), F.lit("株式会社"), F.lit(" Corporation")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return t.supplier.select("s_suppkey", c.legal_name_key(F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string"), form)).alias("key"))
+
+
+@query("p16_p17_tickers", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN (1000 + s_suppkey) || '.T' WHEN 1 THEN (1000 + s_suppkey) || '.T' ELSE 'ABC' || s_suppkey END AS ticker FROM supplier")
+def p16(t):
+    code = (1000 + F.col("s_suppkey")).cast("string")
+    raw = F.when(F.col("s_suppkey") % 3 == 0, code).when(F.col("s_suppkey") % 3 == 1, F.concat(code, F.lit("0"))).otherwise(F.concat(F.lit("abc"), F.col("s_suppkey").cast("string")))
+    return t.supplier.select("s_suppkey", c.ticker(raw).alias("ticker"))
+
+
+@query("p18_identifiers", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '10.1000/x' || p_partkey END AS doi, CASE WHEN p_partkey % 2 = 1 THEN '2401.' || lpad(p_partkey::VARCHAR, 5, '0') END AS arxiv FROM part")
+def p18(t):
+    key = F.col("p_partkey").cast("string")
+    even = F.col("p_partkey") % 2 == 0
+    return t.part.select("p_partkey", c.doi(F.when(even, F.concat(F.lit("https://doi.org/10.1000/X"), key))).alias("doi"), c.arxiv_id(F.when(~even, F.concat(F.lit("arXiv:2401."), F.lpad(key, 5, "0"), F.lit("v2")))).alias("arxiv"))
+
+
+@query("p19_p20_urls", "WITH u AS (SELECT page_id, url, regexp_replace(url, '[#?].*$', '') AS base, list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_')) AS q FROM pages) SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '//([^/?#]*)', 1), ':\\d+$', ''), '^www\\.', '') AS domain, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM u")
+def p19(t):
+    marked = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.col("url").contains("?"), "&utm_source=x#frag").otherwise("?UTM_Medium=y#frag"))
+    return t.pages.select("page_id", c.domain(F.col("url")).alias("domain"), c.canonical_url(marked).alias("canonical"))
+
+
+@query("p21_p22_dates", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 3 <> 2 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 3 = 2")
+def p21(t):
+    day = F.col("o_orderdate").cast("date")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "yyyyMMdd")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.date_format(day, "yyyy/MM/dd"), F.lit(" 10:00"))).otherwise(F.lit("unknown"))
+    return t.orders.select("o_orderkey", c.flexible_date(raw).alias("day"))
+
+
+@query("p23_p24_hash_identity", "SELECT o_orderkey, substr(sha256(o_orderkey || '|' || o_orderpriority || '|'), 1, 24) AS id FROM orders")
+def p23(t):
+    return t.orders.select("o_orderkey", c.stable_id(F.col("o_orderkey"), F.col("o_orderpriority"), F.lit(None)).alias("id"))
+
+
+@query("p25_p26_key_cascade", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'doi:10.1/' || doc_id WHEN doc_id % 3 = 1 THEN 'arxiv:' || doc_id ELSE 'hash:' || substr(sha256(source || '|' || lang), 1, 24) END AS key FROM documents")
+def p25(t):
+    doi = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("doi:10.1/"), F.col("doc_id").cast("string")))
+    arxiv = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("arxiv:"), F.col("doc_id").cast("string")))
+    return t.documents.select("doc_id", F.coalesce(doi, arxiv, F.concat(F.lit("hash:"), c.stable_id(F.col("source"), F.col("lang")))).alias("key"))
+
+
+@query("p27_p28_p29_p30_ratios", """SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN c_nationkey/c_acctbal END, 6) AS ratio, round((c_acctbal - c_nationkey)/nullif(abs(c_nationkey), 0), 6) AS change, least(1000.0, greatest(-10.0, c_acctbal)) AS clamped, round(sign(c_acctbal)*ln(1 + abs(c_acctbal)), 6) AS slog FROM customer""")
+def p27(t):
+    b, n = F.col("c_acctbal"), F.col("c_nationkey")
+    return t.customer.select("c_custkey", c.ratio(n, b).alias("ratio"), c.change(b, n).alias("change"), c.clamp(b, -10.0, 1000.0).alias("clamped"), c.signed_log(b).alias("slog"))
+
+
+@query("p31_p33_stage_ratios", "WITH y AS (SELECT o_custkey AS k, year(o_orderdate)::INT AS y, sum(round(o_totalprice*100)::BIGINT)::DOUBLE/100 AS v FROM orders GROUP BY 1, 2), w AS (SELECT k, sum(v) FILTER (y=1993) a, sum(v) FILTER (y=1994) b, sum(v) FILTER (y=1995) c FROM y GROUP BY 1) SELECT k, round((b-a)/nullif(abs(a),0), 6) AS g1, round((c-b)/nullif(abs(b),0), 6) AS g2, round((c-b)/nullif(abs(b),0) - (b-a)/nullif(abs(a),0), 6) AS accel FROM w")
+def p31(t):
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    rows = t.orders.withColumn("y", F.year("o_orderdate")).groupBy(F.col("o_custkey").alias("k")).pivot("y", [1993, 1994, 1995]).agg(F.sum(cents).cast("double") / 100)
+    g1, g2 = c.change(F.col("1994"), F.col("1993")), c.change(F.col("1995"), F.col("1994"))
+    return rows.select("k", g1.alias("g1"), g2.alias("g2"), (g2 - g1).alias("accel"))
+
+
+@query("p32_valuation", "SELECT p_partkey, round(p_retailprice/p_size, 6) AS per, round(sqrt(22.5*p_size*p_retailprice), 6) AS graham FROM part WHERE p_size > 0")
+def p32(t):
+    return t.part.filter("p_size > 0").select("p_partkey", c.ratio(F.col("p_retailprice"), F.col("p_size")).alias("per"), F.sqrt(22.5 * F.col("p_size") * F.col("p_retailprice")).alias("graham"))
+
+
+@query("p34_code_groups", "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 9 THEN 'small' WHEN p_size BETWEEN 10 AND 29 THEN 'medium' WHEN p_size >= 30 THEN 'large' END AS grp FROM part")
+def p34(t):
+    s = F.col("p_size").cast("string").try_cast("int")
+    return t.part.select("p_partkey", F.when(s.between(1, 9), "small").when(s.between(10, 29), "medium").when(s >= 30, "large").alias("grp"))
+
+
+@query("p35_a20_integrity_flags", "SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN o_totalprice > 300000 THEN 'large' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_custkey % 10 = 0 THEN 'round_key' END], lambda x: x IS NOT NULL)) AS flag FROM orders) GROUP BY 1")
+def p35(t):
+    rules = c.flags(large=F.col("o_totalprice") > 300000, pending=F.col("o_orderstatus") == "P", round_key=F.col("o_custkey") % 10 == 0)
+    return t.orders.select(F.explode(rules).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p36_p45_p52_ordered_rules", "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' THEN 'steel' WHEN p_type LIKE '%BRASS%' OR p_type LIKE '%COPPER%' THEN 'alloy' WHEN regexp_matches(p_name, '[13579]$') THEN 'odd' ELSE 'other' END AS class FROM part")
+def p36(t):
+    kind = F.when(F.col("p_type").contains("STEEL"), "steel").when(F.col("p_type").rlike("BRASS|COPPER"), "alloy").when(F.col("p_name").rlike("[13579]$"), "odd").otherwise("other")
+    return t.part.select("p_partkey", kind.alias("class"))
+
+
+@query("p38_p39_presence_and_means", "SELECT p_partkey, p_partkey % 4 <> 3 AS present, round(CASE WHEN p_partkey % 2 = 0 THEN (p_size + p_retailprice)/2 ELSE p_size END, 6) AS mean FROM part")
+def p38(t):
+    raw = F.element_at(F.array(F.lit("あり"), F.lit("○"), F.lit("3.5"), F.lit("なし")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t.part.select("p_partkey", c.present(raw).alias("present"), c.mean_of(F.col("p_size").cast("double"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice"))).alias("mean"))
+
+
+@query("p40_p41_p43_scale_repair", "SELECT c_custkey, round(CASE WHEN abs(c_acctbal) > 5000 THEN c_acctbal/1000 WHEN abs(c_acctbal) > 1000 THEN c_acctbal/10 WHEN c_acctbal > 0 THEN c_acctbal END, 6) AS repaired, c_acctbal >= CASE WHEN c_nationkey = 1 THEN 100 ELSE 10 END AS plausible FROM customer")
+def p40(t):
+    b = F.col("c_acctbal")
+    return t.customer.select("c_custkey", F.when(F.abs(b) > 5000, b / 1000).when(F.abs(b) > 1000, b / 10).when(b > 0, b).alias("repaired"), (b >= F.when(F.col("c_nationkey") == 1, 100).otherwise(10)).alias("plausible"))
+
+
+@query("p42_range_nulls_and_filters", "SELECT c_custkey, CASE WHEN c_acctbal BETWEEN 0 AND 5000 THEN c_acctbal END AS bounded FROM customer WHERE c_nationkey BETWEEN 3 AND 12")
+def p42(t):
+    return t.customer.filter(F.col("c_nationkey").between(3, 12)).select("c_custkey", F.when(F.col("c_acctbal").between(0, 5000), F.col("c_acctbal")).alias("bounded"))
+
+
+@query("p44_currency", "SELECT s_suppkey, round(s_acctbal * coalesce(rate, 1.0), 6) AS yen FROM supplier LEFT JOIN (VALUES (0, 150.0), (1, 160.5), (2, 190.25)) f(r, rate) ON r = s_nationkey % 4")
+def p44(t):
+    rates = t.spark.createDataFrame([(0, 150.0), (1, 160.5), (2, 190.25)], "r int, rate double")
+    return t.supplier.join(F.broadcast(rates), F.col("s_nationkey") % 4 == F.col("r"), "left").select("s_suppkey", (F.col("s_acctbal") * F.coalesce("rate", F.lit(1.0))).alias("yen"))
+
+
+@query("p46_p47_maturity", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') BETWEEN 0 AND 400 AS recent, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') >= ceil(7*60/5.0) + 3 AS mature FROM orders")
+def p46(t):
+    age = F.datediff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date"))
+    return t.orders.select("o_orderkey", age.between(0, 400).alias("recent"), (age >= F.ceil(F.lit(7 * 60 / 5)) + 3).alias("mature"))
+
+
+@query("p49_p50_labels", "SELECT o_orderkey, o_totalprice > 250000 AS big, o_totalprice > 250000 AND o_orderstatus = 'F' AS clean, CASE WHEN year(o_orderdate) <= 1993 THEN 'early' WHEN year(o_orderdate) <= 1996 THEN 'middle' ELSE 'late' END AS period FROM orders")
+def p49(t):
+    big, y = F.col("o_totalprice") > 250000, F.year("o_orderdate")
+    return t.orders.select("o_orderkey", big.alias("big"), (big & (F.col("o_orderstatus") == "F")).alias("clean"), F.when(y <= 1993, "early").when(y <= 1996, "middle").otherwise("late").alias("period"))
+
+
+@query("p51_universe_filter", "SELECT DISTINCT s_suppkey FROM supplier WHERE s_nationkey IN (1, 3, 5, 7, 9) AND regexp_matches(s_name, '^Supplier') AND NOT regexp_matches(s_name, '13')")
+def p51(t):
+    return t.supplier.filter(F.col("s_nationkey").isin(1, 3, 5, 7, 9) & F.col("s_name").rlike("^Supplier") & ~F.col("s_name").rlike("13")).select("s_suppkey").dropDuplicates()
+
+
+@query("p53_x02_ordered_distinct", "SELECT DISTINCT s_suppkey, 'a,b,c' AS words FROM supplier")
+def p53(t):
+    words = F.filter(F.transform(F.split(F.lit("a, b,a,,c"), ","), lambda w: F.trim(w)), lambda w: w != "")
+    return t.supplier.select("s_suppkey", F.array_join(F.slice(F.array_distinct(words), 1, 3), ",").alias("words"))
+
+
+@query("x01_union_by_name", "SELECT s_suppkey AS k, s_acctbal AS v, NULL::VARCHAR AS w FROM supplier UNION ALL SELECT p_partkey, NULL, p_brand FROM part")
+def x01(t):
+    return t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v")).unionByName(t.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("w")), allowMissingColumns=True)
+
+
+@query("x03_keep_first_or_last", "SELECT o_custkey, max_by(o_orderkey, o_orderkey) AS last_key, min(o_orderkey) AS first_key FROM orders GROUP BY 1")
+def x03(t):
+    from plover.operators.state import latest
+
+    last = latest(t.orders.select("o_custkey", F.col("o_orderkey").alias("last_key")), ["o_custkey"], F.col("last_key").desc())
+    first = latest(t.orders.select("o_custkey", F.col("o_orderkey").alias("first_key")), ["o_custkey"], F.col("first_key"))
+    return last.join(first, "o_custkey")
+
+
+@query("x04_set_operations", "WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49) SELECT 'both' AS part, k FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', k FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+def x04(t):
+    pick = lambda f: t.lineitem.filter((F.col("l_returnflag") == f) & (F.col("l_quantity") > 49)).select(F.col("l_suppkey").alias("k"))
+    return pick("R").intersect(pick("A")).select(F.lit("both").alias("part"), "k").unionByName(pick("R").subtract(pick("A")).select(F.lit("only_a").alias("part"), "k"))
+
+
+@query("x05_x06_union_by_priority", "SELECT k, min_by(tag, pref) AS tag FROM (SELECT s_suppkey AS k, 'supplier' AS tag, 1 AS pref FROM supplier UNION ALL SELECT p_partkey, 'part', 2 FROM part WHERE p_partkey < 150) GROUP BY 1")
+def x05(t):
+    one = t.supplier.select(F.col("s_suppkey").alias("k"), F.lit("supplier").alias("tag"), F.lit(1).alias("pref"))
+    two = t.part.filter("p_partkey < 150").select(F.col("p_partkey").alias("k"), F.lit("part").alias("tag"), F.lit(2).alias("pref"))
+    return one.unionByName(two).groupBy("k").agg(F.min_by("tag", "pref").alias("tag"))
+
+
+@query("n14_e50_alias_safety", "SELECT n_nationkey, length(n_name) >= 4 AND count(*) OVER (PARTITION BY substr(n_name, 1, 2)) = 1 AS safe FROM nation")
+def n14(t):
+    """Short aliases and those whose prefix several names share aren't safe."""
+    rows = t.nation.withColumn("head", F.substring("n_name", 1, 2))
+    alone = only_unambiguous(rows.select("head"), "head").withColumn("alone", F.lit(True))
+    return rows.join(alone, "head", "left").select("n_nationkey", ((F.length("n_name") >= 4) & F.coalesce("alone", F.lit(False))).alias("safe"))
