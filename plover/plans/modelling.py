@@ -1 +1,105 @@
-"""Queries."""
+"""Model, validation and backtest queries."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from plover.operators import models
+from plover.plans.registry import query
+from plover.sources.tables import PRICES_SQL, prices
+
+
+def _rows(t):
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.year("l_shipdate").alias("y"), F.col("l_quantity").cast("double").alias("q"), "l_discount", "l_tax", F.col("l_extendedprice").alias("target"))
+
+
+@query("m01_m05_ridge", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem", digits=3)
+def m01(t):
+    """With no penalty and one feature, ridge is the least-squares line."""
+    intercept, beta = models.ridge(_rows(t), ["q"], "target", 0.0)
+    return t.spark.createDataFrame([(round(float(beta[0]), 3), round(intercept, 2))], "slope double, intercept double")
+
+
+@query("m02_m04_elastic_net")
+def m02(t):
+    features = ["q", "l_discount", "l_tax"]
+    intercept, beta = models.elastic_net(_rows(t), features, "target", 100.0, 0.5)
+    return t.spark.createDataFrame([(f, float(b)) for f, b in zip(["intercept", *features], [intercept, *beta], strict=True)], "term string, weight double")
+
+
+@query("m06_preprocess", """WITH b AS (SELECT quantile_cont(c_acctbal, 0.01) lo, quantile_cont(c_acctbal, 0.5) mid, quantile_cont(c_acctbal, 0.99) hi FROM customer WHERE c_custkey % 5 <> 0),
+c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN mid ELSE greatest(lo, least(hi, c_acctbal)) END AS v FROM customer, b) SELECT c_custkey, round((v - avg(v) OVER ())/stddev_pop(v) OVER (), 6) AS v FROM c""")
+def m06(t):
+    return models.preprocess(t.customer.select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("v")), ["v"])
+
+
+@query("m09_m10_logistic")
+def m09(t):
+    """Calibration of a logistic model of early priority by price and size."""
+    rows = t.orders.select((F.col("o_totalprice") / 100000).alias("v"), (F.col("o_custkey") % 10 / 10).alias("k"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    intercept, beta = models.logistic(rows, ["v", "k"], "label")
+    p = 1 / (1 + F.exp(-models.linear(["v", "k"], intercept, beta)))
+    return rows.withColumn("p", p).agg(F.avg("p").alias("mean_p"), F.avg("label").alias("rate"), F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"))
+
+
+@query("m08_boosted_stumps")
+def m08(t):
+    rows = t.orders.select("o_totalprice", (F.col("o_custkey") % 10).cast("double").alias("k"), (F.col("o_totalprice") > 150000).cast("int").alias("label"))
+    stumps = models.boosted_stumps(rows, ["o_totalprice", "k"], "label", 5)
+    return rows.groupBy("label").agg(F.avg(1 / (1 + F.exp(-models.stump_score(stumps)))).alias("mean_p"))
+
+
+@query("m03_m11_m12_m13_walk_forward")
+def m11(t):
+    """For each year: a ridge fitted on the years before, tested on the year."""
+    rows, out = _rows(t), []
+    for year in range(1994, 1997):
+        intercept, beta = models.ridge(rows.filter(F.col("y") < year), ["q", "l_discount"], "target", 0.1)
+        tested = rows.filter(F.col("y") == year).withColumn("e", F.abs(F.col("target") - models.linear(["q", "l_discount"], intercept, beta)))
+        out.append(tested.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query("m07_blended_ranks", "WITH r AS (SELECT o_orderkey, (o_totalprice - avg(o_totalprice) OVER ())/stddev_pop(o_totalprice) OVER () AS z, o_custkey FROM orders) SELECT o_orderkey, round(0.7*z + 0.3*(o_custkey % 10)/10.0, 5) AS blend FROM r", digits=5)
+def m07(t):
+    s = t.orders.agg(F.avg("o_totalprice").alias("m"), F.stddev_pop("o_totalprice").alias("d"))
+    return t.orders.crossJoin(F.broadcast(s)).select("o_orderkey", (0.7 * (F.col("o_totalprice") - F.col("m")) / F.col("d") + 0.3 * (F.col("o_custkey") % 10) / 10.0).alias("blend"))
+
+
+@query("m14_m15_staged_limits", f"WITH {PRICES_SQL}, f AS (SELECT symbol, i, close, min(low) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS low60, lead(close, 60) OVER (PARTITION BY symbol ORDER BY i) AS last FROM px) SELECT symbol, i, round(0.5*(last/close - 1) + CASE WHEN low60 <= close*0.9 THEN 0.3*(last/(close*0.9) - 1) ELSE 0 END + CASE WHEN low60 <= close*0.8 THEN 0.2*(last/(close*0.8) - 1) ELSE 0 END, 6) AS result FROM f WHERE i % 40 = 0 AND last IS NOT NULL")
+def m15(t):
+    """Half at the close, the rest at two limits if the low reaches them within 60 rows; unfilled cash earns nothing."""
+    from plover.operators.timeseries import BY
+
+    rows = prices(t.lineitem).withColumns({"low60": F.min("low").over(BY.rowsBetween(1, 60)), "last": F.lead("close", 60).over(BY)}).filter("i % 40 = 0 and last is not null")
+    part = lambda share, level: F.when(F.col("low60") <= F.col("close") * level, share * (F.col("last") / (F.col("close") * level) - 1)).otherwise(0.0)
+    return rows.select("symbol", "i", (0.5 * (F.col("last") / F.col("close") - 1) + part(0.3, 0.9) + part(0.2, 0.8)).alias("result"))
+
+
+@query("m16_m17_gate_backtest", "WITH y AS (SELECT DISTINCT year(o_orderdate)::INT AS y FROM orders), th AS (SELECT y.y, quantile_cont(o_totalprice, 0.8) AS q FROM y JOIN orders ON year(o_orderdate) < y.y GROUP BY 1) SELECT y, count(*) AS n, count(*) FILTER (o_totalprice >= q) AS passed, round(avg((o_orderstatus='F')::INT) FILTER (o_totalprice >= q), 6) AS captured FROM orders JOIN th ON year(o_orderdate) = y GROUP BY 1")
+def m16(t):
+    orders = t.orders.withColumn("oy", F.year("o_orderdate"))
+    years = orders.select(F.col("oy").alias("y")).distinct()
+    limits = orders.join(F.broadcast(years), F.col("oy") < F.col("y")).groupBy("y").agg(F.percentile("o_totalprice", 0.8).alias("q"))
+    met = orders.join(F.broadcast(limits), F.col("oy") == F.col("y"))
+    passed = F.col("o_totalprice") >= F.col("q")
+    return met.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("passed"), F.avg(F.when(passed, (F.col("o_orderstatus") == "F").cast("int"))).alias("captured"))
+
+
+@query("m20_adaptive_threshold", "WITH r AS (SELECT s_acctbal, row_number() OVER (ORDER BY s_acctbal) AS k, count(*) OVER () AS n FROM supplier) SELECT round(greatest(-2.0, least(2.0, (max(s_acctbal) - 5000)*0.2)) + 5000, 6) AS threshold FROM r WHERE k = ceil(n*0.9)")
+def m20(t):
+    """A fifth of the way to the target quantile, by two at most."""
+    from pyspark.sql import Window
+
+    rows = t.supplier.crossJoin(F.broadcast(t.supplier.agg(F.count(F.lit(1)).alias("n")))).withColumn("k", F.row_number().over(Window.orderBy("s_acctbal")))
+    return rows.filter(F.col("k") == F.ceil(F.col("n") * 0.9)).agg((F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.max("s_acctbal") - 5000) * 0.2)) + 5000).alias("threshold"))
+
+
+@query("e20_feature_selection", "WITH l AS (SELECT 'q' AS f, l_quantity AS x, l_extendedprice AS y FROM lineitem UNION ALL SELECT 'd', l_discount, l_extendedprice FROM lineitem UNION ALL SELECT 't', l_tax, l_extendedprice FROM lineitem), c AS (SELECT f, abs(corr(x, y)) AS c FROM l GROUP BY 1) SELECT f, round(c, 5) AS strength FROM c ORDER BY c DESC LIMIT 2", digits=5)
+def e20(t):
+    from plover.operators.stats import pearson
+
+    long = t.lineitem.select(F.expr("stack(3, 'q', cast(l_quantity as double), 'd', l_discount, 't', l_tax) as (f, x)"), F.col("l_extendedprice").alias("y"))
+    return long.groupBy("f").agg(F.abs(pearson(F.col("x"), F.col("y"))).alias("strength")).orderBy(F.col("strength").desc()).limit(2)

@@ -1 +1,81 @@
-"""Queries."""
+"""Source and sink queries, by round trips through the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plover.plans.registry import query
+from plover.session import scratch_path
+from plover.sources import readers
+from plover.sources.tables import PRICES_SQL, prices
+
+
+@query("s01_s03_scan_ordered_prices", f"WITH {PRICES_SQL} SELECT symbol, day, close FROM px WHERE symbol = 7 AND close > 0")
+def s01(t):
+    return prices(t.lineitem.filter("l_suppkey = 7")).filter("close > 0").select("symbol", "day", "close")
+
+
+@query("s05_s06_s29_s32_s33_csv_round_trip", "SELECT n_nationkey::VARCHAR AS number, n_name AS company, '' AS note FROM nation")
+def s05(t):
+    path = scratch_path(t.spark, "csv")
+    readers.write_localised(t.nation, path, {"n_nationkey": "法人番号", "n_name": "企業名"})
+    return readers.with_aliases(readers.read_csv(t.spark, path), {"number": ["法人番号"], "company": ["会社名", "企業名"], "note": ["備考"]})
+
+
+@query("s07_s08_s09_p01_master_filter", "SELECT s_suppkey, lpad(s_suppkey::VARCHAR, 13, '1') AS number FROM supplier WHERE s_suppkey % 4 <> 0")
+def s08(t):
+    raw = F.when(F.col("s_suppkey") % 4 == 0, F.lit("12-3")).otherwise(F.lpad(F.col("s_suppkey").cast("string"), 13, "1"))
+    return t.supplier.select("s_suppkey", raw.alias("number")).filter(F.col("number").rlike(r"^\d{13}$"))
+
+
+@query("s10_s13_s20_s23_json_lines", "SELECT event_id, event_type FROM events WHERE event_id % 10 <> 3")
+def s13(t):
+    """JSON lines compressed with gzip; every tenth line is broken and left out."""
+    path = scratch_path(t.spark, "jsonl")
+    line = F.when(F.col("event_id") % 10 == 3, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    t.events.select(line.alias("value")).write.option("compression", "gzip").text(path)
+    return readers.read_json_lines(t.spark, path, "event_id long, event_type string")
+
+
+@query("s11_s12_multi_values", "SELECT s_suppkey, 3 AS n, 'a|b|c' AS parts FROM supplier")
+def s11(t):
+    rows = t.supplier.select("s_suppkey", F.lit("a | b;;c\n").alias("raw")).withColumn("p", readers.split_values("raw"))
+    return rows.select("s_suppkey", F.size("p").alias("n"), F.array_join("p", "|").alias("parts"))
+
+
+@query("s14_s15_s16_semi_join_pushdown", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9500) OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)")
+def s14(t):
+    keys = t.customer.filter("c_acctbal > 9500").select(F.col("c_custkey").alias("a"), F.lit(None).cast("long").alias("b"))
+    keys = keys.unionByName(t.lineitem.filter("l_quantity = 50").select(F.lit(None).cast("long").alias("a"), F.col("l_orderkey").alias("b")))
+    return readers.semi_join_any(t.orders.select("o_orderkey", "o_custkey"), keys, [("o_custkey", "a"), ("o_orderkey", "b")]).select("o_orderkey")
+
+
+@query("s18_s28_html_cells", "SELECT page_id, len(regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1)) AS n, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages")
+def s18(t):
+    return t.pages.select("page_id", F.size(readers.html_cells(F.col("html"))).cast("long").alias("n"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
+
+
+@query("s24_group_by_document", "SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
+def s24(t):
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(parts, lambda x: x["role"]), ">").alias("roles"))
+
+
+@query("s27_e04_e05_wide_to_long", "SELECT c_custkey, measure, value FROM (SELECT c_custkey, c_acctbal AS balance, c_nationkey::DOUBLE AS nation FROM customer) UNPIVOT (value FOR measure IN (balance, nation))")
+def s27(t):
+    return t.customer.select("c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation")).unpivot("c_custkey", ["balance", "nation"], "measure", "value")
+
+
+@query("s35_import_with_status", "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'invalid_number' WHEN p_size < 5 THEN 'too_small' ELSE 'ok' END AS status FROM part")
+def s35(t):
+    raw = F.when(F.col("p_partkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("p_size").cast("string"))
+    value = raw.try_cast("double")
+    return t.part.select("p_partkey", F.when(value.isNull(), "invalid_number").when(value < 5, "too_small").otherwise("ok").alias("status"))
+
+
+@query("p48_p54_e08_e48_column_rules", "SELECT s_suppkey AS key, s_name AS name, s_acctbal AS score_balance FROM supplier")
+def e48(t):
+    """An ordered choice of the columns that exist, by rules over their names."""
+    rows = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("score_balance"))
+    wanted = ["key", "name", "missing", *[c for c in rows.columns if c.startswith("score_")]]
+    return rows.select(*[c for c in wanted if c in rows.columns])

@@ -1 +1,143 @@
-"""Queries."""
+"""State queries: upserts, ledgers, cooldowns, merges, outboxes, budgets, alerts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plover.operators import state as st
+from plover.operators.timeseries import greedy_cooldown
+from plover.plans.registry import query
+
+
+@query("d02_d10_insert_or_ignore", "SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey <= 60 UNION ALL SELECT p_partkey, p_retailprice FROM part WHERE p_partkey BETWEEN 40 AND 120 AND p_partkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 60)")
+def d10(t):
+    old = t.supplier.filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    new = t.part.filter(F.col("p_partkey").between(40, 120)).select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
+    return st.insert_or_ignore(old, new, ["k"])
+
+
+@query("d03_d19_d20_ledger", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def d03(t):
+    done = t.lineitem.filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t.orders.filter(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).join(done, "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("d04_corroborated_windows", "SELECT event_type, time_bucket(INTERVAL 90 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, count(DISTINCT user_id) AS sources, count(DISTINCT floor(value)::BIGINT) AS titles, count(*) AS n, CASE WHEN max((user_id = 7)::INT) = 1 THEN 'trusted_source' ELSE 'independent_sources' END AS reason FROM events GROUP BY 1, 2 HAVING max((user_id = 7)::INT) = 1 OR (count(DISTINCT user_id) >= 2 AND count(DISTINCT floor(value)::BIGINT) >= 2)")
+def d04(t):
+    rows = t.events.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.floor("value").alias("title"))
+    out = st.corroborated(rows, "event_type", "ts", "user_id", "title", 90, F.col("user_id") == 7)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("d05_alert_cooldown", """WITH RECURSIVE e AS (SELECT DISTINCT user_id, floor(epoch(ts))::BIGINT AS s FROM events WHERE event_type = 'click'), keep AS (SELECT user_id, min(s) AS k FROM e GROUP BY 1 UNION ALL SELECT keep.user_id, min(e.s) FROM keep JOIN e ON e.user_id = keep.user_id AND e.s >= keep.k + 21600 GROUP BY keep.user_id, keep.k) SELECT user_id, k AS s FROM keep""")
+def d05(t):
+    rows = t.events.filter("event_type = 'click'").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s")).distinct()
+    return greedy_cooldown(rows, "user_id", "s", 21600, []).select("user_id", "s")
+
+
+@query("d07_exponential_cooldown", "WITH r AS (SELECT event_id, user_id, (floor(value)::BIGINT % 3 = 0)::INT AS f, sum(1 - (floor(value)::BIGINT % 3 = 0)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id, run ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS k FROM r) SELECT event_id, k::BIGINT AS failures, CASE WHEN k > 0 THEN least(240.0, 15*pow(2, k-1)) ELSE 0.0 END AS wait FROM s")
+def d07(t):
+    rows = t.events.select("event_id", "user_id", (F.floor("value") % 3 == 0).alias("failed"))
+    return st.exponential_cooldown(rows, "user_id", "event_id", F.col("failed"), 15, 240).select("event_id", "failures", "wait")
+
+
+@query("d08_cross_source_merge", "SELECT doc_id % 50 AS merge_key, count(*) AS records, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, max(length(text)) AS longest FROM documents GROUP BY 1")
+def d08(t):
+    rows = t.documents.select("doc_id", "source", F.col("text").alias("abstract"), F.col("lang").alias("title"), F.col("n_chars").alias("updated_at"))
+    out = st.merge_records(rows, F.col("doc_id") % 50, "source", [F.col("doc_id")])
+    return out.select("merge_key", "records", F.array_join("sources", "|").alias("sources"), F.length("abstract").alias("longest"))
+
+
+@query("d09_e36_e37_e38_e39_s34_upsert", "WITH o AS (SELECT s_suppkey AS k, s_acctbal AS v, s_name AS n FROM supplier WHERE s_suppkey <= 60), w AS (SELECT p_partkey AS k, p_retailprice AS v, p_name AS n FROM part WHERE p_partkey BETWEEN 40 AND 120) SELECT coalesce(o.k, w.k) AS k, coalesce(w.v, o.v) AS v, CASE WHEN coalesce(length(w.n), -1) > coalesce(length(o.n), -1) THEN w.n ELSE o.n END AS n FROM o FULL JOIN w ON w.k = o.k")
+def d09(t):
+    old = t.supplier.filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"), F.col("s_name").alias("n"))
+    new = t.part.filter(F.col("p_partkey").between(40, 120)).select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"), F.col("p_name").alias("n"))
+    return st.upsert(old, new, ["k"], {"v": "new", "n": "longest"})
+
+
+@query("d11_outbox", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01')")
+def d11(t):
+    queue = t.orders.filter("o_orderstatus = 'P'").select("o_orderkey")
+    sent = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    base = t.orders.filter(F.col("o_orderdate") < F.lit("1993-01-01").cast("timestamp_ntz")).select("o_orderkey")
+    return st.pending(queue, sent, base, "o_orderkey")
+
+
+@query("d12_e33_e34_budget", "WITH r AS (SELECT o_custkey, o_orderkey, sum(round(o_totalprice)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM orders) SELECT o_custkey, o_orderkey, spent::BIGINT AS spent, spent <= 500000 AS allowed FROM r")
+def d12(t):
+    rows = t.orders.select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("cost"))
+    return st.within_budget(rows, ["o_orderkey"], "cost", 500000, ["o_custkey"]).select("o_custkey", "o_orderkey", "spent", "allowed")
+
+
+@query("d13_d22_latest_state", "SELECT user_id, max_by(event_type, event_id) AS state, CASE WHEN max_by(event_type, event_id) = 'click' THEN 'interrupted' ELSE 'done' END AS status FROM events GROUP BY 1")
+def d13(t):
+    last = st.latest(t.events, ["user_id"], F.col("event_id").desc())
+    return last.select("user_id", F.col("event_type").alias("state"), F.when(F.col("event_type") == "click", "interrupted").otherwise("done").alias("status"))
+
+
+@query("d14_s25_e29_windows", "SELECT day::DATE AS day FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1995-03-31', INTERVAL 1 DAY)) AS day) WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_custkey % 40 = 0)")
+def d14(t):
+    """Days of the window that no run has processed."""
+    grid = t.spark.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("1995-03-31").cast("date"))).alias("day"))
+    done = t.orders.filter("o_custkey % 40 = 0").select(F.col("o_orderdate").cast("date").alias("day"))
+    return grid.join(done, "day", "left_anti")
+
+
+@query("d15_content_store", "SELECT sha256(text) AS content, min(doc_id) AS first_seen, max(doc_id) AS last_seen, count(*) AS observations FROM documents GROUP BY 1")
+def d15(t):
+    return st.seen_times(t.documents.select(F.sha2("text", 256).alias("content"), "doc_id"), ["content"], "doc_id")
+
+
+@query("d21_retention", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'")
+def d21(t):
+    return t.events.filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id")
+
+
+@query("d23_status_delta", "SELECT event_id, event_type, previous FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events) WHERE event_type IS DISTINCT FROM previous")
+def d23(t):
+    return st.status_changes(t.events, "user_id", "event_id", "event_type").select("event_id", "event_type", "previous")
+
+
+@query("e12_refresh_gate", "SELECT user_id FROM events GROUP BY 1 HAVING date_diff('hour', max(ts), TIMESTAMP '2024-01-30 00:00:00') > 6")
+def e12(t):
+    newest = t.events.groupBy("user_id").agg(F.max(F.col("ts").cast("timestamp")).alias("at"))
+    hours = F.floor(F.unix_timestamp(F.lit("2024-01-30 00:00:00").cast("timestamp")) / 3600) - F.floor(F.unix_timestamp("at") / 3600)
+    return newest.filter(hours > 6).select("user_id")
+
+
+@query("e32_review_cache_hit", "SELECT d.doc_id, b.item_id IS NOT NULL AS cached FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id AND sha256(b.text) = sha256(b.text) WHERE d.lang = 'de'")
+def e32(t):
+    cache = t.benchmark.select("item_id", F.sha2("text", 256).alias("h")).dropDuplicates(["item_id", "h"])
+    met = t.documents.filter("lang = 'de'").join(cache, F.col("item_id") == F.col("doc_id"), "left")
+    return met.select("doc_id", F.col("item_id").isNotNull().alias("cached"))
+
+
+@query("e40_diagnosis_rules", "SELECT user_id, CASE WHEN avg(value) > 60 THEN 'critical' WHEN count(*) > 80 THEN 'busy' WHEN count(*) < 40 THEN 'quiet' ELSE 'normal' END AS status FROM events GROUP BY 1")
+def e40(t):
+    n, v = F.count(F.lit(1)), F.avg("value")
+    return t.events.groupBy("user_id").agg(F.when(v > 60, "critical").when(n > 80, "busy").when(n < 40, "quiet").otherwise("normal").alias("status"))
+
+
+@query("d01_event_windows", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
+def d01(t):
+    from plover.streaming.windows import hourly_counts
+
+    return hourly_counts(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("d06_interval_controller")
+def d06(t):
+    """The adaptive interval of each user, as a fold over the events in order; tests hold it against plain Python."""
+    from plover.operators.controller import intervals
+
+    rows = t.events.select(F.col("user_id").alias("key"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_type") == "error").alias("limited"))
+    return intervals(rows)
+
+
+@query("d16_d18_fingerprint", "SELECT s_nationkey, count(*) AS n, substr(sha256('v1|s_nationkey'), 1, 24) AS fingerprint FROM supplier GROUP BY 1")
+def d16(t):
+    """A staged result carries the fingerprint of its settings, so a resumed run can check it."""
+    out = t.supplier.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("fingerprint", F.substring(F.sha2(F.lit("v1|s_nationkey"), 256), 1, 24))
+
+
