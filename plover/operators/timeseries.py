@@ -12,7 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("symbol").orderBy("i")
+
+def by_symbol():
+    """The rows of a symbol in order. A function, because windows need a session."""
+    return Window.partitionBy("symbol").orderBy("i")
 
 
 @dataclass(frozen=True)
@@ -56,13 +59,13 @@ def numbered(series: DataFrame) -> DataFrame:
 
 def moving_average(value: str, n: int) -> Column:
     """Mean of the last ``n`` rows; null until there are so many."""
-    frame = BY.rowsBetween(-(n - 1), 0)
+    frame = by_symbol().rowsBetween(-(n - 1), 0)
     return F.when(F.count(value).over(frame) == n, F.avg(value).over(frame))
 
 
 def daily_return(value: str = "close") -> Column:
     """Percent change from the row before."""
-    before = F.lag(value).over(BY)
+    before = F.lag(value).over(by_symbol())
     return F.try_divide(F.col(value), before) * 100 - 100
 
 
@@ -72,12 +75,12 @@ def setup_features(series: DataFrame, rules: SignalRules) -> DataFrame:
     Of equal peaks the last counts. Rows without ``least_history`` rows before
     them have no setup.
     """
-    prior = lambda n: BY.rowsBetween(-n, -1)
+    prior = lambda n: by_symbol().rowsBetween(-n, -1)
     peak = F.max(F.struct("close", "i")).over(prior(rules.peak_window))
     out = series.withColumn("ret", daily_return())
     out = out.withColumns(
         {
-            "peak": peak["close"], "peak_age": F.col("i") - peak["i"], "previous": F.lag("close").over(BY),
+            "peak": peak["close"], "peak_age": F.col("i") - peak["i"], "previous": F.lag("close").over(by_symbol()),
             "low_n": F.min("close").over(prior(rules.range_window)), "high_n": F.max("close").over(prior(rules.range_window)),
             "high_short": F.max("close").over(prior(rules.short_window)), "volatility": F.avg(F.abs("ret")).over(prior(rules.volatility_window)),
             "known_volumes": F.count_if(F.col("volume") > 0).over(prior(rules.volatility_window)),
@@ -112,8 +115,8 @@ def triggers(features: DataFrame, rules: SignalRules, need_volume: bool = True)
 def confirmations(triggered: DataFrame, rules: SignalRules) -> DataFrame:
     """Triggers that hold: exactly ``confirm_after`` rows later the close follows and no close fell under the level."""
     k = rules.confirm_after
-    out = triggered.withColumn("confirm_i", F.lead("i", k).over(BY)).withColumn("confirm_day", F.lead("day", k).over(BY))
-    out = out.withColumn("confirm_close", F.lead("close", k).over(BY)).withColumn("held_low", F.min("close").over(BY.rowsBetween(0, k)))
+    out = triggered.withColumn("confirm_i", F.lead("i", k).over(by_symbol())).withColumn("confirm_day", F.lead("day", k).over(by_symbol()))
+    out = out.withColumn("confirm_close", F.lead("close", k).over(by_symbol())).withColumn("held_low", F.min("close").over(by_symbol().rowsBetween(0, k)))
     follows = (F.col("confirm_close") >= F.col("close")) & (F.col("held_low") >= F.col("level") * rules.hold)
     return out.filter(F.col("trigger").isNotNull() & F.col("confirm_i").isNotNull() & follows)
 
@@ -140,7 +143,7 @@ def forward_metrics(series: DataFrame, horizons: tuple[int, ...], best: str = "c
     """Per row and horizon: return, best and worst excursion in percent; null unless the horizon is complete."""
     out = series
     for n in horizons:
-        end, frame = F.lead("close", n).over(BY), BY.rowsBetween(1, n)
+        end, frame = F.lead("close", n).over(by_symbol()), by_symbol().rowsBetween(1, n)
         pct = lambda x: (F.try_divide(x, F.col("close")) - 1) * 100
         out = out.withColumn(f"ret_{n}", pct(end))
         out = out.withColumn(f"mfe_{n}", F.when(end.isNotNull(), pct(F.max(F.coalesce(best, "close")).over(frame))))
@@ -163,15 +166,15 @@ def liquidity(series: DataFrame, n: int = 60) -> DataFrame:
 
 def first_touch(series: DataFrame, discount: float, horizon: int) -> DataFrame:
     """Rows until the low first reaches ``1 - discount`` of the close, within ``horizon`` rows."""
-    lows = F.collect_list("low").over(BY.rowsBetween(1, horizon))
+    lows = F.collect_list("low").over(by_symbol().rowsBetween(1, horizon))
     hit = F.array_position(F.transform(lows, lambda x: x <= F.col("close") * (1 - discount)), True)
     return series.withColumn("touch_after", F.when(hit > 0, hit))
 
 
 def sign_changes(series: DataFrame, value: str) -> DataFrame:
     """Per symbol: turns of the value's direction, unchanged steps left out, and whether it ends flat."""
-    steps = series.withColumn("_d", F.signum(F.col(value) - F.lag(value).over(BY)))
-    moved = steps.filter("_d <> 0").withColumn("_turn", (F.col("_d") != F.lag("_d").over(BY)).cast("int"))
+    steps = series.withColumn("_d", F.signum(F.col(value) - F.lag(value).over(by_symbol())))
+    moved = steps.filter("_d <> 0").withColumn("_turn", (F.col("_d") != F.lag("_d").over(by_symbol())).cast("int"))
     return moved.groupBy("symbol").agg(F.coalesce(F.sum("_turn"), F.lit(0)).alias("reversals"), F.count(F.lit(1)).alias("moves"))
 
 

@@ -83,7 +83,7 @@ def w09(t):
 @query("w10_trough_since_peak", f"WITH {PRICES_SQL}, p AS (SELECT *, max(struct_pack(h := high, k := i)) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pk FROM px) SELECT symbol, i, pk.h AS peak_high, pk.k AS peak_i, min(low) OVER (PARTITION BY symbol, pk.k ORDER BY i) AS trough FROM p WHERE pk IS NOT NULL")
 def w10(t):
     """Expanding peak of highs, and the running low since that peak, by peak segment."""
-    peak = F.max(F.struct("high", "i")).over(ts.BY.rowsBetween(Window.unboundedPreceding, -1))
+    peak = F.max(F.struct("high", "i")).over(ts.by_symbol().rowsBetween(Window.unboundedPreceding, -1))
     rows = prices(t.lineitem).withColumn("pk", peak).filter("pk is not null")
     segment = Window.partitionBy("symbol", "pk.i").orderBy("i")
     return rows.select("symbol", "i", F.col("pk.high").alias("peak_high"), F.col("pk.i").alias("peak_i"), F.min("low").over(segment).alias("trough"))
@@ -101,7 +101,7 @@ def w11(t):
 @query("w12_peak_warning", f"""WITH {PRICES_SQL}, f AS (SELECT *, min(close) OVER (s ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS low120, avg(close) OVER (s ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS ma20, count(*) OVER (s ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS n FROM px WINDOW s AS (PARTITION BY symbol ORDER BY i))
 SELECT symbol, i, round(60*least(1, greatest(0, (close/low120 - 1)*10)) + 40*least(1, greatest(0, (close/ma20 - 1)*50)), 4) AS heat, (close/low120 - 1)*10 >= 0.8 AS overheated FROM f WHERE n = 120""", digits=4)
 def w12(t):
-    low, mean, n = (F.min("close").over(ts.BY.rowsBetween(-120, -1)), F.avg("close").over(ts.BY.rowsBetween(-20, -1)), F.count(F.lit(1)).over(ts.BY.rowsBetween(-120, -1)))
+    low, mean, n = (F.min("close").over(ts.by_symbol().rowsBetween(-120, -1)), F.avg("close").over(ts.by_symbol().rowsBetween(-20, -1)), F.count(F.lit(1)).over(ts.by_symbol().rowsBetween(-120, -1)))
     rows = prices(t.lineitem).withColumns({"low120": low, "ma20": mean, "n": n}).filter("n = 120")
     clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
     rise = (F.col("close") / F.col("low120") - 1) * 10
