@@ -16,7 +16,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.regexp_extract(c, r"^urn:page:(\d+|-\d+):", 1).try_cast("long")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     rows = records.select("*", copies.alias("copy")).drop("copy", "copies")
-    lengths = records.filter("record_type = 'response'").select(F.col("record_id").alias("response_id"), F.col("payload_bytes").alias("response_bytes"))
+    lengths = records.filter("record_type = 'response'").select(F.col("record_id").alias("response_id"), F.col("payload_bytes").alias("response_bytes")).dropDuplicates(["response_id"])
     met = rows.join(lengths, F.col("refers_to") == F.col("response_id"), "left")
     return met.select(
         page(F.col("record_id")).alias("page_id"), F.coalesce("payload_bytes", "response_bytes").alias("payload_bytes"), "payload_digest", "record_type",

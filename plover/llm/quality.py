@@ -26,6 +26,8 @@ from plover.llm.words import WordHashes
 from plover.session import materialize
 
 FEATURES = ("words", "upper", "symbols", "bars", "digits", "word_length", "distinct", "repeats", "top_share", "marked", "exclaims", "line_repeats")
+#: Standardised features are held within this, so that no text lies far outside what the fit saw.
+FAR = 5.0
 #: A table of sites with at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -75,7 +77,7 @@ class QualityModel:
     def log_odds(self, features: Column) -> Column:
         out = F.lit(self.weights[0])
         for k, (m, s, w) in enumerate(zip(self.mean, self.scale, self.weights[1:], strict=True)):
-            out = out + F.lit(w / s) * (features[k] - F.lit(m))
+            out = out + F.lit(w) * F.greatest(F.lit(-FAR), F.least(F.lit(FAR), (features[k] - F.lit(m)) / F.lit(s)))
         return F.greatest(F.lit(-12.0), F.least(F.lit(12.0), out))
 
 
@@ -111,7 +113,7 @@ def fit_evidence(labelled: DataFrame, steps: int = 8, ridge: float = 1.0) -> Qua
     w = np.r_[math.log(rate / (1 - rate)), np.zeros(n)]
 
     def parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        z = np.c_[np.ones(len(y)), (x - mean) / scale]
+        z = np.c_[np.ones(len(y)), np.clip((x - mean) / scale, -FAR, FAR)]
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         return np.r_[z.T @ (y - p), ((z * (p * (1 - p))[:, None]).T @ z).ravel()]
 

@@ -220,7 +220,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Columns of ``PAYLOAD``. ``whole`` is false, and the payload null, where a
     segment is missing, the total length is wrong, the framing is broken or the
-    digest differs. ``copies`` counts records equal in id, which count as one.
+    digest differs. ``copies`` counts the records that a row stands for, more than
+    one where segmented records are equal in id.
     Each archive must fit in a task's memory; Spark's binary reader allows up to
     2 GB.
     """
