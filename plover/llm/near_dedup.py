@@ -10,10 +10,11 @@ error, the radius is 15 of 32 and a pair at a similarity of 0.75 stays in reach
 of some chunk but for about 2 in 100,000.
 
 Pairs are not listed within a bucket. First each member is compared with its
-bucket's most central document and the links form components; then, in buckets
-that still hold two components or more, members of different components are
-compared inside tasks, in pairs of blocks, and only edges that join components
-leave the task. So groups of copies cost a comparison a member and yet no link
+bucket's most central document and the links form components. Members outside
+the bucket's largest component are then compared with a member of it, another in
+each bucket. In buckets that still hold two components or more, members of
+different components are compared inside tasks, in pairs of blocks, and only
+edges that join components leave the task. So groups of copies cost a comparison a member and yet no link
 between different components is lost. Every pair within the radius is confirmed
 on the two full shingle sets.
 
@@ -171,6 +172,21 @@ def _cross_links(size: int, chunk_size: int, radius: int, percent: int):
     return run
 
 
+def _main_components(placed: DataFrame) -> DataFrame:
+    """Per key that holds two components or more: the largest one, its rows and all rows."""
+    parts = placed.groupBy(F.col("key").alias("k"), F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("rows"))
+    keys = parts.groupBy("k").agg(F.sum("rows").alias("all_rows"), F.max(F.struct("rows", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    return keys.filter("parts > 1").select("k", F.col("top.c").alias("main"), F.col("top.rows").alias("main_rows"), "all_rows")
+
+
+def _second_stars(placed: DataFrame) -> DataFrame:
+    """Members outside a key's largest component with one member of it, drawn by hash anew for each key."""
+    rows = placed.join(_main_components(placed), F.col("key") == F.col("k"))
+    inside = rows.filter("component = main").groupBy(F.col("key").alias("p_key")).agg(F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
+    met = rows.filter("component <> main").select("key", "id").join(inside, F.col("key") == F.col("p_key"))
+    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
 def _cross_blocks(placed: DataFrame, block: int = buckets.BLOCK) -> DataFrame:
     """Rows of keys that hold two components or more, once for each pair of blocks to compare.
 
@@ -178,9 +194,8 @@ def _cross_blocks(placed: DataFrame, block: int = buckets.BLOCK) -> DataFrame:
     itself: its blocks meet only those of the others, and the others' blocks
     meet all. So the cost follows the members outside the largest component.
     """
-    parts = placed.groupBy(F.col("key").alias("k"), F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("rows"))
-    keys = parts.groupBy("k").agg(F.sum("rows").alias("all_rows"), F.max(F.struct("rows", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    keys = keys.select("k", F.col("top.c").alias("main"), F.ceil(F.col("top.rows") / block).cast("int").alias("inner_blocks"), F.ceil((F.col("all_rows") - F.col("top.rows")) / block).cast("int").alias("outer_blocks"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    keys = _main_components(placed).select("k", "main", blocks(F.col("main_rows")).alias("inner_blocks"), blocks(F.col("all_rows") - F.col("main_rows")).alias("outer_blocks"))
     rows = placed.join(keys, F.col("key") == F.col("k")).withColumn("inner", F.col("component") == F.col("main"))
     spread = F.xxhash64("id")
     rows = rows.withColumn("block", F.when(F.col("inner"), F.col("outer_blocks") + F.pmod(spread, F.col("inner_blocks"))).otherwise(F.pmod(spread, F.col("outer_blocks"))).cast("int"))
@@ -236,17 +251,24 @@ def near_duplicates(
     two = part.select(F.col("part_id").alias("b"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
     at = lambda k: F.substring("s1", 2 * k + 1, 2) != F.substring("s2", 2 * k + 1, 2)
     distance = sum((at(k).cast("int") for k in range(1, size)), at(0).cast("int"))
-    near = stars.join(one, "a").join(two, "b").filter(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")).filter(distance <= radius)
-    near = near.select("a", "b")
+    unlike = 100 * F.least("n1", "n2") < percent * F.greatest("n1", "n2")
 
     involved = materialize(shared.select("id").distinct(), "involved")
     chosen = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
     sets = materialize(named.join(chosen, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles(width), "id long, shingles array<long>"), "sets")
-    links = materialize(_confirmed(near, sets, percent), "links")
-    joined = connected_components(links)
 
-    placed = shared.join(joined, F.col("id") == F.col("node"), "left").select("key", "slot", "id", F.coalesce("component", "id").alias("component"))
-    blocks = _cross_blocks(materialize(placed, "placed")).join(part, F.col("id") == F.col("part_id")).drop("part_id")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(one, "a").join(two, "b").filter(~unlike).filter(distance <= radius).select("a", "b")
+        return materialize(_confirmed(near, sets, percent), "links")
+
+    def placed_by(joined: DataFrame) -> DataFrame:
+        rows = shared.join(joined, F.col("id") == F.col("node"), "left").select("key", "slot", "id", F.coalesce("component", "id").alias("component"))
+        return materialize(rows, "placed")
+
+    links = confirmed(stars)
+    links = links.unionByName(confirmed(_second_stars(placed_by(connected_components(links)))))
+    placed = placed_by(connected_components(links))
+    blocks = _cross_blocks(placed).join(part, F.col("id") == F.col("part_id")).drop("part_id")
     blocks = blocks.repartition("pair_key").sortWithinPartitions("pair_key")
     how = (size, chunk_size, radius, percent)
     survivors = materialize(blocks.mapInArrow(_survivors(*how), blocks.schema), "survivors")
