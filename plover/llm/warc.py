@@ -23,6 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plover.session import materialize
+
+#: A table of revisits with at most so many rows (about 60 bytes each) is broadcast.
+BROADCAST_ROWS = 1_000_000
 CRLF = "\r\n"
 HTTP_HEAD = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Transfer-Encoding: chunked", "", ""])
 RECORD = "record_id string, origin_id string, record_type string, target_uri string, refers_to string, digest string, segment long, total long, block binary"
@@ -55,11 +59,16 @@ def write_warc(
     and never beats another id. Rows that repeat an id and a payload write
     equal records. Other columns are ignored.
     """
-    named = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(url_col, F.lit("")).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
+    named = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(html_col, F.lit("")).cast("binary").alias("payload"))
     named = named.withColumn("digest", base32_sha1(F.col("payload")))
-    holders = named.groupBy(F.col("digest").alias("held")).agg(F.max("id").alias("holder"))
-    joined = named.join(holders, F.col("digest") == F.col("held"))
-    stored = (F.octet_length("payload") < revisit_from) | F.col("id").eqNullSafe(F.col("holder"))
+    # Who revisits whom is settled on ids and digests; payloads aren't shuffled for it.
+    digests = materialize(named.select("id", "digest", (F.octet_length("payload") >= revisit_from).alias("sharable")), "digests")
+    holders = digests.filter("sharable").groupBy(F.col("digest").alias("held")).agg(F.max("id").alias("holder"))
+    others = digests.filter("sharable").join(holders, F.col("digest") == F.col("held")).filter(~F.col("id").eqNullSafe(F.col("holder")))
+    others = materialize(others.select(F.col("id").alias("other_id"), F.col("digest").alias("other_digest"), "holder").distinct(), "revisits")
+    small = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    joined = named.join(small, F.col("id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other_digest")), "left")
+    stored = F.col("other_digest").isNull()
 
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(":"), F.col("digest"))
     n_chunks = F.ceil(F.octet_length("payload") / chunk_bytes).cast("int")
