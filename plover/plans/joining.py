@@ -240,3 +240,13 @@ def j39(t):
 def j40(t):
     met = t.supplier.filter("s_suppkey % 2 = 0").select("s_suppkey").join(t.part.filter("p_partkey <= 50").select("p_partkey"), F.col("s_suppkey") == F.col("p_partkey"), "full")
     return met.select(F.coalesce("s_suppkey", "p_partkey").alias("k"), F.col("s_suppkey").isNotNull().alias("in_left"), F.col("p_partkey").isNotNull().alias("in_right"))
+
+
+@query("j06_j07_fuzzy_names")
+def j07(t):
+    """Misspelt type names against the list of types; the ratio has no SQL counterpart."""
+    from plover.operators.fuzzy import fuzzy_match
+
+    types = t.part.groupBy("p_type").agg(F.min("p_partkey").alias("company")).select("company", F.col("p_type").alias("alias"))
+    names = types.select(F.col("company").alias("key"), F.concat(F.substring("alias", 1, 5), F.lit("x"), F.expr("substring(alias, 6)")).alias("name"))
+    return fuzzy_match(names, types)

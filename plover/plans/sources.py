@@ -79,3 +79,20 @@ def e48(t):
     rows = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("score_balance"))
     wanted = ["key", "name", "missing", *[c for c in rows.columns if c.startswith("score_")]]
     return rows.select(*[c for c in wanted if c in rows.columns])
+
+
+@query("s19_s21_feed_entries", "SELECT n_regionkey, n_nationkey AS id, n_name AS title FROM nation")
+def s21(t):
+    """Feeds of entries as XML text, read back with XPath."""
+    entry = F.concat(F.lit("<entry><id>"), F.col("n_nationkey").cast("string"), F.lit("</id><title>"), F.col("n_name"), F.lit("</title></entry>"))
+    feeds = t.nation.groupBy("n_regionkey").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("xml"))
+    ids, titles = F.xpath("xml", F.lit("feed/entry/id/text()")), F.xpath("xml", F.lit("feed/entry/title/text()"))
+    rows = feeds.select("n_regionkey", F.explode(F.arrays_zip(ids.alias("id"), titles.alias("title"))).alias("e"))
+    return rows.select("n_regionkey", F.col("e.id").cast("long").alias("id"), F.col("e.title").alias("title"))
+
+
+@query("s17_e07_context_priority", "SELECT doc_id % 40 AS doc, lang AS field, max_by(n_chars, struct_pack(a := CASE WHEN source = 'src1' THEN 2 WHEN source = 'src2' THEN 1 ELSE 0 END, b := n_chars)) AS value FROM documents GROUP BY 1, 2")
+def s17(t):
+    """Per document and field the value of the context with the highest priority."""
+    priority = F.when(F.col("source") == "src1", 2).when(F.col("source") == "src2", 1).otherwise(0)
+    return t.documents.groupBy((F.col("doc_id") % 40).alias("doc"), F.col("lang").alias("field")).agg(F.max_by("n_chars", F.struct(priority, "n_chars")).alias("value"))

@@ -122,3 +122,12 @@ def test_band_join_matches_brute_force(spark):
     right = [(1, D(2024, 1, 8)), (2, D(2023, 12, 30))]
     got = joins.band_join(spark.createDataFrame(left, "k int, d date"), spark.createDataFrame(right, "k int, e date"), "k", "d", "e", 4)
     assert rows(got.select("k", "d", "e"), "k", "d") == sorted((k, d, e) for k, d in left for j, e in right if k == j and abs((d - e).days) <= 4)
+
+
+def test_fuzzy_names_margin_between_companies(spark):
+    from plover.operators.fuzzy import fuzzy_match
+
+    aliases = spark.createDataFrame([(1, "Acme Robotics"), (1, "Acme Robotics Japan"), (2, "Globex Systems"), (3, "Globex Systemz")], "company int, alias string")
+    names = spark.createDataFrame([(1, "ＡＣＭＥ Robotic"), (2, "globex system"), (3, "unrelated words"), (4, None)], "key int, name string")
+    got = {r["key"]: (r["match_status"], r["company"]) for r in fuzzy_match(names, aliases).collect()}
+    assert got[1] == ("matched", 1) and got[2] == ("ambiguous", None) and got.get(3, ("not_found", None)) == ("not_found", None)
