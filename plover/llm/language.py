@@ -135,7 +135,7 @@ def train_language(labelled: DataFrame, rows_per_language: int = 2_500) -> dict[
     sizes = usable.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("rows"))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(8), "id"), 11) * 2.0**-53
     chosen = usable.join(sizes, F.col("lang") == F.col("l")).filter(unit * F.col("rows") < rows_per_language)
-    found = chosen.select("text", "lang").coalesce(1).mapInArrow(_train, "name string, weights binary").collect()
+    found = chosen.select("text", "lang").repartition(1).mapInArrow(_train, "name string, weights binary").collect()
     return {r["name"]: bytes(r["weights"]) for r in found}
 
 
