@@ -118,7 +118,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     entry = F.transform(F.array_distinct(F.flatten(F.collect_list(valid))), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("place"), s["stop"].alias("stop"), s["kind"].alias("kind")))
     per_blob = current.groupBy(F.col("blob").alias("found_blob")).agg(F.array_sort(entry).alias("sorted"))
     tidy = F.transform("sorted", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    per_blob = per_blob.select("found_blob", tidy.alias("spans"))
+    # Written first, so that the join below is plain and a blob that very many paths hold can be split.
+    per_blob = materialize(per_blob.select("found_blob", tidy.alias("spans")), "findings")
     paths = named.select("path", "blob")
     findings = paths.join(per_blob, F.col("blob") == F.col("found_blob"), "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
     return findings, added
