@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plover.llm.words import mixed
+from plover.session import materialize
 
 #: ISO 639-1 codes by family.
 FAMILIES = {
@@ -31,6 +32,8 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIM_BITS = 15
+#: A table of languages with at most so many rows is broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -132,10 +135,13 @@ def train_language(labelled: DataFrame, rows_per_language: int = 2_500) -> dict[
     languages in a family, so its size follows the number of languages only.
     """
     usable = labelled.filter("text is not null and lang is not null").select("id", "text", "lang")
-    sizes = usable.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = materialize(usable.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("rows")), "languages")
+    # Joined where the texts are read: shuffled by language, a few tasks would get all of them.
+    small = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(8), "id"), 11) * 2.0**-53
-    chosen = usable.join(sizes, F.col("lang") == F.col("l")).filter(unit * F.col("rows") < rows_per_language)
-    found = chosen.select("text", "lang").repartition(1).mapInArrow(_train, "name string, weights binary").collect()
+    chosen = usable.join(small, F.col("lang") == F.col("l")).filter(unit * F.col("rows") < rows_per_language)
+    ordered = chosen.select("id", "text", "lang").repartition(1).sortWithinPartitions("id", "lang", "text")  # reruns agree
+    found = ordered.select("text", "lang").mapInArrow(_train, "name string, weights binary").collect()
     return {r["name"]: bytes(r["weights"]) for r in found}
 
 
