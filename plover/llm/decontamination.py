@@ -1,4 +1,4 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by common subsequences, with latent cosines.
 
 1. Texts become codes of the benchmark's words (others are 0), written once.
 2. Document frequencies of those words over all passages give their weights.
@@ -8,12 +8,13 @@
    Gram matrix with a random matrix, summed by word in Spark, gives its leading
    right singular vectors and values (randomised SVD, Nystrom form).
 4. Passages at several lengths, so that an item of any length lies whole in one
-   with up to half of it besides, are projected with unit variance and compared
-   with all items of that length by cosine; those above a threshold are
-   candidates.
+   with up to half of it besides, are candidates if they hold enough of the
+   item's words, counted by an inverted index: no longer subsequence can be
+   missed by that, so all pairs that 5 would confirm are reached.
 5. A candidate is confirmed by the longest common subsequence of the item and
-   the passage with its surroundings, a good part of the item, and by the
-   answer's words nearby. So verbatim copies and close paraphrases are found.
+   the passage with its surroundings: nearly the whole item (verbatim), or a
+   good part of it (paraphrase), the latter with the answer's words nearby if
+   the benchmark has answers. The latent cosine is given beside it.
 
 The benchmark is taken in blocks of ``ITEMS``, so what tasks get is bounded.
 """
@@ -44,8 +45,8 @@ class Limits:
 
     rank: int = 48
     sketch: int = 64
-    cosine: float = 0.2
     common: float = 0.02
+    verbatim: float = 0.8
     paraphrase: float = 0.6
     answer: float = 0.6
     answer_words: int = 6
@@ -60,6 +61,7 @@ class Items:
     codes: list[np.ndarray]
     vocabulary: dict[bytes, int]
     answers: list[set[int]] = field(default_factory=list)
+    answered: list[bool] = field(default_factory=list)
 
 
 def encode_items(rows: list[tuple[int, str, str | None]]) -> Items:
@@ -72,6 +74,7 @@ def encode_items(rows: list[tuple[int, str, str | None]]) -> Items:
             items.ids.append(item)
             items.codes.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32))
             items.answers.append({vocabulary.setdefault(w, len(vocabulary) + 1) for w in letter_words(answer)})
+            items.answered.append(bool(items.answers[-1]))
     return items
 
 
@@ -178,68 +181,47 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _search(items: Items, words: np.ndarray, limits: Limits):
     """Confirmed (id, item, cosine, common, answered) of whole texts."""
     scale = [max(0, int(np.ceil(np.log2(max(len(c) * limits.room / (2 * STEP), 1e-9))))) for c in items.codes]
-    groups = {s: [k for k, x in enumerate(scale) if x == s] for s in sorted(set(scale))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent = words.astype(np.float32)
-        heavy = latent.any(axis=1)
-        # Items by answer word, as runs of one array.
-        pairs = sorted((c, k) for k, answer in enumerate(items.answers) for c in answer)
-        word_of, item_of = (np.array(x) for x in zip(*pairs, strict=True))
+        bags = [np.unique(c, return_counts=True) for c in items.codes]
+        needed = np.array([limits.paraphrase * len(c) for c in items.codes]) - 1e-9
+        queries = _unit(np.stack([latent[c].sum(axis=0) for c in items.codes]))
+        # Items by word and how often they hold it, as runs of one array.
+        order = np.argsort(np.concatenate([b for b, _ in bags]), kind="stable")
+        word_of = np.concatenate([b for b, _ in bags])[order]
+        item_of = np.repeat(np.arange(len(bags)), [len(b) for b, _ in bags])[order]
+        times = np.concatenate([n for _, n in bags])[order]
         begin, end = np.searchsorted(word_of, np.arange(len(latent))), np.searchsorted(word_of, np.arange(len(latent)), "right")
-        wanted = np.array([limits.answer * len(a) for a in items.answers])
-        queries = {s: _unit(np.stack([latent[items.codes[k]].sum(axis=0) for k in g])) for s, g in groups.items()}
-        needed = {s: np.array([limits.paraphrase * len(items.codes[k]) for k in g]) for s, g in groups.items()}
+        local = np.zeros(len(latent), np.int64)  # a word's place in the bag at hand, from 1
         for batch in batches:
             found = []
             for id_, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes = np.frombuffer(raw.as_buffer(), "<i4")
-                # Of the answer's words the text must hold its share, or nothing can be confirmed.
-                present = np.unique(codes)
-                present = present[end[present] > begin[present]]
-                held_items = [item_of[begin[c] : end[c]] for c in present.tolist()]
-                able = np.bincount(np.concatenate(held_items), minlength=len(wanted)) >= wanted if held_items else np.zeros(1, bool)
-                if not able.any():
+                # A subsequence can't be longer than the item's words that the text holds.
+                runs = [slice(begin[c], end[c]) for c in np.unique(codes).tolist() if c]
+                if not runs:
                     continue
-                best: dict[int, tuple[float, float, float]] = {}
-                n_steps = -(-len(codes) // STEP)
-                known = np.bincount(np.flatnonzero(codes) // STEP, minlength=n_steps)
-                at = np.flatnonzero(heavy[codes])
-                if not len(at):
-                    continue
-                sums = np.zeros((n_steps, latent.shape[1]), np.float32)
-                step_of = at // STEP
-                first = np.flatnonzero(np.r_[True, step_of[1:] != step_of[:-1]])
-                sums[step_of[first]] = np.add.reduceat(latent[codes[at]], first, axis=0)
-                for s in range(max(groups) + 1):
-                    step = STEP << s
-                    if s:  # two steps make one of the next length
-                        pairs_of = np.arange(0, len(known), 2)
-                        sums, known = np.add.reduceat(sums, pairs_of, axis=0), np.add.reduceat(known, pairs_of)
-                    if s not in groups or not able[groups[s]].any():
-                        continue
-                    n = max(len(sums) - 2, 1)
-                    windows, held = sums[:n].copy(), known[:n].copy()
-                    for k in (1, 2):
-                        more = min(n, len(sums) - k)
-                        if more > 0:
-                            windows[:more] += sums[k : k + more]
-                            held[:more] += known[k : k + more]
-                    rows = np.flatnonzero(held >= needed[s].min())
-                    cosines = _unit(windows[rows]) @ queries[s].T
-                    hits = np.argwhere((cosines >= limits.cosine) & (held[rows][:, None] >= needed[s][None, :]) & able[groups[s]][None, :])
-                    for r, q in hits.tolist():
-                        item = groups[s][q]
-                        at = int(rows[r]) * step
+                held = np.bincount(np.concatenate([item_of[r] for r in runs]), np.concatenate([times[r] for r in runs]), len(bags))
+                for item in np.flatnonzero(held >= needed).tolist():
+                    step, (bag, most) = STEP << scale[item], bags[item]
+                    local[bag] = np.arange(1, len(bag) + 1)
+                    place = local[codes]
+                    local[bag] = 0
+                    best = None
+                    for at in _passages(place, most, step, needed[item]):
                         near = codes[max(0, at - step) : at + 4 * step]
+                        share = common_subsequence(items.codes[item], near) / len(items.codes[item])
+                        if share < limits.paraphrase or best is not None and share <= best[1]:
+                            continue
                         answer = items.answers[item]
                         answered = len(answer.intersection(near.tolist())) / len(answer)
-                        if answered < limits.answer:
-                            continue
-                        share = common_subsequence(items.codes[item], near) / len(items.codes[item])
-                        if share >= limits.paraphrase and (item not in best or share > best[item][1]):
-                            best[item] = (float(cosines[r, q]), share, answered)
-                found += [(id_, items.ids[k], *v) for k, v in best.items()]
+                        if share >= limits.verbatim or answered >= limits.answer or not items.answered[item]:
+                            best = (at, share, answered)
+                    if best:
+                        at, share, answered = best
+                        window = _unit(latent[codes[at : at + 3 * step]].sum(axis=0)[None, :])
+                        found.append((id_, items.ids[item], float(window[0] @ queries[item]), share, answered))
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             types = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["id", "item_id", "cosine", "common", "answered"])
@@ -247,6 +229,27 @@ def _search(items: Items, words: np.ndarray, limits: Limits):
     return run
 
 
+def _passages(place: np.ndarray, most: np.ndarray, step: int, needed: float, rows: int = 4096) -> Iterator[int]:
+    """Where passages begin that, with a step before and one behind, hold enough of an item's words.
+
+    ``place`` has each word's place in the item's bag, from 1, or 0; a word counts
+    as often as the item holds it, ``most``.
+    """
+    n_steps = -(-len(place) // step)
+    n = max(n_steps - 2, 1)
+    for first in range(0, n, rows):
+        last = min(first + rows, n)
+        low = max(first - 1, 0)
+        part = place[low * step : (last + 3) * step]
+        at = np.flatnonzero(part)
+        held = np.zeros((last + 4 - low, len(most)), np.int32)
+        np.add.at(held, (at // step + 1, part[at] - 1), 1)
+        held = held.cumsum(axis=0)
+        row = np.arange(first, last)
+        counts = held[row + 4 - low] - held[np.maximum(row - 1, 0) - low]
+        yield from (row[np.minimum(counts, most).sum(axis=1) >= needed] * step).tolist()
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -260,8 +263,9 @@ def contaminated(
     """(id, item_id, cosine, common, answered), one row per document row and item found in it.
 
     ``common`` is the share of the item's words in the common subsequence, and
-    ``answered`` the share of the answer's words nearby. Without an answer
-    column the answer is the item's rarest words. Null or empty texts and items
+    ``answered`` the share of the answer's words nearby. An item without an
+    answer is decided by ``common`` alone; its ``answered`` tells of its rarest
+    words. ``cosine`` decides nothing. Null or empty texts and items
     match nothing; items that repeat an id are each searched. Other columns are
     ignored.
     """

@@ -200,6 +200,50 @@ def test_decontamination_finds_copies_and_paraphrases_only(spark):
     assert decontamination.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def leaks_by_brute_force(texts, items, share=0.6):
+    """All (text, item) with a passage, at the item's length, whose surroundings hold a subsequence of the share."""
+    coded, out = decontamination.encode_items([(k, t, None) for k, t in items]), set()
+    for i, t in texts:
+        codes = np.array([coded.vocabulary.get(w, 0) for w in decontamination.letter_words(t)], int)
+        for k, item in zip(coded.ids, coded.codes, strict=True):
+            step = 8
+            while 2 * step < 1.25 * len(item):
+                step *= 2
+            starts = range(0, max(-(-len(codes) // step) - 2, 1) * step, step)
+            if any(decontamination.common_subsequence(item, codes[max(0, a - step) : a + 4 * step]) >= share * len(item) for a in starts):
+                out.add((i, k))
+    return out
+
+
+def test_decontamination_of_edited_and_partial_copies_matches_brute_force(spark):
+    rng = random.Random(14)
+    often = [f"s{k}" for k in range(12)]
+    text = lambda n: [rng.choice(often) if rng.random() < 0.4 else f"w{rng.randrange(3000)}" for _ in range(n)]
+    items = [(k, text(rng.randrange(14, 60))) for k in range(60)]
+    texts = []
+    for k, item in items:
+        cut = rng.randrange(len(item) // 3 + 1)
+        edited = [f"x{rng.randrange(99)}" if rng.random() < 0.25 else w for w in item]
+        no_rare = [w if w in often or rng.random() < 0.6 else "gone" for w in item]
+        for j, part in enumerate((item[cut : cut + round(0.65 * len(item))], edited, no_rare)):
+            texts.append((3 * k + j, " ".join(text(70) + part + text(50))))
+    texts += [(500 + k, " ".join(text(150))) for k in range(20)]
+    items = [(k, " ".join(w)) for k, w in items]
+    got = {(r["id"], r["item_id"]) for r in decontamination.contaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks_by_brute_force(texts, items)
+    assert got == want and 100 < len(want) < 190
+
+
+def test_decontamination_with_answers(spark):
+    rng = random.Random(15)
+    item, answer = words(rng, 30).split(), "forty two"
+    texts = [(0, " ".join(item)), (1, " ".join(item[:21])), (2, " ".join([*item[:21], answer])), (3, " ".join([*item[:12], answer]))]
+    texts = [(k, f"{words(rng, 40)} {t} {words(rng, 60)}") for k, t in texts]
+    bench = spark.createDataFrame([(7, " ".join(item), answer)], "item_id long, text string, answer string")
+    got = {r["id"] for r in decontamination.contaminated(docs_of(spark, texts), bench, answer_col="answer").collect()}
+    assert got == {0, 2}
+
+
 def test_common_subsequence_matches_dynamic_programming():
     rng = random.Random(2)
     for _ in range(200):
