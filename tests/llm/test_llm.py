@@ -244,6 +244,16 @@ def test_decontamination_with_answers(spark):
     assert got == {0, 2}
 
 
+def test_decontamination_passages_miss_no_count_of_words():
+    rng = np.random.default_rng(16)
+    for _ in range(200):
+        place, most, step = rng.integers(0, 5, rng.integers(1, 120)), rng.integers(1, 4, 4), int(rng.choice([2, 4]))
+        needed = rng.integers(1, most.sum() + 1)
+        near = lambda at: np.bincount(place[max(0, at - step) : at + 4 * step], minlength=5)[1:]
+        starts = range(0, max(-(-len(place) // step) - 2, 1) * step, step)
+        assert list(decontamination._passages(place, most, step, needed, rows=3)) == [at for at in starts if np.minimum(near(at), most).sum() >= needed]
+
+
 def test_common_subsequence_matches_dynamic_programming():
     rng = random.Random(2)
     for _ in range(200):
