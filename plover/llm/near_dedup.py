@@ -6,8 +6,9 @@ the number of places that differ. By pigeonhole, signatures at most
 ``chunks * (errors + 1) - 1`` apart agree on some chunk but for ``errors``
 places, so each chunk is indexed under every choice of ``errors`` places left
 out: all pairs under that distance share a key. With 8 chunks of 4 and one
-error, the radius is 15 of 32 and a pair at a similarity of 0.75 stays in reach
-of some chunk but for about 2 in 100,000.
+error, that is 15 of 32. Most pairs further apart share a key too, and whatever
+shares a key is compared: a pair at a similarity of 0.75 shares none about 2
+times in 100,000 (0.2617 to the 8th), the only way to miss it.
 
 Pairs are not listed within a bucket. First each member is compared with its
 bucket's most central document and the links form components. Members outside
@@ -15,8 +16,8 @@ the bucket's largest component are then compared with a member of it, another in
 each bucket. In buckets that still hold two components or more, members of
 different components are compared inside tasks, in pairs of blocks, and only
 edges that join components leave the task. So groups of copies cost a comparison a member and yet no link
-between different components is lost. Every pair within the radius is confirmed
-on the two full shingle sets.
+between different components is lost. Every pair is confirmed on the two full
+shingle sets, whatever the distance of its signatures.
 
 Texts with equal sets are one class from the start, so exact copies never meet.
 """
@@ -94,8 +95,8 @@ def _chunk_keys(chunks: int, chunk_size: int) -> F.Column:
     return F.array(*keys)
 
 
-def _crossing(group: pa.Table, size: int, chunk_size: int, radius: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group to confirm: of different components, within the radius, and not too unequal in size.
+def _crossing(group: pa.Table, size: int, chunk_size: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group to confirm: of different components and not too unequal in size.
 
     A pair that shares several keys counts under the first only, which its two
     signatures tell.
@@ -111,18 +112,18 @@ def _crossing(group: pa.Table, size: int, chunk_size: int, radius: int, percent:
         wrong = chunk_size - equal.sum(axis=2)
         chunk = (wrong <= 1).argmax(axis=1)
         left_out = equal[np.arange(len(i)), chunk].argmin(axis=1)
-        keep = (wrong.sum(axis=1) <= radius) & (chunk * chunk_size + left_out == slot[i])
+        keep = chunk * chunk_size + left_out == slot[i]
         if keep.any():
             yield i[keep], j[keep]
 
 
-def _survivors(size: int, chunk_size: int, radius: int, percent: int):
+def _survivors(size: int, chunk_size: int, percent: int):
     """The rows of each group that are in some pair to confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in buckets.whole_groups(batches):
             hit = np.zeros(group.num_rows, bool)
-            for i, j in _crossing(group, size, chunk_size, radius, percent):
+            for i, j in _crossing(group, size, chunk_size, percent):
                 hit[i] = hit[j] = True
             yield from group.filter(pa.array(hit)).to_batches()
 
@@ -144,7 +145,7 @@ def _overlaps(sets: list[np.ndarray], rows: np.ndarray, wide: int = 20_000) -> n
     return out
 
 
-def _cross_links(size: int, chunk_size: int, radius: int, percent: int):
+def _cross_links(size: int, chunk_size: int, percent: int):
     """Edges that join what is linked among the pairs to confirm, by their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,7 @@ def _cross_links(size: int, chunk_size: int, radius: int, percent: int):
             firsts, seconds = [], []
             for at, end in zip(cuts[:-1], cuts[1:], strict=True):
                 group = many.slice(at, end - at)
-                pairs = list(_crossing(group, size, chunk_size, radius, percent))
+                pairs = list(_crossing(group, size, chunk_size, percent))
                 if not pairs:
                     continue
                 i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -231,7 +232,7 @@ def near_duplicates(
     set and is a component of its own. Rows that repeat a document with the same
     id and text count once each. Other columns are ignored.
     """
-    size, radius = chunks * chunk_size, 2 * chunks - 1
+    size = chunks * chunk_size
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = materialize(named.mapInArrow(_sketch(width, size), "id long, n long, set_key binary, signature binary"), "sketch")
     classes = sketch.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature"))
@@ -247,10 +248,8 @@ def near_duplicates(
     stars = shared.join(pivots, F.col("key") == F.col("k")).filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
     part = classes.select(F.col("id").alias("part_id"), "n", "signature")
-    one = part.select(F.col("part_id").alias("a"), F.col("n").alias("n1"), F.col("signature").alias("s1"))
-    two = part.select(F.col("part_id").alias("b"), F.col("n").alias("n2"), F.col("signature").alias("s2"))
-    at = lambda k: F.substring("s1", 2 * k + 1, 2) != F.substring("s2", 2 * k + 1, 2)
-    distance = sum((at(k).cast("int") for k in range(1, size)), at(0).cast("int"))
+    one = part.select(F.col("part_id").alias("a"), F.col("n").alias("n1"))
+    two = part.select(F.col("part_id").alias("b"), F.col("n").alias("n2"))
     unlike = 100 * F.least("n1", "n2") < percent * F.greatest("n1", "n2")
 
     involved = materialize(shared.select("id").distinct(), "involved")
@@ -258,7 +257,7 @@ def near_duplicates(
     sets = materialize(named.join(chosen, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_shingles(width), "id long, shingles array<long>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(one, "a").join(two, "b").filter(~unlike).filter(distance <= radius).select("a", "b")
+        near = pairs.join(one, "a").join(two, "b").filter(~unlike).select("a", "b")
         return materialize(_confirmed(near, sets, percent), "links")
 
     def placed_by(joined: DataFrame) -> DataFrame:
@@ -270,7 +269,7 @@ def near_duplicates(
     placed = placed_by(connected_components(links))
     blocks = _cross_blocks(placed).join(part, F.col("id") == F.col("part_id")).drop("part_id")
     blocks = blocks.repartition("pair_key").sortWithinPartitions("pair_key")
-    how = (size, chunk_size, radius, percent)
+    how = (size, chunk_size, percent)
     survivors = materialize(blocks.mapInArrow(_survivors(*how), blocks.schema), "survivors")
     dressed = survivors.join(sets.withColumnRenamed("id", "s_id"), F.col("id") == F.col("s_id")).drop("s_id")
     dressed = dressed.repartition("pair_key").sortWithinPartitions("pair_key")

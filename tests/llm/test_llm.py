@@ -69,6 +69,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_near_duplicates_whose_signatures_are_far_apart(spark):
+    rng, hashes, (times, plus) = random.Random(17), near_dedup.WordHashes(), near_dedup._permutations(32)
+    texts = []
+    while len(texts) < 12:  # pairs at 0.75 that differ in 16 places or more, and yet agree on a chunk but for one place
+        common, pair = words(rng, 100), []
+        for _ in range(2):
+            text = f"{common} {words(rng, 16)}"
+            pair.append((text, np.frombuffer(near_dedup._signature(near_dedup.shingle_set(hashes.of(near_dedup.plain_words(text))), times, plus), "<u2")))
+        differ = (pair[0][1] != pair[1][1]).reshape(8, 4).sum(axis=1)
+        if differ.sum() > 15 and differ.min() <= 1:
+            texts += [(len(texts), pair[0][0]), (len(texts) + 1, pair[1][0])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(12)}
+
+
 def test_near_duplicates_of_empty_and_repeated_rows(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [])).count() == 0
     got = near_dedup.near_duplicates(docs_of(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, None)])).collect()
