@@ -27,6 +27,25 @@ def _checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with ``_row``, which tells rows of different texts apart, and whether any id repeats or is null.
+
+    It is the document's id; rows without an id, or with one that names several
+    texts, get a hash of id and text above 2^62 instead. ``_again`` marks rows
+    whose id repeats or is null.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    ids = docs.groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("rows"), (F.min(text) != F.max(text)).alias("several"))
+    again = materialize(ids.filter("rows > 1 or again_id is null").select("again_id", (F.col("several") | F.col("again_id").isNull()).alias("several")), "again")
+    doc_id = F.col("doc_id").cast("long")
+    if not again.count():
+        return docs.withColumns({"_row": doc_id, "_again": F.lit(False)}), False
+    # The few ids of irregular rows are sent to the texts, which aren't shuffled.
+    rows = docs.join(_checked(again), F.col("doc_id").eqNullSafe(F.col("again_id")), "left")
+    own = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull()).bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    return rows.select(*docs.columns, F.when(F.col("several"), own).otherwise(doc_id).alias("_row"), F.col("several").isNotNull().alias("_again")), True
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier scores under 0.5.
 
@@ -40,31 +59,38 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the least by id, of each group of near-duplicates; of repeated rows, one."""
-    groups = materialize(near_duplicates(docs), "groups")
+    """Keeps one document, the least by id, of each group of near-duplicates.
+
+    Of rows that repeat both id and text one stays, the least by its columns;
+    rows without an id or of one id with different texts are documents of their
+    own, after those with ids of their own.
+    """
+    keyed, repeats = _keyed(docs)
+    groups = near_duplicates(keyed, id_col="_row")
     gone = materialize(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    rest = docs.join(_checked(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = materialize(groups.groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("again_id"), "again")
-    if not again.count():
-        return rest
-    # Only the rows whose id repeats are shuffled.
-    same = F.col("doc_id").eqNullSafe(F.col("again_id"))
-    return rest.join(_checked(again), same, "left_anti").unionByName(rest.join(_checked(again), same, "left_semi").dropDuplicates(["doc_id"]))
+    rest = keyed.join(_checked(gone), F.col("_row") == F.col("gone_id"), "left_anti")
+    if not repeats:
+        return rest.select(*docs.columns)
+    # Only the rows whose id repeats or is null are shuffled.
+    same = rest.filter("_again").groupBy("_row", F.sha2("text", 256)).agg(F.min(F.struct(*docs.columns)).alias("first"))
+    return rest.filter("not _again").select(*docs.columns).unionByName(same.select("first.*"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    found = contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    keyed, _ = _keyed(docs)
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_row")
     gone = materialize(found.select(F.col("id").alias("gone_id")).distinct(), "gone")
-    return docs.join(_checked(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return keyed.join(_checked(gone), F.col("_row") == F.col("gone_id"), "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; documents stay."""
-    findings, _ = scan_versions(docs, path_col="doc_id")
+    keyed, _ = _keyed(docs)
+    findings, _ = scan_versions(keyed, path_col="_row")
     some = findings.filter(F.size("spans") > 0).select(F.col("path").alias("found_id"), "spans").dropDuplicates(["found_id"])
     some = materialize(some, "secrets")
-    rows = docs.join(_checked(some), F.col("doc_id") == F.col("found_id"), "left")
+    rows = keyed.join(_checked(some), F.col("_row") == F.col("found_id"), "left")
     text = redact(F.col("text"), F.col("spans"))
     rows = rows.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text))
     rows = rows.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
@@ -76,9 +102,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A copy of which only the first words are drawn is cut after them.
     """
-    drawn = mix(docs).select("doc_id", "size", "source_size", "target", F.explode("copies").alias("c"))
+    keyed, _ = _keyed(docs)
+    drawn = mix(keyed, id_col="_row").select("doc_id", "size", "source_size", "target", F.explode("copies").alias("c"))
     drawn = drawn.select(F.col("doc_id").alias("mixed_id"), "size", "source_size", "target", "c.copy", "c.shard", "c.words", "c.local_order")
-    rows = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
+    rows = keyed.join(drawn, F.col("_row") == F.col("mixed_id")).drop("mixed_id", "_row", "_again")
     pieces = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int"))
     text = F.when(F.col("words") < F.col("size"), F.array_join(pieces, " ")).otherwise(F.col("text"))
     return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))

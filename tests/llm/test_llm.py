@@ -384,3 +384,25 @@ def test_oracles(spark, name):
     cursor = con.execute(registry.ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(map(repr, (tuple(r[c] for c in sorted(names)) for r in df.collect()))) == sorted(map(repr, (tuple(r[names.index(c)] for c in sorted(names)) for r in cursor.fetchall())))
+
+
+def test_pipeline_stages_keep_texts_without_an_id_or_under_a_repeated_one(spark):
+    import corpus_pipeline
+
+    sf_dir, rng = "/root/testdata/sf0.001", random.Random(18)
+    leak = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    texts = [words(rng, 60) for _ in range(6)]
+    secret = "token = 'abcdefghijkl'"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (8, texts[4]), (9, texts[5]), (None, texts[5]), (None, None)]
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5]), (None, None)]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
+    more = docs_of(spark, [*want, (None, leak), (7, leak), (None, f"a {secret}"), (7, f"b {secret}")]).select(*docs.columns[:4], F.col("n_chars").cast("long"))
+    clean = corpus_pipeline.redact_secrets(spark, corpus_pipeline.drop_benchmark_leaks(spark, more, sf_dir), sf_dir)
+    clean = corpus_pipeline.materialize(clean, "test-stage")
+    redacted = [(i, f"{w} [SECRET]'") for i, w in ((None, "a"), (7, "b"))]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in clean.collect()))) == sorted(map(repr, [*want, *redacted]))
+    drawn = corpus_pipeline.mix_sources(spark, clean, sf_dir)
+    per_text = [r["n"] for r in drawn.groupBy("doc_id", "text", "copy").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert per_text and max(per_text) == 1
