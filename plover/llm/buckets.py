@@ -58,14 +58,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str = "pair_key", rows:
         yield pa.concat_tables(held).combine_chunks()
 
 
-def group_pairs(keys: np.ndarray, block: np.ndarray, alone: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of rows to compare, in arrays no longer than ``keys``."""
+def group_pairs(keys: np.ndarray, block: np.ndarray, alone: np.ndarray, inner: np.ndarray | None = None, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of rows to compare; two rows that are both ``inner`` aren't compared.
+
+    Groups of up to ``small`` rows are taken side by side, larger ones row by
+    row against all that follow, so no array is much longer than ``keys``.
+    """
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
+    inner = np.zeros(len(keys), bool) if inner is None else inner
+    wanted = lambda i, j: ((block[i] != block[j]) | alone[i]) & ~(inner[i] & inner[j])
     left = np.repeat(starts + lengths, lengths) - np.arange(len(keys)) - 1
-    for step in range(1, int(lengths.max(initial=0))):
+    left[np.repeat(lengths > small, lengths)] = 0
+    for step in range(1, min(int(lengths.max(initial=0)), small)):
         i = np.flatnonzero(left >= step)
         j = i + step
-        keep = (block[i] != block[j]) | alone[i]
+        keep = wanted(i, j)
         if keep.any():
             yield i[keep], j[keep]
+    for at, end in zip(starts[lengths > small].tolist(), (starts + lengths)[lengths > small].tolist(), strict=True):
+        outer, held = np.flatnonzero(~inner[at:end]) + at, np.flatnonzero(inner[at:end]) + at
+        some = max(1, 200_000 // (end - at))
+        for first in range(0, len(outer), some):
+            i = np.repeat(outer[first : first + some], len(outer) + len(held))
+            j = np.tile(np.r_[outer, held], len(i) // (len(outer) + len(held)))
+            keep = (inner[j] | (i < j)) & wanted(i, j)
+            if keep.any():
+                yield np.minimum(i[keep], j[keep]), np.maximum(i[keep], j[keep])

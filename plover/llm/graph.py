@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plover.session import materialize
+from plover.session import drop_path, written
 
 
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -37,10 +37,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round. Rounds grow with the logarithm of the longest chain.
     """
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = materialize(ends.filter("u > v").distinct(), "edges")
+    now, path = written(ends.filter("u > v").distinct(), "edges")
     seen = None
     while True:
-        now = materialize(_stars(_stars(now, True), False), "edges")
+        last = path
+        now, path = written(_stars(_stars(now, True), False), "edges")
+        drop_path(edges.sparkSession, last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
             break
@@ -49,18 +51,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges from the pairs that join all they link, each node to its root."""
-    root: dict[int, int] = {}
+class Forest:
+    """Disjoint sets of node ids inside a task."""
 
-    def find(x: int) -> int:
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
         while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+
+    def edges(self) -> tuple[list[int], list[int]]:
+        """Each node that isn't a root, with its root."""
+        nodes = [x for x in self.root if self.find(x) != x]
+        return nodes, [self.find(x) for x in nodes]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges from the pairs that join all they link, each node to its root."""
+    joined = Forest()
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(x), find(y)
-        root[max(x, y)] = min(x, y)
-    nodes = [x for x in root if find(x) != x]
-    return nodes, [find(x) for x in nodes]
+        joined.join(x, y)
+    return joined.edges()

@@ -14,10 +14,13 @@ Pairs are not listed within a bucket. First each member is compared with its
 bucket's most central document and the links form components. Members outside
 the bucket's largest component are then compared with a member of it, another in
 each bucket. In buckets that still hold two components or more, members of
-different components are compared inside tasks, in pairs of blocks, and only
-edges that join components leave the task. So groups of copies cost a comparison a member and yet no link
-between different components is lost. Every pair is confirmed on the two full
-shingle sets, whatever the distance of its signatures.
+different components are compared inside tasks, and only edges that join
+components leave the task. A task takes a bucket whole up to ``BLOCK_ROWS`` rows
+and ``BLOCK_SHINGLES`` shingles; a larger bucket is dealt into blocks of that
+size, and each pair of blocks is a group of its own. So groups of copies cost a
+comparison a member and yet no link between different components is lost. Every
+pair is confirmed on the two full shingle sets, whatever the distance of its
+signatures.
 
 Texts with equal sets are one class from the start, so exact copies never meet.
 """
@@ -33,12 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plover.llm import buckets
-from plover.llm.graph import connected_components, forest
+from plover.llm.graph import Forest, connected_components
 from plover.llm.words import WordHashes, mixed, plain_words, shingle_set
 from plover.session import materialize
 
 #: A table of ids with at most so many rows (16 bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: What a task holds of a bucket: rows of about 100 bytes, then their shingles of 8 bytes.
+BLOCK_ROWS = 1_024
+BLOCK_SHINGLES = 2_000_000
+#: Sets of so many rows are laid side by side to count what they share.
+TILE = 128
 
 
 def _permutations(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +104,16 @@ def _chunk_keys(chunks: int, chunk_size: int) -> F.Column:
 
 
 def _crossing(group: pa.Table, size: int, chunk_size: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group to confirm: of different components and not too unequal in size.
+    """Pairs of groups to confirm: of different components and not too unequal in size.
 
-    A pair that shares several keys counts under the first only, which its two
+    Rows of a key's largest component aren't compared with each other. A pair
+    that shares several keys counts under the first only, which its two
     signatures tell.
     """
     comp, n, slot, keys, block = (group.column(c).to_numpy() for c in ("component", "n", "slot", "pair_key", "block"))
-    alone = group.column("alone").to_numpy(zero_copy_only=False)
+    alone, inner = (group.column(c).to_numpy(zero_copy_only=False) for c in ("alone", "inner"))
     signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(-1, size)
-    for i, j in buckets.group_pairs(keys, block, alone):
+    for i, j in buckets.group_pairs(keys, block, alone, inner):
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         keep = (comp[i] != comp[j]) & (100 * small >= percent * large)
         i, j = i[keep], j[keep]
@@ -145,39 +154,51 @@ def _overlaps(sets: list[np.ndarray], rows: np.ndarray, wide: int = 20_000) -> n
     return out
 
 
+def _tiles(i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the pairs (i, j), a tile of ``TILE`` rows by ``TILE`` rows at a time."""
+    rows, place = np.unique(np.r_[i, j], return_inverse=True)
+    across = -(-len(rows) // TILE)
+    tile = place[: len(i)] // TILE * across + place[len(i) :] // TILE
+    order = np.argsort(tile, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(tile[order])) + 1)
+
+
 def _cross_links(size: int, chunk_size: int, percent: int):
-    """Edges that join what is linked among the pairs to confirm, by their full sets."""
+    """Edges that join what is linked among the pairs to confirm, by their full sets.
+
+    Pairs whose components have met in the task already are passed by.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for many in buckets.whole_groups(batches, rows=512):
-            keys = many.column("pair_key").to_numpy()
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            firsts, seconds = [], []
-            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
-                group = many.slice(at, end - at)
-                pairs = list(_crossing(group, size, chunk_size, percent))
-                if not pairs:
+            joined = Forest()
+            pairs = list(_crossing(many, size, chunk_size, percent))
+            if not pairs:
+                continue
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            sets = [x.values.to_numpy() for x in many.column("shingles").combine_chunks()]
+            comp, n = many.column("component").to_numpy(), many.column("n").to_numpy()
+            for tile in _tiles(i, j):
+                apart = [joined.find(a) != joined.find(b) for a, b in zip(comp[i[tile]].tolist(), comp[j[tile]].tolist(), strict=True)]
+                x, y = i[tile][apart], j[tile][apart]
+                if not len(x):
                     continue
-                i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                rows, place = np.unique(np.r_[i, j], return_inverse=True)
-                sets = [x.values.to_numpy() for x in group.column("shingles").combine_chunks()]
-                common = _overlaps(sets, rows)[place[: len(i)], place[len(i) :]].astype(np.int64)
-                ids, n = group.column("id").to_numpy(), group.column("n").to_numpy()
-                keep = 100 * common >= percent * (n[i] + n[j] - common)
-                firsts.append(ids[i[keep]])
-                seconds.append(ids[j[keep]])
-            if firsts:
-                nodes, roots = forest(np.concatenate(firsts), np.concatenate(seconds))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
+                rows, place = np.unique(np.r_[x, y], return_inverse=True)
+                common = _overlaps(sets, rows)[place[: len(x)], place[len(x) :]].astype(np.int64)
+                keep = 100 * common >= percent * (n[x] + n[y] - common)
+                for a, b in zip(comp[x[keep]].tolist(), comp[y[keep]].tolist(), strict=True):
+                    joined.join(a, b)
+            nodes, roots = joined.edges()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
 
     return run
 
 
 def _main_components(placed: DataFrame) -> DataFrame:
-    """Per key that holds two components or more: the largest one, its rows and all rows."""
-    parts = placed.groupBy(F.col("key").alias("k"), F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("rows"))
-    keys = parts.groupBy("k").agg(F.sum("rows").alias("all_rows"), F.max(F.struct("rows", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    return keys.filter("parts > 1").select("k", F.col("top.c").alias("main"), F.col("top.rows").alias("main_rows"), "all_rows")
+    """Per key that holds two components or more: the largest one, its rows and shingles and those of all."""
+    parts = placed.groupBy(F.col("key").alias("k"), F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    keys = parts.groupBy("k").agg(F.sum("rows").alias("all_rows"), F.sum("shingles").alias("all_shingles"), F.max(F.struct("rows", "c", "shingles")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    return keys.filter("parts > 1").select("k", F.col("top.c").alias("main"), F.col("top.rows").alias("main_rows"), F.col("top.shingles").alias("main_shingles"), "all_rows", "all_shingles")
 
 
 def _second_stars(placed: DataFrame) -> DataFrame:
@@ -188,22 +209,27 @@ def _second_stars(placed: DataFrame) -> DataFrame:
     return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def _cross_blocks(placed: DataFrame, block: int = buckets.BLOCK) -> DataFrame:
+def _cross_blocks(placed: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Rows of keys that hold two components or more, once for each pair of blocks to compare.
 
     In each key, the component with the most members needs no comparison with
     itself: its blocks meet only those of the others, and the others' blocks
-    meet all. So the cost follows the members outside the largest component.
+    meet all. So the cost follows the members outside the largest component. A
+    key of one block is one group.
     """
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    keys = _main_components(placed).select("k", "main", blocks(F.col("main_rows")).alias("inner_blocks"), blocks(F.col("all_rows") - F.col("main_rows")).alias("outer_blocks"))
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / block_rows), F.ceil(shingles / block_shingles)).cast("int")
+    top = _main_components(placed).withColumn("single", blocks(F.col("all_rows"), F.col("all_shingles")) == 1)
+    keys = top.select(
+        "k", "main", F.when(F.col("single"), 0).otherwise(blocks(F.col("main_rows"), F.col("main_shingles"))).alias("inner_blocks"),
+        F.when(F.col("single"), 1).otherwise(blocks(F.col("all_rows") - F.col("main_rows"), F.col("all_shingles") - F.col("main_shingles"))).alias("outer_blocks"),
+    )
     rows = placed.join(keys, F.col("key") == F.col("k")).withColumn("inner", F.col("component") == F.col("main"))
-    spread = F.xxhash64("id")
-    rows = rows.withColumn("block", F.when(F.col("inner"), F.col("outer_blocks") + F.pmod(spread, F.col("inner_blocks"))).otherwise(F.pmod(spread, F.col("outer_blocks"))).cast("int"))
-    others = F.when(F.col("inner"), F.col("outer_blocks")).otherwise(F.col("outer_blocks") + F.col("inner_blocks"))
+    spread, apart = F.xxhash64("id"), F.col("inner") & (F.col("inner_blocks") > 0)
+    rows = rows.withColumn("block", F.when(apart, F.col("outer_blocks") + F.pmod(spread, F.greatest("inner_blocks", F.lit(1)))).otherwise(F.pmod(spread, F.col("outer_blocks"))).cast("int"))
+    others = F.when(apart, F.col("outer_blocks")).otherwise(F.col("outer_blocks") + F.col("inner_blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     rows = rows.withColumn("pair_key", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).withColumn("alone", F.col("block") == F.col("other"))
-    return rows.select("id", "component", "slot", "pair_key", "block", "alone")
+    return rows.select("id", "component", "slot", "pair_key", "block", "alone", "inner")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,9 +264,9 @@ def near_duplicates(
     classes = sketch.filter("set_key is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("signature").alias("signature"))
     classes = materialize(classes, "classes")
 
-    keyed = classes.select("id", F.posexplode(_chunk_keys(chunks, chunk_size)).alias("slot", "key"))
+    keyed = classes.select("id", "n", F.posexplode(_chunk_keys(chunks, chunk_size)).alias("slot", "key"))
     crowded = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    shared = materialize(keyed.join(crowded, F.col("key") == F.col("k")).select("key", "slot", "id", "members"), "shared")
+    shared = materialize(keyed.join(crowded, F.col("key") == F.col("k")).select("key", "slot", "id", "n", "members"), "shared")
     # The most central member: the one whose keys are shared the most.
     central = shared.groupBy(F.col("id").alias("c_id")).agg(F.sum("members").alias("central"))
     ranked = shared.join(central, F.col("id") == F.col("c_id"))
@@ -261,7 +287,7 @@ def near_duplicates(
         return materialize(_confirmed(near, sets, percent), "links")
 
     def placed_by(joined: DataFrame) -> DataFrame:
-        rows = shared.join(joined, F.col("id") == F.col("node"), "left").select("key", "slot", "id", F.coalesce("component", "id").alias("component"))
+        rows = shared.join(joined, F.col("id") == F.col("node"), "left").select("key", "slot", "id", "n", F.coalesce("component", "id").alias("component"))
         return materialize(rows, "placed")
 
     links = confirmed(stars)
