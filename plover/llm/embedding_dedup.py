@@ -1,11 +1,13 @@
 """Embedding near-duplicates: random-hyperplane sign hashing in several tables.
 
 Vectors with equal label and equal components form a class, so exact copies
-never meet. Each of ``tables`` codes is the signs of ``bits`` random
-projections; classes that share a code in some table are compared by cosine in
-double precision, in blocks (`buckets`). A pair at a cosine of 0.98 differs in
-a sign with probability 0.064, so with 14 bits it shares a given code with
-probability 0.40, and 24 tables miss it 6 times in a million.
+never meet. Each of several codes is the signs of some random projections;
+classes that share a code are compared by cosine in double precision, in blocks
+(`buckets`). There are twice as many codes as the largest label has rows, 2^14
+at least, so that unlike vectors rarely meet however large the table is. A pair
+at a cosine of 0.98 differs in a sign with probability 0.064; as codes get
+longer, tables are added so that it misses all of them 6 times in a million
+(24 tables of 14 bits; 37 of 20; 70 of 30).
 
 A pair that meets in several tables counts only in the first, which each task
 sees from the codes that the rows carry. Tasks return each class's number of
@@ -14,6 +16,7 @@ links and edges that join what is linked, not all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,17 @@ from plover.llm.graph import connected_components, forest
 from plover.session import materialize
 
 
+#: The chance at most that a pair at the cosine that is asked for meets in no table.
+MISS = 6.5e-6
+
+
+def plan_tables(rows: int, cosine: float, bits: int = 14) -> tuple[int, int]:
+    """(tables, bits) for labels of up to ``rows`` vectors: see the module."""
+    bits = min(max(bits, math.ceil(math.log2(max(rows, 1))) + 1), 32)
+    alike = 1 - math.acos(min(max(cosine, -1.0), 1.0)) / math.pi
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min(alike**bits, 1 - 1e-9)))), bits
+
+
 def _planes(dim: int, tables: int, bits: int) -> np.ndarray:
     return np.random.default_rng([20240906, dim]).standard_normal((dim, tables * bits))
 
@@ -95,8 +109,8 @@ def _links(cosine: float, tables: int):
 def embedding_near_duplicates(
     vectors: DataFrame,
     cosine: float = 0.98,
-    tables: int = 24,
-    bits: int = 14,
+    tables: int | None = None,
+    bits: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
@@ -106,24 +120,30 @@ def embedding_near_duplicates(
     Vectors are compared within equal labels only. A vector that is null,
     empty, zero or holds a null or a non-finite component, or whose label is
     null, links with nothing and is its own component. Vectors of different
-    lengths aren't linked. Repeated rows count as vectors of their own. Other
-    columns are ignored.
+    lengths aren't linked. Repeated rows count as vectors of their own, and so
+    do different vectors of one id. A vector without an id has a component
+    without an id unless it is linked with one that has; such a component keeps
+    its rows. Other columns are ignored. ``tables`` and ``bits`` follow the
+    largest label (`plan_tables`) unless both are given.
     """
     named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
+    if tables is None or bits is None:
+        most = named.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        tables, bits = plan_tables(most or 0, cosine)
     schema = "id long, label string, vector binary, codes binary"
     sketch = materialize(named.select("id", "vector", "label").mapInArrow(_sketch(tables, bits), schema), "vectors")
     usable = sketch.filter("codes is not null and label is not null")
     content = F.sha2(F.col("vector"), 256)
-    classes = usable.groupBy("label", content.alias("content")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("codes").alias("codes"))
-    classes = materialize(classes, "classes")
+    classes = usable.groupBy("label", content.alias("content")).agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("codes").alias("codes"), F.min("vector").alias("vector"))
+    # Ids may repeat, so classes get numbers of their own; they are written with the table and don't change.
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = usable.select(F.col("id").alias("member"), F.col("label").alias("m_label"), content.alias("m_content"))
 
     code = lambda t: F.substring("codes", 4 * t + 1, 4)
     coded = classes.select("id", "label", F.posexplode(F.array(*[code(t) for t in range(tables)])).alias("table", "code"))
     shared = coded.groupBy(F.col("table").alias("t"), F.col("label").alias("l"), F.col("code").alias("c")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     met = coded.join(shared, (F.col("table") == F.col("t")) & (F.col("label") == F.col("l")) & (F.col("code") == F.col("c"))).select("table", "id", "label", "code")
-    first = usable.select(F.col("id").alias("v_id"), "vector").dropDuplicates(["v_id"])
-    full = classes.select(F.col("id").alias("v_id"), "copies", "codes").join(first, "v_id")
+    full = classes.select(F.col("id").alias("v_id"), "copies", "codes", "vector")
     rows = met.join(full, F.col("id") == F.col("v_id")).drop("v_id")
     blocks = buckets.block_pairs(rows, ["table", "label", "code"], "id")
     blocks = blocks.select("id", "copies", "table", "codes", "vector", "pair_key", "block", "alone")
@@ -132,11 +152,14 @@ def embedding_near_duplicates(
     counts = found.groupBy(F.col("a").alias("n_id")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("b is not null").select("a", "b"))
     by_class = classes.join(counts, F.col("id") == F.col("n_id"), "left").join(parts, F.col("id") == F.col("node"), "left").select(
-        F.col("label").alias("m_label"), F.col("content").alias("m_content"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"),
+        F.col("label").alias("m_label"), F.col("content").alias("m_content"), "least_id",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("part"),
     )
+    by_class = materialize(by_class, "parts")
+    named_parts = by_class.groupBy(F.col("part").alias("p")).agg(F.min("least_id").alias("component"))
+    by_class = by_class.join(named_parts, F.col("part") == F.col("p"))
     linked = members.join(by_class, ["m_label", "m_content"]).select("member", "n_links", "component")
     lone = sketch.filter("codes is null or label is null").select(F.col("id").alias("member"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(lone).select(
-        F.col("member").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("member") == F.col("component")).alias("kept")
+        F.col("member").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("member").eqNullSafe(F.col("component")).alias("kept")
     )
