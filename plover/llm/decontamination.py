@@ -1,22 +1,29 @@
-"""Benchmark decontamination by common subsequences, with latent cosines.
+"""Benchmark decontamination by latent semantic retrieval.
 
-1. Texts become codes of the benchmark's words (others are 0), written once.
+1. Texts become codes of the words of all benchmark items (others are 0),
+   written once for any number of items.
 2. Document frequencies of those words over all passages give their weights.
-   Words of more than a fiftieth of all passages weigh nothing, unless they are
-   among the rarest of some item.
+   Words of more than a fiftieth of all passages weigh nothing in the TF-IDF
+   vectors, unless they are of the rarer half of some item's words.
 3. One pass over all passages sketches the TF-IDF matrix: the product of its
-   Gram matrix with a random matrix, summed by word in Spark, gives its leading
-   right singular vectors and values (randomised SVD, Nystrom form).
+   Gram matrix with a random matrix, summed by word in Spark, to which the items
+   are added with the weight of as many passages, gives the leading right
+   singular vectors and values of both (randomised SVD, Nystrom form). Without
+   the items, those whose words are rare in the corpus would have almost no
+   latent vector.
 4. Passages at several lengths, so that an item of any length lies whole in one
-   with up to half of it besides, are candidates if they hold enough of the
-   item's words, counted by an inverted index: no longer subsequence can be
-   missed by that, so all pairs that 5 would confirm are reached.
+   with up to half of it besides, are candidates for an item if the cosine of
+   their latent vectors is ``Limits.cosine`` or more. Passages that, with their
+   surroundings, hold too few of the item's words for 5 are passed by first:
+   counted by an inverted index, so that loses nothing.
 5. A candidate is confirmed by the longest common subsequence of the item and
    the passage with its surroundings: nearly the whole item (verbatim), or a
    good part of it (paraphrase), the latter with the answer's words nearby if
-   the benchmark has answers. The latent cosine is given beside it.
+   the benchmark has answers.
 
-The benchmark is taken in blocks of ``ITEMS``, so what tasks get is bounded.
+The items are searched for in blocks of ``ITEMS``, which bounds what a task
+holds and changes no result: vocabulary, frequencies and latent space are those
+of the whole benchmark.
 """
 
 from __future__ import annotations
@@ -33,18 +40,19 @@ from pyspark.sql import functions as F
 from plover.llm.words import letter_words
 from plover.session import materialize
 
-#: Items of a block; a block's words and vectors are sent to all tasks.
-ITEMS = 1_000
+#: Items of a block; a block's items and all words' latent vectors are sent to all tasks.
+ITEMS = 20_000
 #: The shortest passage is three of these steps; each further length doubles it.
 STEP = 8
 
 
 @dataclass(frozen=True)
 class Limits:
-    """``rank`` latent dimensions from a sketch of ``sketch``; the other values are shares of an item."""
+    """``rank`` latent dimensions from a sketch of ``sketch``; ``cosine`` is the least of a candidate; the other values are shares of an item."""
 
     rank: int = 48
     sketch: int = 64
+    cosine: float = 0.2
     common: float = 0.02
     verbatim: float = 0.8
     paraphrase: float = 0.6
@@ -55,7 +63,7 @@ class Limits:
 
 @dataclass
 class Items:
-    """The items of one block, in codes of their own words."""
+    """Benchmark items in codes of the words of all of them."""
 
     ids: list[int]
     codes: list[np.ndarray]
@@ -63,6 +71,10 @@ class Items:
     answers: list[set[int]] = field(default_factory=list)
     answered: list[bool] = field(default_factory=list)
 
+    def part(self, at: int, end: int) -> Items:
+        """Some of the items, in the same codes."""
+        return Items(self.ids[at:end], self.codes[at:end], {}, self.answers[at:end], self.answered[at:end])
+
 
 def encode_items(rows: list[tuple[int, str, str | None]]) -> Items:
     """Items of (id, text, answer); items without words are left out."""
@@ -147,7 +159,7 @@ def _gram(weight: np.ndarray, wide: int, step: int):
 
 
 def latent_map(gram: np.ndarray, random: np.ndarray, rank: int) -> np.ndarray:
-    """Words to latent space with unit variance, from a Nystrom sketch of the Gram matrix."""
+    """The leading right singular vectors, from a Nystrom sketch of the Gram matrix."""
     shift = 1e-6 * (np.linalg.norm(gram) + 1e-9)
     shifted = gram + shift * random
     core = random.T @ shifted
@@ -156,7 +168,7 @@ def latent_map(gram: np.ndarray, random: np.ndarray, rank: int) -> np.ndarray:
     root = shifted @ (vectors[:, keep] / np.sqrt(values[keep]))
     left, sizes, _ = np.linalg.svd(root, full_matrices=False)
     keep = sizes[:rank] > sizes[0] * 1e-6
-    return left[:, :rank][:, keep] / sizes[:rank][keep]
+    return left[:, :rank][:, keep]
 
 
 def common_subsequence(item: np.ndarray, passage: np.ndarray) -> int:
@@ -210,6 +222,10 @@ def _search(items: Items, words: np.ndarray, limits: Limits):
                     local[bag] = 0
                     best = None
                     for at in _passages(place, most, step, needed[item]):
+                        passage = latent[codes[at : at + 3 * step]].sum(axis=0)
+                        cosine = float(passage @ queries[item]) / max(float(np.sqrt(passage @ passage)), 1e-12)
+                        if cosine < limits.cosine:
+                            continue
                         near = codes[max(0, at - step) : at + 4 * step]
                         share = common_subsequence(items.codes[item], near) / len(items.codes[item])
                         if share < limits.paraphrase or best is not None and share <= best[1]:
@@ -217,11 +233,9 @@ def _search(items: Items, words: np.ndarray, limits: Limits):
                         answer = items.answers[item]
                         answered = len(answer.intersection(near.tolist())) / len(answer)
                         if share >= limits.verbatim or answered >= limits.answer or not items.answered[item]:
-                            best = (at, share, answered)
+                            best = (cosine, share, answered)
                     if best:
-                        at, share, answered = best
-                        window = _unit(latent[codes[at : at + 3 * step]].sum(axis=0)[None, :])
-                        found.append((id_, items.ids[item], float(window[0] @ queries[item]), share, answered))
+                        found.append((id_, items.ids[item], *best))
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             types = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["id", "item_id", "cosine", "common", "answered"])
@@ -264,47 +278,52 @@ def contaminated(
 
     ``common`` is the share of the item's words in the common subsequence, and
     ``answered`` the share of the answer's words nearby. An item without an
-    answer is decided by ``common`` alone; its ``answered`` tells of its rarest
-    words. ``cosine`` decides nothing. Null or empty texts and items
-    match nothing; items that repeat an id are each searched. Other columns are
-    ignored.
+    answer is decided by ``cosine`` and ``common``; its ``answered`` tells of its
+    rarest words. Of equal shares, the first passage counts. Null or empty texts
+    and items match nothing; items that repeat an id are each searched, as are
+    repeated rows. Other columns are ignored. The benchmark's texts are taken to
+    the driver.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = named.schema["id"].dataType.simpleString()
     answer = F.lit(None).cast("string") if answer_col is None else F.col(answer_col)
-    texts = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"), answer.alias("answer"))
-    n_blocks = -(-texts.count() // ITEMS) or 1
-    out = None
-    for number in range(n_blocks):
-        rows = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == number).collect()
-        items = encode_items(sorted(((r["item"], r["text"], r["answer"]) for r in rows), key=repr))
-        if items.ids:
-            found = _block(named, kind, items, limits)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
+    texts = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col), answer)
+    items = encode_items(sorted((tuple(r) for r in texts.collect()), key=repr))
+    if not items.ids:
         return named.sparkSession.createDataFrame([], f"id {kind}, item_id long, cosine double, common double, answered double")
+    coded = materialize(named.mapInArrow(_encode(items.vocabulary), f"id {kind}, codes binary"), "codes")
+    words = _latent_words(coded, items, limits)
+    out = None
+    for at in range(0, len(items.ids), ITEMS):
+        some = _search(items.part(at, at + ITEMS), words, limits)
+        found = coded.mapInArrow(some, f"id {kind}, item_id long, cosine double, common double, answered double")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def _block(named: DataFrame, kind: str, items: Items, limits: Limits) -> DataFrame:
+def _latent_words(coded: DataFrame, items: Items, limits: Limits) -> np.ndarray:
+    """The latent vector of each word, by code; sets the rarest words of items without an answer."""
     size = len(items.vocabulary) + 1
-    coded = materialize(named.mapInArrow(_encode(items.vocabulary), f"id {kind}, codes binary"), "codes")
     counted = coded.mapInArrow(_frequencies(size, 4 * STEP), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     seen = Counter({r["code"]: r["n"] for r in counted})
     weight = np.array([0.0] + [np.log((seen[0] + 1) / (seen[c] + 1)) + 1e-3 for c in range(1, size)])
+    spared = np.zeros(size, bool)
     for k, codes in enumerate(items.codes):
+        rarest = sorted(set(codes.tolist()), key=lambda c: (-weight[c], c))
+        spared[rarest[: -(-len(rarest) // 2)]] = True
         if not items.answers[k]:
-            items.answers[k] = set(sorted(set(codes.tolist()), key=lambda c: (-weight[c], c))[: limits.answer_words])
-    spared = np.zeros(size, bool)
-    spared[[c for answer in items.answers for c in answer]] = True
+            items.answers[k] = set(rarest[: limits.answer_words])
     often = np.array([seen[c] for c in range(size)]) > limits.common * max(seen[0], 1)
     weight[often & ~spared] = 0
     wide = min(limits.sketch, size)
     schema = "code long, " + ", ".join(f"g{k} double" for k in range(wide))
     sums = coded.mapInArrow(_gram(weight, wide, 4 * STEP), schema).groupBy("code").agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(wide)]).collect()
-    gram = np.zeros((size, wide))
+    random, gram = _random(size, wide), np.zeros((size, wide))
     for r in sums:
         gram[r["code"]] = r[1:]
-    words = latent_map(gram, _random(size, wide), limits.rank) * weight[:, None] if gram.any() else weight[:, None]
+    share = max(seen[0], 1) / len(items.codes)
+    for codes in items.codes:
+        np.add.at(gram, codes, share * weight[codes][:, None] * (weight[codes] @ random[codes])[None, :])
+    words = latent_map(gram, random, limits.rank) * weight[:, None]
     words[0] = 0
-    return coded.mapInArrow(_search(items, words, limits), f"id {kind}, item_id long, cosine double, common double, answered double")
+    return words
