@@ -1,10 +1,17 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-Every line and every sentence of a whole text is a candidate notice. Its TF-IDF
-vector is compared with the notices of `TEMPLATES`; the document frequencies
-come from all texts. A notice that reaches the threshold must hold one of a
-template's heavier terms, so texts without any are passed by (the prefix
-principle of similarity joins, which loses nothing).
+Notices of a whole text are its lines, its sentences and every run of as many
+words as a template has, so a notice may be wrapped over lines or stand within a
+long sentence; a licence file is also compared as a whole with the licence
+texts. Notices and templates are TF-IDF vectors. The document frequencies of all
+words come from all texts; words of fewer than ``LEAST_SHARE`` of the texts
+weigh alike, so a notice counts the same in a small table and a large one, and
+the words to send to tasks are bounded by the mean number of distinct words of a
+text over that share.
+
+A notice reaches the threshold only if it holds the words of enough of a
+template's squared weight, so other texts and notices are passed by, which loses
+nothing.
 
 A file without a notice of its own inherits the license of the nearest ancestor
 directory that has a licence file. Directories, not files, are joined with
@@ -40,6 +47,54 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0",),
     "proprietary": ("All rights reserved", "Copyright. All rights reserved", "Confidential and proprietary. Unauthorized copying is prohibited"),
 }
+#: Headers of source files by license; fixed values.
+HEADERS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+}
+_AS_IS = "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. ' + _AS_IS
+#: Whole licence texts, as licence files hold them; fixed values.
+TEXTS: dict[str, tuple[str, ...]] = {
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ),
+    "BSD-2-Clause": (_BSD + _BSD_END,),
+    "BSD-3-Clause": (_BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END,),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+}
+#: A term that a smaller share of texts holds weighs as if this share held it.
+LEAST_SHARE = 1e-3
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _BREAK = re.compile(r"\n+|(?<=[.;!?])\s+")
@@ -49,63 +104,90 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def _counts(vocabulary: frozenset[str]):
+def _counts(most: int = 300_000):
+    """Texts that hold each term; the empty term counts all. A task's counts are handed on before they are too many."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = Counter(), 0
+        total: Counter = Counter()
+        named = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
         for batch in batches:
             for text in batch.column(1):
-                rows += 1
-                total.update(vocabulary.intersection(terms(text.as_py() or "")))
-        total[""] += rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+                total.update({"", *terms(text.as_py() or "")})
+            if len(total) > most:
+                yield named()
+                total.clear()
+        yield named()
 
     return run
 
 
 class Matcher:
-    """Cosine of notices to the templates under fixed weights."""
+    """Cosine of notices to the templates; ``seen`` has the texts that hold each term, all of them under ""."""
 
     def __init__(self, seen: dict[str, int], threshold: float):
-        self.rows, self.threshold = seen.get("", 0), threshold
-        self.unknown = math.log(self.rows + 1) + 1
-        self.weight = {t: math.log((self.rows + 1) / (n + 1)) + 1 for t, n in seen.items() if t}
-        self.templates = [(name, self.vector(terms(x))) for name, notices in TEMPLATES.items() for x in notices]
-        self.anchors: set[str] = set()
-        for _, vector in self.templates:
-            rest = 1.0
-            for term, value in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
-                if math.sqrt(max(rest, 0.0)) < threshold:
-                    break  # the lighter terms alone can't reach the threshold
-                self.anchors.add(term)
-                rest -= value * value
+        rows, self.threshold = seen.get("", 0), threshold
+        self.unknown = 1 - math.log(LEAST_SHARE)
+        self.weight = {t: 1 + min(math.log((rows + 1) / (n + 1)), -math.log(LEAST_SHARE)) for t, n in seen.items() if t}
+        known = [(name, terms(x)) for table in (TEMPLATES, HEADERS, TEXTS) for name, notices in table.items() for x in notices]
+        self.templates = [(name, self.vector(found), len(found)) for name, found in known]
+        self.whole = {k for k, (name, found) in enumerate(known) if any(found == terms(x) for x in TEXTS.get(name, ()))}
+        self.holders: dict[str, list[int]] = {}
+        for k, (_, vector, _) in enumerate(self.templates):
+            for term in vector:
+                self.holders.setdefault(term, []).append(k)
 
     def vector(self, found: list[str]) -> dict[str, float]:
         raw = {t: n * self.weight.get(t, self.unknown) for t, n in Counter(found).items()}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         return {t: v / norm for t, v in raw.items()} if norm else {}
 
-    def best(self, text: str) -> tuple[str, float] | None:
-        """The license of the notice that is nearest to a template; ties by name."""
-        if self.anchors.isdisjoint(terms(text)):
-            return None
-        top: tuple[float, str] | None = None
-        for notice in {*text.split("\n"), *_BREAK.split(text)}:
-            found = terms(notice)
-            if self.anchors.isdisjoint(found):
-                continue
-            vector = self.vector(found)
-            for name, template in self.templates:
-                cosine = sum(v * vector.get(t, 0.0) for t, v in template.items())
-                if cosine >= self.threshold and (top is None or (-cosine, name) < (-top[0], top[1])):
-                    top = (cosine, name)
-        return (top[1], min(top[0], 1.0)) if top else None
+    def able(self, held: set[str]) -> list[int]:
+        """The templates of which the terms hold enough for a cosine at the threshold."""
+        energy: dict[int, float] = {}
+        for term in held.intersection(self.holders):
+            for k in self.holders[term]:
+                energy[k] = energy.get(k, 0.0) + self.templates[k][1][term] ** 2
+        return [k for k, e in energy.items() if e >= self.threshold**2 - 1e-9]
+
+    def cosine(self, found: list[str], k: int) -> float:
+        vector = self.vector(found)
+        return sum(v * vector.get(t, 0.0) for t, v in self.templates[k][1].items())
+
+    def best_run(self, found: list[str], k: int) -> float:
+        """The largest cosine of a run of as many terms as the template has, kept up term by term."""
+        _, template, m = self.templates[k]
+        count: dict[str, int] = {}
+        norm = dot = best = 0.0
+        for place, term in enumerate(found):
+            w, c = self.weight.get(term, self.unknown), count.get(term, 0)
+            norm, dot, count[term] = norm + w * w * (2 * c + 1), dot + w * template.get(term, 0.0), c + 1
+            if place >= m:
+                term = found[place - m]
+                w, c = self.weight.get(term, self.unknown), count[term]
+                norm, dot, count[term] = norm - w * w * (2 * c - 1), dot - w * template.get(term, 0.0), c - 1
+            if place >= m - 1 and dot > 0 and dot * dot > best * best * norm:
+                best = dot / math.sqrt(norm)
+        return best
+
+    def best(self, text: str, whole: bool = False) -> tuple[str, float] | None:
+        """The license of the notice that is nearest to a template; ties by name. ``whole``: the text is a licence file."""
+        found = terms(text)
+        able = self.able(set(found))
+        scores = [(self.best_run(found, k), k) for k in able]
+        if able:
+            for notice in {*text.split("\n"), *_BREAK.split(text)}:
+                some = terms(notice)
+                scores += [(self.cosine(some, k), k) for k in self.able(set(some))]
+        scores += [(self.cosine(found, k), k) for k in able if whole and k in self.whole]
+        top = min(((-score, self.templates[k][0]) for score, k in scores if score >= self.threshold), default=None)
+        return (top[1], min(-top[0], 1.0)) if top else None
 
 
 def _match(seen: dict[str, int], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(seen, threshold)
+        matcher, file = Matcher(seen, threshold), re.compile(LICENCE_FILE)
         for batch in batches:
-            found = [matcher.best(x.as_py() or "") for x in batch.column(1)]
+            found = [matcher.best(x.as_py() or "", bool(file.match((p.as_py() or "").rpartition("/")[2]))) for p, x in zip(batch.column(0), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x and x[0] for x in found], pa.string()), pa.array([x and x[1] for x in found], pa.float64())], ["path", "own", "similarity"])
 
     return run
@@ -122,9 +204,9 @@ def license_scan(files: DataFrame, threshold: float = 0.7, path_col: str = "path
     are ignored.
     """
     named = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    vocabulary = frozenset(t for notices in TEMPLATES.values() for x in notices for t in terms(x))
-    counted = named.mapInArrow(_counts(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    seen = dict.fromkeys(vocabulary, 0) | {r["term"]: r["n"] for r in counted}
+    counted = materialize(named.mapInArrow(_counts(), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    rows = counted.filter("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = {r["term"]: r["n"] for r in counted.filter(F.col("n") >= LEAST_SHARE * rows).collect()}
     own = materialize(named.mapInArrow(_match(seen, threshold), "path string, own string, similarity double"), "notices")
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     own = own.withColumn("directory", F.when(F.col("path").contains("/"), parent).when(F.col("path").isNotNull(), F.lit("")))

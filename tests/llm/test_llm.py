@@ -383,15 +383,56 @@ def test_licenses_by_notice_and_by_directory(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
-def test_license_anchors_lose_nothing():
-    seen = {"": 1000, **{t: random.Random(t).randrange(900) for n in licenses.TEMPLATES.values() for x in n for t in licenses.terms(x)}}
-    matcher, rng = licenses.Matcher(seen, 0.7), random.Random(5)
-    pool = [t for t in seen if t] + ["other", "words"]
-    for _ in range(500):
-        found = [rng.choice(pool) for _ in range(rng.randrange(1, 9))]
-        vector = matcher.vector(found)
-        top = max(sum(v * vector.get(t, 0.0) for t, v in template.items()) for _, template in matcher.templates)
-        assert top < 0.7 or not matcher.anchors.isdisjoint(found)
+def license_by_brute_force(matcher, text, whole):
+    """The best cosine over all lines, sentences and runs of a template's length, every template tried on each."""
+    found = licenses.terms(text)
+    notices = [licenses.terms(x) for x in [*text.split("\n"), *re.split(r"\n+|(?<=[.;!?])\s+", text)]]
+    scores = []
+    for k, (name, _, m) in enumerate(matcher.templates):
+        runs = [found[a : a + m] for a in range(len(found) - m + 1)] + notices + ([found] if whole and k in matcher.whole else [])
+        scores += [(-matcher.cosine(run, k), name) for run in runs]
+    top = min((x for x in scores if x[0] <= -matcher.threshold), default=None)
+    return (top[1], round(-top[0], 9)) if top else None
+
+
+def test_licenses_match_brute_force():
+    rng = random.Random(5)
+    known = [x for table in (licenses.TEMPLATES, licenses.HEADERS, licenses.TEXTS) for notices in table.values() for x in notices]
+    pool = sorted({t for x in known for t in licenses.terms(x)})
+    seen = {"": 1000, **{t: rng.randrange(900) for t in pool}}
+    matcher, hits = licenses.Matcher(seen, 0.7), 0
+    for k in range(150):
+        parts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(4))]
+        notice = rng.choice(known).split()
+        notice = [w if rng.random() < 0.9 else "other" for w in notice]
+        notice[len(notice) // 2 : len(notice) // 2] = ["\n"]  # wrapped
+        parts.insert(rng.randrange(len(parts) + 1), " ".join(notice))
+        text = rng.choice([" ", "\n", ". "]).join(parts)
+        got = matcher.best(text, k % 2 == 0)
+        got = got and (got[0], round(got[1], 9))
+        want = license_by_brute_force(matcher, text, k % 2 == 0)
+        assert got == (want and (want[0], min(want[1], 1.0)))
+        hits += got is not None
+    assert hits > 100
+
+
+def test_license_notice_counts_alike_in_a_table_a_thousand_times_as_large():
+    rng = random.Random(7)
+    share = {t: rng.random() for notices in licenses.TEMPLATES.values() for x in notices for t in licenses.terms(x)}
+    notices = ["This code is released under the MIT License.", "This file is licensed under the Apache\nLicense, Version 2.0.", "the module frobnicator is released under the MIT License"]
+    for text in notices:
+        scores = [licenses.Matcher({"": n, "this": n // 2, "code": n // 5, "file": n // 5, "the": n, **{t: round(s * n / 20) for t, s in share.items()}}, 0.7).best(text)[1] for n in (10**4, 10**7)]
+        assert scores[0] > 0.7 and abs(scores[0] - scores[1]) < 0.01
+
+
+def test_whole_licence_files(spark):
+    mit = licenses.TEXTS["MIT"][0].split()
+    wrapped = "Copyright (c) 2020 Someone\n\n" + "\n".join(" ".join(mit[k : k + 9]) for k in range(0, len(mit), 9))
+    edited = " ".join(w for k, w in enumerate(mit) if k % 6)
+    files = [("a/LICENSE", wrapped), ("a/x.py", "code"), ("b/COPYING", edited), ("c/LICENSE", licenses.TEXTS["BSD-3-Clause"][0]), ("c/y.c", "/*\n * " + licenses.HEADERS["GPL-3.0"][0].replace(" under", "\n * under") + "\n */ int x;"), ("c/y.c", ""), ("d/" + "x/" * 40 + "z", "words " * 30_000)]
+    got = [(r["path"][:9], r["license"], r["inherited_from"]) for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string")).collect()]
+    want = [("a/LICENSE", "MIT", None), ("a/x.py", "MIT", "a"), ("b/COPYING", "MIT", None), ("c/LICENSE", "BSD-3-Clause", None), ("c/y.c", "GPL-3.0", None), ("c/y.c", "BSD-3-Clause", "c"), ("d/x/x/x/x", None, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_held_out_folds_follow_crc32(spark):
