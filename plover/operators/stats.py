@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plover.operators import ranks
+
 
 def average_rank(value: str, by: Sequence[str] = ()) -> Column:
     """Rank from 1, ties sharing their mean rank."""
@@ -22,26 +24,42 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(top, F.when(bottom > 1e-9, bottom))
 
 
+def _value_ranks(known: DataFrame, value: str, by: Sequence[str], out: str) -> DataFrame:
+    """Adds the average rank of ``value`` within ``by``, from counts per distinct value."""
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = ranks.running(counts, [*by, value], {"_upto": F.col("_n")})
+    first = upto.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+    on = lambda prefix: [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by]
+    placed = upto.join(first, on("_g_")).select(*[F.col(c).alias(f"_v_{c}") for c in by], F.col(value).alias("_v"), (F.col("_upto") - F.col("_start") - (F.col("_n") - 1) / 2).alias(out))
+    return known.join(placed, [*on("_v_"), F.col(value) == F.col("_v")]).drop("_v", *[f"_v_{c}" for c in by])
+
+
 def correlations(long: DataFrame, by: Sequence[str], least: int = 20) -> DataFrame:
-    """Pearson and Spearman of x and y per group with ``least`` complete rows and two values each."""
+    """Pearson and Spearman of x and y per group with ``least`` complete rows and two values each.
+
+    Ranks come from counts per distinct value, so a group of any size is spread over all tasks.
+    """
     known = long.filter("x is not null and y is not null")
-    ranked = known.withColumn("rx", average_rank("x", by)).withColumn("ry", average_rank("y", by))
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("_dx"), F.countDistinct("y").alias("_dy"), pearson(F.col("x"), F.col("y")).alias("pearson"), pearson(F.col("rx"), F.col("ry")).alias("spearman"))
-    return out.filter((F.col("n") >= least) & (F.col("_dx") >= 2) & (F.col("_dy") >= 2)).drop("_dx", "_dy")
+    ranked = _value_ranks(_value_ranks(known, "x", by, "rx"), "y", by, "ry")
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"), pearson(F.col("x"), F.col("y")).alias("pearson"), pearson(F.col("rx"), F.col("ry")).alias("spearman"))
+    return out.filter((F.col("n") >= least) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))).drop("_x0", "_x1", "_y0", "_y1")
 
 
-def robust_score(df: DataFrame, value: str, out: str, where: Column) -> DataFrame:
-    """0 to 100 between the 5th and 95th percentile of the chosen rows; 50 if they don't differ or are fewer than two.
+def robust_scores(df: DataFrame, scores: dict[str, str], where: Column) -> DataFrame:
+    """For each value column a score of 0 to 100 between the 5th and 95th percentile of the chosen rows.
 
-    Other rows get null. The percentiles are one global aggregate, joined as one row.
+    It is 50 if these don't differ or are fewer than two; other rows get null.
+    All percentiles come from one aggregate, joined as one row.
     """
-    chosen = F.when(where, F.col(value))
-    bounds = df.agg(F.percentile(chosen, 0.05).alias("_low"), F.percentile(chosen, 0.95).alias("_high"), F.count(chosen).alias("_n"))
-    met = df.crossJoin(F.broadcast(bounds))
-    flat = (F.col("_n") < 2) | (F.col("_high") == F.col("_low"))
-    scaled = F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")) * 100
-    score = F.when(where & F.col(value).isNotNull(), F.when(flat, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), scaled))))
-    return met.withColumn(out, score).drop("_low", "_high", "_n")
+    chosen = {v: F.when(where, F.col(v)) for v in scores}
+    parts = [x for v, c in chosen.items() for x in (F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"_b_{v}"), F.count(c).alias(f"_n_{v}"))]
+    met = df.crossJoin(F.broadcast(df.agg(*parts)))
+    for v, out in scores.items():
+        low, high = F.col(f"_b_{v}")[0], F.col(f"_b_{v}")[1]
+        scaled = F.try_divide(F.col(v) - low, high - low) * 100
+        flat = (F.col(f"_n_{v}") < 2) | (high == low)
+        met = met.withColumn(out, F.when(where & F.col(v).isNotNull(), F.when(flat, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), scaled)))))
+    return met.drop(*[f"_{k}_{v}" for v in scores for k in "bn"])
 
 
 def weighted_score(df: DataFrame, weights: dict[str, float], least: int) -> DataFrame:
@@ -63,55 +81,68 @@ def weighted_score(df: DataFrame, weights: dict[str, float], least: int) -> Data
     )
 
 
-def quantile_bin(value: str, bins: int, by: Sequence[str] = (), tie: str | None = None) -> Column:
-    """1 to ``bins`` by rank; ties broken by ``tie`` as if ranked in order."""
-    order = Window.partitionBy(*by).orderBy(value, *([tie] if tie else []))
-    return F.ceil(F.row_number().over(order) * F.lit(bins) / F.count(F.lit(1)).over(Window.partitionBy(*by)))
+def quantile_bin(df: DataFrame, value: str, bins: int, tie: str, out: str = "bin") -> DataFrame:
+    """Adds 1 to ``bins`` by rank; equal values are ranked by ``tie``."""
+    numbered = ranks.with_totals(ranks.row_number(df, [value, tie], "_k"), F.count(F.lit(1)).alias("_n"), of=df)
+    return numbered.withColumn(out, F.ceil(F.col("_k") * F.lit(bins) / F.col("_n"))).drop("_k", "_n")
 
 
-def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve from average ranks, ties counting half."""
-    ranked = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_r", average_rank(score, by))
-    good, bad = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    total = F.sum(F.when(F.col(label) == 1, F.col("_r")))
-    return ranked.groupBy(*by).agg(good.alias("positives"), bad.alias("negatives"), F.try_divide(total - good * (good + 1) / 2, good * bad).alias("auc"))
+def _placed(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Per distinct score: positives, negatives, and how many of each score less, ties counting half."""
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    groups = ranks.by_value(known, score, {"p": (F.col(label) == 1).cast("long"), "q": (F.col(label) == 0).cast("long")})
+    return groups.select("p", "q", (F.col("below_p") + F.col("p") / 2).alias("p_less"), (F.col("below_q") + F.col("q") / 2).alias("q_less"))
+
+
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Area under the ROC curve, ties counting half; one row per distinct score is ranked."""
+    good, bad = F.sum("p"), F.sum("q")
+    return _placed(df, score, label).agg(good.alias("positives"), bad.alias("negatives"), F.try_divide(F.sum(F.col("p") * F.col("q_less")), good * bad).alias("auc"))
 
 
 def delong(df: DataFrame, score: str, label: str) -> DataFrame:
     """AUC with the DeLong variance from the placements of both classes."""
-    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    every, peers = Window.orderBy(score).rangeBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(score)
-    part = lambda value: F.sum((F.col(label) == value).cast("int")).over(every) - F.sum((F.col(label) == value).cast("int")).over(peers) / 2
-    totals = known.agg(F.count_if(F.col(label) == 1).alias("_m"), F.count_if(F.col(label) == 0).alias("_k"))
-    placed = known.withColumn("_below0", part(0)).withColumn("_below1", part(1)).crossJoin(F.broadcast(totals))
-    v10 = F.when(F.col(label) == 1, F.col("_below0") / F.col("_k"))
-    v01 = F.when(F.col(label) == 0, 1 - F.col("_below1") / F.col("_m"))
-    variance = F.var_samp(v10) / F.max("_m") + F.var_samp(v01) / F.max("_k")
-    return placed.agg(F.avg(v10).alias("auc"), variance.alias("variance"), F.sqrt(variance).alias("std_error"))
+    m, k = F.sum("p"), F.sum("q")
+    sums = _placed(df, score, label).agg(
+        m.alias("m"), k.alias("k"), F.sum(F.col("p") * F.col("q_less")).alias("a1"), F.sum(F.col("p") * F.col("q_less") * F.col("q_less")).alias("a2"),
+        F.sum(F.col("q") * F.col("p_less")).alias("b1"), F.sum(F.col("q") * F.col("p_less") * F.col("p_less")).alias("b2"),
+    )
+    spread = lambda n, one, two, other: F.try_divide(F.col(two) - F.col(one) * F.col(one) / F.col(n), (F.col(n) - 1) * F.col(other) * F.col(other)) / F.col(n)
+    variance = spread("m", "a1", "a2", "k") + spread("k", "b1", "b2", "m")
+    return sums.select(F.try_divide(F.col("a1"), F.col("m") * F.col("k")).alias("auc"), variance.alias("variance"), F.sqrt(variance).alias("std_error"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
     """Mean precision at each positive, by descending score and then ``tie``."""
-    order = Window.orderBy(F.col(score).desc(), tie)
-    numbered = df.withColumn("_n", F.row_number().over(order)).withColumn("_hits", F.sum(label).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = ranks.running(df, [F.col(score).desc(), F.col(tie)], {"_n": F.lit(1).cast("long"), "_hits": F.col(label).cast("long")})
     return numbered.agg(F.avg(F.when(F.col(label) == 1, F.col("_hits") / F.col("_n"))).alias("average_precision"))
 
 
 def lift_at(df: DataFrame, score: str, label: str, tie: str, shares: Sequence[float]) -> DataFrame:
     """Precision, capture and lift among the top shares of rows."""
-    order = Window.orderBy(F.col(score).desc(), tie)
-    total = df.agg(F.count(F.lit(1)).alias("_rows"), F.avg(label).alias("_base"), F.sum(label).alias("_all"))
-    numbered = df.withColumn("_n", F.row_number().over(order)).crossJoin(F.broadcast(total))
+    numbered = ranks.row_number(df, [F.col(score).desc(), F.col(tie)], "_n")
+    numbered = ranks.with_totals(numbered, F.count(F.lit(1)).alias("_rows"), F.avg(label).alias("_base"), F.sum(label).alias("_all"), of=df)
     cut = numbered.withColumn("top_share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).filter(F.col("_n") <= F.ceil(F.col("_rows") * F.col("top_share")))
     return cut.groupBy("top_share").agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("precision"), F.try_divide(F.avg(label), F.max("_base")).alias("lift"), F.try_divide(F.sum(label).cast("double"), F.max("_all")).alias("capture"))
 
 
+def drivers(df: DataFrame, features: Sequence[str], label: str, least_rows: int = 50, least_values: int = 5) -> DataFrame:
+    """Per feature: AUC, the label's rate below the 20th and above the 80th percentile, and their difference."""
+    out = None
+    for c in features:
+        rows = df.filter(F.col(c).isNotNull() & F.col(label).isNotNull()).select(F.col(c).cast("double").alias("v"), F.col(label).alias("y"))
+        cut = ranks.with_totals(rows, F.percentile("v", F.array(F.lit(0.2), F.lit(0.8))).alias("c"))
+        rates = cut.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("values"), F.avg(F.when(F.col("v") <= F.col("c")[0], F.col("y"))).alias("bottom_rate"), F.avg(F.when(F.col("v") >= F.col("c")[1], F.col("y"))).alias("top_rate"))
+        one = auc(rows, "v", "y").select("auc").crossJoin(rates).select(F.lit(c).alias("feature"), "n", "values", "auc", "bottom_rate", "top_rate", (F.col("top_rate") - F.col("bottom_rate")).alias("difference"))
+        out = one if out is None else out.unionByName(one)
+    return out.filter((F.col("n") >= least_rows) & (F.col("values") >= least_values)).drop("values")
+
+
 def holm_adjusted(df: DataFrame, p: str, tie: str) -> DataFrame:
     """Adds p_holm: the running maximum of the scaled p-values in ascending order."""
-    order = Window.orderBy(p, tie)
-    total = df.agg(F.count(F.lit(1)).alias("_m"))
-    scaled = df.crossJoin(F.broadcast(total)).withColumn("_s", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.row_number().over(order) + 1)))
-    return scaled.withColumn("p_holm", F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s", "_m")
+    numbered = ranks.with_totals(ranks.row_number(df, [p, tie], "_k"), F.count(F.lit(1)).alias("_m"), of=df)
+    scaled = numbered.withColumn("_s", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_k") + 1))).drop("_k", "_m")
+    return ranks.running(scaled, [p, tie], maxes={"p_holm": F.col("_s")}).drop("_s")
 
 
 def normal_cdf(z: Column) -> Column:

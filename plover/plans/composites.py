@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plover.operators import joins
+from plover.operators import joins, ranks
 from plover.operators.timeseries import by_symbol, year_end
 from plover.plans.registry import query
 from plover.sources.tables import BENCHMARK_SQL, PRICES_SQL, benchmark_prices, prices
@@ -102,7 +102,7 @@ def e11(t):
 def e21(t):
     ahead = F.floor((F.lead("close", 20).over(by_symbol()) - F.col("close")) * 10000 / F.col("close"))
     means = prices(t.lineitem).withColumn("r", ahead).groupBy("symbol").agg(F.count("r").alias("n"), F.avg("r").alias("mean")).filter("n > 0")
-    return means.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean").desc(), "symbol")))
+    return ranks.row_number(means, [F.col("mean").desc(), F.col("symbol")])
 
 
 @query("t08_diverse_pick", "WITH r AS (SELECT doc_id, source, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT lang, doc_id FROM r WHERE k = 1")

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from plover.operators import models
+from plover.operators import models, ranks
 from plover.plans.registry import query
 from plover.sources.tables import PRICES_SQL, prices
 
@@ -91,9 +91,7 @@ def m16(t):
 @query("m20_adaptive_threshold", "WITH r AS (SELECT s_acctbal, row_number() OVER (ORDER BY s_acctbal) AS k, count(*) OVER () AS n FROM supplier) SELECT round(greatest(-2.0, least(2.0, (max(s_acctbal) - 5000)*0.2)) + 5000, 6) AS threshold FROM r WHERE k = ceil(n*0.9)")
 def m20(t):
     """A fifth of the way to the target quantile, by two at most."""
-    from pyspark.sql import Window
-
-    rows = t.supplier.crossJoin(F.broadcast(t.supplier.agg(F.count(F.lit(1)).alias("n")))).withColumn("k", F.row_number().over(Window.orderBy("s_acctbal")))
+    rows = ranks.with_totals(ranks.row_number(t.supplier.select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"], "k"), F.count(F.lit(1)).alias("n"), of=t.supplier)
     return rows.filter(F.col("k") == F.ceil(F.col("n") * 0.9)).agg((F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.max("s_acctbal") - 5000) * 0.2)) + 5000).alias("threshold"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plover.operators import stats
+from plover.operators import ranks, stats
 from plover.plans.registry import query
 
 WEIGHTS = {"orders_score": 0.3, "value_score": 0.4, "balance_score": 0.2, "recency_score": 0.1}
@@ -36,8 +36,7 @@ def scored(t):
         "c_custkey", "c_mktsegment", "n_orders", "mean_value", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"),
         F.datediff("last_day", F.lit("1992-01-01").cast("date")).cast("double").alias("recency"), F.col("o_custkey").isNotNull().alias("matched"),
     )
-    for value, out in (("n_orders", "orders_score"), ("mean_value", "value_score"), ("balance", "balance_score"), ("recency", "recency_score")):
-        met = stats.robust_score(met, value, out, F.col("matched"))
+    met = stats.robust_scores(met, {"n_orders": "orders_score", "mean_value": "value_score", "balance": "balance_score", "recency": "recency_score"}, F.col("matched"))
     return stats.weighted_score(met, WEIGHTS, 3).withColumn("total_score", F.round("total_score", 6))
 
 
@@ -49,8 +48,7 @@ def n08(t):
 @query("t01_weighted_ranking", f"WITH {_SCORED} SELECT row_number() OVER (ORDER BY total_score DESC, c_custkey) AS place, c_custkey, total_score, score_status FROM f WHERE matched AND total_score IS NOT NULL")
 def t01(t):
     good = scored(t).filter("matched and total_score is not null")
-    # A global rank: range-partitioned sort, then one window over the narrow ranking.
-    return good.select(F.row_number().over(Window.orderBy(F.col("total_score").desc(), "c_custkey")).alias("place"), "c_custkey", "total_score", "score_status")
+    return ranks.row_number(good.select("c_custkey", "total_score", "score_status"), [F.col("total_score").desc(), F.col("c_custkey")])
 
 
 @query("t02_top_n_nulls_last", "SELECT c_custkey, c_acctbal FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer) ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 25")
@@ -66,20 +64,19 @@ def t02(t):
     SELECT r.s_suppkey, place, CASE WHEN place <= ceil(n*0.2) THEN 'ranked' WHEN draw <= ceil(n*0.01) THEN 'audit' ELSE 'none' END AS route FROM r LEFT JOIN rest ON rest.s_suppkey = r.s_suppkey""",
 )
 def t03(t):
-    rows = t.supplier.select("s_suppkey", "s_acctbal").crossJoin(F.broadcast(t.supplier.agg(F.count(F.lit(1)).alias("n"))))
-    ranked = rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("s_acctbal").desc(), "s_suppkey")))
+    rows = ranks.row_number(t.supplier.select("s_suppkey", "s_acctbal"), [F.col("s_acctbal").desc(), F.col("s_suppkey")])
+    rows = ranks.with_totals(rows, F.count(F.lit(1)).alias("n"), of=t.supplier)
     top = F.col("place") <= F.ceil(F.col("n") * 0.2)
-    draw = F.row_number().over(Window.partitionBy(top).orderBy(F.sha2(F.concat_ws("|", F.lit("audit"), "s_suppkey"), 256), "s_suppkey"))
-    drawn = ranked.withColumn("draw", draw)
-    return drawn.select("s_suppkey", "place", F.when(top, "ranked").when(F.col("draw") <= F.ceil(F.col("n") * 0.01), "audit").otherwise("none").alias("route"))
+    drawn = ranks.row_number(rows.filter(~top).withColumn("hash", F.sha2(F.concat_ws("|", F.lit("audit"), "s_suppkey"), 256)), ["hash", "s_suppkey"], "draw")
+    audit = F.when(F.col("draw") <= F.ceil(F.col("n") * 0.01), "audit").otherwise("none")
+    return rows.filter(top).select("s_suppkey", "place", F.lit("ranked").alias("route")).unionByName(drawn.select("s_suppkey", "place", audit.alias("route")))
 
 
 @query("t04_second_stage_top_rate", "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_nationkey, c_custkey) AS k, count(*) OVER () AS n FROM customer WHERE c_mktsegment = 'BUILDING') WHERE k <= ceil(n*0.1)")
 def t04(t):
     chosen = t.customer.filter("c_mktsegment = 'BUILDING'")
-    rows = chosen.crossJoin(F.broadcast(chosen.agg(F.count(F.lit(1)).alias("n"))))
-    k = F.row_number().over(Window.orderBy(F.col("c_acctbal").desc(), "c_nationkey", "c_custkey"))
-    return rows.withColumn("k", k).filter(F.col("k") <= F.ceil(F.col("n") * 0.1)).select("c_custkey")
+    rows = ranks.row_number(chosen.select("c_custkey", "c_acctbal", "c_nationkey"), [F.col("c_acctbal").desc(), F.col("c_nationkey"), F.col("c_custkey")], "k")
+    return ranks.with_totals(rows, F.count(F.lit(1)).alias("n"), of=chosen).filter(F.col("k") <= F.ceil(F.col("n") * 0.1)).select("c_custkey")
 
 
 @query("t06_tiered_search", "SELECT p_partkey, CASE WHEN lower(p_name)='part 1' THEN 100 WHEN lower(p_name) LIKE 'part 1%' THEN 60 WHEN contains(lower(p_name),'1') THEN 20 ELSE 0 END AS score FROM part ORDER BY score DESC, p_partkey LIMIT 30")
@@ -96,9 +93,9 @@ def t07(t):
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))).filter("k <= 2").drop("k")
 
 
-@query("t09_universe_expansion", "WITH c AS (SELECT s_suppkey, 0 AS tier, 0.0 AS v FROM supplier WHERE s_suppkey <= 5), r AS (SELECT s_suppkey, 1 AS tier, s_acctbal AS v FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM c)) SELECT s_suppkey, tier FROM (SELECT * FROM c UNION ALL SELECT * FROM r) ORDER BY tier, v DESC, s_suppkey LIMIT 9")
+@query("t09_universe_expansion", "WITH c AS (SELECT s_suppkey, 0 AS tier, 0.0 AS v FROM supplier WHERE s_nationkey = 0), r AS (SELECT s_suppkey, 1 AS tier, s_acctbal AS v FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM c)) SELECT s_suppkey, tier FROM (SELECT * FROM c UNION ALL SELECT * FROM r) ORDER BY tier, v DESC, s_suppkey LIMIT 9")
 def t09(t):
-    curated = t.supplier.filter("s_suppkey <= 5").select("s_suppkey", F.lit(0).alias("tier"), F.lit(0.0).alias("v"))
+    curated = t.supplier.filter("s_nationkey = 0").select("s_suppkey", F.lit(0).alias("tier"), F.lit(0.0).alias("v"))
     rest = t.supplier.join(curated, "s_suppkey", "left_anti").select("s_suppkey", F.lit(1).alias("tier"), F.col("s_acctbal").alias("v"))
     return curated.unionByName(rest).orderBy("tier", F.col("v").desc(), "s_suppkey").limit(9).select("s_suppkey", "tier")
 
@@ -116,8 +113,8 @@ def t14(t):
 
 @query("t10_rejection_mask", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) <= floor(count(*) OVER () * 0.25) AS rejected FROM supplier")
 def t10(t):
-    rows = t.supplier.crossJoin(F.broadcast(t.supplier.agg(F.count(F.lit(1)).alias("n"))))
-    return rows.select("s_suppkey", (F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")) <= F.floor(F.col("n") * 0.25)).alias("rejected"))
+    rows = ranks.with_totals(ranks.row_number(t.supplier.select("s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"]), F.count(F.lit(1)).alias("n"), of=t.supplier)
+    return rows.select("s_suppkey", (F.col("place") <= F.floor(F.col("n") * 0.25)).alias("rejected"))
 
 
 @query("w34_deviation_score", "SELECT s_suppkey, round(50 + 10*(s_acctbal - avg(s_acctbal) OVER ())/stddev_samp(s_acctbal) OVER (), 6) AS score FROM supplier")
@@ -126,9 +123,15 @@ def w34(t):
     return t.supplier.crossJoin(F.broadcast(totals)).select("s_suppkey", (50 + 10 * F.try_divide(F.col("s_acctbal") - F.col("m"), F.col("d"))).alias("score"))
 
 
-@query("w33_n09_normal_score")
+_ERF = "1 - (t*(0.254829592 + t*(-0.284496736 + t*(1.421413741 + t*(-1.453152027 + t*1.061405429)))))*exp(-x*x)"
+
+
+@query("w33_n09_normal_score", f"""WITH z AS (SELECT s_suppkey, s_nationkey, (s_acctbal - avg(s_acctbal) OVER ())/stddev_samp(s_acctbal) OVER () AS up, (avg(s_nationkey) OVER () - s_nationkey)/stddev_samp(s_nationkey) OVER () AS down FROM supplier),
+l AS (SELECT s_suppkey, s_nationkey, unnest([up, down]) AS z, unnest([0.6, 0.4]) AS w FROM z), e AS (SELECT *, abs(z)/sqrt(2.0) AS x, 1/(1 + 0.3275911*abs(z)/sqrt(2.0)) AS t FROM l)
+SELECT s_suppkey, round(sum(w*100*(1 + sign(z)*({_ERF}))/2) + CASE WHEN any_value(s_nationkey) < 5 THEN 3.0 ELSE 0.0 END, 6) AS score FROM e GROUP BY 1""")
 def w33(t):
-    """Score by the normal distribution function, then points for a flag; no SQL counterpart of erf."""
-    totals = t.supplier.agg(F.avg("s_acctbal").alias("m"), F.stddev_samp("s_acctbal").alias("d"))
-    z = F.try_divide(F.col("s_acctbal") - F.col("m"), F.col("d"))
-    return t.supplier.crossJoin(F.broadcast(totals)).select("s_suppkey", (stats.normal_cdf(z) * 100 + F.when(F.col("s_nationkey") < 5, 3.0).otherwise(0.0)).alias("score"))
+    """Scores by the normal distribution function, one of them reversed, weighted, then points for a flag."""
+    totals = [x for c in ("s_acctbal", "s_nationkey") for x in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"d_{c}"))]
+    z = lambda c: F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"d_{c}"))
+    score = 60 * stats.normal_cdf(z("s_acctbal")) + 40 * stats.normal_cdf(-z("s_nationkey"))
+    return ranks.with_totals(t.supplier, *totals).select("s_suppkey", (score + F.when(F.col("s_nationkey") < 5, 3.0).otherwise(0.0)).alias("score"))

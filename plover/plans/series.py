@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plover.operators import ranks
 from plover.operators import timeseries as ts
 from plover.plans.registry import query
 from plover.sources.tables import BENCHMARK_SQL, PRICES_SQL, prices
@@ -186,9 +187,11 @@ def w29(t):
     Counts come from one sorted union per level, not from a range join.
     """
     rows = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("g"), F.col("s_acctbal").alias("v"), (F.col("s_suppkey") % 2 == 0).cast("int").alias("old"))
-    upto = lambda *by: F.sum("old").over(Window.partitionBy(*by).orderBy("v"))
-    total = lambda *by: F.sum("old").over(Window.partitionBy(*by))
-    out = rows.withColumns({"a": upto("g"), "an": total("g"), "b": upto(), "bn": total()}).filter("old = 0")
+    old = F.col("old").cast("long")
+    everywhere = ranks.by_value(rows, "v", {"o": old}).select(F.col("v").alias("av"), (F.col("below_o") + F.col("o")).alias("b"))
+    upto, whole = Window.partitionBy("g").orderBy("v"), Window.partitionBy("g")
+    out = rows.withColumns({"a": F.sum("old").over(upto), "an": F.sum("old").over(whole)}).filter("old = 0").join(everywhere, F.col("v") == F.col("av"))
+    out = ranks.with_totals(out, F.sum("old").alias("bn"), of=rows)
     share = F.coalesce(F.try_divide(100.0 * F.col("a"), F.col("an")), F.try_divide(100.0 * F.col("b"), F.col("bn")), F.lit(50.0))
     return out.select("s_suppkey", share.alias("percentile"))
 
@@ -212,9 +215,10 @@ def w35(t):
     return t.customer.crossJoin(F.broadcast(line)).select("c_custkey", (F.col("c_acctbal") - F.col("b") * (F.col("c_nationkey") - F.col("m"))).alias("corrected"))
 
 
-@query("w36_search_order", "SELECT s_suppkey, row_number() OVER (ORDER BY (s_acctbal >= 0)::INT, s_nationkey, (s_suppkey - 37 + 1000) % 1000) AS place FROM supplier")
+@query("w36_search_order", "SELECT s_suppkey, row_number() OVER (ORDER BY (s_acctbal >= 0)::INT, s_nationkey, (s_suppkey - 37 + 1000) % 1000, s_suppkey) AS place FROM supplier")
 def w36(t):
-    return t.supplier.select("s_suppkey", F.row_number().over(Window.orderBy((F.col("s_acctbal") >= 0).cast("int"), "s_nationkey", F.pmod(F.col("s_suppkey") - 37, F.lit(1000)))).alias("place"))
+    rows = t.supplier.select("s_suppkey", (F.col("s_acctbal") >= 0).cast("int").alias("fine"), "s_nationkey", F.pmod(F.col("s_suppkey") - 37, F.lit(1000)).alias("turn"))
+    return ranks.row_number(rows, ["fine", "s_nationkey", "turn", "s_suppkey"]).select("s_suppkey", "place")
 
 
 @query("w37_range_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events")

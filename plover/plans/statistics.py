@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plover.operators import stats
+from plover.operators import ranks, stats
 from plover.plans.registry import query
 from plover.sources.tables import PRICES_SQL, prices
 
@@ -178,7 +178,7 @@ def a30(t):
 
 @query("a31_w28_calibration_table", "WITH q AS (SELECT ceil(row_number() OVER (ORDER BY o_totalprice, o_orderkey)*5.0/count(*) OVER ())::BIGINT AS bin, o_totalprice, o_orderstatus FROM orders) SELECT bin, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 6) AS rate, min(o_totalprice) AS low FROM q GROUP BY 1")
 def a31(t):
-    q = t.orders.select(stats.quantile_bin("o_totalprice", 5, tie="o_orderkey").alias("bin"), "o_totalprice", "o_orderstatus")
+    q = stats.quantile_bin(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), "o_totalprice", 5, "o_orderkey")
     return q.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("rate"), F.min("o_totalprice").alias("low"))
 
 
@@ -209,7 +209,8 @@ def a39(t):
 
 @query("a42_bucket_validation", "WITH r AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k, count(*) OVER () AS n FROM orders) SELECT CASE WHEN k <= ceil(n*0.2) THEN 'top20' WHEN k > n - ceil(n*0.2) THEN 'bottom20' ELSE 'mid60' END AS bucket, count(*) AS rows_n, round(avg((o_orderstatus='O')::INT), 6) AS rate FROM r GROUP BY 1")
 def a42(t):
-    rows = t.orders.crossJoin(F.broadcast(t.orders.agg(F.count(F.lit(1)).alias("n")))).withColumn("k", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")))
+    rows = ranks.row_number(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "k")
+    rows = ranks.with_totals(rows, F.count(F.lit(1)).alias("n"), of=t.orders)
     fifth = F.ceil(F.col("n") * 0.2)
     return rows.groupBy(F.when(F.col("k") <= fifth, "top20").when(F.col("k") > F.col("n") - fifth, "bottom20").otherwise("mid60").alias("bucket")).agg(F.count(F.lit(1)).alias("rows_n"), F.avg((F.col("o_orderstatus") == "O").cast("int")).alias("rate"))
 
@@ -236,11 +237,21 @@ def a47(t):
     return stats.average_precision(_labelled(t), "v", "y", "doc_id")
 
 
-@query("a48_a49_lift", f"WITH {_LABELLED}, r AS (SELECT *, row_number() OVER (ORDER BY v DESC, doc_id) AS k, count(*) OVER () AS n, avg(y) OVER () AS base, sum(y) OVER () AS total FROM s) SELECT f AS top_share, count(*) AS n, round(avg(y), 6) AS precision, round(avg(y)/max(base), 6) AS lift, round(sum(y)*1.0/max(total), 6) AS capture FROM r JOIN (VALUES (0.1::DOUBLE), (0.2), (0.3)) d(f) ON k <= ceil(n*f) GROUP BY 1")
+@query("a48_lift", f"WITH {_LABELLED}, r AS (SELECT *, row_number() OVER (ORDER BY v DESC, doc_id) AS k, count(*) OVER () AS n, avg(y) OVER () AS base, sum(y) OVER () AS total FROM s) SELECT f AS top_share, count(*) AS n, round(avg(y), 6) AS precision, round(avg(y)/max(base), 6) AS lift, round(sum(y)*1.0/max(total), 6) AS capture FROM r JOIN (VALUES (0.1::DOUBLE), (0.2), (0.3)) d(f) ON k <= ceil(n*f) GROUP BY 1")
 def a48(t):
     return stats.lift_at(_labelled(t), "v", "y", "doc_id", (0.1, 0.2, 0.3))
 
 
+_CUT = "(SELECT count(*) AS n, count(DISTINCT v) AS vals, avg(y) FILTER (v <= lo) AS bottom_rate, avg(y) FILTER (v >= hi) AS top_rate, sum(y*(below + (same - 1)/2.0 + 1)) AS ranks, sum(y) AS p FROM (SELECT *, quantile_cont(v, 0.2) OVER () AS lo, quantile_cont(v, 0.8) OVER () AS hi, rank() OVER (ORDER BY v) - 1 AS below, count(*) OVER (PARTITION BY v) AS same FROM (SELECT {c}::DOUBLE AS v, y FROM s)))"
+
+
+@query("a49_drivers", f"WITH s AS (SELECT l.quality AS y, d.n_chars, length(d.source) AS source_chars, l.doc_id % 7 AS other FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL), u AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, * FROM {_CUT.format(c=c)}" for c in ('n_chars', 'source_chars', 'other'))}) SELECT feature, n, round((ranks - p*(p + 1)/2.0)/(p*(n - p)), 6) AS auc, round(bottom_rate, 6) AS bottom_rate, round(top_rate, 6) AS top_rate, round(top_rate - bottom_rate, 6) AS difference FROM u WHERE n >= 50 AND vals >= 5")
+def a49(t):
+    met = t.labels.filter("quality is not null").join(t.documents.select("doc_id", "n_chars", "source"), "doc_id")
+    rows = met.select(F.col("quality").alias("y"), "n_chars", F.length("source").alias("source_chars"), (F.col("doc_id") % 7).alias("other"))
+    return stats.drivers(rows, ["n_chars", "source_chars", "other"], "y")
+
+
 @query("a50_paired_difference", "WITH p AS (SELECT o_custkey, avg(round(o_totalprice)::BIGINT) FILTER (o_orderstatus='F') AS f, avg(round(o_totalprice)::BIGINT) FILTER (o_orderstatus='O') AS o FROM orders GROUP BY 1) SELECT o_custkey, round(f - o, 6) AS diff FROM p WHERE f IS NOT NULL AND o IS NOT NULL")
 def a50(t):
     rows = t.orders.withColumn("v", F.round("o_totalprice").cast("long")).groupBy("o_custkey").pivot("o_orderstatus", ["F", "O"]).agg(F.avg("v"))
