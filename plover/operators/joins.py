@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plover.operators import ranks
+
+
+#: A table with at most so many rows is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast if its rows, counted up to ``most``, are that few."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
 
 def status_join(left: DataFrame, right: DataFrame, key: str, valid: Column, left_name: Column | None = None, right_name: Column | None = None) -> DataFrame:
     """Left join that says how it went: join_status, right_count and name_check.
@@ -73,6 +84,17 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_
     return met.select(*left.columns, *[F.col(f"_near.{v}").alias(v) for v in values], F.col("_near.asof_time").alias("asof_time"))
 
 
+def asof_dated(left: DataFrame, right: DataFrame, left_day: str, right_day: str, values: list[str], direction: str = "backward") -> DataFrame:
+    """As-of join with one series that has no key: by distinct dates, which are few, then an equi-join.
+
+    So a single series doesn't gather all left rows in one task. ``left`` has no columns that begin with ``_d``.
+    """
+    days = left.select(F.col(left_day).alias("_d_day")).distinct().withColumn("_d_one", F.lit(1))
+    known = right.select(F.lit(1).alias("_d_one"), F.col(right_day).alias("_d_at"), *values)
+    met = asof_join(days, known, "_d_one", "_d_day", "_d_at", values, direction).drop("_d_one", "asof_time")
+    return left.join(met, F.col(left_day) == F.col("_d_day"), "left").drop("_d_day")
+
+
 def band_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, days: int, how: str = "inner") -> DataFrame:
     """Rows of equal ``by`` at most ``days`` apart, through buckets as wide as the band.
 
@@ -113,3 +135,24 @@ def peer_groups(members: DataFrame, fine: str, coarse: str, least: int) -> DataF
     sizes = members.groupBy(fine).agg(F.count(F.lit(1)).alias("_n"))
     met = members.join(sizes, fine)
     return met.withColumn("peer_group", F.when(F.col("_n") >= least, F.concat(F.lit("fine:"), F.col(fine))).otherwise(F.concat(F.lit("coarse:"), F.col(coarse)))).drop("_n")
+
+
+def median_of_others(members: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """Adds peers and others_median: how many others the member's group has, and the median of their values.
+
+    Without the member, the middle of n sorted values moves by one place at
+    most, so its rank and four values around the middle are enough and no pair
+    of members is made. Null values aren't counted; ties are ranked by ``key``.
+    """
+    known = members.filter(F.col(value).isNotNull())
+    ranked = ranks.running(known.select(group, key, value), [group, value, key], {"_all": F.lit(1).cast("long")})
+    sizes = ranked.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.min("_all").alias("_first"))
+    ranked = ranked.join(sizes, F.col(group) == F.col("_g")).withColumn("_k", F.col("_all") - F.col("_first") + 1)
+    half = F.floor(F.col("_n") / 2)
+    near = ranked.filter(F.col("_k").between(half - 1, half + 2)).groupBy(F.col("_g").alias("_h")).agg(F.map_from_entries(F.collect_list(F.struct("_k", value))).alias("_mid"))
+    met = ranked.join(near, F.col("_g") == F.col("_h"))
+    others = F.col("_n") - 1
+    at = lambda place: F.try_element_at("_mid", (place + F.when(F.col("_k") <= place, 1).otherwise(0)).cast("long"))
+    median = (at(F.floor((others + 1) / 2)) + at(F.floor(others / 2) + 1)) / 2
+    out = met.select(F.col(key).alias("_key"), others.alias("peers"), F.when(others > 0, median).alias("others_median"))
+    return members.join(out, F.col(key) == F.col("_key"), "left").drop("_key")

@@ -73,3 +73,22 @@ def weighted_classes(df: DataFrame, key: str, text: Column, classes: DataFrame,
 def ordered_distinct(items: Column) -> Column:
     """Distinct items in order of first occurrence."""
     return F.array_distinct(items)
+
+
+def diverse_pick(candidates: DataFrame, by: str, count: int, pool: int = 100, same: float = 0.6) -> DataFrame:
+    """Up to ``count`` rows per group, picked greedily from the ``pool`` best by score, then key doc_id.
+
+    A candidate whose title shares ``same`` of the smaller word set with a
+    picked one is the same event and is passed over. Rows of a domain that is
+    new come first, then the others in order. ``pool`` belongs to the feature: a
+    short list is drawn from the best only. Needs by, doc_id, score, domain and
+    title; adds place.
+    """
+    n = F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc_nulls_last(), "doc_id"))
+    words = F.array_distinct(F.filter(F.split(F.coalesce("title", F.lit("")), r"[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 3))
+    best = candidates.withColumn("n", n).filter(F.col("n") <= pool).select(by, F.struct("n", "doc_id", F.coalesce("domain", F.lit("")).alias("domain"), words.alias("words")).alias("c"))
+    lists = best.groupBy(by).agg(F.array_sort(F.collect_list("c")).alias("all"))
+    take = f"""(a, x) -> if(size(a) >= {count} or exists(a, y -> y.n = x.n or (size(array_intersect(x.words, y.words)) > 0 and size(array_intersect(x.words, y.words)) >= {same} * least(size(x.words), size(y.words)))), a, concat(a, array(x)))"""
+    fresh = take.replace("exists(a, y -> y.n = x.n or", "exists(a, y -> y.n = x.n or y.domain = x.domain or")
+    picked = F.expr(f"aggregate(`all`, aggregate(`all`, slice(`all`, 1, 0), {fresh}), {take})")
+    return lists.select(by, F.posexplode(picked).alias("at", "c")).select(by, (F.col("at") + 1).alias("place"), "c.doc_id")

@@ -43,7 +43,7 @@ def j02(t):
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, cand) AS n, coalesce(lead(score) OVER (PARTITION BY k ORDER BY score DESC, cand), 0.0) AS nxt FROM c)
 SELECT k, CASE WHEN score < 0.92 THEN 'not_found' WHEN score - nxt < 0.05 THEN 'ambiguous' ELSE 'matched' END AS match_status, score AS best_score, nxt AS second_score, CASE WHEN score >= 0.92 AND score - nxt >= 0.05 THEN cand END AS cand FROM r WHERE n = 1""")
 def j05(t):
-    met = t.supplier.join(F.broadcast(t.nation), F.col("s_suppkey") % 5 == F.col("n_regionkey"))
+    met = t.supplier.join(joins.checked_broadcast(t.nation), F.col("s_suppkey") % 5 == F.col("n_regionkey"))
     score = F.when(F.col("s_nationkey") == F.col("n_nationkey"), 1.0).when((F.col("s_suppkey") + F.col("n_nationkey")) % 5 == 0, 0.97).otherwise(0.3)
     rows = met.select(F.col("s_suppkey").alias("k"), F.col("n_nationkey").alias("cand"), score.alias("score"))
     return joins.best_with_margin(rows, "k", "cand", "score", 0.92, 0.05)
@@ -55,57 +55,63 @@ def j06(t):
     return t.documents.select("doc_id", "source").join(aliases, F.col("source") == F.col("alias")).select("doc_id", "company").distinct()
 
 
-@query("j08_asof_forward_backward", f"""WITH {PRICES_SQL}, {BENCHMARK_SQL}, e AS (SELECT symbol, i, day FROM px WHERE i % 40 = 0),
-f AS (SELECT e.symbol, e.i, min(b.day) AS d FROM e JOIN bench b ON b.day >= e.day GROUP BY 1, 2), k AS (SELECT e.symbol, e.i, max(b.day) AS d FROM e JOIN bench b ON b.day <= e.day + INTERVAL 1 YEAR GROUP BY 1, 2)
-SELECT e.symbol, e.i, b0.index_close AS base_close, b1.index_close AS year_close, round((b1.index_close/b0.index_close - 1)*100, 6) AS bench_pct FROM e LEFT JOIN f USING (symbol, i) LEFT JOIN bench b0 ON b0.day = f.d LEFT JOIN k USING (symbol, i) LEFT JOIN bench b1 ON b1.day = k.d""")
+@query("j08_asof_forward_backward", f"""WITH {PRICES_SQL}, {BENCHMARK_SQL}, e AS (SELECT symbol, i, day, (day + INTERVAL 1 YEAR)::DATE AS later FROM px),
+f AS (SELECT e.*, b.index_close AS base_close FROM e ASOF LEFT JOIN bench b ON b.day >= e.day)
+SELECT f.symbol, f.i, base_close, b.index_close AS year_close, round((b.index_close/base_close - 1)*100, 6) AS bench_pct FROM f ASOF LEFT JOIN bench b ON b.day <= f.later""")
 def j08(t):
     bench = benchmark_prices(t.lineitem)
-    events = prices(t.lineitem).filter("i % 40 = 0").select("symbol", "i", "day", F.lit(1).alias("market"), F.add_months("day", 12).alias("later"))
-    base = joins.asof_join(events, bench, "market", "day", "day", ["index_close"], "forward").withColumnRenamed("index_close", "base_close").drop("asof_time")
-    year = joins.asof_join(base, bench, "market", "later", "day", ["index_close"], "backward").withColumnRenamed("index_close", "year_close")
+    events = prices(t.lineitem).select("symbol", "i", "day", F.lit(1).alias("market"), F.add_months("day", 12).alias("later"))
+    base = joins.asof_dated(events, bench.drop("market"), "day", "day", ["index_close"], "forward").withColumnRenamed("index_close", "base_close")
+    year = joins.asof_dated(base, bench.drop("market"), "later", "day", ["index_close"]).withColumnRenamed("index_close", "year_close")
     return year.select("symbol", "i", "base_close", "year_close", ((F.col("year_close") / F.col("base_close") - 1) * 100).alias("bench_pct"))
 
 
-@query("j09_j10_j11_asof_orders_to_prices", f"""WITH {PRICES_SQL}, o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 4 = 0)
+_ORDERS = "o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS symbol, o_orderdate::DATE AS day FROM orders)"
+
+
+def _orders(t):
+    """Each order as an event of a price series."""
+    return t.orders.select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
+
+
+@query("j09_j10_j11_asof_orders_to_prices", f"""WITH {PRICES_SQL}, {_ORDERS}
 SELECT o.o_orderkey, p.close, p.day AS price_day FROM o ASOF LEFT JOIN px p ON p.symbol = o.symbol AND p.day <= o.day""")
 def j09(t):
-    orders = t.orders.filter("o_orderkey % 4 = 0").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
-    out = joins.asof_join(orders, prices(t.lineitem).select("symbol", "day", "close"), "symbol", "day", "day", ["close"])
+    out = joins.asof_join(_orders(t), prices(t.lineitem).select("symbol", "day", "close"), "symbol", "day", "day", ["close"])
     return out.select("o_orderkey", "close", F.col("asof_time").alias("price_day"))
 
 
-@query("j12_base_then_trading_rows", f"""WITH {PRICES_SQL}, o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 16 = 0),
-b AS (SELECT o.o_orderkey, o.symbol, min(i) AS i FROM o JOIN px ON px.symbol = o.symbol AND px.day >= o.day GROUP BY 1, 2)
-SELECT b.o_orderkey, w.w AS window_days, round((p1.close/p0.close - 1)*100, 6) AS stock_return FROM b JOIN px p0 ON p0.symbol = b.symbol AND p0.i = b.i CROSS JOIN (VALUES (5), (20), (60)) w(w) JOIN px p1 ON p1.symbol = b.symbol AND p1.i = b.i + w.w""")
+@query("j12_base_then_trading_rows", f"""WITH {PRICES_SQL}, {_ORDERS},
+b AS (SELECT o.o_orderkey, o.symbol, p.i, p.close FROM o ASOF JOIN px p ON p.symbol = o.symbol AND p.day >= o.day)
+SELECT b.o_orderkey, w.w AS window_days, round((q.close/b.close - 1)*100, 6) AS stock_return FROM b CROSS JOIN (VALUES (5), (20), (60)) w(w) JOIN px q ON q.symbol = b.symbol AND q.i = b.i + w.w""")
 def j12(t):
-    series = prices(t.lineitem)
-    orders = t.orders.filter("o_orderkey % 16 = 0").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
-    base = joins.asof_join(orders, series.select("symbol", "day", "close", "i"), "symbol", "day", "day", ["close", "i"], "forward").filter("i is not null")
-    wanted = base.select("o_orderkey", "symbol", "close", "i", F.explode(F.array(F.lit(5), F.lit(20), F.lit(60))).alias("window_days")).withColumn("at", F.col("i") + F.col("window_days"))
-    target = series.select(F.col("symbol").alias("s"), F.col("i").alias("ti"), F.col("close").alias("later"))
-    met = wanted.join(target, (F.col("symbol") == F.col("s")) & (F.col("at") == F.col("ti")))
-    return met.select("o_orderkey", "window_days", ((F.col("later") / F.col("close") - 1) * 100).alias("stock_return"))
+    """The closes 5, 20 and 60 rows on are known to each price row, so the orders are joined once."""
+    by = Window.partitionBy("symbol").orderBy("i")
+    series = prices(t.lineitem).select("symbol", "day", "close", *[F.lead("close", n).over(by).alias(f"c{n}") for n in (5, 20, 60)])
+    base = joins.asof_join(_orders(t), series, "symbol", "day", "day", ["close", "c5", "c20", "c60"], "forward")
+    long = base.select("o_orderkey", "close", F.expr("stack(3, 5, c5, 20, c20, 60, c60) as (window_days, later)")).filter("later is not null")
+    return long.select("o_orderkey", "window_days", ((F.col("later") / F.col("close") - 1) * 100).alias("stock_return"))
 
 
-@query("j13_point_in_time_size", f"""WITH {PRICES_SQL}, c AS (SELECT symbol, day, close*1000 AS cap FROM px WHERE i % 60 = 1), e AS (SELECT symbol, i, day, close FROM px WHERE i % 50 = 0)
-SELECT e.symbol, e.i, c.cap, round(c.cap*e.close/(c.cap/1000), 4) AS estimate, CASE WHEN c.cap IS NULL THEN 'missing' WHEN c.day = e.day THEN 'exact' ELSE 'estimated' END AS label FROM e ASOF LEFT JOIN c ON c.symbol = e.symbol AND c.day <= e.day""", digits=4)
+@query("j13_point_in_time_size", f"""WITH {PRICES_SQL}, c AS (SELECT symbol, min(day) AS day, min_by(close, day) AS cap_close FROM px GROUP BY symbol, year(day), month(day))
+SELECT e.symbol, e.i, c.cap_close*1000 AS cap, round(c.cap_close*1000*e.close/c.cap_close, 4) AS estimate, CASE WHEN c.cap_close IS NULL THEN 'missing' WHEN c.day = e.day THEN 'exact' ELSE 'estimated' END AS label FROM px e ASOF LEFT JOIN c ON c.symbol = e.symbol AND c.day <= e.day""", digits=4)
 def j13(t):
+    """Sizes are reported on the first trading day of each month; every price row gets the latest."""
     series = prices(t.lineitem)
-    caps = series.filter("i % 60 = 1").select("symbol", "day", (F.col("close") * 1000).alias("cap"))
-    out = joins.asof_join(series.filter("i % 50 = 0").select("symbol", "i", "day", "close"), caps, "symbol", "day", "day", ["cap"])
-    label = F.when(F.col("cap").isNull(), "missing").when(F.col("asof_time") == F.col("day"), "exact").otherwise("estimated")
-    return out.select("symbol", "i", "cap", (F.col("cap") * F.col("close") / (F.col("cap") / 1000)).alias("estimate"), label.alias("label"))
+    caps = series.groupBy("symbol", F.year("day"), F.month("day")).agg(F.min("day").alias("at"), F.min_by("close", "day").alias("cap_close")).select("symbol", "at", "cap_close")
+    out = joins.asof_join(series.select("symbol", "i", "day", "close"), caps, "symbol", "day", "at", ["cap_close"])
+    label = F.when(F.col("cap_close").isNull(), "missing").when(F.col("asof_time") == F.col("day"), "exact").otherwise("estimated")
+    cap = F.col("cap_close") * 1000
+    return out.select("symbol", "i", cap.alias("cap"), (cap * F.col("close") / F.col("cap_close")).alias("estimate"), label.alias("label"))
 
 
 @query("j14_peer_median", """WITH n AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1), g AS (SELECT s.*, CASE WHEN n.n >= 4 THEN 'fine:' || s.s_nationkey ELSE 'coarse:' || n_regionkey END AS grp FROM supplier s JOIN n USING (s_nationkey) JOIN nation ON n_nationkey = s.s_nationkey)
 SELECT a.s_suppkey, a.grp AS peer_group, count(b.s_suppkey) AS peers, round(median(b.s_acctbal), 6) AS peer_median FROM g a LEFT JOIN g b ON b.grp = a.grp AND b.s_suppkey <> a.s_suppkey GROUP BY 1, 2""")
 def j14(t):
-    """Median over the other members of the peer group: a self-join inside bounded groups."""
-    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    """Median over the other members of the peer group, from each member's rank and its group's middle values."""
+    rows = t.supplier.join(joins.checked_broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = joins.peer_groups(rows.select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("string").alias("fine"), F.col("n_regionkey").cast("string").alias("coarse")), "fine", "coarse", 4)
-    other = rows.select(F.col("s_suppkey").alias("o_key"), F.col("s_acctbal").alias("o_bal"), F.col("peer_group").alias("o_group"))
-    met = rows.join(other, (F.col("peer_group") == F.col("o_group")) & (F.col("s_suppkey") != F.col("o_key")), "left")
-    return met.groupBy("s_suppkey", "peer_group").agg(F.count("o_key").alias("peers"), F.percentile("o_bal", 0.5).alias("peer_median"))
+    return joins.median_of_others(rows, "peer_group", "s_suppkey", "s_acctbal").select("s_suppkey", "peer_group", "peers", F.col("others_median").alias("peer_median"))
 
 
 @query("j15_e06_latest_in_lookback", """WITH o AS (SELECT o_custkey, o_orderdate::DATE AS d, max(o_orderkey) AS k FROM orders GROUP BY 1, 2), e AS (SELECT c_custkey, DATE '1995-01-01' + (c_custkey % 1000)::INT AS day FROM customer)
@@ -161,10 +167,35 @@ def j21(t):
     return out.select("c_custkey", "f_orders", "o_orders", F.nullif("priorities", F.lit("")).alias("priorities"))
 
 
-@query("j22_j24_j26_scored_digest", "SELECT l.doc_id, d.source, l.quality FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN benchmark b ON b.item_id = l.doc_id WHERE l.quality >= 1 ORDER BY l.quality DESC, l.doc_id LIMIT 50")
+_SCORES = "sc AS (SELECT l_orderkey AS k, round(sum(round(l_extendedprice*(1 - l_discount)*100)::BIGINT)/100.0, 2) AS score FROM lineitem GROUP BY 1), rv AS (SELECT l_orderkey AS k, count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"
+
+
+def _scores(t):
+    """A score per order, and a review where some line was returned."""
+    value = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long")
+    scores = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum(value) / 100, 2).alias("score"))
+    return scores, t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("rk")).agg(F.count(F.lit(1)).alias("returned"))
+
+
+@query("j22_scored_digest", f"WITH {_SCORES} SELECT o_orderkey, score, returned, returned IS NOT NULL AS reviewed FROM orders JOIN sc ON sc.k = o_orderkey LEFT JOIN rv ON rv.k = o_orderkey WHERE score >= 50000 ORDER BY score DESC, o_orderkey LIMIT 50", digits=2)
 def j22(t):
-    met = t.labels.filter("quality >= 1").join(t.documents.select("doc_id", "source"), "doc_id").join(t.benchmark.select(F.col("item_id").alias("doc_id"), F.lit(1).alias("reviewed")), "doc_id", "left")
-    return met.orderBy(F.col("quality").desc(), "doc_id").limit(50).select("doc_id", "source", "quality")
+    scores, reviews = _scores(t)
+    met = t.orders.select("o_orderkey").join(scores.filter("score >= 50000"), F.col("k") == F.col("o_orderkey")).join(reviews, F.col("rk") == F.col("o_orderkey"), "left")
+    return met.orderBy(F.col("score").desc(), "o_orderkey").limit(50).select("o_orderkey", "score", "returned", F.col("returned").isNotNull().alias("reviewed"))
+
+
+@query("j24_analyses_of_a_version", "SELECT event_id, user_id, json_extract(props, '$.k')::BIGINT AS k FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'click' AND json_extract(props, '$.k') IS NOT NULL")
+def j24(t):
+    """Members with the analyses of one version, read from JSON."""
+    analyses = t.events.filter("event_type = 'click'").withColumn("k", F.from_json("props", "k long")["k"]).filter("k is not null")
+    return analyses.join(t.customer.select("c_custkey"), F.col("c_custkey") == F.col("user_id")).select("event_id", "user_id", "k")
+
+
+@query("j26_detected_baseline", f"WITH {PRICES_SQL}, s AS (SELECT symbol, max(i) AS last_i, max(i) FILTER (close < low*1.02 AND volume > 0) AS signal_i FROM px GROUP BY 1) SELECT s_suppkey, signal_i, last_i - signal_i AS age FROM supplier JOIN s ON symbol = s_suppkey WHERE signal_i IS NOT NULL")
+def j26(t):
+    """Members with a detected signal, which a first run records as known."""
+    found = prices(t.lineitem).groupBy("symbol").agg(F.max("i").alias("last_i"), F.max(F.when((F.col("close") < F.col("low") * 1.02) & (F.col("volume") > 0), F.col("i"))).alias("signal_i")).filter("signal_i is not null")
+    return t.supplier.join(found, F.col("symbol") == F.col("s_suppkey")).select("s_suppkey", "signal_i", (F.col("last_i") - F.col("signal_i")).alias("age"))
 
 
 @query("j23_latest_with_ties", "SELECT o_custkey, o_orderkey FROM orders o WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders i WHERE i.o_custkey = o.o_custkey)")
@@ -176,9 +207,9 @@ def j23(t):
 @query("j27_j28_validated_merge", "SELECT n_name, count(*) AS suppliers, round(avg(s_acctbal), 6) AS mean_balance FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
 def j27(t):
     """Many-to-one: the query fails if the right key repeats."""
-    right = t.nation.join(F.broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    right = t.nation.join(joins.checked_broadcast(t.region), F.col("r_regionkey") == F.col("n_regionkey"), "left")
     check = right.agg((F.count(F.lit(1)) == F.countDistinct("n_nationkey")).alias("ok"))
-    met = t.supplier.join(F.broadcast(right), F.col("s_nationkey") == F.col("n_nationkey")).crossJoin(F.broadcast(check))
+    met = t.supplier.join(joins.checked_broadcast(right), F.col("s_nationkey") == F.col("n_nationkey")).crossJoin(F.broadcast(check))
     met = met.filter(F.when(F.col("ok"), True).otherwise(F.raise_error(F.lit("right key repeats")).cast("boolean")))
     return met.groupBy("n_name").agg(F.count(F.lit(1)).alias("suppliers"), F.avg("s_acctbal").alias("mean_balance"))
 
@@ -189,7 +220,7 @@ def j29(t):
     left = t.supplier.select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal")).alias("v"))
     exact = t.part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("ka"), F.col("p_retailprice").alias("xa"))
     core = t.nation.select(F.col("n_nationkey").alias("kb"), F.col("n_regionkey").cast("double").alias("xb"))
-    met = left.join(exact, F.col("ka") == F.col("s_suppkey"), "left").join(F.broadcast(core), F.col("kb") == F.col("s_nationkey"), "left")
+    met = left.join(exact, F.col("ka") == F.col("s_suppkey"), "left").join(joins.checked_broadcast(core), F.col("kb") == F.col("s_nationkey"), "left")
     filled = F.when(F.col("v").isNotNull(), "kept").when(F.col("xa").isNotNull(), "exact").when(F.col("xb").isNotNull(), "core").otherwise("blank")
     return met.select("s_suppkey", F.coalesce("v", "xa", "xb").alias("v"), filled.alias("filled"))
 
@@ -227,18 +258,17 @@ def j35(t):
     return rows.filter(F.col("r") == F.col("o_custkey") % 5 + 1).select("o_custkey", "o_orderkey")
 
 
-@query("j39_event_impact", f"""WITH {PRICES_SQL}, o AS (SELECT o_orderkey, o_custkey % 100 + 1 AS symbol, o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 32 = 0), b AS (SELECT o.o_orderkey, o.symbol, min(i) AS i FROM o JOIN px ON px.symbol = o.symbol AND px.day >= o.day GROUP BY 1, 2)
+@query("j39_event_impact", f"""WITH {PRICES_SQL}, {_ORDERS}, b AS (SELECT o.o_orderkey, o.symbol, p.i FROM o ASOF JOIN px p ON p.symbol = o.symbol AND p.day >= o.day)
 SELECT o_orderkey, round((q.close/p.close - 1)*100, 6) AS impact FROM b LEFT JOIN px p ON p.symbol = b.symbol AND p.i = b.i - 3 LEFT JOIN px q ON q.symbol = b.symbol AND q.i = b.i + 3""")
 def j39(t):
     series = prices(t.lineitem).withColumns({"before": F.lag("close", 3).over(Window.partitionBy("symbol").orderBy("i")), "after": F.lead("close", 3).over(Window.partitionBy("symbol").orderBy("i"))})
-    orders = t.orders.filter("o_orderkey % 32 = 0").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
-    out = joins.asof_join(orders, series.select("symbol", "day", "i", "before", "after"), "symbol", "day", "day", ["i", "before", "after"], "forward").filter("i is not null")
+    out = joins.asof_join(_orders(t), series.select("symbol", "day", "i", "before", "after"), "symbol", "day", "day", ["i", "before", "after"], "forward").filter("i is not null")
     return out.select("o_orderkey", ((F.col("after") / F.col("before") - 1) * 100).alias("impact"))
 
 
-@query("j40_full_outer_join", "SELECT coalesce(s_suppkey, p_partkey) AS k, s_suppkey IS NOT NULL AS in_left, p_partkey IS NOT NULL AS in_right FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0) FULL JOIN (SELECT p_partkey FROM part WHERE p_partkey <= 50) ON s_suppkey = p_partkey")
+@query("j40_full_outer_join", "SELECT coalesce(s_suppkey, p_partkey) AS k, s_suppkey IS NOT NULL AS in_left, p_partkey IS NOT NULL AS in_right FROM (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) FULL JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON s_suppkey = p_partkey")
 def j40(t):
-    met = t.supplier.filter("s_suppkey % 2 = 0").select("s_suppkey").join(t.part.filter("p_partkey <= 50").select("p_partkey"), F.col("s_suppkey") == F.col("p_partkey"), "full")
+    met = t.supplier.filter("s_acctbal > 0").select("s_suppkey").join(t.part.filter("p_size <= 25").select("p_partkey"), F.col("s_suppkey") == F.col("p_partkey"), "full")
     return met.select(F.coalesce("s_suppkey", "p_partkey").alias("k"), F.col("s_suppkey").isNotNull().alias("in_left"), F.col("p_partkey").isNotNull().alias("in_right"))
 
 

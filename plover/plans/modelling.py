@@ -68,12 +68,12 @@ def m07(t):
     return t.orders.crossJoin(F.broadcast(s)).select("o_orderkey", (0.7 * (F.col("o_totalprice") - F.col("m")) / F.col("d") + 0.3 * (F.col("o_custkey") % 10) / 10.0).alias("blend"))
 
 
-@query("m14_m15_staged_limits", f"WITH {PRICES_SQL}, f AS (SELECT symbol, i, close, min(low) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS low60, lead(close, 60) OVER (PARTITION BY symbol ORDER BY i) AS last FROM px) SELECT symbol, i, round(0.5*(last/close - 1) + CASE WHEN low60 <= close*0.9 THEN 0.3*(last/(close*0.9) - 1) ELSE 0 END + CASE WHEN low60 <= close*0.8 THEN 0.2*(last/(close*0.8) - 1) ELSE 0 END, 6) AS result FROM f WHERE i % 40 = 0 AND last IS NOT NULL")
+@query("m14_m15_staged_limits", f"WITH {PRICES_SQL}, f AS (SELECT symbol, i, close, min(low) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS low60, lead(close, 60) OVER (PARTITION BY symbol ORDER BY i) AS last FROM px) SELECT symbol, i, round(0.5*(last/close - 1) + CASE WHEN low60 <= close*0.9 THEN 0.3*(last/(close*0.9) - 1) ELSE 0 END + CASE WHEN low60 <= close*0.8 THEN 0.2*(last/(close*0.8) - 1) ELSE 0 END, 6) AS result FROM f WHERE last IS NOT NULL")
 def m15(t):
     """Half at the close, the rest at two limits if the low reaches them within 60 rows; unfilled cash earns nothing."""
     from plover.operators.timeseries import by_symbol
 
-    rows = prices(t.lineitem).withColumns({"low60": F.min("low").over(by_symbol().rowsBetween(1, 60)), "last": F.lead("close", 60).over(by_symbol())}).filter("i % 40 = 0 and last is not null")
+    rows = prices(t.lineitem).withColumns({"low60": F.min("low").over(by_symbol().rowsBetween(1, 60)), "last": F.lead("close", 60).over(by_symbol())}).filter("last is not null")
     part = lambda share, level: F.when(F.col("low60") <= F.col("close") * level, share * (F.col("last") / (F.col("close") * level) - 1)).otherwise(0.0)
     return rows.select("symbol", "i", (0.5 * (F.col("last") / F.col("close") - 1) + part(0.3, 0.9) + part(0.2, 0.8)).alias("result"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plover.operators import ranks
 from plover.operators import timeseries as ts
+from plover.operators.joins import checked_broadcast
 from plover.plans.registry import query
 from plover.sources.tables import BENCHMARK_SQL, PRICES_SQL, prices
 
@@ -90,11 +91,11 @@ def w10(t):
     return rows.select("symbol", "i", F.col("pk.high").alias("peak_high"), F.col("pk.i").alias("peak_i"), F.min("low").over(segment).alias("trough"))
 
 
-@query("w11_best_of_modes", f"WITH {PRICES_SQL}, a AS (SELECT symbol, max(i) AS i, 'general' AS mode, 0 AS pref FROM px WHERE i % 7 = 0 GROUP BY 1 UNION ALL SELECT symbol, max(i), 'ipo', 1 FROM px WHERE i % 5 = 0 GROUP BY 1) SELECT symbol, i, mode FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i DESC, pref) AS n FROM a) WHERE n = 1")
+@query("w11_best_of_modes", f"WITH {PRICES_SQL}, a AS (SELECT symbol, max(i) AS i, 'general' AS mode, 0 AS pref FROM px WHERE high > close GROUP BY 1 UNION ALL SELECT symbol, max(i), 'ipo', 1 FROM px WHERE volume > 30 GROUP BY 1) SELECT symbol, i, mode FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i DESC, pref) AS n FROM a) WHERE n = 1")
 def w11(t):
     rows = prices(t.lineitem)
-    one = rows.filter("i % 7 = 0").groupBy("symbol").agg(F.max("i").alias("i")).select("symbol", "i", F.lit("general").alias("mode"), F.lit(0).alias("pref"))
-    two = rows.filter("i % 5 = 0").groupBy("symbol").agg(F.max("i").alias("i")).select("symbol", "i", F.lit("ipo").alias("mode"), F.lit(1).alias("pref"))
+    one = rows.filter("high > close").groupBy("symbol").agg(F.max("i").alias("i")).select("symbol", "i", F.lit("general").alias("mode"), F.lit(0).alias("pref"))
+    two = rows.filter("volume > 30").groupBy("symbol").agg(F.max("i").alias("i")).select("symbol", "i", F.lit("ipo").alias("mode"), F.lit(1).alias("pref"))
     best = one.unionByName(two).groupBy("symbol").agg(F.max(F.struct("i", (-F.col("pref")).alias("p"), "mode")).alias("b"))
     return best.select("symbol", "b.i", "b.mode")
 
@@ -142,11 +143,11 @@ def w17(t):
     return ts.first_touch(prices(t.lineitem), 0.1, 20).select("symbol", "i", F.col("touch_after").cast("int").alias("touch_after"))
 
 
-@query("w20_e16_year_end_returns", f"WITH {PRICES_SQL}, y AS (SELECT symbol, year(day)::INT AS year, max_by(close, day) AS year_close FROM px GROUP BY 1, 2) SELECT px.symbol, px.i, round((year_close/close - 1)*100, 6) AS to_year_end FROM px JOIN y ON y.symbol = px.symbol AND y.year = year(day) WHERE px.i % 50 = 0")
+@query("w20_e16_year_end_returns", f"WITH {PRICES_SQL}, y AS (SELECT symbol, year(day)::INT AS year, max_by(close, day) AS year_close FROM px GROUP BY 1, 2) SELECT px.symbol, px.i, round((year_close/close - 1)*100, 6) AS to_year_end FROM px JOIN y ON y.symbol = px.symbol AND y.year = year(day)")
 def w20(t):
     series = prices(t.lineitem)
     ends = ts.year_end(series).withColumnRenamed("symbol", "s")
-    met = series.filter("i % 50 = 0").join(ends, (F.col("symbol") == F.col("s")) & (F.year("day") == F.col("year")))
+    met = series.join(ends, (F.col("symbol") == F.col("s")) & (F.year("day") == F.col("year")))
     return met.select("symbol", "i", ((F.col("year_close") / F.col("close") - 1) * 100).alias("to_year_end"))
 
 
@@ -201,7 +202,7 @@ def w30(t):
     """Quantiles of all earlier years: each row goes to the later years, a handful."""
     orders = t.orders.select(F.year("o_orderdate").alias("y"), "o_totalprice")
     years = orders.select(F.col("y").alias("year")).distinct()
-    return orders.join(F.broadcast(years), F.col("y") < F.col("year")).groupBy("year").agg(F.percentile("o_totalprice", 0.8).alias("threshold"), F.count(F.lit(1)).alias("n"))
+    return orders.join(checked_broadcast(years), F.col("y") < F.col("year")).groupBy("year").agg(F.percentile("o_totalprice", 0.8).alias("threshold"), F.count(F.lit(1)).alias("n"))
 
 
 @query("w31_reversals", f"WITH {PRICES_SQL}, d AS (SELECT symbol, i, sign(close - lag(close) OVER (PARTITION BY symbol ORDER BY i)) AS d FROM px), m AS (SELECT symbol, (d <> lag(d) OVER (PARTITION BY symbol ORDER BY i))::INT AS turn FROM d WHERE d <> 0) SELECT symbol, coalesce(sum(turn), 0)::BIGINT AS reversals, count(*) AS moves FROM m GROUP BY 1")

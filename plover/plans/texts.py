@@ -114,9 +114,11 @@ def s22(t):
     return tx.inverted_to_text(t.part.select("p_partkey", index.alias("index")), "p_partkey", "index")
 
 
-@query("e10_event_dedupe", "SELECT source, substr(text, 1, 20) AS title, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2")
+@query("e10_event_dedupe", "SELECT ts::DATE AS day, substr(event_type || ' of ' || floor(value)::BIGINT, 1, 120) AS title, user_id, min(event_id) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3")
 def e10(t):
-    return t.documents.groupBy("source", F.substring("text", 1, 20).alias("title")).agg(F.min("doc_id").alias("doc_id"))
+    """One event per date, first 120 characters of the title, and source; rows without a date are dropped."""
+    title = F.concat(F.col("event_type"), F.lit(" of "), F.floor("value").cast("string"))
+    return t.events.filter("ts is not null").groupBy(F.col("ts").cast("date").alias("day"), F.substring(title, 1, 120).alias("title"), "user_id").agg(F.min("event_id").alias("event_id"))
 
 
 @query("e18_e19_derived_features", "SELECT p_partkey, round(ln(1 + greatest(p_retailprice, 0)), 6) AS log_price, round(p_retailprice/nullif(p_size, 0), 6) AS per_size FROM part")
