@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plover.session import scratch_path
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str]) -> DataFrame:
     """Rows of both tables; where a key is in both, each column follows its rule.
@@ -84,3 +89,39 @@ def status_changes(snapshots: DataFrame, key: str, at: str, value: str) -> DataF
     """Rows whose value differs from the key's previous snapshot."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(at))
     return snapshots.withColumn("previous", before).filter(~F.col(value).eqNullSafe(F.col("previous")))
+
+
+def newer_rows(known: DataFrame, rows: DataFrame, key: str, at: str) -> DataFrame:
+    """Rows after the last known time of their key, or all of a key that isn't known; adds last_known."""
+    last = known.groupBy(F.col(key).alias("_k")).agg(F.max(at).alias("last_known"))
+    met = rows.join(last, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    return met.filter(F.col("last_known").isNull() | (F.col(at) > F.col("last_known")))
+
+
+def cached(requests: DataFrame, cache: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Requests with ``value`` of the cache where all keys agree, and whether it was there; the last by value of repeats."""
+    known = cache.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(value).alias(value), F.lit(True).alias("_hit"))
+    met = requests.join(known, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+    return met.select(*requests.columns, value, F.coalesce("_hit", F.lit(False)).alias("cached"))
+
+
+def fingerprint(settings: dict) -> str:
+    """The first hex digits of the hash of the settings, whatever their order."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:24]
+
+
+def new_stage(spark: SparkSession, name: str) -> str:
+    """A path for staged windows in the shared folder."""
+    return scratch_path(spark, name)
+
+
+def stage(windows: DataFrame, window: str, settings: str, path: str) -> str:
+    """Write windows under the fingerprint of their settings; a window that is staged again is replaced whole."""
+    rows = windows.withColumn("settings", F.lit(settings)).withColumn("_window", F.col(window).cast("string"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_window").parquet(path)
+    return path
+
+
+def staged_windows(spark: SparkSession, path: str, settings: str) -> DataFrame:
+    """The windows that were staged under these settings."""
+    return spark.read.parquet(path).filter(F.col("settings") == settings).drop("settings", "_window")

@@ -178,10 +178,13 @@ def p51(t):
     return t.supplier.filter(F.col("s_nationkey").isin(1, 3, 5, 7, 9) & F.col("s_name").rlike("^Supplier") & ~F.col("s_name").rlike("13")).select("s_suppkey").dropDuplicates()
 
 
-@query("p53_x02_ordered_distinct", "SELECT DISTINCT s_suppkey, 'a,b,c' AS words FROM supplier")
+@query("p53_x02_ordered_distinct", "WITH w AS (SELECT c_custkey, trim(w) AS w, i FROM (SELECT c_custkey, unnest(string_split(c_mktsegment || ', ' || c_name || ',' || c_mktsegment || ',,' || c_nationkey, ',')) AS w, generate_subscripts(string_split(c_mktsegment || ', ' || c_name || ',' || c_mktsegment || ',,' || c_nationkey, ','), 1) AS i FROM customer)), f AS (SELECT c_custkey, w, min(i) AS i FROM w WHERE w <> '' GROUP BY 1, 2) SELECT c_custkey, array_to_string(list(w ORDER BY i)[1:3], ',') AS words, length(array_to_string(list(w ORDER BY i)[1:3], ',')) <= 40 AS fits FROM f GROUP BY 1")
 def p53(t):
-    words = F.filter(F.transform(F.split(F.lit("a, b,a,,c"), ","), lambda w: F.trim(w)), lambda w: w != "")
-    return t.supplier.select("s_suppkey", F.array_join(F.slice(F.array_distinct(words), 1, 3), ",").alias("words"))
+    """Keywords in order without repeats, three at most, and whether they fit a query."""
+    raw = F.concat("c_mktsegment", F.lit(", "), "c_name", F.lit(","), "c_mktsegment", F.lit(",,"), F.col("c_nationkey").cast("string"))
+    words = F.filter(F.transform(F.split(raw, ","), lambda w: F.trim(w)), lambda w: w != "")
+    joined = F.array_join(F.slice(F.array_distinct(words), 1, 3), ",")
+    return t.customer.select("c_custkey", joined.alias("words"), (F.length(joined) <= 40).alias("fits"))
 
 
 @query("x01_union_by_name", "SELECT s_suppkey AS k, s_acctbal AS v, NULL::VARCHAR AS w FROM supplier UNION ALL SELECT p_partkey, NULL, p_brand FROM part")
@@ -204,10 +207,10 @@ def x04(t):
     return pick("R").intersect(pick("A")).select(F.lit("both").alias("part"), "k").unionByName(pick("R").subtract(pick("A")).select(F.lit("only_a").alias("part"), "k"))
 
 
-@query("x05_x06_union_by_priority", "SELECT k, min_by(tag, pref) AS tag FROM (SELECT s_suppkey AS k, 'supplier' AS tag, 1 AS pref FROM supplier UNION ALL SELECT p_partkey, 'part', 2 FROM part WHERE p_partkey < 150) GROUP BY 1")
+@query("x05_x06_union_by_priority", "SELECT k, min_by(tag, pref) AS tag FROM (SELECT s_suppkey AS k, 'supplier' AS tag, 1 AS pref FROM supplier UNION ALL SELECT p_partkey, 'part', 2 FROM part) GROUP BY 1")
 def x05(t):
     one = t.supplier.select(F.col("s_suppkey").alias("k"), F.lit("supplier").alias("tag"), F.lit(1).alias("pref"))
-    two = t.part.filter("p_partkey < 150").select(F.col("p_partkey").alias("k"), F.lit("part").alias("tag"), F.lit(2).alias("pref"))
+    two = t.part.select(F.col("p_partkey").alias("k"), F.lit("part").alias("tag"), F.lit(2).alias("pref"))
     return one.unionByName(two).groupBy("k").agg(F.min_by("tag", "pref").alias("tag"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plover.operators import state as st
@@ -9,11 +10,10 @@ from plover.operators.timeseries import greedy_cooldown
 from plover.plans.registry import query
 
 
-@query("d02_d10_insert_or_ignore", "SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey <= 60 UNION ALL SELECT p_partkey, p_retailprice FROM part WHERE p_partkey BETWEEN 40 AND 120 AND p_partkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 60)")
+@query("d02_d10_insert_or_ignore", "SELECT s_suppkey AS k, s_acctbal AS v FROM supplier UNION ALL SELECT p_partkey, p_retailprice FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
 def d10(t):
-    old = t.supplier.filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    new = t.part.filter(F.col("p_partkey").between(40, 120)).select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
-    return st.insert_or_ignore(old, new, ["k"])
+    old = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    return st.insert_or_ignore(old, t.part.select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v")), ["k"])
 
 
 @query("d03_d19_d20_ledger", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -48,13 +48,59 @@ def d08(t):
     return out.select("merge_key", "records", F.array_join("sources", "|").alias("sources"), F.length("abstract").alias("longest"))
 
 
-@query("d09_e36_e37_e38_e39_s34_upsert", "WITH o AS (SELECT s_suppkey AS k, s_acctbal AS v, s_name AS n FROM supplier WHERE s_suppkey <= 60), w AS (SELECT p_partkey AS k, p_retailprice AS v, p_name AS n FROM part WHERE p_partkey BETWEEN 40 AND 120) SELECT coalesce(o.k, w.k) AS k, coalesce(w.v, o.v) AS v, CASE WHEN coalesce(length(w.n), -1) > coalesce(length(o.n), -1) THEN w.n ELSE o.n END AS n FROM o FULL JOIN w ON w.k = o.k")
+@query("d09_s34_upsert", "SELECT coalesce(s_suppkey, p_partkey) AS k, coalesce(p_retailprice, s_acctbal) AS v, CASE WHEN coalesce(length(p_name), -1) > coalesce(length(s_name), -1) THEN p_name ELSE s_name END AS n FROM supplier FULL JOIN part ON p_partkey = s_suppkey")
 def d09(t):
-    old = t.supplier.filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"), F.col("s_name").alias("n"))
-    new = t.part.filter(F.col("p_partkey").between(40, 120)).select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"), F.col("p_name").alias("n"))
+    old = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"), F.col("s_name").alias("n"))
+    new = t.part.select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"), F.col("p_name").alias("n"))
     return st.upsert(old, new, ["k"], {"v": "new", "n": "longest"})
 
 
+def _halves(t, key, **aggregates):
+    """A table of users as known before 15 January, and what the later events bring."""
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    build = lambda rows: rows.groupBy(key).agg(*[v.alias(k) for k, v in aggregates.items()])
+    return build(t.events.filter(early)), build(t.events.filter(~early))
+
+
+@query("e36_digest_candidates", "SELECT user_id, max(value) AS best_score, min(ts) AS first_seen, max(ts) AS last_seen, coalesce(max(event_id) FILTER (ts < TIMESTAMP '2024-01-15'), max(event_id)) AS run_id FROM events GROUP BY 1", digits=4)
+def e36(t):
+    """A candidate keeps its highest score, its first and last time and the run that first brought it."""
+    old, new = _halves(t, "user_id", best_score=F.max("value"), first_seen=F.min("ts"), last_seen=F.max("ts"), run_id=F.max("event_id"))
+    return st.upsert(old, new, ["user_id"], {"best_score": "max", "first_seen": "min", "last_seen": "max", "run_id": "old"})
+
+
+@query("e37_minimal_store", "WITH h AS (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1 HAVING max(o_totalprice) >= 200000) SELECT coalesce(c_custkey, o_custkey) AS k, c_name AS name, coalesce(h.top, c_acctbal) AS score, h.n AS seen FROM (SELECT * FROM customer WHERE c_acctbal > 0) c FULL JOIN h ON o_custkey = c_custkey")
+def e37(t):
+    """Only rows above a threshold enter the store; names stay, scores and counts follow the newest run."""
+    old = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"), F.lit(None).cast("long").alias("seen"))
+    high = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("seen"), F.max("o_totalprice").alias("score")).filter("score >= 200000")
+    return st.upsert(old, high.withColumn("name", F.lit(None).cast("string")), ["k"], {"name": "fill", "score": "new", "seen": "new"})
+
+
+@query("e38_window_records", "WITH w AS (SELECT ts::DATE AS day, event_type, event_id, count(*) FILTER (event_type = 'error') OVER (PARTITION BY ts::DATE) AS errors FROM events) SELECT day, count(*) AS records, max(errors) AS errors, CASE WHEN max(errors) > 60 THEN 'retry' ELSE 'done' END AS status, min(event_id) FILTER (event_type = 'error') AS first_retry FROM w GROUP BY 1")
+def e38(t):
+    """One status row per window; a window with many errors is queued again once, under its first error."""
+    error = F.col("event_type") == "error"
+    rows = t.events.groupBy(F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("records"), F.count_if(error).alias("errors"), F.min(F.when(error, F.col("event_id"))).alias("first_retry"))
+    return rows.withColumn("status", F.when(F.col("errors") > 60, "retry").otherwise("done"))
+
+
+@query("e39_search_state", "SELECT user_id, max(ts) AS last_attempt, max(ts) FILTER (event_type <> 'error') AS last_success, max_by(CASE WHEN event_type = 'error' THEN 'failed' ELSE '' END, struct_pack(a := ts, b := event_id)) AS error FROM events GROUP BY 1")
+def e39(t):
+    """A failed attempt keeps the time of the last good one."""
+    ok = F.when(F.col("event_type") != "error", F.col("ts"))
+    return t.events.groupBy("user_id").agg(F.max("ts").alias("last_attempt"), F.max(ok).alias("last_success"), F.max_by(F.when(F.col("event_type") == "error", "failed").otherwise(""), F.struct("ts", "event_id")).alias("error"))
+
+
+@query("s36_d08_paper_sources", "WITH r AS (SELECT doc_id, source, lang, text, sha256(coalesce(text, '')) AS paper FROM documents) SELECT source, doc_id AS source_id, paper, count(*) OVER (PARTITION BY paper) AS records, min(doc_id) OVER (PARTITION BY paper) AS paper_id, CASE WHEN row_number() OVER (PARTITION BY paper ORDER BY doc_id) = 1 THEN 'inserted' ELSE 'merged' END AS outcome FROM r")
+def s36(t):
+    """Every source record with the paper that it belongs to: the first one of a paper inserts it, later ones merge."""
+    rows = t.documents.select("source", F.col("doc_id").alias("source_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("paper"))
+    papers = rows.groupBy(F.col("paper").alias("p")).agg(F.count(F.lit(1)).alias("records"), F.min("source_id").alias("paper_id"))
+    outcome = F.when(F.col("source_id") == F.col("paper_id"), "inserted").otherwise("merged")
+    return rows.join(papers, F.col("paper") == F.col("p")).select("source", "source_id", "paper", "records", "paper_id", outcome.alias("outcome"))
+
+
 @query("d11_outbox", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1993-01-01')")
 def d11(t):
     queue = t.orders.filter("o_orderstatus = 'P'").select("o_orderkey")
@@ -63,10 +109,25 @@ def d11(t):
     return st.pending(queue, sent, base, "o_orderkey")
 
 
-@query("d12_e33_e34_budget", "WITH r AS (SELECT o_custkey, o_orderkey, sum(round(o_totalprice)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS spent FROM orders) SELECT o_custkey, o_orderkey, spent::BIGINT AS spent, spent <= 500000 AS allowed FROM r")
+_COSTS = "k AS (SELECT event_id, user_id, year(ts)::INT AS year, ts, length(props)*100 AS tokens_in, floor(value)::BIGINT AS tokens_out FROM events), c AS (SELECT *, round((tokens_in*3.0 + tokens_out*15.0)/1e6*150, 6) AS yen FROM k)"
+
+
+def _costs(t):
+    rows = t.events.select("event_id", "user_id", F.year("ts").alias("year"), "ts", (F.length("props") * 100).alias("tokens_in"), F.floor("value").alias("tokens_out"))
+    return rows.withColumn("yen", F.round((F.col("tokens_in") * 3.0 + F.col("tokens_out") * 15.0) / 1e6 * 150, 6))
+
+
+@query("e33_cost_ledger", f"WITH {_COSTS} SELECT year, user_id, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(yen), 4) AS yen FROM c GROUP BY 1, 2", digits=4)
+def e33(t):
+    """Yearly ledger of calls, tokens and yen, from rates per million tokens and the exchange rate."""
+    return _costs(t).groupBy("year", "user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("yen").alias("yen"))
+
+
+@query("d12_e34_budget", f"WITH {_COSTS}, r AS (SELECT *, sum((yen*1e6)::BIGINT) OVER w AS spent, 2000000 AS reserve FROM c WINDOW w AS (PARTITION BY user_id, year ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, spent::BIGINT AS spent, spent + reserve <= 20000000 AS allowed FROM r")
 def d12(t):
-    rows = t.orders.select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("cost"))
-    return st.within_budget(rows, ["o_orderkey"], "cost", 500000, ["o_custkey"]).select("o_custkey", "o_orderkey", "spent", "allowed")
+    """A call is allowed while what is spent and a reserve stay within the year's budget; once stopped, it stays so."""
+    rows = _costs(t).withColumn("micro", (F.col("yen") * 1e6).cast("long"))
+    return st.within_budget(rows, ["event_id"], "micro", 20000000 - 2000000, ["user_id", "year"]).select("event_id", "spent", "allowed")
 
 
 @query("d13_d22_latest_state", "SELECT user_id, max_by(event_type, event_id) AS state, CASE WHEN max_by(event_type, event_id) = 'click' THEN 'interrupted' ELSE 'done' END AS status FROM events GROUP BY 1")
@@ -75,12 +136,36 @@ def d13(t):
     return last.select("user_id", F.col("event_type").alias("state"), F.when(F.col("event_type") == "click", "interrupted").otherwise("done").alias("status"))
 
 
-@query("d14_s25_e29_windows", "SELECT day::DATE AS day FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1995-03-31', INTERVAL 1 DAY)) AS day) WHERE day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_custkey % 40 = 0)")
+@query("d14_s25_e29_windows", "WITH g AS (SELECT unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY))::DATE AS day), p AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT g.day FROM g LEFT JOIN p USING (day) WHERE p.n IS NULL")
 def d14(t):
-    """Days of the window that no run has processed."""
-    grid = t.spark.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("1995-03-31").cast("date"))).alias("day"))
-    done = t.orders.filter("o_custkey % 40 = 0").select(F.col("o_orderdate").cast("date").alias("day"))
-    return grid.join(done, "day", "left_anti")
+    """Days of the whole period that no run has processed."""
+    day = F.col("o_orderdate").cast("date")
+    grid = t.orders.agg(F.min(day).alias("a"), F.max(day).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
+    return grid.join(t.orders.filter("o_orderstatus = 'P'").select(day.alias("day")), "day", "left_anti")
+
+
+@query("d20_next_dates", "WITH g AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY))::DATE AS day), p AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n FROM events GROUP BY 1) SELECT day, CASE WHEN n IS NULL THEN 'new' ELSE 'retry' END AS why FROM g LEFT JOIN p USING (day) WHERE n IS NULL OR errors*5 > n")
+def d20(t):
+    """The dates that a continuous walker visits next: never seen, or with too many errors."""
+    grid = t.spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-02-10").cast("date"))).alias("day"))
+    seen = t.events.groupBy(F.col("ts").cast("date").alias("d")).agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("n"))
+    met = grid.join(seen, F.col("day") == F.col("d"), "left").filter("n is null or errors * 5 > n")
+    return met.select("day", F.when(F.col("n").isNull(), "new").otherwise("retry").alias("why"))
+
+
+_BATCHES = "px AS (SELECT l_suppkey AS symbol, l_shipdate::DATE AS day, max(l_extendedprice) AS close FROM lineitem GROUP BY 1, 2), old AS (SELECT * FROM px WHERE day < DATE '1997-06-01' AND symbol % 10 <> 0), lastd AS (SELECT symbol, max(day) AS last FROM old GROUP BY 1)"
+
+
+@query("d17_incremental_refresh", f"WITH {_BATCHES}, n AS (SELECT px.*, last FROM px LEFT JOIN lastd USING (symbol) WHERE last IS NULL OR day > last) SELECT symbol, count(*) AS added, min(day) AS first_added, any_value(last) AS last_known, any_value(last) IS NOT NULL AS history_known, max(day) >= DATE '1998-11-01' AS complete FROM n GROUP BY 1")
+def d17(t):
+    """Only rows after a symbol's last known day are added; new symbols get their whole history."""
+    rows = t.lineitem.groupBy(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("day")).agg(F.max("l_extendedprice").alias("close"))
+    known = rows.filter((F.col("day") < F.lit("1997-06-01").cast("date")) & (F.col("symbol") % 10 != 0))
+    added = st.newer_rows(known, rows, "symbol", "day")
+    return added.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("added"), F.min("day").alias("first_added"), F.any_value("last_known").alias("last_known"),
+        F.any_value("last_known").isNotNull().alias("history_known"), (F.max("day") >= F.lit("1998-11-01").cast("date")).alias("complete"),
+    )
 
 
 @query("d15_content_store", "SELECT sha256(text) AS content, min(doc_id) AS first_seen, max(doc_id) AS last_seen, count(*) AS observations FROM documents GROUP BY 1")
@@ -105,11 +190,55 @@ def e12(t):
     return newest.filter(hours > 6).select("user_id")
 
 
-@query("e32_review_cache_hit", "SELECT d.doc_id, b.item_id IS NOT NULL AS cached FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id AND sha256(b.text) = sha256(b.text) WHERE d.lang = 'de'")
+@query("e32_review_cache_hit", "SELECT d.doc_id, l.quality IS NOT NULL AND d.doc_id % 3 <> 0 AS cached, CASE WHEN d.doc_id % 3 <> 0 THEN l.quality END AS review FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def e32(t):
-    cache = t.benchmark.select("item_id", F.sha2("text", 256).alias("h")).dropDuplicates(["item_id", "h"])
-    met = t.documents.filter("lang = 'de'").join(cache, F.col("item_id") == F.col("doc_id"), "left")
-    return met.select("doc_id", F.col("item_id").isNotNull().alias("cached"))
+    """A review counts only for the same service, id, model, prompt version and hash of the input.
+
+    Every third text has changed since it was reviewed.
+    """
+    known = t.labels.select("doc_id", "quality").join(t.documents.select("doc_id", "text"), "doc_id")
+    as_key = lambda text: [F.lit("quality").alias("service"), F.lit("m1").alias("model"), F.lit("p1").alias("prompt"), F.sha2(text, 256).alias("input_hash")]
+    cache = known.select("doc_id", *as_key(F.col("text")), F.col("quality").alias("review"))
+    now = F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text"))
+    out = st.cached(t.documents.select("doc_id", *as_key(now)), cache, ["service", "doc_id", "model", "prompt", "input_hash"], "review")
+    return out.select("doc_id", "cached", "review")
+
+
+@query("e45_reviewer_gates", "SELECT event_id, CASE WHEN length(props) < 8 THEN 'no_evidence' WHEN value/200 < 0.75 THEN 'below_threshold' WHEN n > 5 THEN 'over_budget' ELSE 'review' END AS gate FROM (SELECT *, count(*) FILTER (value/200 >= 0.75 AND length(props) >= 8) OVER (PARTITION BY ts::DATE ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events)")
+def e45(t):
+    """Alerts that a reviewer is asked about: with evidence, a confidence of 0.75, and five a day at most."""
+    good = (F.length("props") >= 8) & (F.col("value") / 200 >= 0.75)
+    n = F.count_if(good).over(Window.partitionBy(F.col("ts").cast("date")).orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    gate = F.when(F.length("props") < 8, "no_evidence").when(F.col("value") / 200 < 0.75, "below_threshold").when(n > 5, "over_budget").otherwise("review")
+    return t.events.select("event_id", gate.alias("gate"))
+
+
+@query("e43_daily_headlines", "WITH e AS (SELECT event_id, ts::DATE AS day, event_type, value FROM events), c AS (SELECT day, max_by(event_id, struct_pack(v := value, i := event_id)) AS pick FROM e WHERE event_type = 'purchase' AND day < DATE '2024-01-20' GROUP BY 1), f AS (SELECT day, max_by(event_id, struct_pack(v := value, i := -event_id)) AS pick FROM e GROUP BY 1) SELECT f.day, coalesce(c.pick, f.pick) AS event_id, CASE WHEN c.pick IS NULL THEN 'rules' ELSE 'cache' END AS origin FROM f LEFT JOIN c USING (day)")
+def e43(t):
+    """Each day's headline as selected and cached before, else by the rules."""
+    rows = t.events.select("event_id", F.col("ts").cast("date").alias("day"), "event_type", "value")
+    cache = rows.filter((F.col("event_type") == "purchase") & (F.col("day") < F.lit("2024-01-20").cast("date"))).groupBy(F.col("day").alias("d")).agg(F.max_by("event_id", F.struct("value", "event_id")).alias("chosen"))
+    rules = rows.groupBy("day").agg(F.max_by("event_id", F.struct("value", (-F.col("event_id")).alias("m"))).alias("best"))
+    return rules.join(cache, F.col("day") == F.col("d"), "left").select("day", F.coalesce("chosen", "best").alias("event_id"), F.when(F.col("chosen").isNull(), "rules").otherwise("cache").alias("origin"))
+
+
+@query("e44_scout_new_minutes", "WITH m AS (SELECT date_trunc('minute', ts) AS stamp, event_type, user_id, event_id FROM events), done AS (SELECT DISTINCT stamp FROM m WHERE event_type = 'signup'), n AS (SELECT * FROM m WHERE stamp NOT IN (SELECT stamp FROM done) AND event_type IN ('error', 'click')), w AS (SELECT event_type, time_bucket(INTERVAL 90 MINUTE, stamp, TIMESTAMP '1970-01-01') AS window_start, count(DISTINCT user_id) AS sources, count(*) AS n FROM n GROUP BY 1, 2) SELECT event_type, window_start, sources, n FROM w WHERE sources >= 2")
+def e44(t):
+    """Stamps that no run has seen, the titles that a rule takes, then windows with two sources."""
+    rows = t.events.withColumn("stamp", F.date_trunc("minute", F.col("ts").cast("timestamp"))).select("stamp", "event_type", "user_id", "event_id")
+    new = rows.join(rows.filter("event_type = 'signup'").select("stamp"), "stamp", "left_anti").filter(F.col("event_type").isin("error", "click"))
+    out = st.corroborated(new, "event_type", "stamp", "user_id", "event_id", 90, F.lit(False))
+    return out.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "sources", "n")
+
+
+@query("e46_interest_cache", "WITH w AS (SELECT user_id, count(*) AS points, max(ts) AS stamp, round(avg(value), 4) AS mean FROM events GROUP BY 1), age AS (SELECT *, date_diff('day', stamp::DATE, DATE '2024-02-03') AS days FROM w) SELECT c_custkey, CASE WHEN user_id IS NULL THEN 'missing' WHEN days <= 7 THEN 'cache' ELSE 'stale' END AS origin, CASE WHEN days <= 7 THEN mean END AS mean, CASE WHEN days <= 7 THEN points END AS points FROM customer LEFT JOIN age ON user_id = c_custkey", digits=4)
+def e46(t):
+    """Interest summaries that are at most seven days old are taken from the cache and joined to members."""
+    cache = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("points"), F.max("ts").alias("at"), F.round(F.avg("value"), 4).alias("mean"))
+    met = t.customer.select("c_custkey").join(cache, F.col("user_id") == F.col("c_custkey"), "left")
+    fresh = F.datediff(F.lit("2024-02-03").cast("date"), F.col("at").cast("date")) <= 7
+    origin = F.when(F.col("user_id").isNull(), "missing").when(fresh, "cache").otherwise("stale")
+    return met.select("c_custkey", origin.alias("origin"), F.when(fresh, F.col("mean")).alias("mean"), F.when(fresh, F.col("points")).alias("points"))
 
 
 @query("e40_diagnosis_rules", "SELECT user_id, CASE WHEN avg(value) > 60 THEN 'critical' WHEN count(*) > 80 THEN 'busy' WHEN count(*) < 40 THEN 'quiet' ELSE 'normal' END AS status FROM events GROUP BY 1")
@@ -134,10 +263,18 @@ def d06(t):
     return intervals(rows)
 
 
-@query("d16_d18_fingerprint", "SELECT s_nationkey, count(*) AS n, substr(sha256('v1|s_nationkey'), 1, 24) AS fingerprint FROM supplier GROUP BY 1")
+@query("d16_d18_resume", "SELECT year(o_orderdate)::INT AS year, count(*) AS n, round(sum(round(o_totalprice*100)::BIGINT)/100.0, 2) AS total, CASE WHEN year(any_value(o_orderdate)) <= 1994 THEN 'resumed' ELSE 'computed' END AS origin FROM orders GROUP BY 1", digits=2)
 def d16(t):
-    """A staged result carries the fingerprint of its settings, so a resumed run can check it."""
-    out = t.supplier.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("fingerprint", F.substring(F.sha2(F.lit("v1|s_nationkey"), 256), 1, 24))
-
-
+    """Windows staged under the same settings are resumed; missing windows and those of other settings are computed.
+
+    The years to 1994 were staged under these settings, 1995 under older ones.
+    """
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    yearly = lambda rows: rows.groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"), (F.sum(cents) / 100).alias("total"))
+    now, before = st.fingerprint({"version": 2, "unit": "cents"}), st.fingerprint({"version": 1, "unit": "cents"})
+    year = F.year("o_orderdate")
+    staged = st.stage(yearly(t.orders.filter(year <= 1994)), "year", now, st.new_stage(t.spark, "windows"))
+    staged = st.stage(yearly(t.orders.filter(year == 1995)), "year", before, staged)
+    done = st.staged_windows(t.spark, staged, now)
+    rest = t.orders.withColumn("year", year).join(done.select("year").distinct(), "year", "left_anti")
+    return done.withColumn("origin", F.lit("resumed")).unionByName(yearly(rest).withColumn("origin", F.lit("computed")))

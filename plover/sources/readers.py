@@ -62,3 +62,61 @@ def semi_join_any(df: DataFrame, keys: DataFrame, pairs: list[tuple[str, str]])
         found = df.join(keys.select(F.col(right).alias("_k")).dropna().distinct(), F.col(left) == F.col("_k"), "left_semi")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
+
+
+def read_table(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8",)) -> DataFrame:
+    """A table by the suffix of its path: csv, tsv, jsonl or json, parquet. All columns of text files are text."""
+    suffix = path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
+    if suffix == "parquet":
+        return spark.read.parquet(path)
+    if suffix in ("jsonl", "json"):
+        return spark.read.option("primitivesAsString", True).json(path)
+    if suffix in ("csv", "tsv", "txt"):
+        return read_csv(spark, path, encodings, "," if suffix == "csv" else "\t")
+    raise ValueError(f"no reader for {path}")
+
+
+def reload_clean(spark: SparkSession, path: str, columns: list[str], key: str) -> DataFrame:
+    """An earlier clean table with exactly ``columns``; missing ones are empty, rows without a key are left out."""
+    rows = read_table(spark, path)
+    out = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns]
+    return rows.select(*out).filter(F.trim(key) != "")
+
+
+def semi_join_csv(spark: SparkSession, path: str, keys: DataFrame, pairs: list[tuple[str, str]], columns: list[str]) -> DataFrame:
+    """Rows of a CSV whose keys are known, without the columns that nobody asked for.
+
+    The scan reads the key columns and ``columns`` only, and the keys are met
+    before anything else is done with a row.
+    """
+    known = read_csv(spark, path)
+    wanted = [c for c in dict.fromkeys([*[a for a, _ in pairs], *columns]) if c in known.columns]
+    return semi_join_any(known.select(*wanted), keys, pairs).select(*[c for c in columns if c in wanted])
+
+
+def feature_rules(df: DataFrame, priority: dict[str, int]) -> list[tuple[str, str, int]]:
+    """(name, eligibility, priority) of each column: identifiers, dates and texts are no features.
+
+    Numbers have priority 1, or that of the first suffix that their name ends with.
+    """
+    out = []
+    for field in df.schema.fields:
+        if field.name.endswith(("key", "_id")):
+            kind = "identifier"
+        elif isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            kind = "date"
+        else:
+            kind = "feature" if isinstance(field.dataType, T.NumericType) else "text"
+        out.append((field.name, kind, next((p for suffix, p in priority.items() if field.name.endswith(suffix)), 1) if kind == "feature" else 0))
+    return out
+
+
+def threshold_sets(text: str) -> list[tuple[str, float, float]]:
+    """(name, small, large) of each ``name:small:large`` between semicolons; names differ and limits ascend."""
+    out = []
+    for part in filter(None, map(str.strip, text.split(";"))):
+        name, small, large = (x.strip() for x in part.split(":"))
+        if not name or float(small) >= float(large) or name in [x[0] for x in out]:
+            raise ValueError(f"bad threshold set: {part}")
+        out.append((name, float(small), float(large)))
+    return out
