@@ -489,3 +489,35 @@ def test_pipeline_stages_keep_texts_without_an_id_or_under_a_repeated_one(spark)
     drawn = corpus_pipeline.mix_sources(spark, clean, sf_dir)
     per_text = [r["n"] for r in drawn.groupBy("doc_id", "text", "copy").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert per_text and max(per_text) == 1
+
+
+CLASHES = "host path evidence posterior score spans found_id again_id several gone_id size target source_size copy shard words local_order mixed_id _features id label".split()
+
+
+def test_pipeline_stages_with_clashing_columns_ties_long_texts_and_nothing(spark):
+    import corpus_pipeline
+
+    sf_dir, rng = "/root/testdata/sf0.001", random.Random(25)
+    texts = [(k, words(rng, 60)) for k in range(30)] + [(40, None), (41, ""), (42, " "), (43, words(rng, 20_000)), (44, f"{words(rng, 50)} token = 'abcdefghijkl'")]
+    docs = docs_of(spark, texts).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"), *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        out = corpus_pipeline.materialize(stage(spark, docs, sf_dir), "test-clash")
+        rows = out.collect()
+        if number < 4:
+            assert out.columns == docs.columns and all(r[c] == f"own {c}" for r in rows for c in CLASHES)
+        if number in (1, 2, 3):
+            assert {r["doc_id"] for r in rows} == {i for i, _ in texts}
+        if number == 3:
+            assert {r["doc_id"]: r["text"] for r in rows} == {**dict(texts), 44: texts[-1][1].replace("token = 'abcdefghijkl", "[SECRET]")}
+        if number == 4:
+            assert all(r["host"] == "own host" for r in rows) and {r["doc_id"] for r in rows} <= {i for i, t in texts if t and t.strip()}
+            assert all(len(r["text"].split()) == r["words"] <= r["size"] for r in rows)
+
+
+def test_pipeline_mix_draws_repeated_rows_each(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, [(1, "a b c d"), (1, "a b c d"), (None, "e f"), (None, "e f"), (2, "g h i")]).select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
+    drawn = corpus_pipeline.mix_sources(spark, docs, "/root/testdata/sf0.001").collect()
+    assert sum(r["words"] for r in drawn) in (22, 23) and all(r["source_size"] == 15 for r in drawn)
