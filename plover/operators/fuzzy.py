@@ -1,31 +1,67 @@
-"""Fuzzy name matching: pairs that share a character n-gram, their ratio, and a margin between companies."""
+"""Fuzzy name matching: a lossless search for candidates, their ratio, and a margin between companies."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.functions.unicode import nfkc, sequence_ratio
 from plover.operators.joins import best_with_margin
 
 
-def _grams(text: str, n: int) -> F.Column:
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda k: F.length(F.substring(F.col(text), k, F.lit(n))) > 0)
-    return F.array_distinct(F.transform(starts, lambda k: F.substring(F.col(text), k, F.lit(n))))
+def _tokens(texts: DataFrame, key: str) -> DataFrame:
+    """(key, token): each distinct text's characters, numbered by how often they have come before."""
+    counts = texts.select(key, F.explode(F.split(key, "")).alias("char")).filter("char <> ''").groupBy(key, "char").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(key, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.struct("char", k.alias("turn")))).alias("token"))
 
 
-def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = 0.75, margin: float = 0.10, gram: int = 3) -> DataFrame:
+def _prefixes(tokens: DataFrame, order: DataFrame, key: str, least: float) -> DataFrame:
+    """The rarest tokens of each text.
+
+    Texts of lengths m and n with a ratio of ``least`` share at least
+    ``least * (m + n) / 2`` characters, and n is at least m * least / (2 - least),
+    so m * least / (2 - least) of them: any two share one among the rarest
+    m - that + 1 of both.
+    """
+    ranked = tokens.join(order, "token").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("seen", "token")))
+    need = F.greatest(F.ceil(F.length(key) * (least / (2 - least)) - 1e-9), F.lit(1))
+    return ranked.filter(F.col("at") <= F.length(key) - need + 1).select(key, "token")
+
+
+def _within(shorter: DataFrame, longer: DataFrame, short_key: str, long_key: str) -> DataFrame:
+    """Pairs of which the first is contained in the second: an equi-join with the second's parts of the lengths that occur."""
+    lengths = shorter.agg(F.array_sort(F.collect_set(F.length(short_key))).alias("lengths"))
+    parts = longer.crossJoin(F.broadcast(lengths)).select(long_key, F.explode("lengths").alias("size")).filter(F.col("size").between(1, F.length(long_key)))
+    parts = parts.select(long_key, F.explode(F.transform(F.sequence(F.lit(1), F.length(long_key) - F.col("size") + 1), lambda k: F.substring(F.col(long_key), k, F.col("size")))).alias("part")).distinct()
+    return shorter.join(parts, F.col(short_key) == F.col("part")).select(short_key, long_key)
+
+
+def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = 0.75, margin: float = 0.10) -> DataFrame:
     """Per name (key, name) its company among aliases (company, alias): matched, ambiguous or not_found.
 
-    Names without a common n-gram never meet. Two strings with a ratio of 0.75
-    and eight characters or more share a run of three unless their matching
-    blocks are all shorter. A containment counts 0.94 at least. The margin is to
-    the next company, so two aliases of one company aren't ambiguous.
+    All pairs with a ratio of ``least - margin``, which may make a match
+    ambiguous, or where one contains the other are compared: the former share
+    one of their rarest characters, the latter are found by an equi-join of
+    parts. Names that meet nothing, null and empty ones
+    are not_found with a score of 0. A containment counts 0.94 at least. The
+    margin is to the next company, so two aliases of one company aren't
+    ambiguous.
     """
-    left = names.select("key", F.lower(nfkc(F.col("name"))).alias("name")).withColumn("g", F.explode(_grams("name", gram)))
-    right = aliases.select("company", F.lower(nfkc(F.col("alias"))).alias("alias")).withColumn("g", F.explode(_grams("alias", gram)))
-    pairs = left.join(right, "g").select("key", "name", "company", "alias").distinct()
+    floor = least - margin
+    left = names.select("key", F.lower(nfkc(F.col("name"))).alias("name"))
+    right = aliases.select("company", F.lower(nfkc(F.col("alias"))).alias("alias")).filter("alias <> ''")
+    one, two = left.select("name").filter("name <> ''").distinct(), right.select("alias").distinct()
+    t1, t2 = _tokens(one, "name"), _tokens(two, "alias")
+    order = t1.select("token").unionByName(t2.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    near = _prefixes(t1, order, "name", floor).join(_prefixes(t2, order, "alias", floor), "token").select("name", "alias")
+    low, high = F.length("name") * (floor / (2 - floor)), F.length("name") * ((2 - floor) / floor)
+    near = near.filter(F.length("alias").between(F.floor(low), F.ceil(high)))
+    pairs = near.unionByName(_within(two, one, "alias", "name").select("name", "alias")).unionByName(_within(one, two, "name", "alias")).distinct()
     inside = F.col("name").contains(F.col("alias")) | F.col("alias").contains(F.col("name"))
     scored = pairs.withColumn("ratio", sequence_ratio(F.col("name"), F.col("alias")))
     scored = scored.withColumn("score", F.when(F.col("name") == F.col("alias"), 1.0).when(inside, F.greatest(F.col("ratio"), F.lit(0.94))).otherwise(F.col("ratio")))
-    return best_with_margin(scored, "key", "company", "score", least, margin)
+    found = left.join(scored.filter(F.col("score") >= floor - 1e-9), "name").join(right, "alias").select("key", "company", "score")
+    best = best_with_margin(found, "key", "company", "score", least, margin)
+    return left.select(F.col("key").alias("_key")).distinct().join(best, F.col("_key").eqNullSafe(F.col("key")), "left").select(
+        F.col("_key").alias("key"), F.coalesce("match_status", F.lit("not_found")).alias("match_status"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"), F.coalesce("second_score", F.lit(0.0)).alias("second_score"), "company"
+    )

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plover.operators.stats import correlations
+
 
 def moments(df: DataFrame, features: list[str], target: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, float]:
     """(n, mean, centred Gram matrix, centred products with the target, target mean) of complete rows."""
@@ -30,6 +32,28 @@ def ridge(df: DataFrame, features: list[str], target: str, penalty: float) -> tu
     return float(target_mean - beta @ mean), beta
 
 
+def best_ridge(rows: DataFrame, features: list[str], target: str, time: str, last: int, penalties: tuple[float, ...]) -> tuple[float, float, np.ndarray]:
+    """(penalty, intercept, coefficients): the penalty with the least error at ``time`` = ``last`` after a fit before it, then fitted on all.
+
+    The sums are taken once for each half; every penalty is a solve on the driver, and all are tried in one pass.
+    """
+    inner, held = rows.filter(F.col(time) < last), rows.filter(F.col(time) == last)
+    tried = [(p, *ridge(inner, features, target, p)) for p in penalties]
+    errors = held.agg(*[F.avg(F.abs(F.col(target) - linear(features, b, w))) for _, b, w in tried]).first()
+    scored = [(e, p) for e, (p, *_) in zip(errors, tried, strict=True) if e is not None]
+    penalty = min(scored)[1] if scored else penalties[0]
+    return penalty, *ridge(rows, features, target, penalty)
+
+
+def select_features(rows: DataFrame, features: list[str], target: str, most: int, coverage: float = 0.35) -> list[str]:
+    """The features that are known often enough and correlate most with the target by rank; ties by name."""
+    stacked = ", ".join(f"'{c}', cast({c} as double)" for c in features)
+    long = rows.select(F.col(target).cast("double").alias("y"), F.expr(f"stack({len(features)}, {stacked}) as (feature, x)"))
+    known = long.groupBy("feature").agg((F.count("x") / F.count(F.lit(1))).alias("share")).filter(F.col("share") >= coverage)
+    found = correlations(long.join(F.broadcast(known), "feature").drop("share"), ["feature"], 2)
+    return [r["feature"] for r in found.orderBy(F.abs("spearman").desc_nulls_last(), "feature").limit(most).collect()]
+
+
 def elastic_net(df: DataFrame, features: list[str], target: str, penalty: float, l1_share: float, sweeps: int = 500) -> tuple[float, np.ndarray]:
     """Coordinate descent on the same sums; no row leaves the executors."""
     _, mean, gram, cross, target_mean = moments(df, features, target)

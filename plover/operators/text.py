@@ -85,7 +85,7 @@ def diverse_pick(candidates: DataFrame, by: str, count: int, pool: int = 100, sa
     title; adds place.
     """
     n = F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc_nulls_last(), "doc_id"))
-    words = F.array_distinct(F.filter(F.split(F.coalesce("title", F.lit("")), r"[^\\p{L}\\p{N}]+"), lambda w: F.length(w) >= 3))
+    words = F.array_distinct(F.filter(F.split(F.coalesce("title", F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
     best = candidates.withColumn("n", n).filter(F.col("n") <= pool).select(by, F.struct("n", "doc_id", F.coalesce("domain", F.lit("")).alias("domain"), words.alias("words")).alias("c"))
     lists = best.groupBy(by).agg(F.array_sort(F.collect_list("c")).alias("all"))
     take = f"""(a, x) -> if(size(a) >= {count} or exists(a, y -> y.n = x.n or (size(array_intersect(x.words, y.words)) > 0 and size(array_intersect(x.words, y.words)) >= {same} * least(size(x.words), size(y.words)))), a, concat(a, array(x)))"""

@@ -69,7 +69,7 @@ def p16(t):
     return t.supplier.select("s_suppkey", c.ticker(raw).alias("ticker"))
 
 
-@query("p18_identifiers", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '10.1000/x' || p_partkey END AS doi, CASE WHEN p_partkey % 2 = 1 THEN '2401.' || lpad(p_partkey::VARCHAR, 5, '0') END AS arxiv FROM part")
+@query("p18_n15_identifiers", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '10.1000/x' || p_partkey END AS doi, CASE WHEN p_partkey % 2 = 1 THEN '2401.' || lpad(p_partkey::VARCHAR, 5, '0') END AS arxiv FROM part")
 def p18(t):
     key = F.col("p_partkey").cast("string")
     even = F.col("p_partkey") % 2 == 0

@@ -139,6 +139,46 @@ def j16(t):
     return joins.point_in_time(events, _facts(t), "cust", "day", [F.col("end"), F.col("filed")], ["y", "value"]).select("event_id", "y", "value")
 
 
+@query("e03_enriched_signals", f"WITH {_FACTS}, e AS (SELECT o_orderkey, o_custkey AS cust, o_orderdate::DATE AS day FROM orders WHERE o_orderpriority = '1-URGENT') SELECT e.o_orderkey AS event_id, max_by(y, fin) AS y, round(max_by(value, fin), 2) AS value, CASE WHEN max(y) IS NULL THEN 'no_facts' ELSE 'ok' END AS status FROM e LEFT JOIN facts f ON f.cust = e.cust AND filed <= day AND fin <= day GROUP BY 1", digits=2)
+def e03(t):
+    """Signal rows read from a CSV file, each with the facts that were known on its day."""
+    from plover.session import scratch_path
+    from plover.sources import readers
+
+    path = scratch_path(t.spark, "signals")
+    t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("Event Id"), F.col("o_custkey").alias("銘柄"), F.col("o_orderdate").cast("date").alias("date")).write.option("header", True).csv(path)
+    rows = readers.with_aliases(readers.read_csv(t.spark, path), {"event_id": [], "cust": ["銘柄"], "day": ["date"]})
+    rows = rows.select(F.col("event_id").cast("long"), F.col("cust").cast("long"), F.col("day").cast("date"))
+    known = _facts(t).withColumn("known_on", F.greatest("filed", "end"))
+    met = joins.asof_join(rows, known, "cust", "day", "known_on", ["y", "value"])
+    return met.select("event_id", "y", "value", F.when(F.col("y").isNull(), "no_facts").otherwise("ok").alias("status"))
+
+
+@query("e04_e05_staged_facts", f"WITH {_FACTS}, e AS (SELECT c_custkey AS cust, DATE '1995-03-01' + (c_custkey % 300)::INT AS peak FROM customer), s AS (SELECT cust, unnest(['peak', 'bottom', 'now']) AS stage, unnest([peak, peak + 365, peak + 900]) AS day FROM e), v AS (SELECT s.cust, stage, max_by(value, fin) AS value FROM s LEFT JOIN facts f ON f.cust = s.cust AND filed <= day AND fin <= day GROUP BY 1, 2) SELECT cust, round(max(value) FILTER (stage = 'peak'), 2) AS peak_value, round(max(value) FILTER (stage = 'bottom'), 2) AS bottom_value, round(max(value) FILTER (stage = 'now'), 2) AS now_value FROM v GROUP BY 1", digits=2)
+def e04(t):
+    """Each event's three stages as rows, one as-of join with the facts, then a column per stage."""
+    peak = F.expr("date_add(date'1995-03-01', cast(c_custkey % 300 as int))")
+    events = t.customer.select(F.col("c_custkey").alias("cust"), peak.alias("peak"), F.date_add(peak, 365).alias("bottom"), F.date_add(peak, 900).alias("now"))
+    long = events.unpivot("cust", ["peak", "bottom", "now"], "stage", "day")
+    met = joins.asof_join(long, _facts(t).withColumn("known_on", F.greatest("filed", "end")), "cust", "day", "known_on", ["value"])
+    wide = met.groupBy("cust").pivot("stage", ["peak", "bottom", "now"]).agg(F.max("value"))
+    return wide.withColumnsRenamed({s: f"{s}_value" for s in ("peak", "bottom", "now")})
+
+
+@query("e09_review_queue", """WITH r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_nationkey::VARCHAR END AS name FROM supplier WHERE s_suppkey % 2 = 0), c AS (SELECT r.s_suppkey, c_custkey, CASE WHEN c_acctbal > 9000 THEN 1.0 ELSE 0.8 END AS score FROM r JOIN customer ON c_nationkey::VARCHAR = r.name AND c_acctbal > 8000),
+g AS (SELECT s_suppkey, count(*) AS n, max(score) AS top, max_by(c_custkey, struct_pack(a := score, b := -c_custkey)) AS best FROM c GROUP BY 1)
+SELECT r.s_suppkey, coalesce(n, 0) AS candidates, best, top, CASE WHEN name = '' THEN 'name_missing' WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'multiple' WHEN top < 0.92 THEN 'low_confidence' ELSE 'found' END AS reason FROM r LEFT JOIN g USING (s_suppkey)""")
+def e09(t):
+    """Rows without a number: how many candidates there are, the best of them, and why a person has to look."""
+    rows = t.supplier.filter("s_suppkey % 2 = 0").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.col("s_nationkey").cast("string")).alias("name"))
+    score = F.when(F.col("c_acctbal") > 9000, 1.0).otherwise(0.8)
+    found = rows.join(t.customer.filter("c_acctbal > 8000"), F.col("c_nationkey").cast("string") == F.col("name")).select("s_suppkey", "c_custkey", score.alias("score"))
+    best = found.groupBy(F.col("s_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.max_by("c_custkey", F.struct("score", -F.col("c_custkey"))).alias("best"))
+    met = rows.join(best, F.col("s_suppkey") == F.col("k"), "left")
+    reason = F.when(F.col("name") == "", "name_missing").when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "multiple").when(F.col("top") < 0.92, "low_confidence").otherwise("found")
+    return met.select("s_suppkey", F.coalesce("n", F.lit(0)).alias("candidates"), "best", "top", reason.alias("reason"))
+
+
 @query("j17_e02_prior_year_change", f"WITH {_FACTS} SELECT a.cust, a.y, round((a.value - b.value)/abs(b.value), 6) AS change FROM facts a JOIN facts b ON b.cust = a.cust AND date_diff('day', b.fin, a.fin) BETWEEN 250 AND 500")
 def j17(t):
     facts = _facts(t)
@@ -274,9 +314,9 @@ def j40(t):
 
 @query("j06_j07_fuzzy_names")
 def j07(t):
-    """Misspelt type names against the list of types; the ratio has no SQL counterpart."""
+    """Misspelt type names and names that are none, against the list of types; the ratio has no SQL counterpart."""
     from plover.operators.fuzzy import fuzzy_match
 
     types = t.part.groupBy("p_type").agg(F.min("p_partkey").alias("company")).select("company", F.col("p_type").alias("alias"))
     names = types.select(F.col("company").alias("key"), F.concat(F.substring("alias", 1, 5), F.lit("x"), F.expr("substring(alias, 6)")).alias("name"))
-    return fuzzy_match(names, types)
+    return fuzzy_match(names.unionByName(t.customer.select((-F.col("c_custkey")).alias("key"), F.col("c_name").alias("name"))), types)

@@ -227,3 +227,15 @@ def w37(t):
     stamp = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = t.events.withColumn("u", stamp)
     return rows.select("event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy("u").rangeBetween(-3_600_000_000, 0)).alias("n"))
+
+
+@query("e51_daily_signals", f"""{_SIGNALS}, l AS (SELECT symbol, max(i) AS last_i, max(day) AS last_day FROM px GROUP BY 1), sg AS (SELECT c.symbol, max(c.confirm_i) AS signal_i FROM cand c JOIN keep ON keep.symbol = c.symbol AND keep.k = c.confirm_i GROUP BY 1)
+SELECT l.symbol, last_day, signal_i, CASE WHEN last_day < DATE '1998-06-01' THEN 'inactive' WHEN signal_i IS NULL THEN 'none' WHEN last_i - signal_i <= 400 THEN 'fresh' ELSE 'old' END AS status FROM l LEFT JOIN sg USING (symbol)""")
+def e51(t):
+    """Each symbol's last signal, with whether the symbol is active and the signal fresh enough to be sent."""
+    series = prices(t.lineitem)
+    last = series.groupBy("symbol").agg(F.max("i").alias("last_i"), F.max("day").alias("last_day"))
+    found = ts.signals(series, RULES).groupBy(F.col("symbol").alias("s")).agg(F.max("confirm_i").alias("signal_i"))
+    met = last.join(found, F.col("symbol") == F.col("s"), "left")
+    status = F.when(F.col("last_day") < F.lit("1998-06-01").cast("date"), "inactive").when(F.col("signal_i").isNull(), "none").when(F.col("last_i") - F.col("signal_i") <= 400, "fresh").otherwise("old")
+    return met.select("symbol", "last_day", "signal_i", status.alias("status"))

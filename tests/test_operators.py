@@ -56,7 +56,7 @@ def test_weights_are_renormalised(spark):
 def test_average_rank_auc_and_holm(spark):
     df = spark.createDataFrame([(1, 1.0, 0), (2, 2.0, 1), (3, 2.0, 0), (4, 3.0, 1)], "k int, s double, y int")
     assert [r[1] for r in rows(df.select("k", stats.average_rank("s").alias("r")), "k")] == [1.0, 2.5, 2.5, 4.0]
-    assert stats.auc(df, "s", "y").first()["auc"] == 3.5 / 4
+    assert stats.auc(df, "s", "y").first()["auc"] == 3.5 / 4 and stats.auc(df.filter("y = 1"), "s", "y").first()["auc"] is None
     p = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03)], "k int, p double")
     assert [round(r[1], 6) for r in rows(stats.holm_adjusted(p, "p", "k").select("k", "p_holm"), "k")] == [0.03, 0.06, 0.06]
 
@@ -131,3 +131,116 @@ def test_fuzzy_names_margin_between_companies(spark):
     names = spark.createDataFrame([(1, "ＡＣＭＥ Robotic"), (2, "globex system"), (3, "unrelated words"), (4, None)], "key int, name string")
     got = {r["key"]: (r["match_status"], r["company"]) for r in fuzzy_match(names, aliases).collect()}
     assert got[1] == ("matched", 1) and got[2] == ("ambiguous", None) and got.get(3, ("not_found", None)) == ("not_found", None)
+
+
+def test_fuzzy_names_match_all_pairs(spark):
+    import random
+    import unicodedata
+    from difflib import SequenceMatcher
+
+    from plover.operators.fuzzy import fuzzy_match
+
+    rng = random.Random(3)
+    base = ["lg", "東芝", "東芝電機", "acme robotics", "acme robots", "globex", "abcabcabc", "x", "initech systems", "umbrella"]
+    aliases = [(k, "".join(c if rng.random() < 0.9 else rng.choice("abxyz ") for c in w)) for k, w in enumerate(base * 3)] + [(50, None), (51, "")]
+    names = [(k, "".join(c if rng.random() < 0.85 else rng.choice("aexq") for c in rng.choice(base).upper())) for k in range(60)] + [(90, None), (91, ""), (92, "LG Electronics"), (93, "qqqq"), (92, "LG Electronics")]
+    got = {r["key"]: tuple(r)[1:] for r in fuzzy_match(spark.createDataFrame(names, "key int, name string"), spark.createDataFrame(aliases, "company int, alias string")).collect()}
+    assert set(got) == {k for k, _ in names}
+    for key, name in names:
+        name, best = unicodedata.normalize("NFKC", name or "").lower(), {}
+        for company, alias in aliases:
+            if not name or not alias:
+                continue
+            ratio = SequenceMatcher(None, name, alias).ratio()
+            score = 1.0 if name == alias else max(ratio, 0.94) if name in alias or alias in name else ratio
+            if score >= 0.65 - 1e-9:
+                best[company] = max(best.get(company, 0), score)
+        first, second = ([*sorted(best.values(), reverse=True), 0.0, 0.0])[:2]
+        status = "not_found" if first < 0.75 else "ambiguous" if first - second < 0.10 else "matched"
+        assert got[key][0] == status and abs(got[key][1] - first) < 1e-9 and abs(got[key][2] - second) < 1e-9
+
+
+def test_running_totals_of_ties_nulls_and_nothing(spark):
+    import random
+
+    from plover.operators import ranks
+
+    rng = random.Random(1)
+    data = [(k, rng.choice([None, 1.0, 2.0, 2.0, 7.5]), rng.randrange(9)) for k in range(400)]
+    df = spark.createDataFrame(data, "k int, v double, w int")
+    out = ranks.running(df, [F.col("v").asc_nulls_first(), F.col("k")], {"n": F.lit(1), "s": F.col("w")}, {"m": F.col("w")})
+    want, total, most = {}, 0, 0
+    for place, (k, _, w) in enumerate(sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1):
+        total, most = total + w, max(most, w)
+        want[k] = (place, total, most)
+    assert {r["k"]: (r["n"], r["s"], r["m"]) for r in out.collect()} == want
+    assert ranks.row_number(df.limit(0), ["v", "k"]).count() == 0
+    below = {r["v"]: (r["c"], r["below_c"]) for r in ranks.by_value(df.filter("v is not null"), "v", {"c": F.lit(1)}).collect()}
+    assert below == {v: (sum(x[1] == v for x in data), sum(x[1] is not None and x[1] < v for x in data)) for v in {x[1] for x in data} - {None}}
+
+
+def test_rankings_send_no_table_through_one_task(spark):
+    from plover.plans import registry
+
+    for name in ("t01_weighted_ranking", "t03_ranked_routing", "a45_auc", "a46_m18_delong", "a47_average_precision", "a52_holm"):
+        df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window [" not in plan or "_r_part" in plan, name
+
+
+def test_median_of_others(spark):
+    import random
+    from statistics import median
+
+    rng = random.Random(2)
+    data = [(k, rng.choice("aaabbc"), rng.choice([None, 1.0, 2.0, 5.0, rng.random()])) for k in range(80)] + [(99, "z", 1.0)]
+    got = {r["k"]: (r["peers"], r["others_median"]) for r in joins.median_of_others(spark.createDataFrame(data, "k int, g string, v double"), "g", "k", "v").collect()}
+    for k, g, v in data:
+        others = [x for j, h, x in data if h == g and j != k and x is not None]
+        assert got[k] == ((None, None) if v is None else (len(others), median(others) if others else None))
+
+
+def test_diverse_pick_matches_a_plain_fold(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), k, float(rng.randrange(20)), f"d{rng.randrange(4)}", " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "of"]) for _ in range(3))) for k in range(60)] + [("a", 90, None, None, None)]
+    got = [tuple(r) for r in text.diverse_pick(spark.createDataFrame(data, "g string, doc_id int, score double, domain string, title string"), "g", 4).collect()]
+    want = []
+    for g in "ab":
+        rows = sorted((r for r in data if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        words, picked = lambda r: {w for w in re.split(r"[^a-z]+", r[4] or "") if len(w) >= 3}, []
+        for fresh in (True, False):
+            for r in rows:
+                same = any(p is r or (words(p) & words(r) and len(words(p) & words(r)) >= 0.6 * min(len(words(p)), len(words(r)))) or (fresh and (p[3] or "") == (r[3] or "")) for p in picked)
+                if len(picked) < 4 and not same:
+                    picked.append(r)
+        want += [(g, k, r[1]) for k, r in enumerate(picked, 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_asof_with_one_series_matches_the_keyed_join(spark):
+    days = [D(2024, 1, 1) + dt.timedelta(days=3 * k) for k in range(10)]
+    series = spark.createDataFrame([(d, k) for k, d in enumerate(days)], "day date, v int")
+    left = spark.createDataFrame([(k, D(2023, 12, 28) + dt.timedelta(days=k)) for k in range(40)] + [(99, None)], "k int, at date")
+    for direction in ("backward", "forward"):
+        got = {r["k"]: r["v"] for r in joins.asof_dated(left, series, "at", "day", ["v"], direction).collect()}
+        for k, at in [(r["k"], r["at"]) for r in left.collect() if r["at"]]:
+            near = [i for i, d in enumerate(days) if (d <= at if direction == "backward" else d >= at)]
+            assert got[k] == (None if not near else near[-1] if direction == "backward" else near[0])
+
+
+def test_stages_are_resumed_under_their_own_settings_only(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 20)], "w int, v int")
+    one, two = state.fingerprint({"b": 1, "a": 2}), state.fingerprint({"a": 2, "b": 2})
+    assert one == state.fingerprint({"a": 2, "b": 1}) != two
+    path = state.stage(rows, "w", one, state.new_stage(spark, "test"))
+    state.stage(rows.filter("w = 2").withColumn("v", F.lit(7)), "w", two, path)
+    assert [tuple(r) for r in state.staged_windows(spark, path, one).collect()] == [(1, 10)] and [tuple(r) for r in state.staged_windows(spark, path, two).collect()] == [(2, 7)]
+
+
+def test_cached_reviews_need_all_keys(spark):
+    cache = spark.createDataFrame([("a", "h1", 1), ("a", "h1", 3), (None, "h2", 5)], "k string, h string, v int")
+    asked = spark.createDataFrame([("a", "h1"), ("a", "h2"), (None, "h2")], "k string, h string")
+    assert {(r["k"], r["h"]): (r["v"], r["cached"]) for r in state.cached(asked, cache, ["k", "h"], "v").collect()} == {("a", "h1"): (3, True), ("a", "h2"): (None, False), (None, "h2"): (5, True)}
