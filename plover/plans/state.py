@@ -109,25 +109,24 @@ def d11(t):
     return st.pending(queue, sent, base, "o_orderkey")
 
 
-_COSTS = "k AS (SELECT event_id, user_id, year(ts)::INT AS year, ts, length(props)*100 AS tokens_in, floor(value)::BIGINT AS tokens_out FROM events), c AS (SELECT *, round((tokens_in*3.0 + tokens_out*15.0)/1e6*150, 6) AS yen FROM k)"
+_COSTS = "k AS (SELECT event_id, user_id, year(ts)::INT AS year, ts, length(props)*100 AS tokens_in, floor(value)::BIGINT AS tokens_out FROM events), c AS (SELECT *, (tokens_in*3 + tokens_out*15)*150 AS micro FROM k)"
 
 
 def _costs(t):
     rows = t.events.select("event_id", "user_id", F.year("ts").alias("year"), "ts", (F.length("props") * 100).alias("tokens_in"), F.floor("value").alias("tokens_out"))
-    return rows.withColumn("yen", F.round((F.col("tokens_in") * 3.0 + F.col("tokens_out") * 15.0) / 1e6 * 150, 6))
+    return rows.withColumn("micro", (F.col("tokens_in") * 3 + F.col("tokens_out") * 15) * 150)  # millionths of a yen
 
 
-@query("e33_cost_ledger", f"WITH {_COSTS} SELECT year, user_id, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(yen), 4) AS yen FROM c GROUP BY 1, 2", digits=4)
+@query("e33_cost_ledger", f"WITH {_COSTS} SELECT year, user_id, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(micro)::BIGINT/1000000.0, 4) AS yen FROM c GROUP BY 1, 2", digits=4)
 def e33(t):
     """Yearly ledger of calls, tokens and yen, from rates per million tokens and the exchange rate."""
-    return _costs(t).groupBy("year", "user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("yen").alias("yen"))
+    return _costs(t).groupBy("year", "user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), (F.sum("micro") / 1000000).alias("yen"))
 
 
-@query("d12_e34_budget", f"WITH {_COSTS}, r AS (SELECT *, sum((yen*1e6)::BIGINT) OVER w AS spent, 2000000 AS reserve FROM c WINDOW w AS (PARTITION BY user_id, year ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, spent::BIGINT AS spent, spent + reserve <= 20000000 AS allowed FROM r")
+@query("d12_e34_budget", f"WITH {_COSTS}, r AS (SELECT *, sum(micro) OVER w AS spent, 2000000 AS reserve FROM c WINDOW w AS (PARTITION BY user_id, year ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT event_id, spent::BIGINT AS spent, spent + reserve <= 20000000 AS allowed FROM r")
 def d12(t):
     """A call is allowed while what is spent and a reserve stay within the year's budget; once stopped, it stays so."""
-    rows = _costs(t).withColumn("micro", (F.col("yen") * 1e6).cast("long"))
-    return st.within_budget(rows, ["event_id"], "micro", 20000000 - 2000000, ["user_id", "year"]).select("event_id", "spent", "allowed")
+    return st.within_budget(_costs(t), ["event_id"], "micro", 20000000 - 2000000, ["user_id", "year"]).select("event_id", "spent", "allowed")
 
 
 @query("d13_d22_latest_state", "SELECT user_id, max_by(event_type, event_id) AS state, CASE WHEN max_by(event_type, event_id) = 'click' THEN 'interrupted' ELSE 'done' END AS status FROM events GROUP BY 1")
