@@ -117,7 +117,7 @@ def _costs(t):
     return rows.withColumn("micro", (F.col("tokens_in") * 3 + F.col("tokens_out") * 15) * 150)  # millionths of a yen
 
 
-@query("e33_cost_ledger", f"WITH {_COSTS} SELECT year, user_id, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(micro)::BIGINT/1000000.0, 4) AS yen FROM c GROUP BY 1, 2", digits=4)
+@query("e33_cost_ledger", f"WITH {_COSTS} SELECT year, user_id, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, round(sum(micro)::BIGINT/1000000.0, 6) AS yen FROM c GROUP BY 1, 2")
 def e33(t):
     """Yearly ledger of calls, tokens and yen, from rates per million tokens and the exchange rate."""
     return _costs(t).groupBy("year", "user_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), (F.sum("micro") / 1000000).alias("yen"))
