@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plover.llm import decontamination, embedding_dedup, language, licenses, mixing, near_dedup, quality, secrets, toxicity, warc
+from plover.llm import buckets, decontamination, embedding_dedup, language, licenses, mixing, near_dedup, quality, secrets, toxicity, warc
 from plover.llm.graph import connected_components
 from plover.session import scratch_path
 
@@ -69,6 +69,36 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
+def test_near_duplicates_in_buckets_of_many_blocks_match_brute_force(spark, monkeypatch):
+    rng = random.Random(41)
+    base = words(rng, 80).split()
+    texts = [(0, " ".join(base))]
+    for k in range(1, 90):  # one hot family, many of its members unlike each other
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(400)}"
+        texts.append((k, " ".join(w)))
+    whole = near_dedup._cross_blocks
+    monkeypatch.setattr(near_dedup, "_cross_blocks", lambda placed: whole(placed, 8, 500))
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    sets = {i: shingles(t) for i, t in texts}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert got == components(sets, linked) and len(linked) > 50
+
+
+def test_bucket_pairs_match_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        sizes = rng.integers(1, 30, rng.integers(1, 6))
+        keys, alone = np.repeat(np.arange(len(sizes)), sizes), np.repeat(rng.integers(0, 2, len(sizes)).astype(bool), sizes)
+        block, inner = rng.integers(0, 2, len(keys)), rng.integers(0, 2, len(keys)).astype(bool)
+        want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if keys[i] == keys[j] and (block[i] != block[j] or alone[i]) and not (inner[i] and inner[j])}
+        for small in (1, 5, 64):
+            got = [(int(a), int(b)) for i, j in buckets.group_pairs(keys, block, alone, inner, small) for a, b in zip(i, j, strict=True)]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_near_duplicates_whose_signatures_are_far_apart(spark):
     rng, hashes, (times, plus) = random.Random(17), near_dedup.WordHashes(), near_dedup._permutations(32)
     texts = []
