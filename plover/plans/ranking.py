@@ -40,6 +40,26 @@ def scored(t):
     return stats.weighted_score(met, WEIGHTS, 3).withColumn("total_score", F.round("total_score", 6))
 
 
+@query(
+    "w32_robust_score",
+    """WITH o AS (SELECT o_custkey, count(*)::DOUBLE AS n_orders, round(avg(o_totalprice), 4) AS mean_value FROM orders GROUP BY 1),
+    j AS (SELECT c_custkey, o_custkey IS NOT NULL AS matched, n_orders, mean_value, CASE WHEN o_custkey IS NOT NULL THEN 1.0::DOUBLE END AS level FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+    b AS (SELECT quantile_cont(n_orders, [0.05, 0.95]) AS q1, quantile_cont(mean_value, [0.05, 0.95]) AS q2, count(*) AS n FROM j WHERE matched)
+    SELECT c_custkey, matched,
+        round(CASE WHEN matched THEN CASE WHEN n < 2 OR q1[1] = q1[2] THEN 50 ELSE least(100, greatest(0, (n_orders - q1[1]) / (q1[2] - q1[1]) * 100)) END END, 6)::DOUBLE AS orders_score,
+        round(CASE WHEN matched THEN CASE WHEN n < 2 OR q2[1] = q2[2] THEN 50 ELSE least(100, greatest(0, (mean_value - q2[1]) / (q2[2] - q2[1]) * 100)) END END, 6)::DOUBLE AS value_score,
+        CASE WHEN matched THEN 50.0::DOUBLE END AS flat_score FROM j, b""",
+)
+def w32(t):
+    """Two spread components and one that is the same in all matched rows, so that it scores 50."""
+    orders = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.avg("o_totalprice"), 4).alias("mean_value"))
+    met = t.customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").select(
+        "c_custkey", F.col("o_custkey").isNotNull().alias("matched"), "n_orders", "mean_value", F.when(F.col("o_custkey").isNotNull(), 1.0).alias("level"),
+    )
+    met = stats.robust_scores(met, {"n_orders": "orders_score", "mean_value": "value_score", "level": "flat_score"}, F.col("matched"))
+    return met.select("c_custkey", "matched", "orders_score", "value_score", "flat_score")
+
+
 @query("n08_weighted_score", f"WITH {_SCORED} SELECT * FROM f")
 def n08(t):
     return scored(t).select("c_custkey", "c_mktsegment", "matched", "total_score", "score_status", "missing_fields")
