@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.operators import ranks
+from plover.operators.quantiles import quantiles
 
 
 def average_rank(value: str, by: Sequence[str] = ()) -> Column:
@@ -49,17 +50,17 @@ def robust_scores(df: DataFrame, scores: dict[str, str], where: Column) -> DataF
     """For each value column a score of 0 to 100 between the 5th and 95th percentile of the chosen rows.
 
     It is 50 if these don't differ or are fewer than two; other rows get null.
-    All percentiles come from one aggregate, joined as one row.
+    The percentiles are selected over all tasks and joined as one row.
     """
-    chosen = {v: F.when(where, F.col(v)) for v in scores}
-    parts = [x for v, c in chosen.items() for x in (F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"_b_{v}"), F.count(c).alias(f"_n_{v}"))]
-    met = df.crossJoin(F.broadcast(df.agg(*parts)))
+    chosen = df.select(*[F.when(where, F.col(v)).alias(v) for v in scores])
+    bounds = quantiles(chosen, list(scores), (0.05, 0.95))
+    met = df.crossJoin(F.broadcast(bounds.select(*[F.col(f"{k}_{v}").alias(f"_{k}_{v}") for v in scores for k in "nq"])))
     for v, out in scores.items():
-        low, high = F.col(f"_b_{v}")[0], F.col(f"_b_{v}")[1]
+        low, high = F.col(f"_q_{v}")[0], F.col(f"_q_{v}")[1]
         scaled = F.try_divide(F.col(v) - low, high - low) * 100
         flat = (F.col(f"_n_{v}") < 2) | (high == low)
         met = met.withColumn(out, F.when(where & F.col(v).isNotNull(), F.when(flat, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), scaled)))))
-    return met.drop(*[f"_{k}_{v}" for v in scores for k in "bn"])
+    return met.drop(*[f"_{k}_{v}" for v in scores for k in "nq"])
 
 
 def weighted_score(df: DataFrame, weights: dict[str, float], least: int) -> DataFrame:
@@ -131,7 +132,7 @@ def drivers(df: DataFrame, features: Sequence[str], label: str, least_rows: int
     out = None
     for c in features:
         rows = df.filter(F.col(c).isNotNull() & F.col(label).isNotNull()).select(F.col(c).cast("double").alias("v"), F.col(label).alias("y"))
-        cut = ranks.with_totals(rows, F.percentile("v", F.array(F.lit(0.2), F.lit(0.8))).alias("c"))
+        cut = rows.crossJoin(F.broadcast(quantiles(rows, ["v"], (0.2, 0.8)).select(F.col("q_v").alias("c"))))
         rates = cut.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("values"), F.avg(F.when(F.col("v") <= F.col("c")[0], F.col("y"))).alias("bottom_rate"), F.avg(F.when(F.col("v") >= F.col("c")[1], F.col("y"))).alias("top_rate"))
         one = auc(rows, "v", "y").select("auc").crossJoin(rates).select(F.lit(c).alias("feature"), "n", "values", "auc", "bottom_rate", "top_rate", (F.col("top_rate") - F.col("bottom_rate")).alias("difference"))
         out = one if out is None else out.unionByName(one)

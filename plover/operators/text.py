@@ -7,13 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plover.operators.joins import checked_broadcast
+
 
 def char_grams(df: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
     """(key, gram, cnt): counts of the n-grams of the text without white space, in lower case."""
-    plain = F.regexp_replace(F.lower(text), r"\s", "")
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("_t") - (n - 1), F.lit(1))), lambda k: k <= F.length("_t") - (n - 1))
-    grams = F.transform(starts, lambda k: F.substring(F.col("_t"), k, F.lit(n)))
-    return df.select(key, plain.alias("_t")).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    chars = F.filter(F.split(F.regexp_replace(F.lower(text), r"\s", ""), ""), lambda c: c != "")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_c") - (n - 1), F.lit(1))), lambda k: k <= F.size("_c") - (n - 1))
+    # From an array of characters, so that a long text costs its length and not its square.
+    grams = F.transform(starts, lambda k: F.concat(*[F.element_at("_c", k + j) for j in range(n)]))
+    return df.select(key, chars.alias("_c")).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def cosine_pairs(grams: DataFrame, pairs: DataFrame, key: str, one: str, two: str) -> DataFrame:
@@ -61,8 +64,8 @@ def weighted_classes(df: DataFrame, key: str, text: Column, classes: DataFrame,
     ``classes`` (class, keyword, weight) is a small dimension; each keyword
     counts at most ``most`` times.
     """
-    rows = df.select(key, F.lower(text).alias("_t")).join(F.broadcast(classes), F.expr("_t like concat('%', keyword, '%')"))
-    count = F.least(F.lit(most), F.size(F.split("_t", F.col("keyword"))) - 1)
+    rows = df.select(key, F.lower(text).alias("_t")).join(checked_broadcast(classes), F.col("_t").contains(F.col("keyword")))
+    count = F.least(F.lit(most), F.floor((F.length("_t") - F.length(F.replace(F.col("_t"), F.col("keyword"), F.lit("")))) / F.length("keyword")).cast("int"))
     points = rows.groupBy(key, "class").agg(F.sum(F.col("weight") * count).alias("points"))
     order = Window.partitionBy(key).orderBy(F.col("points").desc(), "class")
     every = Window.partitionBy(key)

@@ -39,16 +39,6 @@ def j02(t):
     return joins.cascade_join(t.part.select("p_partkey", "p_brand", "p_type"), steps, "v").select("p_partkey", "v", "match_method")
 
 
-@query("j04_j05_candidates_with_margin", """WITH c AS (SELECT a.s_suppkey AS k, b.n_nationkey AS cand, CASE WHEN a.s_nationkey = b.n_nationkey THEN 1.0 WHEN (a.s_suppkey + b.n_nationkey) % 5 = 0 THEN 0.97 ELSE 0.3 END AS score FROM supplier a JOIN nation b ON a.s_suppkey % 5 = b.n_regionkey),
-r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, cand) AS n, coalesce(lead(score) OVER (PARTITION BY k ORDER BY score DESC, cand), 0.0) AS nxt FROM c)
-SELECT k, CASE WHEN score < 0.92 THEN 'not_found' WHEN score - nxt < 0.05 THEN 'ambiguous' ELSE 'matched' END AS match_status, score AS best_score, nxt AS second_score, CASE WHEN score >= 0.92 AND score - nxt >= 0.05 THEN cand END AS cand FROM r WHERE n = 1""")
-def j05(t):
-    met = t.supplier.join(joins.checked_broadcast(t.nation), F.col("s_suppkey") % 5 == F.col("n_regionkey"))
-    score = F.when(F.col("s_nationkey") == F.col("n_nationkey"), 1.0).when((F.col("s_suppkey") + F.col("n_nationkey")) % 5 == 0, 0.97).otherwise(0.3)
-    rows = met.select(F.col("s_suppkey").alias("k"), F.col("n_nationkey").alias("cand"), score.alias("score"))
-    return joins.best_with_margin(rows, "k", "cand", "score", 0.92, 0.05)
-
-
 @query("j06_exact_alias_match", "SELECT doc_id, n_nationkey AS company FROM documents JOIN nation ON 'src' || n_nationkey = source")
 def j06(t):
     aliases = t.nation.select(F.col("n_nationkey").alias("company"), F.explode(F.array(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")), F.lower("n_name"))).alias("alias"))
@@ -265,20 +255,6 @@ def j29(t):
     return met.select("s_suppkey", F.coalesce("v", "xa", "xb").alias("v"), filled.alias("filled"))
 
 
-@query("j31_title_holds_alias", "SELECT DISTINCT doc_id, a.alias FROM documents, (VALUES ('release'), ('the'), ('entre'), ('license'), ('nicht')) a(alias) WHERE contains(lower(text), a.alias)")
-def j31(t):
-    """A bounded list of aliases goes to every task; each is looked up in the lower-cased text."""
-    aliases = F.array(*[F.lit(a) for a in ("release", "the", "entre", "license", "nicht")])
-    hits = F.filter(aliases, lambda a: F.contains(F.col("_t"), a))
-    return t.documents.select("doc_id", F.lower("text").alias("_t")).select("doc_id", F.explode(hits).alias("alias"))
-
-
-@query("j32_terms_and_aliases", r"SELECT doc_id, (regexp_matches(text, '(?i)\b(the|and)\b')) AS has_term, regexp_matches(text, '(?i)licen[cs]e') AS has_alias FROM documents WHERE lang = 'en' AND regexp_matches(text, '(?i)\b(the|and)\b') AND regexp_matches(text, '(?i)licen[cs]e')")
-def j32(t):
-    rows = t.documents.filter("lang = 'en'").select("doc_id", F.col("text").rlike(r"(?i)\b(the|and)\b").alias("has_term"), F.col("text").rlike("(?i)licen[cs]e").alias("has_alias"))
-    return rows.filter("has_term and has_alias")
-
-
 @query("j33_band_semi_join", "SELECT o_orderkey FROM orders o WHERE o_orderpriority = '1-URGENT' AND EXISTS (SELECT 1 FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderpriority = '5-LOW' AND abs(date_diff('day', o.o_orderdate::DATE, x.o_orderdate::DATE)) <= 7)")
 def j33(t):
     rows = t.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority")

@@ -8,7 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plover.operators import models, ranks, stats
+from plover.operators.joins import checked_broadcast
+from plover.operators.quantiles import quantiles
 from plover.plans.registry import query
+from plover.session import materialize
 from plover.sources.tables import PRICES_SQL, prices
 
 
@@ -100,7 +103,7 @@ def m07(t):
     v = F.col("o_totalprice")
     groups = ranks.by_value(t.orders.select("o_totalprice"), "o_totalprice", {"c": F.lit(1).cast("long")}).select(v.alias("at"), (F.col("below_c") + (F.col("c") + 1) / 2).alias("rk"))
     rows = t.orders.select("o_orderkey", "o_totalprice").join(groups, v == F.col("at"))
-    rows = ranks.with_totals(rows, F.percentile(v, F.array(F.lit(0.01), F.lit(0.99))).alias("b"), F.count(F.lit(1)).alias("total"), of=t.orders)
+    rows = rows.crossJoin(F.broadcast(quantiles(t.orders, ["o_totalprice"], (0.01, 0.99), (), [F.count(F.lit(1)).alias("total")]).select(F.col("q_o_totalprice").alias("b"), "total")))
     rows = rows.select("o_orderkey", F.greatest(F.col("b")[0], F.least(F.col("b")[1], v)).alias("v"), (F.col("rk") / F.col("total")).alias("k"))
     rows = ranks.with_totals(rows, *[f(c).alias(f"{n}{c}") for c in "vk" for n, f in (("m", F.avg), ("d", F.stddev_pop))])
     return rows.select("o_orderkey", (0.5 * (F.col("v") - F.col("mv")) / F.col("dv") + 0.5 * (F.col("k") - F.col("mk")) / F.col("dk")).alias("blend"))
@@ -114,10 +117,11 @@ def m14(t):
     from plover.operators.timeseries import by_symbol
 
     low = F.min("low").over(by_symbol().rowsBetween(1, 60))
-    rows = prices(t.lineitem).select("symbol", ((low / F.col("close") - 1) * 100).alias("drop_pct"), F.year("day").alias("y")).filter("drop_pct is not null")
-    forecast = rows.filter("y < 1996").groupBy("symbol").agg(F.percentile("drop_pct", 0.5).alias("forecast"))
+    rows = prices(t.lineitem).select("symbol", ((low / F.col("close") - 1) * 100).alias("drop_pct"), F.year("day").alias("y")).filter("drop_pct is not null and y <= 1996")
+    rows = materialize(rows, "drops")
+    forecast = materialize(quantiles(rows.filter("y < 1996"), ["drop_pct"], (0.5,), ["symbol"]).select("symbol", F.col("q_drop_pct")[0].alias("forecast")), "forecast")
     rest = rows.filter("y = 1996").join(forecast, "symbol").select((F.col("drop_pct") - F.col("forecast")).alias("r"))
-    out = ranks.with_totals(forecast, F.percentile("r", F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8))).alias("q"), of=rest)
+    out = forecast.crossJoin(F.broadcast(quantiles(rest, ["r"], (0.2, 0.5, 0.8)).select(F.col("q_r").alias("q"))))
     at = lambda k: F.col("forecast") + F.col("q")[k]
     return out.select("symbol", at(1).alias("calibrated"), (100 + at(2)).alias("limit_80"), (100 + at(0)).alias("limit_20"))
 
@@ -136,8 +140,8 @@ def m15(t):
 def m16(t):
     orders = t.orders.withColumn("oy", F.year("o_orderdate"))
     years = orders.select(F.col("oy").alias("y")).distinct()
-    limits = orders.join(F.broadcast(years), F.col("oy") < F.col("y")).groupBy("y").agg(F.percentile("o_totalprice", 0.8).alias("q"))
-    met = orders.join(F.broadcast(limits), F.col("oy") == F.col("y"))
+    limits = quantiles(orders.join(checked_broadcast(years), F.col("oy") < F.col("y")), ["o_totalprice"], (0.8,), ["y"]).select("y", F.col("q_o_totalprice")[0].alias("q"))
+    met = orders.join(checked_broadcast(limits), F.col("oy") == F.col("y"))
     passed = F.col("o_totalprice") >= F.col("q")
     return met.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("passed"), F.avg(F.when(passed, (F.col("o_orderstatus") == "F").cast("int"))).alias("captured"))
 
@@ -151,8 +155,9 @@ def a26(t):
     touched = lambda level: F.col("low60") <= F.col("close") * level
     part = lambda share, level: F.when(touched(level), share * (F.col("last") / (F.col("close") * level) - 1)).otherwise(0.0)
     ppm = F.floor((0.5 * (F.col("last") / F.col("close") - 1) + part(0.3, 0.9) + part(0.2, 0.8)) * 1000000)
-    rows = rows.select(ppm.alias("ppm"), (1 + touched(0.9).cast("int") + touched(0.8).cast("int")).alias("filled"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ppm"), 2).alias("mean_ppm"), F.percentile("ppm", 0.5).alias("median_ppm"), F.avg((F.col("ppm") > 0).cast("int")).alias("win_rate"), F.avg("filled").alias("mean_tranches"), F.avg((F.col("filled") == 3).cast("int")).alias("all_filled"))
+    rows = materialize(rows.select(ppm.alias("ppm"), (1 + touched(0.9).cast("int") + touched(0.8).cast("int")).alias("filled")), "results")
+    more = [F.count(F.lit(1)).alias("n"), F.round(F.avg("ppm"), 2).alias("mean_ppm"), F.avg((F.col("ppm") > 0).cast("int")).alias("win_rate"), F.avg("filled").alias("mean_tranches"), F.avg((F.col("filled") == 3).cast("int")).alias("all_filled")]
+    return quantiles(rows, ["ppm"], (0.5,), (), more).select("n", "mean_ppm", F.col("q_ppm")[0].alias("median_ppm"), "win_rate", "mean_tranches", "all_filled")
 
 
 _ERF = "1 - (t*(0.254829592 + t*(-0.284496736 + t*(1.421413741 + t*(-1.453152027 + t*1.061405429)))))*exp(-x*x)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plover.operators import ranks
 from plover.operators import timeseries as ts
 from plover.operators.joins import checked_broadcast
+from plover.operators.quantiles import quantiles
 from plover.plans.registry import query
 from plover.sources.tables import BENCHMARK_SQL, PRICES_SQL, prices
 
@@ -202,7 +203,8 @@ def w30(t):
     """Quantiles of all earlier years: each row goes to the later years, a handful."""
     orders = t.orders.select(F.year("o_orderdate").alias("y"), "o_totalprice")
     years = orders.select(F.col("y").alias("year")).distinct()
-    return orders.join(checked_broadcast(years), F.col("y") < F.col("year")).groupBy("year").agg(F.percentile("o_totalprice", 0.8).alias("threshold"), F.count(F.lit(1)).alias("n"))
+    out = quantiles(orders.join(checked_broadcast(years), F.col("y") < F.col("year")), ["o_totalprice"], (0.8,), ["year"], [F.count(F.lit(1)).alias("n")])
+    return out.select("year", F.col("q_o_totalprice")[0].alias("threshold"), "n")
 
 
 @query("w31_reversals", f"WITH {PRICES_SQL}, d AS (SELECT symbol, i, sign(close - lag(close) OVER (PARTITION BY symbol ORDER BY i)) AS d FROM px), m AS (SELECT symbol, (d <> lag(d) OVER (PARTITION BY symbol ORDER BY i))::INT AS turn FROM d WHERE d <> 0) SELECT symbol, coalesce(sum(turn), 0)::BIGINT AS reversals, count(*) AS moves FROM m GROUP BY 1")

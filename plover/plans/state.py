@@ -41,13 +41,6 @@ def d07(t):
     return st.exponential_cooldown(rows, "user_id", "event_id", F.col("failed"), 15, 240).select("event_id", "failures", "wait")
 
 
-@query("d08_cross_source_merge", "SELECT doc_id % 50 AS merge_key, count(*) AS records, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, max(length(text)) AS longest FROM documents GROUP BY 1")
-def d08(t):
-    rows = t.documents.select("doc_id", "source", F.col("text").alias("abstract"), F.col("lang").alias("title"), F.col("n_chars").alias("updated_at"))
-    out = st.merge_records(rows, F.col("doc_id") % 50, "source", [F.col("doc_id")])
-    return out.select("merge_key", "records", F.array_join("sources", "|").alias("sources"), F.length("abstract").alias("longest"))
-
-
 @query("d09_s34_upsert", "SELECT coalesce(s_suppkey, p_partkey) AS k, coalesce(p_retailprice, s_acctbal) AS v, CASE WHEN coalesce(length(p_name), -1) > coalesce(length(s_name), -1) THEN p_name ELSE s_name END AS n FROM supplier FULL JOIN part ON p_partkey = s_suppkey")
 def d09(t):
     old = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"), F.col("s_name").alias("n"))

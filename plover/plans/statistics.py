@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plover.operators import ranks, stats
+from plover.operators.joins import checked_broadcast
+from plover.operators.quantiles import quantiles
 from plover.plans.registry import query
+from plover.session import materialize
 from plover.sources.tables import PRICES_SQL, prices
 
 _EVENTS_SQL = f"""{PRICES_SQL}, ev AS (SELECT symbol, i, day, year(day)::INT AS year, CASE WHEN symbol % 3 = 0 THEN 'large' WHEN symbol % 3 = 1 THEN 'mid' ELSE 'small' END AS model, close,
@@ -23,31 +26,34 @@ def _events(t):
 _SUMMARY = "count(ret) AS n, round(avg(ret), 6) AS mean, round(median(ret), 6) AS med, round(avg((ret > 0)::INT) FILTER (ret IS NOT NULL), 6) AS win_rate"
 
 
-def _summary():
+def _summary(rows, *by):
+    """Count, mean, median and share of gains per group; the median by selection, so no task sees a group."""
     r = F.col("ret")
-    return [F.count(r).alias("n"), F.avg(r).alias("mean"), F.percentile(r, 0.5).alias("med"), F.avg(F.when(r.isNotNull(), (r > 0).cast("int"))).alias("win_rate")]
+    out = quantiles(rows, ["ret"], (0.5,), by, [F.avg(r).alias("mean"), F.avg(F.when(r.isNotNull(), (r > 0).cast("int"))).alias("win_rate")])
+    return out.select(*by, F.col("n_ret").alias("n"), "mean", F.col("q_ret")[0].alias("med"), "win_rate")
 
 
 @query("a01_horizon_summary", f"WITH {_EVENTS_SQL} SELECT model, {_SUMMARY} FROM ev GROUP BY 1")
 def a01(t):
-    return _events(t).groupBy("model").agg(*_summary())
+    return _summary(materialize(_events(t).select("model", "ret"), "events"), "model")
 
 
 @query("a02_summary_by_period", f"WITH {_EVENTS_SQL}, l AS (SELECT ev.*, unnest(['all', year::VARCHAR, CASE WHEN year < 1995 THEN 'early' ELSE 'late' END]) AS period FROM ev) SELECT model, period, {_SUMMARY} FROM l GROUP BY 1, 2")
 def a02(t):
     labels = F.array(F.lit("all"), F.col("year").cast("string"), F.when(F.col("year") < 1995, "early").otherwise("late"))
-    return _events(t).withColumn("period", F.explode(labels)).groupBy("model", "period").agg(*_summary())
+    rows = materialize(_events(t).select("model", "year", "ret"), "events")
+    return _summary(rows.withColumn("period", F.explode(labels)), "model", "period")
 
 
 @query("a03_without_top_winners", f"WITH {_EVENTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ret DESC, symbol, i) AS rn FROM ev WHERE ret IS NOT NULL) SELECT model, k, {_SUMMARY} FROM r JOIN (VALUES (0), (1), (3), (5), (10)) d(k) ON rn > k GROUP BY 1, 2")
 def a03(t):
     """The top ten per model by two-step top-k: first per symbol, then per model, so no window spans all rows."""
-    rows = _events(t).filter("ret is not null")
+    rows = materialize(_events(t).filter("ret is not null").select("symbol", "i", "model", "ret"), "events")
     top = rows.withColumn("r0", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ret").desc(), "i"))).filter("r0 <= 10")
     top = top.withColumn("rn", F.row_number().over(Window.partitionBy("model").orderBy(F.col("ret").desc(), "symbol", "i"))).filter("rn <= 10")
     met = rows.join(top.select(F.col("symbol").alias("s"), F.col("i").alias("j"), "rn"), (F.col("symbol") == F.col("s")) & (F.col("i") == F.col("j")), "left")
     cut = met.withColumn("k", F.explode(F.array(*[F.lit(k) for k in (0, 1, 3, 5, 10)]))).filter(F.coalesce("rn", F.lit(11)) > F.col("k"))
-    return cut.groupBy("model", "k").agg(*_summary())
+    return _summary(cut, "model", "k")
 
 
 @query("a05_unpivot_summary", "SELECT measure, count(value) AS n, round(avg(value), 4) AS mean FROM (SELECT 'quantity' AS measure, l_quantity AS value FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem UNION ALL SELECT 'tax', l_tax FROM lineitem) GROUP BY 1", digits=4)
@@ -67,7 +73,7 @@ def a06(t):
 def a07(t):
     sets = t.spark.createDataFrame([("base", 300000.0, 500000.0), ("wide", 200000.0, 600000.0), ("low", 250000.0, 400000.0)], "name string, lo double, hi double")
     band = F.when(F.col("close") < F.col("lo"), "small").when(F.col("close") < F.col("hi"), "mid").otherwise("large")
-    return _events(t).join(F.broadcast(sets), F.col("model") == band).groupBy("name", "model").agg(*_summary())
+    return _summary(materialize(_events(t).join(F.broadcast(sets), F.col("model") == band).select("name", "model", "ret"), "events"), "name", "model")
 
 
 @query("a04_a08_conditional_summary", f"WITH {PRICES_SQL}, f AS (SELECT symbol, floor((lead(close, 5) OVER s - close)*10000/close)::BIGINT r5, floor((lead(close, 20) OVER s - close)*10000/close)::BIGINT r20 FROM px WINDOW s AS (PARTITION BY symbol ORDER BY i)) SELECT symbol, count(r5) n5, round(avg(r5), 6) m5, round(100.0*count(*) FILTER (r5 > 0)/count(r5), 2) w5, count(r20) n20, round(avg(r20), 6) m20, round(100.0*count(*) FILTER (r20 > 0)/count(r20), 2) w20 FROM f GROUP BY 1")
@@ -119,8 +125,10 @@ def a14(t):
 
 @query("a15_group_summary", "SELECT n_regionkey AS industry, count(*) AS n, round(avg(round(c_acctbal*100)::BIGINT), 4) AS mean, round(median(c_acctbal), 6) AS med FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def a15(t):
-    met = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
-    return met.groupBy(F.col("n_regionkey").alias("industry")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.round(F.col("c_acctbal") * 100).cast("long")), 4).alias("mean"), F.percentile("c_acctbal", 0.5).alias("med"))
+    met = t.customer.join(checked_broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = met.select(F.col("n_regionkey").alias("industry"), "c_acctbal")
+    out = quantiles(rows, ["c_acctbal"], (0.5,), ["industry"], [F.count(F.lit(1)).alias("n"), F.round(F.avg(F.round(F.col("c_acctbal") * 100).cast("long")), 4).alias("mean")])
+    return out.select("industry", "n", "mean", F.col("q_c_acctbal")[0].alias("med"))
 
 
 @query("a16_split_manifest_s04", f"WITH {PRICES_SQL} SELECT symbol, count(*) AS n, min(day) AS first_day, max(day) AS last_day FROM px GROUP BY 1")
@@ -147,7 +155,8 @@ def a19(t):
 @query("a21_group_spread", "SELECT s_nationkey, count(*) AS n, round(stddev_samp(s_acctbal), 6) AS sd, round(quantile_cont(s_acctbal, 0.75), 6) AS p75, round(quantile_cont(s_acctbal, 0.9), 6) AS p90, max(s_acctbal) AS top FROM supplier GROUP BY 1 HAVING count(*) >= 2")
 def a21(t):
     v = "s_acctbal"
-    return t.supplier.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(v).alias("sd"), F.percentile(v, 0.75).alias("p75"), F.percentile(v, 0.9).alias("p90"), F.max(v).alias("top")).filter("n >= 2")
+    out = quantiles(t.supplier, [v], (0.75, 0.9), ["s_nationkey"], [F.count(F.lit(1)).alias("n"), F.stddev_samp(v).alias("sd"), F.max(v).alias("top")])
+    return out.filter("n >= 2").select("s_nationkey", "n", "sd", F.col(f"q_{v}")[0].alias("p75"), F.col(f"q_{v}")[1].alias("p90"), "top")
 
 
 @query("a22_a27_a28_a29_capture", "WITH c AS (SELECT o_custkey, max((o_totalprice > 250000)::INT) AS truth, max((o_orderpriority = '1-URGENT')::INT) AS flag FROM orders GROUP BY 1) SELECT sum(truth*flag)::BIGINT AS hits, round(sum(truth*flag)*1.0/sum(flag), 6) AS precision, round(sum(truth*flag)*1.0/sum(truth), 6) AS capture, round(1.25*(sum(truth*flag)*1.0/sum(flag))*(sum(truth*flag)*1.0/sum(truth))/(0.25*(sum(truth*flag)*1.0/sum(flag)) + sum(truth*flag)*1.0/sum(truth)), 6) AS f05 FROM c")
@@ -166,14 +175,17 @@ def a23(t):
 
 @query("a25_trimmed_mean", "WITH b AS (SELECT quantile_cont(o_totalprice, 0.1) lo, quantile_cont(o_totalprice, 0.9) hi FROM orders) SELECT count(*) AS n, round(avg(round(o_totalprice*100)::BIGINT), 4) AS mean FROM orders, b WHERE o_totalprice BETWEEN lo AND hi")
 def a25(t):
-    b = t.orders.agg(F.percentile("o_totalprice", 0.1).alias("lo"), F.percentile("o_totalprice", 0.9).alias("hi"))
+    b = quantiles(t.orders, ["o_totalprice"], (0.1, 0.9)).select(F.col("q_o_totalprice")[0].alias("lo"), F.col("q_o_totalprice")[1].alias("hi"))
     return t.orders.crossJoin(F.broadcast(b)).filter(F.col("o_totalprice").between(F.col("lo"), F.col("hi"))).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.round(F.col("o_totalprice") * 100).cast("long")), 4).alias("mean"))
 
 
 @query("a30_e27_forecast_errors", "SELECT round(avg(abs(l_tax - l_discount)), 5) AS mae, round(median(abs(l_tax - l_discount)), 5) AS med_ae, round(avg(l_tax - l_discount), 5) AS bias, round(avg(CASE WHEN l_discount >= l_tax THEN 0.2*(l_discount - l_tax) ELSE 0.8*(l_tax - l_discount) END), 5) AS pinball FROM lineitem", digits=5)
 def a30(t):
     d = F.col("l_tax") - F.col("l_discount")
-    return t.lineitem.agg(F.avg(F.abs(d)).alias("mae"), F.percentile(F.abs(d), 0.5).alias("med_ae"), F.avg(d).alias("bias"), F.avg(F.when(d <= 0, -0.2 * d).otherwise(0.8 * d)).alias("pinball"))
+    rows = t.lineitem.select(d.alias("d"), F.abs(d).alias("gap"))
+    d = F.col("d")
+    out = quantiles(rows, ["gap"], (0.5,), (), [F.avg("gap").alias("mae"), F.avg(d).alias("bias"), F.avg(F.when(d <= 0, -0.2 * d).otherwise(0.8 * d)).alias("pinball")])
+    return out.select("mae", F.col("q_gap")[0].alias("med_ae"), "bias", "pinball")
 
 
 @query("a31_w28_calibration_table", "WITH q AS (SELECT ceil(row_number() OVER (ORDER BY o_totalprice, o_orderkey)*5.0/count(*) OVER ())::BIGINT AS bin, o_totalprice, o_orderstatus FROM orders) SELECT bin, count(*) AS n, round(avg((o_orderstatus = 'F')::INT), 6) AS rate, min(o_totalprice) AS low FROM q GROUP BY 1")

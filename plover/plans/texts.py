@@ -36,13 +36,6 @@ def n02(t):
     return _cosines(t)
 
 
-@query("n03_novelty", f"WITH c AS ({_COS}) SELECT a, round(CASE WHEN max(cosine) IS NULL THEN 50 ELSE 75*(1 - max(cosine)) + least(25, 10*(a % 4)) END, 6) AS novelty FROM c GROUP BY a")
-def n03(t):
-    """75 times the distance to the nearest earlier item plus points for new roots, at most 25."""
-    best = _cosines(t).groupBy("a").agg(F.max(F.round("cosine", 6)).alias("near"))
-    return best.select("a", (75 * (1 - F.col("near")) + F.least(F.lit(25), 10 * (F.col("a") % 4))).alias("novelty"))
-
-
 @query("n04_n13_keyword_scores", "SELECT doc_id, least(40, 15*(contains(t,'the')::INT + contains(t,'ing')::INT + contains(t,'tion')::INT)) + least(20, 10*(contains(t,'license')::INT + contains(t,'token')::INT)) - least(30, 30*contains(t,'idiot')::INT) AS score FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def n04(t):
     groups = {"strong": (("the", "ing", "tion"), 15, 40), "related": (("license", "token"), 10, 20)}
