@@ -26,6 +26,7 @@ import hashlib
 import json
 import math
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -46,6 +47,8 @@ _BLOCK = 1 << 20
 _WINDOW = 32
 _GEAR = np.random.default_rng(13).integers(0, 1 << 32, 256, np.uint32)
 _WORD_START = re.compile(r"(?= [!-~])")
+#: Runs that are whole words of the vocabulary's pattern wherever they stand: Latin letters, ASCII marks but the apostrophe, a line's end between them.
+_WHOLE = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[ ]?[!-&(-/:-@\\[-`{-~]+|\n(?=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
 
 
 @dataclass(frozen=True)
@@ -94,14 +97,19 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Coder(dict):
     """A byte-level vocabulary, and the ids of pieces that this process has encoded.
 
     Pieces run from one sure word start to the next; up to ``pieces`` of them
-    are remembered.
+    are remembered. A new piece that is made of whole words goes to the merges
+    word by word, which are remembered too; any other goes to the tokenizer.
     """
 
-    pieces = 300_000
+    pieces = 600_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -123,9 +131,17 @@ class Coder(dict):
         self.bytes = [bytes(byte[c] for c in t) if k not in added and all(c in byte for c in t) else t.encode() for k, t in enumerate(names)]
         self.starts = np.array([len(t) > 1 and t[0] == 32 and 33 <= t[1] <= 126 for t in self.bytes])
         self.wire = "<u2" if size <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte.items()}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        words = _WHOLE.findall(piece) if len(piece) <= 64 else []
+        if len(words) == 1 and words[0] == piece:
+            ids = _raw([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        elif words and "".join(words) == piece:
+            ids = b"".join([self[w] for w in words])
+        else:
+            ids = _raw(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= 64:
             if len(self) >= self.pieces:
                 self.clear()
