@@ -188,26 +188,28 @@ def _match(seen: dict[str, int], threshold: float):
         matcher, file = Matcher(seen, threshold), re.compile(LICENCE_FILE)
         for batch in batches:
             found = [matcher.best(x.as_py() or "", bool(file.match((p.as_py() or "").rpartition("/")[2]))) for p, x in zip(batch.column(0), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x and x[0] for x in found], pa.string()), pa.array([x and x[1] for x in found], pa.float64())], ["path", "own", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x and x[0] for x in found], pa.string()), pa.array([x and x[1] for x in found], pa.float64())], ["path", "kept", "own", "similarity"])
 
     return run
 
 
-def license_scan(files: DataFrame, threshold: float = 0.7, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """Per file row: path, license, similarity, inherited_from.
+def license_scan(files: DataFrame, threshold: float = 0.7, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per file row: path, license, similarity, inherited_from, and the columns ``keep``.
 
     ``license`` is the file's own notice, else that of the nearest ancestor
     directory with a licence file that has one (`inherited_from` is that
     directory), else null. Of several licence files in a directory the most
     similar counts, then the first by path. A null path has no ancestors; a null
     or empty text has no notice. Repeated rows are scanned each; other columns
-    are ignored.
+    are ignored. Ids are carried in ``keep``, null or not.
     """
-    named = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    counted = materialize(named.mapInArrow(_counts(), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+    kept = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(c) for c in keep])
+    named = files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"), kept.alias("kept"))
+    kind = named.schema["kept"].dataType.simpleString()
+    counted = materialize(named.select("path", "text").mapInArrow(_counts(), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
     rows = counted.filter("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     seen = {r["term"]: r["n"] for r in counted.filter(F.col("n") >= LEAST_SHARE * rows).collect()}
-    own = materialize(named.mapInArrow(_match(seen, threshold), "path string, own string, similarity double"), "notices")
+    own = materialize(named.mapInArrow(_match(seen, threshold), f"path string, kept {kind}, own string, similarity double"), "notices")
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     own = own.withColumn("directory", F.when(F.col("path").contains("/"), parent).when(F.col("path").isNotNull(), F.lit("")))
 
@@ -221,4 +223,5 @@ def license_scan(files: DataFrame, threshold: float = 0.7, path_col: str = "path
     chain = directories.select("directory", F.posexplode(ancestors).alias("depth", "ancestor"))
     nearest = chain.join(held, F.col("ancestor") == F.col("holder")).groupBy(F.col("directory").alias("d")).agg(F.max(F.struct("depth", "holder", "held_license", "held_similarity")).alias("near"))
     met = own.join(nearest, (F.col("directory") == F.col("d")) & F.col("own").isNull(), "left")
-    return met.select("path", F.coalesce("own", "near.held_license").alias("license"), F.coalesce("similarity", "near.held_similarity").alias("similarity"), F.col("near.holder").alias("inherited_from"))
+    found = [F.coalesce("own", "near.held_license").alias("license"), F.coalesce("similarity", "near.held_similarity").alias("similarity"), F.col("near.holder").alias("inherited_from")]
+    return met.select("path", *found, *[F.col(f"kept.{c}").alias(c) for c in keep])

@@ -15,12 +15,12 @@ from plover.session import table
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"))
-    name = F.when(F.col("doc_id") % 100 == 0, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", folder, name).alias("path"), "text")
-    found = license_scan(files)
-    doc_id = F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long")
-    return found.select(doc_id.alias("doc_id"), "path", "license", "similarity", "inherited_from")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    block = lambda n: F.coalesce(F.floor(F.col("doc_id") / n).cast("string"), F.lit("none"))
+    file = F.when(F.col("doc_id") % 100 == 0, F.concat(F.lit("LICENSE."), name)).otherwise(F.concat(name, F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), block(1000), block(100), file)
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan(files, keep=("doc_id",)).select("doc_id", "path", "license", "similarity", "inherited_from")
 
 
 QUERIES = {"op4_license_scan": op4_license_scan}
