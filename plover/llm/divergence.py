@@ -16,8 +16,10 @@ block of ``BLOCK`` terms, and the sources of one language.
 
 from __future__ import annotations
 
+import functools
+import gc
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,36 +54,32 @@ class RadixTrie:
         self.root: list = [b"", {}, None]
         self.leaves = 0
 
-    def leaf(self, term: bytes) -> list:
-        """The leaf of ``term``, made if it is not there."""
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            children = node[1]
-            child = children.get(term[at])
-            if child is None:
-                node = children[term[at]] = [term[at:], {}, None]
-                break
-            edge = child[0]
-            if term.startswith(edge, at):
-                node, at = child, at + len(edge)
-                continue
-            rest, k = term[at : at + len(edge)], 1
-            while k < len(rest) and rest[k] == edge[k]:
-                k += 1
-            middle = children[term[at]] = [edge[:k], {edge[k]: child}, None]
-            child[0] = edge[k:]
-            node, at = middle, at + k
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.leaves += 1
-        return node[2]
-
-    def add(self, term: bytes, docs: int, counts: dict[str, int]) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += docs
-        mine = leaf[1]
-        for source, n in counts.items():
-            mine[source] = mine.get(source, 0) + n
+    @classmethod
+    def of_sorted(cls, leaves: Iterable[tuple[bytes, list]]) -> RadixTrie:
+        """A trie of (term, leaf) that come in byte order, none twice: each term goes on from the path of the last."""
+        trie, last = cls(), b""
+        path: list[tuple[list, int]] = [(trie.root, 0)]
+        child = trie.root
+        for term, leaf in leaves:
+            shared = 0
+            for x, y in zip(last, term, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            while path[-1][1] > shared:
+                child, _ = path.pop()
+            node, depth = path[-1]
+            if depth < shared:
+                edge, cut = child[0], shared - depth
+                child[0] = edge[cut:]
+                middle = node[1][edge[0]] = [edge[:cut], {edge[cut]: child}, None]
+                node = middle
+                path.append((middle, shared))
+            new = node[1][term[shared]] = [term[shared:], {}, leaf]
+            path.append((new, len(term)))
+            last = term
+            trie.leaves += 1
+        return trie
 
     def walk(self) -> Iterator[tuple[bytes, list]]:
         """(term, leaf) in UTF-8 order."""
@@ -91,35 +89,37 @@ class RadixTrie:
             term = before + node[0]
             if node[2] is not None:
                 yield term, node[2]
-            open_ += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
+            if node[1]:
+                open_ += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
 
 
 def _leaf_batch(rows: list[tuple[str, bytes, list]], more: dict[str, pa.Array] | None = None) -> pa.RecordBatch:
+    sources, counts, ends = [], [], [0]
+    for _, _, (_, found) in rows:
+        sources += found
+        counts += found.values()
+        ends.append(len(sources))
+    offsets = pa.array(ends, pa.int32())
     columns = {
         "lang": pa.array([r[0] for r in rows], pa.string()),
         "term": pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()),
         "docs": pa.array([r[2][0] for r in rows], pa.int64()),
-        "sources": pa.array([list(r[2][1]) for r in rows], pa.list_(pa.string())),
-        "counts": pa.array([list(r[2][1].values()) for r in rows], pa.list_(pa.int64())),
+        "sources": pa.ListArray.from_arrays(offsets, pa.array(sources, pa.string())),
+        "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
     } | (more or {})
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _tries(docs: dict[str, Counter], counts: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
     """Counters as tries, one a language, and their leaves in order."""
-    tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
-    for (lang, source), found in counts.items():
-        leaf = tries[lang].leaf
-        for term, n in found.items():
-            mine = leaf(term)[1]
-            mine[source] = mine.get(source, 0) + n
-    for lang, found in docs.items():
-        leaf = tries[lang].leaf
-        for term, n in found.items():
-            leaf(term)[0] += n
-    for lang, trie in sorted(tries.items()):
+    for lang in sorted(docs):
+        leaves = {term: [n, {}] for term, n in docs[lang].items()}
+        for (other, source), found in counts.items():
+            if other == lang:
+                for term, n in found.items():
+                    leaves[term][1][source] = n
         rows = []
-        for term, leaf in trie.walk():
+        for term, leaf in RadixTrie.of_sorted(sorted(leaves.items())).walk():
             rows.append((lang, term, leaf))
             if len(rows) == 10_000:
                 yield _leaf_batch(rows)
@@ -128,6 +128,23 @@ def _tries(docs: dict[str, Counter], counts: dict[tuple[str, str], Counter]) ->
             yield _leaf_batch(rows)
 
 
+def _uncollected(run):
+    """The function with the cyclic garbage collector off: its millions of leaves hold no cycles, and looking for them takes longer than the work."""
+
+    @functools.wraps(run)
+    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return quiet
+
+
+@_uncollected
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[str, Counter] = defaultdict(Counter)
     counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
@@ -147,27 +164,52 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _tries(docs, counts)
 
 
+def _names(column: pa.Array) -> list[str]:
+    """Values of a column with few different ones."""
+    coded = column.dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    return [known[k] for k in coded.indices.to_numpy().tolist()]
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    """Values of a string column as UTF-8."""
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def _merge(least_docs: int, block: int):
     """Merge leaves that come sorted by language and term; keep frequent terms, in named blocks."""
 
-    def emit(lang: str, trie: RadixTrie, first: bytes) -> pa.RecordBatch:
-        rows = [(lang, term, leaf) for term, leaf in trie.walk() if leaf[0] >= least_docs]
+    def emit(lang: str, leaves: dict[bytes, list]) -> pa.RecordBatch:
+        rows = [(lang, term, leaf) for term, leaf in RadixTrie.of_sorted(leaves.items()).walk() if leaf[0] >= least_docs]
+        first = next(iter(leaves))
         return _leaf_batch(rows, {"block": pa.array([first] * len(rows), pa.binary()).cast(pa.string())})
 
+    @_uncollected
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, now, first, last = RadixTrie(), None, b"", b""
+        now, leaves, last, leaf = None, {}, None, [0, {}]
         for batch in batches:
-            columns = [batch.column(k) for k in range(5)]
-            columns[1] = columns[1].cast(pa.binary())
-            for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in columns), strict=True):
-                if lang != now or (term != last and trie.leaves >= block):
-                    if trie.leaves:
-                        yield emit(now, trie, first)
-                    trie, now, first = RadixTrie(), lang, term
-                last = term
-                trie.add(term, docs, dict(zip(sources, counts, strict=True)))
-        if trie.leaves:
-            yield emit(now, trie, first)
+            langs, words, docs = _names(batch.column(0)), _bytes(batch.column(1)), batch.column(2).to_numpy().tolist()
+            sources, counts = _names(batch.column(3).flatten()), batch.column(4).flatten().to_numpy().tolist()
+            sizes, at = batch.column(3).value_lengths().to_numpy().tolist(), 0
+            for lang, term, n, size in zip(langs, words, docs, sizes, strict=True):
+                if lang != now or term != last:
+                    if lang != now or len(leaves) >= block:
+                        if leaves:
+                            yield emit(now, leaves)
+                        leaves = {}
+                    now, last = lang, term
+                    leaf = leaves[term] = [0, {}]
+                leaf[0] += n
+                mine = leaf[1]
+                for k in range(at, at + size):
+                    source = sources[k]
+                    mine[source] = mine.get(source, 0) + counts[k]
+                at += size
+        if leaves:
+            yield emit(now, leaves)
 
     return run
 

@@ -140,14 +140,16 @@ def test_divergence_of_an_empty_table(spark):
 
 
 def test_radix_trie_splits_edges_and_walks_in_byte_order():
-    rng, trie, want = random.Random(1), divergence.RadixTrie(), Counter()
+    rng, want = random.Random(1), Counter()
     for _ in range(3000):
-        term = bytes(rng.choice(b"ab\xc3\xff") for _ in range(rng.randrange(1, 7)))
-        trie.add(term, 1, {"s": 2})
-        want[term] += 1
-    walked = list(trie.walk())
-    assert [t for t, _ in walked] == sorted(want) and trie.leaves == len(want)
-    assert all(leaf == [want[t], {"s": 2 * want[t]}] for t, leaf in walked)
+        want[bytes(rng.choice(b"ab\xc3\xff") for _ in range(rng.randrange(1, 7)))] += 1
+    trie = divergence.RadixTrie.of_sorted((t, [n, {"s": 2 * n}]) for t, n in sorted(want.items()))
+    assert list(trie.walk()) == [(t, [n, {"s": 2 * n}]) for t, n in sorted(want.items())] and trie.leaves == len(want)
+
+    def edges(node):
+        return sum(1 + edges(child) for child in node[1].values())
+
+    assert edges(trie.root) < 2 * len(want) and all(len(n[1]) > 1 or n[2] is not None for n in trie.root[1].values())
 
 
 def test_shares_are_exact_where_a_product_would_overflow():
