@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.functions.unicode import nfkc, sequence_ratio
+from plover.operators.candidates import contained_pairs
 from plover.operators.joins import best_with_margin
 
 
@@ -15,25 +16,38 @@ def _tokens(texts: DataFrame, key: str) -> DataFrame:
     return counts.select(key, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.struct("char", k.alias("turn")))).alias("token"))
 
 
-def _prefixes(tokens: DataFrame, order: DataFrame, key: str, least: float) -> DataFrame:
-    """The rarest tokens of each text.
+def _keys(tokens: DataFrame, order: DataFrame, key: str, least: float) -> DataFrame:
+    """(text, join key): pairs of each text's rarest tokens, and single ones of the shortest texts.
 
     Texts of lengths m and n with a ratio of ``least`` share at least
     ``least * (m + n) / 2`` characters, and n is at least m * least / (2 - least),
-    so m * least / (2 - least) of them: any two share one among the rarest
-    m - that + 1 of both.
+    so ``need`` = m * least / (2 - least) of them. In one order of all tokens,
+    any two then share two among the first m - need + 2 of both, if both need
+    two; texts that need one, and those near enough in length to meet such, have
+    single tokens as keys too.
     """
+    share = least / (2 - least)
     ranked = tokens.join(order, "token").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("seen", "token")))
-    need = F.greatest(F.ceil(F.length(key) * (least / (2 - least)) - 1e-9), F.lit(1))
-    return ranked.filter(F.col("at") <= F.length(key) - need + 1).select(key, "token")
+    need = F.greatest(F.ceil(F.length(key) * share - 1e-9), F.lit(1))
+    first = ranked.filter(F.col("at") <= F.length(key) - need + 2)
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("t"))  # as long as the text at most
+    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x["token"].alias("a"), y["token"].alias("b")))))
+    single = F.transform("t", lambda x: F.struct(x["token"].alias("a"), F.lit(None).cast(tokens.schema["token"].dataType).alias("b")))
+    short = F.length(key) <= 1 / share**2
+    return lists.select(key, F.explode(F.when(short, F.concat(single, pairs)).otherwise(pairs)).alias("join_key"))
 
 
-def _within(shorter: DataFrame, longer: DataFrame, short_key: str, long_key: str) -> DataFrame:
-    """Pairs of which the first is contained in the second: an equi-join with the second's parts of the lengths that occur."""
-    lengths = shorter.agg(F.array_sort(F.collect_set(F.length(short_key))).alias("lengths"))
-    parts = longer.crossJoin(F.broadcast(lengths)).select(long_key, F.explode("lengths").alias("size")).filter(F.col("size").between(1, F.length(long_key)))
-    parts = parts.select(long_key, F.explode(F.transform(F.sequence(F.lit(1), F.length(long_key) - F.col("size") + 1), lambda k: F.substring(F.col(long_key), k, F.col("size")))).alias("part")).distinct()
-    return shorter.join(parts, F.col(short_key) == F.col("part")).select(short_key, long_key)
+def near_pairs(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
+    """(name, alias): all pairs of distinct texts that can have a ratio of ``least``, and some more.
+
+    ``one`` has name, ``two`` alias, neither null nor empty.
+    """
+    t1, t2 = _tokens(one, "name"), _tokens(two, "alias")
+    order = t1.select("token").unionByName(t2.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    left, right = _keys(t1, order, "name", least), _keys(t2, order, "alias", least).withColumnRenamed("join_key", "other_key")
+    same = F.col("join_key.a").eqNullSafe(F.col("other_key.a")) & F.col("join_key.b").eqNullSafe(F.col("other_key.b"))
+    low, high = F.length("name") * (least / (2 - least)), F.length("name") * ((2 - least) / least)
+    return left.join(right, same & F.length("alias").between(F.floor(low), F.ceil(high))).select("name", "alias").distinct()
 
 
 def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = 0.75, margin: float = 0.10) -> DataFrame:
@@ -41,8 +55,8 @@ def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = 0.75, margi
 
     All pairs with a ratio of ``least - margin``, which may make a match
     ambiguous, or where one contains the other are compared: the former share
-    one of their rarest characters, the latter are found by an equi-join of
-    parts. Names that meet nothing, null and empty ones
+    two of their rarest characters, the latter are found by the rarest part of
+    the shorter. Names that meet nothing, null and empty ones
     are not_found with a score of 0. A containment counts 0.94 at least. The
     margin is to the next company, so two aliases of one company aren't
     ambiguous.
@@ -51,12 +65,11 @@ def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = 0.75, margi
     left = names.select("key", F.lower(nfkc(F.col("name"))).alias("name"))
     right = aliases.select("company", F.lower(nfkc(F.col("alias"))).alias("alias")).filter("alias <> ''")
     one, two = left.select("name").filter("name <> ''").distinct(), right.select("alias").distinct()
-    t1, t2 = _tokens(one, "name"), _tokens(two, "alias")
-    order = t1.select("token").unionByName(t2.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
-    near = _prefixes(t1, order, "name", floor).join(_prefixes(t2, order, "alias", floor), "token").select("name", "alias")
-    low, high = F.length("name") * (floor / (2 - floor)), F.length("name") * ((2 - floor) / floor)
-    near = near.filter(F.length("alias").between(F.floor(low), F.ceil(high)))
-    pairs = near.unionByName(_within(two, one, "alias", "name").select("name", "alias")).unionByName(_within(one, two, "name", "alias")).distinct()
+    near = near_pairs(one, two, floor)
+    inner, outer = one.select(F.col("name").alias("inner")), two.select(F.col("alias").alias("outer"))
+    held = contained_pairs(inner, outer).select(F.col("inner").alias("name"), F.col("outer").alias("alias"))
+    holds = contained_pairs(outer.withColumnRenamed("outer", "inner"), inner.withColumnRenamed("inner", "outer")).select(F.col("outer").alias("name"), F.col("inner").alias("alias"))
+    pairs = near.unionByName(held).unionByName(holds).distinct()
     inside = F.col("name").contains(F.col("alias")) | F.col("alias").contains(F.col("name"))
     scored = pairs.withColumn("ratio", sequence_ratio(F.col("name"), F.col("alias")))
     scored = scored.withColumn("score", F.when(F.col("name") == F.col("alias"), 1.0).when(inside, F.greatest(F.col("ratio"), F.lit(0.94))).otherwise(F.col("ratio")))

@@ -120,14 +120,34 @@ def best_with_margin(candidates: DataFrame, key: str, candidate: str, score: str
     return top.select(key, status.alias("match_status"), F.col("_s").alias("best_score"), second.alias("second_score"), F.when(status == "matched", F.col(candidate)).alias(candidate))
 
 
-def point_in_time(events: DataFrame, facts: DataFrame, by: str, event_time: str, rank: list[Column], values: list[str]) -> DataFrame:
+def sweep_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, rank: list[str], values: list[str], tie: str) -> DataFrame:
+    """Each left row with the greatest right row, by ``rank``, of those at or before its time.
+
+    One sweep over both sides in the order of (``by``, time): the running
+    maximum of a struct that begins with ``by`` holds the best row of the key so
+    far, or one of a smaller key where there is none yet. Rows are dealt by
+    ranges of that order and each range starts from the maximum of those before
+    it, so a key of any size is spread over tasks and no pairs are made. ``tie``
+    tells left rows of one key and time apart. Adds ``values``, null where
+    nothing is known or the key is null; other columns keep their values.
+    """
+    best = F.struct(F.col(by).alias("by"), *[F.col(c).alias(f"r{k}") for k, c in enumerate(rank)], *[F.col(c).alias(f"v{k}") for k, c in enumerate(values)])
+    facts = right.filter(F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), best.alias("_best"))
+    rows = left.select(F.struct(*left.columns).alias("_row"), F.col(by).alias("_by"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"))
+    both = rows.unionByName(facts, allowMissingColumns=True)
+    swept = ranks.running(both, ["_by", "_time", "_side", "_tie"], maxes={"_found": F.col("_best")}).filter("_side = 1")
+    known = F.col("_found.by") == F.col("_by")
+    return swept.select("_row.*", *[F.when(known, F.col(f"_found.v{k}")).alias(c) for k, c in enumerate(values)])
+
+
+def point_in_time(events: DataFrame, facts: DataFrame, by: str, event_time: str, rank: list[str], values: list[str]) -> DataFrame:
     """Per event row the best fact that was known: filed and ended by the event's date.
 
-    ``facts`` has filed and end; ``rank`` orders them, the greatest counts. Events need a column event_id.
+    ``facts`` has filed and end, and counts from the later of the two; ``rank``
+    orders what is known, the greatest counts. Events need a column event_id.
     """
-    known = events.select("event_id", by, event_time).join(facts, by).filter((F.col("filed") <= F.col(event_time)) & (F.col("end") <= F.col(event_time)))
-    best = known.groupBy("event_id").agg(F.max_by(F.struct(*values), F.struct(*rank)).alias("_f"))
-    return events.join(best.select("event_id", *[F.col(f"_f.{v}").alias(v) for v in values]), "event_id", "left")
+    known = facts.withColumn("_known", F.greatest("filed", "end"))
+    return sweep_join(events, known, by, event_time, "_known", rank, values, "event_id")
 
 
 def peer_groups(members: DataFrame, fine: str, coarse: str, least: int) -> DataFrame:

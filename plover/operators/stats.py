@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.operators import ranks
+from plover.operators.joins import band_join, checked_broadcast
 from plover.operators.quantiles import quantiles
+from plover.session import materialize
 
 
 def average_rank(value: str, by: Sequence[str] = ()) -> Column:
@@ -155,15 +157,63 @@ def normal_cdf(z: Column) -> Column:
     return (1 + F.signum(z) * erf) / 2
 
 
-def bootstrap_means(groups: DataFrame, cluster: str, total: str, n: str, replicates: int, seed: int) -> DataFrame:
-    """Cluster bootstrap of a mean by Poisson weights drawn from a hash: one row per replicate.
+def poisson_draws(clusters: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
+    """Each row once a replicate that draws its cluster, with the number of draws as ``_w``.
 
-    ``groups`` has a row per cluster. Weights follow a Poisson law of mean one
-    by inverting its distribution, so reruns agree and no data are collected.
+    Weights follow a Poisson law of mean one by inverting its distribution at a
+    hash of cluster and replicate, so reruns agree and no data are collected.
     """
-    draws = groups.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    draws = clusters.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), cluster, "replicate"), 11) * 2.0**-53
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    weighted = draws.withColumn("_w", weight)
-    return weighted.groupBy("replicate").agg(F.try_divide(F.sum(F.col(total) * F.col("_w")), F.sum(F.col(n) * F.col("_w"))).alias("mean"))
+    return draws.withColumn("_w", weight).filter("_w > 0")
+
+
+def bootstrap_means(groups: DataFrame, cluster: str, total: str, n: str, replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """Cluster bootstrap of a mean: one row per replicate and group of ``by``.
+
+    ``groups`` has a row per cluster (and group), with its total and count.
+    """
+    weighted = poisson_draws(groups, cluster, replicates, seed)
+    return weighted.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col(total) * F.col("_w")), F.sum(F.col(n) * F.col("_w"))).alias("mean"))
+
+
+def bootstrap_medians(rows: DataFrame, cluster: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """Cluster bootstrap of the median of all rows: (replicate, median).
+
+    Rows are counted by cluster and value first; a replicate's median is found
+    among running counts of its values, dealt by ranges, so none gathers in a task.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("_cluster"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    drawn = poisson_draws(counts, "_cluster", replicates, seed).groupBy("replicate", "_v").agg(F.sum(F.col("_c") * F.col("_w")).alias("_n"))
+    upto = ranks.running(drawn, ["replicate", "_v"], {"_upto": F.col("_n")})
+    ends = upto.groupBy(F.col("replicate").alias("_r")).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_all"))
+    placed = upto.join(ends, F.col("replicate") == F.col("_r")).withColumn("_at", F.col("_upto") - F.col("_start"))
+    at = lambda rank: F.min(F.when(F.col("_at") > rank, F.col("_v")))
+    return placed.groupBy("replicate").agg(((at(F.floor((F.col("_all") - 1) / 2)) + at(F.ceil((F.col("_all") - 1) / 2))) / 2).alias("median"))
+
+
+def paired_differences(events: DataFrame, model: str, cluster: str, value: str) -> DataFrame:
+    """(a, b, cluster, difference): a cluster's mean under model a less that under b, for all ordered pairs of models that it has."""
+    means = events.filter(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("cluster"), F.col(model).alias("m")).agg(F.avg(value).alias("v"))
+    lists = means.groupBy("cluster").agg(F.collect_list(F.struct("m", "v")).alias("all"))  # an entry a model
+    pairs = lists.select("cluster", F.explode("all").alias("x"), "all").select("cluster", "x", F.explode("all").alias("y")).filter("x.m <> y.m")
+    return pairs.select(F.col("x.m").alias("a"), F.col("y.m").alias("b"), "cluster", (F.col("x.v") - F.col("y.v")).alias("difference"))
+
+
+def model_overlaps(events: DataFrame, model: str, cluster: str, day: str, days: int = 7) -> DataFrame:
+    """(a, b, n, same_day, near): events of model a, those on a day of b's for the same cluster, and those within ``days`` of one.
+
+    Each event is looked up once for every other model, by day and by buckets of
+    days, not against all events of its cluster.
+    """
+    rows = events.select(F.col(model).alias("a"), F.col(cluster).cast("string").alias("c"), F.col(day).alias("day")).withColumn("_id", F.monotonically_increasing_id())
+    rows = materialize(rows, "model-events")
+    others = rows.select(F.col("a").alias("b")).distinct()
+    asked = rows.join(checked_broadcast(others), F.col("a") != F.col("b")).withColumn("_k", F.concat_ws("\x1f", "c", "b"))
+    held = rows.select(F.concat_ws("\x1f", "c", "a").alias("_k"), F.col("day").alias("other_day")).distinct()
+    near = band_join(asked, held, "_k", "day", "other_day", days, "left_semi").withColumn("_near", F.lit(1))
+    same = asked.join(held, (asked["_k"] == held["_k"]) & (F.col("day") == F.col("other_day")), "left_semi").withColumn("_same", F.lit(1))
+    every = asked.withColumn("_n", F.lit(1)).unionByName(near, allowMissingColumns=True).unionByName(same, allowMissingColumns=True)
+    return every.groupBy("a", "b").agg(F.sum("_n").alias("n"), F.coalesce(F.sum("_same"), F.lit(0)).alias("same_day"), F.coalesce(F.sum("_near"), F.lit(0)).alias("near"))

@@ -7,11 +7,15 @@ chain of these functions shuffles once.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plover.operators.joins import asof_dated
+
 
 def by_symbol():
     """The rows of a symbol in order. A function, because windows need a session."""
@@ -124,18 +128,65 @@ def confirmations(triggered: DataFrame, rules: SignalRules) -> DataFrame:
 def greedy_cooldown(events: DataFrame, by: str, at: str, gap: int, keep: list[str]) -> DataFrame:
     """Events at least ``gap`` after the last one that was kept, by ``by`` in order of ``at``.
 
-    The choice depends on the order, so it is a fold over each key's events;
-    these are few (signals or alerts of one key), unlike the rows they come from.
+    The choice depends on the order, so it is a fold: a task streams its keys'
+    rows in order and remembers one time, so a key of any length costs no
+    memory. Rows of equal times are taken by ``keep``; rows without a key or a
+    time are left out.
+    """
+    rows = events.filter(F.col(by).isNotNull() & F.col(at).isNotNull()).select(by, F.col(at).cast("long").alias(at), *keep)
+    return rows.repartition(by).sortWithinPartitions(by, at, *keep).mapInArrow(_spaced(gap), rows.schema)
+
+
+def _spaced(gap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = last = None
+        for batch in batches:
+            kept = []
+            for k, (key, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != now or at - last >= gap:
+                    now, last = key, at
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def in_pieces(series: DataFrame, run: Callable[[DataFrame], DataFrame], before: int, after: int = 0, size: int = 8192) -> DataFrame:
+    """``run`` over pieces of each symbol's rows, so that one long symbol is spread over tasks.
+
+    A row is also sent to the pieces whose rows look back to it, up to
+    ``before`` rows, or ahead to it, up to ``after``; what ``run`` makes of these
+    copies is dropped. ``run`` must add columns or drop rows by windows
+    `by_symbol` that reach no further, and keep the column ``_own``. Symbols of up
+    to ``size`` rows stay whole.
     """
-    rows = events.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), *keep))).alias("rows"))
-    kept = f"""aggregate(rows, named_struct('last', cast(null as bigint), 'out', slice(rows, 1, 0)), (a, x) ->
-        if(a.last is null or x.at - a.last >= {gap}, named_struct('last', x.at, 'out', concat(a.out, array(x))), a), a -> a.out)"""
-    return rows.select(by, F.explode(F.expr(kept)).alias("e")).select(by, F.col("e.at").alias(at), *[F.col(f"e.{c}").alias(c) for c in keep])
+    place = F.col("i") - 1
+    pieces = F.sequence(F.floor(F.greatest(place - after, F.lit(0)) / size), F.floor((place + before) / size))
+    cut = series.withColumn("_piece", F.explode(pieces)).withColumn("_own", F.col("_piece") == F.floor(place / size))
+    # The last piece needs no copies behind its rows: they would be pieces of copies only, which own nothing.
+    out = run(cut.withColumn("symbol", F.struct("symbol", F.col("_piece").alias("piece"))).drop("_piece")).filter("_own")
+    return out.withColumn("symbol", F.col("symbol.symbol")).drop("_own")
+
+
+def setups(series: DataFrame, rules: SignalRules) -> DataFrame:
+    """`setup_features` in pieces of each symbol."""
+    return in_pieces(series, lambda s: setup_features(s, rules), rules.peak_window + rules.density_window + 1)
+
+
+def setup_triggers(series: DataFrame, rules: SignalRules, need_volume: bool = True) -> DataFrame:
+    """`triggers` of `setup_features` in pieces of each symbol."""
+    return in_pieces(series, lambda s: triggers(setup_features(s, rules), rules, need_volume), rules.peak_window + rules.density_window + 1)
+
+
+def confirmed(series: DataFrame, rules: SignalRules, need_volume: bool = True) -> DataFrame:
+    """`confirmations` in pieces of each symbol."""
+    run = lambda s: confirmations(triggers(setup_features(s, rules), rules, need_volume), rules)
+    return in_pieces(series, run, rules.peak_window + rules.density_window + 1, rules.confirm_after)
 
 
 def signals(series: DataFrame, rules: SignalRules = SignalRules(), need_volume: bool = True) -> DataFrame:
     """Confirmed signals after the cooldown: symbol, confirm_i, confirm_day, trigger, level, close."""
-    found = confirmations(triggers(setup_features(series, rules), rules, need_volume), rules)
+    found = confirmed(series, rules, need_volume)
     return greedy_cooldown(found, "symbol", "confirm_i", rules.cooldown, ["confirm_day", "trigger", "level", "confirm_close"])
 
 
@@ -171,6 +222,67 @@ def first_touch(series: DataFrame, discount: float, horizon: int) -> DataFrame:
     return series.withColumn("touch_after", F.when(hit > 0, hit))
 
 
+def first_reach(events: DataFrame, series: DataFrame, value: str, key: str, at: str, level: str, block: int = 512) -> DataFrame:
+    """Adds ``reach_i``, the first row from ``at`` on whose ``value`` is at or under ``level``; null if none is.
+
+    ``events`` has unique ``key``, symbol and the others. Rows are blocks of
+    ``block``, blocks are blocks of blocks, and each knows its least value: an
+    event looks through the rest of its own, then for the next block, or block of
+    blocks, that goes deep enough, and down into it. So no event meets more than
+    a few lists of ``block`` entries however long its symbol is.
+    """
+    rows = series.select(F.col("symbol").alias("s"), (F.col("i") - 1).cast("long").alias("k"), F.col(value).cast("double").alias("v"))
+    levels = [rows]
+    for _ in range(2):
+        levels.append(levels[-1].groupBy("s", F.floor(F.col("k") / block).alias("k")).agg(F.min("v").alias("v")))
+    lists = [x.groupBy(F.col("s").alias("l_s"), F.floor(F.col("k") / block).alias("l_k")).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("list")) for x in levels]
+
+    def look(left: DataFrame, n: int, parent: Column, least: Column, out: str) -> DataFrame:
+        """The first entry of a list from ``least`` on that goes deep enough."""
+        met = left.withColumn("_p", parent).join(lists[n], (F.col("symbol") == F.col("l_s")) & (F.col("_p") == F.col("l_k")), "left")
+        found = F.filter("list", lambda x: (x["k"] >= least) & (x["v"] <= F.col(level)))
+        return met.withColumn(out, F.when(F.size(found) > 0, found[0]["k"])).drop("_p", "l_s", "l_k", "list")
+
+    place = (F.col(at) - 1).cast("long")
+    down = lambda k: F.floor(k / block)
+    left = look(events.select(key, "symbol", at, level), 0, down(place), place, "_row")
+    left = look(left, 1, F.when(F.col("_row").isNull(), down(down(place))), down(place) + 1, "_block")
+    done = F.col("_row").isNotNull() | F.col("_block").isNotNull()
+    far = levels[2].groupBy(F.col("s").alias("f_s")).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("far"))
+    left = left.withColumn("_p", F.when(~done, F.col("symbol"))).join(far, F.col("_p") == F.col("f_s"), "left")
+    deep = F.filter("far", lambda x: (x["k"] > down(down(place))) & (x["v"] <= F.col(level)))
+    left = left.withColumn("_far", F.when(F.size(deep) > 0, deep[0]["k"])).drop("_p", "f_s", "far")
+    left = look(left, 1, F.col("_far"), F.lit(0), "_in_far").withColumn("_block", F.coalesce("_block", "_in_far"))
+    left = look(left, 0, F.col("_block"), F.lit(0), "_in_block")
+    reach = left.select(F.col(key).alias("r_key"), (F.coalesce("_row", "_in_block") + 1).alias("reach_i"))
+    return events.join(reach, F.col(key) == F.col("r_key"), "left").drop("r_key")
+
+
+def holding_variants(events: DataFrame, series: DataFrame, benchmark: DataFrame, key: str, delay: int = 20, discount: float = 0.1) -> DataFrame:
+    """Per event: percent returns to the last close when bought at once, ``delay`` rows later, at a limit, and in the benchmark, and their ranks.
+
+    ``events`` has symbol, at (row), price and day. The limit is ``discount``
+    under the price and fills on the first row from the event on whose low is at
+    or under it. The benchmark (day, index_close) is bought on or after the
+    event's day. What can't be bought is null and unranked; of equal returns the
+    earlier in this order ranks first.
+    """
+    ends = series.groupBy(F.col("symbol").alias("e_symbol")).agg(F.max_by("close", "i").alias("last"))
+    later = series.select(F.col("symbol").alias("d_symbol"), F.col("i").alias("d_i"), F.col("close").alias("delayed_price"))
+    out = events.withColumn("limit", F.col("price") * (1 - discount)).join(ends, F.col("symbol") == F.col("e_symbol")).drop("e_symbol")
+    out = out.join(later, (F.col("symbol") == F.col("d_symbol")) & (F.col("at") + delay == F.col("d_i")), "left").drop("d_symbol", "d_i")
+    out = first_reach(out, series, "low", key, "at", "limit")
+    final = benchmark.agg(F.max_by("index_close", "day").alias("index_last"))
+    out = asof_dated(out, benchmark.select("day", "index_close").withColumnRenamed("day", "b_day"), "day", "b_day", ["index_close"], "forward").crossJoin(F.broadcast(final))
+    pct = lambda price, last="last": F.round((F.try_divide(F.col(last), price) - 1) * 100, 2)
+    returns = {"immediate": pct(F.col("price")), "at_limit": F.when(F.col("reach_i").isNotNull(), pct(F.col("limit"))), "delayed": pct(F.col("delayed_price")), "index": pct(F.col("index_close"), "index_last")}
+    out = out.withColumns(returns)
+    order = F.array_sort(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("r"), F.lit(k).alias("k"))) for k, c in enumerate(returns)])))
+    places = F.transform(order, lambda x: x["k"])
+    ranked = {f"{c}_rank": F.nullif(F.array_position(places, F.lit(k)).cast("int"), F.lit(0)) for k, c in enumerate(returns)}
+    return out.withColumns(ranked).select(key, "symbol", "reach_i", *returns, *ranked)
+
+
 def sign_changes(series: DataFrame, value: str) -> DataFrame:
     """Per symbol: turns of the value's direction, unchanged steps left out, and whether it ends flat."""
     steps = series.withColumn("_d", F.signum(F.col(value) - F.lag(value).over(by_symbol())))

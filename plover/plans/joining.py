@@ -67,8 +67,9 @@ def _orders(t):
 @query("j09_j10_j11_asof_orders_to_prices", f"""WITH {PRICES_SQL}, {_ORDERS}
 SELECT o.o_orderkey, p.close, p.day AS price_day FROM o ASOF LEFT JOIN px p ON p.symbol = o.symbol AND p.day <= o.day""")
 def j09(t):
-    out = joins.asof_join(_orders(t), prices(t.lineitem).select("symbol", "day", "close"), "symbol", "day", "day", ["close"])
-    return out.select("o_orderkey", "close", F.col("asof_time").alias("price_day"))
+    """A sweep over ranges of symbol and day, because a hundred symbols hold all orders."""
+    series = prices(t.lineitem).select("symbol", "day", "close", F.col("day").alias("price_day"))
+    return joins.sweep_join(_orders(t), series, "symbol", "day", "day", ["price_day"], ["close", "price_day"], "o_orderkey").select("o_orderkey", "close", "price_day")
 
 
 @query("j12_base_then_trading_rows", f"""WITH {PRICES_SQL}, {_ORDERS},
@@ -126,7 +127,31 @@ def _facts(t):
 @query("j16_e01_point_in_time_facts", f"WITH {_FACTS}, e AS (SELECT c_custkey AS cust, DATE '1996-02-15' + (c_custkey % 300)::INT AS day FROM customer) SELECT e.cust AS event_id, max_by(y, fin) AS y, round(max_by(value, fin), 2) AS value FROM e LEFT JOIN facts f ON f.cust = e.cust AND filed <= day AND fin <= day GROUP BY 1")
 def j16(t):
     events = t.customer.select(F.col("c_custkey").alias("event_id"), F.col("c_custkey").alias("cust"), F.expr("date_add(date'1996-02-15', cast(c_custkey % 300 as int))").alias("day"))
-    return joins.point_in_time(events, _facts(t), "cust", "day", [F.col("end"), F.col("filed")], ["y", "value"]).select("event_id", "y", "value")
+    return joins.point_in_time(events, _facts(t), "cust", "day", ["end", "filed"], ["y", "value"]).select("event_id", "y", "value")
+
+
+_RANKED_SQL = """reported AS (SELECT o_custkey AS cust, o_orderstatus AS concept, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'USD' ELSE 'JPY' END AS unit, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, sum(round(o_totalprice*100)::BIGINT) AS cents FROM orders GROUP BY ALL),
+ranked_facts AS (SELECT cust, concept, unit, cents AS value, (make_date(y, 3*q - 2, 1) + INTERVAL 3 MONTH)::DATE - 1 AS fin, 90 AS days FROM reported UNION ALL SELECT cust, concept, unit, sum(cents)::BIGINT, make_date(y, 12, 31), 365 FROM reported GROUP BY cust, concept, unit, y),
+dated AS (SELECT *, fin + (20 + cust % 50 + CASE WHEN days = 365 THEN 30 ELSE 0 END)::INT AS filed, CASE unit WHEN 'USD' THEN 1 ELSE 0 END AS unit_rank, -abs(days - 365) AS fit, CASE concept WHEN 'F' THEN 0 WHEN 'O' THEN -1 ELSE -2 END AS concept_rank FROM ranked_facts)"""
+
+
+@query("j16_facts_by_rank", f"""WITH {_RANKED_SQL}, e AS (SELECT o_orderkey AS event_id, o_custkey AS cust, o_orderdate::DATE AS day FROM orders)
+SELECT event_id, concept, unit, days, value, fin::VARCHAR AS period_end, filed::VARCHAR AS filed_on FROM e LEFT JOIN dated f ON f.cust = e.cust AND filed <= day AND fin <= day
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY fin DESC, filed DESC, unit_rank DESC, fit DESC, concept_rank DESC) = 1""")
+def j16_ranked(t):
+    """Facts known on each order's day: the latest period, then filing, the dollar, a year's length, the first concept."""
+    unit = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "USD").otherwise("JPY")
+    reported = t.orders.groupBy(F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("concept"), unit.alias("unit"), F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("value"))
+    quarters = reported.select("cust", "concept", "unit", "value", F.date_sub(F.add_months(F.make_date("y", 3 * F.col("q") - 2, F.lit(1)), 3), 1).alias("end"), F.lit(90).alias("days"))
+    years = reported.groupBy("cust", "concept", "unit", "y").agg(F.sum("value").alias("value")).select("cust", "concept", "unit", "value", F.make_date("y", F.lit(12), F.lit(31)).alias("end"), F.lit(365).alias("days"))
+    facts = quarters.unionByName(years).withColumns({
+        "filed": F.date_add("end", (20 + F.col("cust") % 50 + F.when(F.col("days") == 365, 30).otherwise(0)).cast("int")), "unit_rank": (F.col("unit") == "USD").cast("int"),
+        "fit": -F.abs(F.col("days") - 365), "concept_rank": F.when(F.col("concept") == "F", 0).when(F.col("concept") == "O", -1).otherwise(-2),
+    })
+    facts = facts.withColumns({"period_end": F.col("end").cast("string"), "filed_on": F.col("filed").cast("string")})
+    events = t.orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").cast("date").alias("day"))
+    values = ["concept", "unit", "days", "value", "period_end", "filed_on"]
+    return joins.point_in_time(events, facts, "cust", "day", ["end", "filed", "unit_rank", "fit", "concept_rank"], values).select("event_id", *values)
 
 
 @query("e03_enriched_signals", f"WITH {_FACTS}, e AS (SELECT o_orderkey, o_custkey AS cust, o_orderdate::DATE AS day FROM orders WHERE o_orderpriority = '1-URGENT') SELECT e.o_orderkey AS event_id, max_by(y, fin) AS y, round(max_by(value, fin), 2) AS value, CASE WHEN max(y) IS NULL THEN 'no_facts' ELSE 'ok' END AS status FROM e LEFT JOIN facts f ON f.cust = e.cust AND filed <= day AND fin <= day GROUP BY 1", digits=2)

@@ -57,18 +57,18 @@ def w04(t):
 
 @query("w05_setup_detection", f"WITH {_FEATURES} SELECT symbol, i, (i - pk.k)::BIGINT AS peak_age, setup, setup_days FROM sd")
 def w05(t):
-    return ts.setup_features(prices(t.lineitem), RULES).select("symbol", "i", F.col("peak_age").cast("long").alias("peak_age"), "setup", "setup_days")
+    return ts.setups(prices(t.lineitem), RULES).select("symbol", "i", F.col("peak_age").cast("long").alias("peak_age"), "setup", "setup_days")
 
 
 @query("w06_triggers", f"WITH {_FEATURES} SELECT symbol, i, trigger, round(level, 6) AS level FROM cf WHERE trigger IS NOT NULL")
 def w06(t):
-    found = ts.triggers(ts.setup_features(prices(t.lineitem), RULES), RULES)
+    found = ts.setup_triggers(prices(t.lineitem), RULES)
     return found.filter("trigger is not null").select("symbol", "i", "trigger", "level")
 
 
 @query("w07_confirmation", f"WITH {_FEATURES} SELECT symbol, confirm_i, trigger FROM cand")
 def w07(t):
-    return ts.confirmations(ts.triggers(ts.setup_features(prices(t.lineitem), RULES), RULES), RULES).select("symbol", "confirm_i", "trigger")
+    return ts.confirmed(prices(t.lineitem), RULES).select("symbol", "confirm_i", "trigger")
 
 
 @query("w08_signals_with_cooldown", f"{_SIGNALS} SELECT c.symbol, c.confirm_i, c.confirm_day, c.trigger, round(c.level, 6) AS level, c.confirm_close FROM cand c JOIN keep ON keep.symbol = c.symbol AND keep.k = c.confirm_i")
@@ -144,6 +144,24 @@ def w17(t):
     return ts.first_touch(prices(t.lineitem), 0.1, 20).select("symbol", "i", F.col("touch_after").cast("int").alias("touch_after"))
 
 
+@query("w17_w18_holding_variants", f"""{_SIGNALS}, {BENCHMARK_SQL}, e AS (SELECT c.symbol, c.confirm_i AS at, c.confirm_close AS price, c.confirm_day AS day FROM cand c JOIN keep ON keep.symbol = c.symbol AND keep.k = c.confirm_i),
+ends AS (SELECT symbol, max_by(close, i) AS last FROM px GROUP BY 1), fin AS (SELECT max_by(index_close, day) AS index_last FROM bench),
+reach AS (SELECT e.symbol, e.at, min(p.i) AS reach_i FROM e JOIN px p ON p.symbol = e.symbol AND p.i >= e.at AND p.low <= e.price*(1 - 0.1::DOUBLE) GROUP BY 1, 2),
+based AS (SELECT e.*, b.index_close FROM e ASOF LEFT JOIN bench b ON b.day >= e.day),
+r AS (SELECT b.symbol, b.at, reach_i, round((last/price - 1)*100, 2) AS immediate, CASE WHEN reach_i IS NOT NULL THEN round((last/(price*(1 - 0.1::DOUBLE)) - 1)*100, 2) END AS at_limit, round((last/d.close - 1)*100, 2) AS delayed, round((index_last/index_close - 1)*100, 2) AS "index"
+    FROM based b JOIN ends USING (symbol) LEFT JOIN px d ON d.symbol = b.symbol AND d.i = b.at + 20 LEFT JOIN reach q ON q.symbol = b.symbol AND q.at = b.at, fin),
+long AS (SELECT symbol, at, k, row_number() OVER (PARTITION BY symbol, at ORDER BY v DESC, k) AS place FROM (SELECT symbol, at, unnest([0, 1, 2, 3]) AS k, unnest([immediate, at_limit, delayed, "index"]) AS v FROM r) WHERE v IS NOT NULL),
+wide AS (SELECT symbol, at, max(place) FILTER (k = 0) AS immediate_rank, max(place) FILTER (k = 1) AS at_limit_rank, max(place) FILTER (k = 2) AS delayed_rank, max(place) FILTER (k = 3) AS index_rank FROM long GROUP BY 1, 2)
+SELECT r.symbol || ':' || r.at AS event, r.symbol, reach_i, immediate, at_limit, delayed, "index", immediate_rank::INT AS immediate_rank, at_limit_rank::INT AS at_limit_rank, delayed_rank::INT AS delayed_rank, index_rank::INT AS index_rank FROM r JOIN wide USING (symbol, at)""", digits=2)
+def w17_variants(t):
+    """Signals bought at once, at a limit, 20 rows later or in the index instead, ranked by what they made."""
+    from plover.sources.tables import benchmark_prices
+
+    series = prices(t.lineitem)
+    events = ts.signals(series, RULES).select(F.concat_ws(":", "symbol", "confirm_i").alias("event"), "symbol", F.col("confirm_i").alias("at"), F.col("confirm_close").alias("price"), F.col("confirm_day").alias("day"))
+    return ts.holding_variants(events, series, benchmark_prices(t.lineitem), "event")
+
+
 @query("w20_e16_year_end_returns", f"WITH {PRICES_SQL}, y AS (SELECT symbol, year(day)::INT AS year, max_by(close, day) AS year_close FROM px GROUP BY 1, 2) SELECT px.symbol, px.i, round((year_close/close - 1)*100, 6) AS to_year_end FROM px JOIN y ON y.symbol = px.symbol AND y.year = year(day)")
 def w20(t):
     series = prices(t.lineitem)
@@ -241,3 +259,49 @@ def e51(t):
     met = last.join(found, F.col("symbol") == F.col("s"), "left")
     status = F.when(F.col("last_day") < F.lit("1998-06-01").cast("date"), "inactive").when(F.col("signal_i").isNull(), "none").when(F.col("last_i") - F.col("signal_i") <= 400, "fresh").otherwise("old")
     return met.select("symbol", "last_day", "signal_i", status.alias("status"))
+
+
+_KINDS = f"""{_FEATURES}, ev AS (SELECT c.symbol, c.confirm_day AS day, c.trigger AS model, floor((p.close - c.confirm_close)*10000/c.confirm_close)::BIGINT AS ret FROM cand c LEFT JOIN px p ON p.symbol = c.symbol AND p.i = c.confirm_i + 60)"""
+
+
+def _kinds(t):
+    """Confirmed triggers as events of two models, with the return of the 60 rows after them in basis points."""
+    series = prices(t.lineitem)
+    later = series.select(F.col("symbol").alias("s"), F.col("i").alias("k"), F.col("close").alias("later"))
+    found = ts.confirmed(series, RULES).select("symbol", "confirm_i", F.col("confirm_day").alias("day"), F.col("trigger").alias("model"), "confirm_close")
+    met = found.join(later, (F.col("symbol") == F.col("s")) & (F.col("confirm_i") + 60 == F.col("k")), "left")
+    return met.select("symbol", "day", "model", F.floor((F.col("later") - F.col("confirm_close")) * 10000 / F.col("confirm_close")).alias("ret"))
+
+
+@query("e22_model_pairs", f"""WITH {_KINDS}, m AS (SELECT DISTINCT model FROM ev),
+o AS (SELECT a.model AS a, m.model AS b, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM ev x WHERE x.symbol = a.symbol AND x.model = m.model AND x.day = a.day)) AS same_day,
+    count(*) FILTER (EXISTS (SELECT 1 FROM ev x WHERE x.symbol = a.symbol AND x.model = m.model AND abs(date_diff('day', x.day, a.day)) <= 7)) AS near FROM ev a JOIN m ON m.model <> a.model GROUP BY 1, 2),
+v AS (SELECT symbol, model, avg(ret) AS v FROM ev WHERE ret IS NOT NULL GROUP BY 1, 2), d AS (SELECT x.model AS a, y.model AS b, count(*) AS paired, avg(x.v - y.v) AS difference FROM v x JOIN v y ON x.symbol = y.symbol AND x.model <> y.model GROUP BY 1, 2)
+SELECT a, b, n, same_day, near, round(near*1.0/n, 6) AS near_share, paired, round(difference, 4) AS difference FROM o LEFT JOIN d USING (a, b)""")
+def e22_pairs(t):
+    """How far two models find the same signals, and what each symbol made under one and the other."""
+    from plover.operators import stats
+    from plover.session import materialize
+
+    events = materialize(_kinds(t), "events")
+    pairs = stats.paired_differences(events, "model", "symbol", "ret").groupBy(F.col("a").alias("p_a"), F.col("b").alias("p_b")).agg(F.count(F.lit(1)).alias("paired"), F.round(F.avg("difference"), 4).alias("difference"))
+    out = stats.model_overlaps(events, "model", "symbol", "day").join(pairs, (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left")
+    return out.select("a", "b", "n", "same_day", "near", (F.col("near") / F.col("n")).alias("near_share"), "paired", "difference")
+
+
+@query("e22_paired_intervals")
+def e22_intervals(t):
+    """Bootstrap intervals over symbols: of the paired differences, and of each model's median; the draws come from a hash that DuckDB lacks."""
+    from plover.operators import stats
+    from plover.operators.quantiles import quantiles
+    from plover.session import materialize
+
+    events = materialize(_kinds(t).filter("ret is not null"), "events")
+    pairs = stats.paired_differences(events, "model", "symbol", "ret").withColumn("one", F.lit(1))
+    means = stats.bootstrap_means(pairs, "cluster", "difference", "one", 500, 22, ["a", "b"]).select(F.concat_ws(" - ", "a", "b").alias("what"), F.col("mean").alias("v"))
+    models = [r["model"] for r in events.select("model").distinct().limit(50).collect()]  # a model each, not rows
+    for m in sorted(models):
+        medians = stats.bootstrap_medians(events.filter(F.col("model") == m), "symbol", "ret", 200, 22)
+        means = means.unionByName(medians.select(F.lit(f"median {m}").alias("what"), F.col("median").alias("v")))
+    out = quantiles(materialize(means, "replicates"), ["v"], (0.025, 0.5, 0.975), ["what"])
+    return out.select("what", F.col("n_v").alias("replicates"), *[F.col("q_v")[k].alias(c) for k, c in enumerate(("low", "mid", "high"))])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plover.operators import backfill
 from plover.operators import state as st
 from plover.operators.timeseries import greedy_cooldown
 from plover.plans.registry import query
@@ -136,6 +137,24 @@ def d14(t):
     return grid.join(t.orders.filter("o_orderstatus = 'P'").select(day.alias("day")), "day", "left_anti")
 
 
+_CAPPED_SQL = """k AS (SELECT DISTINCT o_orderpriority AS k FROM orders), span AS (SELECT DATE '1998-12-31' AS last, date_diff('day', DATE '1992-01-01', DATE '1998-12-31') AS d),
+daily AS (SELECT o_orderpriority AS k, date_diff('day', o_orderdate::DATE, DATE '1998-12-31') AS off, count(*) AS n FROM orders GROUP BY ALL),
+grid AS (SELECT k, off, sum(coalesce(n, 0)) OVER (PARTITION BY k ORDER BY off) AS upto FROM (SELECT k.k, t.off FROM k, span, range(0, d + 1) t(off)) LEFT JOIN daily USING (k, off)),
+w(k, a, size) AS (SELECT k, c*64, 64 FROM k, span, range(0, d//64 + 1) t(c)
+    UNION ALL SELECT w.k, w.a + h*(w.size//2), w.size//2 FROM w JOIN span ON true JOIN grid g1 ON g1.k = w.k AND g1.off = least(w.a + w.size - 1, d) LEFT JOIN grid g0 ON g0.k = w.k AND g0.off = w.a - 1 JOIN (VALUES (0), (1)) v(h) ON true
+    WHERE w.size > 2 AND w.a <= d AND g1.upto - coalesce(g0.upto, 0) > 12),
+n AS (SELECT w.*, d, last, g1.upto - coalesce(g0.upto, 0) AS n FROM w JOIN span ON true JOIN grid g1 ON g1.k = w.k AND g1.off = least(w.a + w.size - 1, d) LEFT JOIN grid g0 ON g0.k = w.k AND g0.off = w.a - 1 WHERE w.a <= d)"""
+
+
+@query("d14_capped_windows", f"""WITH RECURSIVE {_CAPPED_SQL}
+SELECT k AS o_orderpriority, row_number() OVER (PARTITION BY k ORDER BY a) AS place, (last - least(a + size - 1, d)::INT)::VARCHAR AS first_day, (last - a::INT)::VARCHAR AS last_day, n::BIGINT AS n, n > 12 AS capped FROM n WHERE n <= 12 OR size = 2""")
+def d14_capped(t):
+    """Backfill windows of each priority, newest first, halved from 64 days while a search would find more than 12 orders."""
+    out = backfill.capped_windows(t.orders, t.orders.select("o_orderpriority"), "o_orderpriority", "o_orderdate", "1992-01-01", "1998-12-31", 12)
+    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("last_day")))
+    return out.select("o_orderpriority", place.alias("place"), F.col("first_day").cast("string").alias("first_day"), F.col("last_day").cast("string").alias("last_day"), "n", "capped")
+
+
 @query("d20_next_dates", "WITH g AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY))::DATE AS day), p AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'error') AS errors, count(*) AS n FROM events GROUP BY 1) SELECT day, CASE WHEN n IS NULL THEN 'new' ELSE 'retry' END AS why FROM g LEFT JOIN p USING (day) WHERE n IS NULL OR errors*5 > n")
 def d20(t):
     """The dates that a continuous walker visits next: never seen, or with too many errors."""
@@ -246,6 +265,22 @@ def d01(t):
     return hourly_counts(t.spark, f"{t.sf_dir}/events.parquet")
 
 
+@query("d01_lookback_batches", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
+def d01_lookback(t):
+    """Six batches of five days, each with the day before it read again; an event counts once."""
+    from plover.session import scratch_path
+    from plover.streaming.windows import lookback_counts, read_slices
+
+    folder = scratch_path(t.spark, "slices")
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    for k in range(6):
+        first = -(10**6) if k == 0 else 5 * k - 1
+        last = 10**6 if k == 5 else 5 * k + 4
+        t.events.filter(day.between(first, last)).select("event_id", "ts", "event_type").coalesce(1).write.mode("append").parquet(folder)
+    stream = read_slices(t.spark, folder, "event_id long, ts timestamp_ntz, event_type string")
+    return lookback_counts(stream, scratch_path(t.spark, "windows"), scratch_path(t.spark, "windows-state"), "7 days")
+
+
 @query("d06_interval_controller")
 def d06(t):
     """The adaptive interval of each user, as a fold over the events in order; tests hold it against plain Python."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plover.operators import ranks, stats
+from plover.operators import ranks, sketches, stats
 from plover.operators.joins import checked_broadcast
 from plover.operators.quantiles import quantiles
+from plover.operators.stability import expanding_correlations, stability
 from plover.plans.registry import query
 from plover.session import materialize
 from plover.sources.tables import PRICES_SQL, prices
@@ -123,6 +124,42 @@ def a14(t):
     return years.select("start", F.sum("c").over(back).alias("n"), (F.sum("v").over(back) / F.sum("c").over(back)).alias("mean"))
 
 
+_YEARS_SQL = """long AS (SELECT feature, year(l_shipdate)::INT AS y, v AS x, l_extendedprice AS y_value FROM (SELECT l_shipdate, l_extendedprice, unnest(['quantity', 'discount', 'tax']) AS feature, unnest([l_quantity, l_discount, l_tax]) AS v FROM lineitem)),
+starts AS (SELECT DISTINCT y AS start_year FROM long),
+windows AS (SELECT feature, start_year, count(*) AS n, corr(x, y_value) AS pearson FROM long JOIN starts ON y >= start_year GROUP BY 1, 2 HAVING count(*) >= 10),
+lagged AS (SELECT *, lag(pearson) OVER (PARTITION BY feature ORDER BY start_year DESC) AS previous FROM windows)"""
+
+
+def _backward(t):
+    """Price against quantity, discount and tax of each line, over years that reach ever further back."""
+    long = t.lineitem.select(F.year("l_shipdate").alias("year"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    return expanding_correlations(long.unpivot(["year", "y"], ["quantity", "discount", "tax"], "feature", "x"), ["feature"], "year")
+
+
+@query("a14_backward_correlations", f"WITH {_YEARS_SQL} SELECT feature, start_year, n, round(pearson, 6) AS pearson, round(previous, 6) AS previous, round(pearson - previous, 6) AS change, pearson*previous > 0 AS agrees FROM lagged")
+def a14_correlations(t):
+    return _backward(t)
+
+
+@query("a14_backward_stability", f"""WITH {_YEARS_SQL} SELECT feature, count(*) AS windows, count(*) FILTER (pearson > 0) = count(*) OR count(*) FILTER (pearson < 0) = count(*) AS one_sign, round(greatest(count(*) FILTER (pearson > 0), count(*) FILTER (pearson < 0))*1.0/count(*), 6) AS majority,
+round(median(pearson), 6) AS median, round(min(pearson), 6) AS least, round(max(pearson), 6) AS most, round(min(abs(pearson)), 6) AS least_abs, round(median(abs(pearson)), 6) AS median_abs FROM windows GROUP BY 1""")
+def a14_stability(t):
+    return stability(_backward(t), ["feature"])
+
+
+@query("e26_survivorship_drift", f"""WITH {_EVENTS_SQL}, s AS (SELECT DISTINCT year AS start_year FROM ev), l AS (SELECT start_year, ret FROM ev JOIN s ON year >= start_year WHERE ret IS NOT NULL), q AS (SELECT start_year, quantile_cont(ret, 0.1) AS lo, quantile_cont(ret, 0.9) AS hi FROM l GROUP BY 1)
+SELECT start_year, count(*) AS n, round(avg((ret >= 2000)::INT), 6) AS big_rate, round(avg((ret <= -2000)::INT), 6) AS loss_rate, round(avg(ret), 6) AS mean, round(avg(ret) FILTER (ret BETWEEN lo AND hi), 6) AS trimmed_mean FROM l JOIN q USING (start_year) GROUP BY 1""")
+def e26(t):
+    """How rates and means drift as the history begins later; each row counts for the start years up to its own."""
+    rows = materialize(_events(t).filter("ret is not null").select("year", "ret"), "events")
+    starts = rows.select(F.col("year").alias("start_year")).distinct()
+    long = rows.join(checked_broadcast(starts), F.col("year") >= F.col("start_year")).select("start_year", "ret")
+    bounds = quantiles(long, ["ret"], (0.1, 0.9), ["start_year"]).select(F.col("start_year").alias("q_year"), F.col("q_ret")[0].alias("lo"), F.col("q_ret")[1].alias("hi"))
+    r = F.col("ret")
+    met = long.join(checked_broadcast(bounds), F.col("start_year") == F.col("q_year")).groupBy("start_year")
+    return met.agg(F.count(F.lit(1)).alias("n"), F.avg((r >= 2000).cast("int")).alias("big_rate"), F.avg((r <= -2000).cast("int")).alias("loss_rate"), F.avg(r).alias("mean"), F.avg(F.when(r.between(F.col("lo"), F.col("hi")), r)).alias("trimmed_mean"))
+
+
 @query("a15_group_summary", "SELECT n_regionkey AS industry, count(*) AS n, round(avg(round(c_acctbal*100)::BIGINT), 4) AS mean, round(median(c_acctbal), 6) AS med FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def a15(t):
     met = t.customer.join(checked_broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
@@ -294,3 +331,19 @@ def w24(t):
     rk, n = stats.average_rank("o_totalprice", ["y"]), F.count(F.lit(1)).over(Window.partitionBy("y"))
     v = F.col("o_totalprice")
     return rows.select("o_orderkey", rk.cast("double").alias("average_rank"), (rk / n).alias("pct"), F.ceil(5 * rk / n).alias("quintile"), F.when(v < 50000, "low").when(v < 200000, "mid").otherwise("high").alias("band"))
+
+
+@query("a54_merged_sketches", "SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS events, count(DISTINCT ts::DATE) AS batches, true AS count_close, true AS quartiles_close FROM events GROUP BY 1")
+def a54_sketches(t):
+    """Daily batches leave sketches behind; what is merged from them is held against exact counts and ranks.
+
+    A distinct count is close within 3 %, four standard errors; a quantile if its rank is within 4 % of the rows.
+    """
+    daily = materialize(sketches.sketched(t.events.withColumn("day", F.to_date("ts")), ["event_type", "day"], "event_id", "value"), "sketches")
+    one = sketches.merged(daily, ["event_type"])
+    guess = one.select(F.col("event_type").alias("kind"), "rows", sketches.distinct_estimate().alias("guess"), *[sketches.quantile_estimate(s).alias(f"q{k}") for k, s in enumerate((0.25, 0.5, 0.75))])
+    met = t.events.join(checked_broadcast(guess), F.col("event_type") == F.col("kind"))
+    known = F.count("value")
+    close = [(F.count_if(F.col("value") < F.col(f"q{k}")) <= (s + 0.04) * known) & (F.count_if(F.col("value") <= F.col(f"q{k}")) >= (s - 0.04) * known) for k, s in enumerate((0.25, 0.5, 0.75))]
+    exact = met.groupBy("event_type").agg(F.max("rows").alias("rows"), F.countDistinct("event_id").alias("events"), F.countDistinct(F.to_date("ts")).alias("batches"), F.max("guess").alias("guess"), (close[0] & close[1] & close[2]).alias("quartiles_close"))
+    return exact.select("event_type", "rows", "events", "batches", (F.abs(F.col("guess") - F.col("events")) <= 0.03 * F.col("events") + 1).alias("count_close"), "quartiles_close")
