@@ -144,15 +144,15 @@ def w17(t):
     return ts.first_touch(prices(t.lineitem), 0.1, 20).select("symbol", "i", F.col("touch_after").cast("int").alias("touch_after"))
 
 
-@query("w17_w18_holding_variants", f"""{_SIGNALS}, {BENCHMARK_SQL}, e AS (SELECT c.symbol, c.confirm_i AS at, c.confirm_close AS price, c.confirm_day AS day FROM cand c JOIN keep ON keep.symbol = c.symbol AND keep.k = c.confirm_i),
+@query("w17_w18_holding_variants", f"""{_SIGNALS}, {BENCHMARK_SQL}, e AS (SELECT c.symbol, c.confirm_i AS pos, c.confirm_close AS price, c.confirm_day AS day FROM cand c JOIN keep ON keep.symbol = c.symbol AND keep.k = c.confirm_i),
 ends AS (SELECT symbol, max_by(close, i) AS last FROM px GROUP BY 1), fin AS (SELECT max_by(index_close, day) AS index_last FROM bench),
-reach AS (SELECT e.symbol, e.at, min(p.i) AS reach_i FROM e JOIN px p ON p.symbol = e.symbol AND p.i >= e.at AND p.low <= e.price*(1 - 0.1::DOUBLE) GROUP BY 1, 2),
+reach AS (SELECT e.symbol, e.pos, min(p.i) AS reach_i FROM e JOIN px p ON p.symbol = e.symbol AND p.i >= e.pos AND p.low <= e.price*(1 - 0.1::DOUBLE) GROUP BY 1, 2),
 based AS (SELECT e.*, b.index_close FROM e ASOF LEFT JOIN bench b ON b.day >= e.day),
-r AS (SELECT b.symbol, b.at, reach_i, round((last/price - 1)*100, 2) AS immediate, CASE WHEN reach_i IS NOT NULL THEN round((last/(price*(1 - 0.1::DOUBLE)) - 1)*100, 2) END AS at_limit, round((last/d.close - 1)*100, 2) AS delayed, round((index_last/index_close - 1)*100, 2) AS "index"
-    FROM based b JOIN ends USING (symbol) LEFT JOIN px d ON d.symbol = b.symbol AND d.i = b.at + 20 LEFT JOIN reach q ON q.symbol = b.symbol AND q.at = b.at, fin),
-long AS (SELECT symbol, at, k, row_number() OVER (PARTITION BY symbol, at ORDER BY v DESC, k) AS place FROM (SELECT symbol, at, unnest([0, 1, 2, 3]) AS k, unnest([immediate, at_limit, delayed, "index"]) AS v FROM r) WHERE v IS NOT NULL),
-wide AS (SELECT symbol, at, max(place) FILTER (k = 0) AS immediate_rank, max(place) FILTER (k = 1) AS at_limit_rank, max(place) FILTER (k = 2) AS delayed_rank, max(place) FILTER (k = 3) AS index_rank FROM long GROUP BY 1, 2)
-SELECT r.symbol || ':' || r.at AS event, r.symbol, reach_i, immediate, at_limit, delayed, "index", immediate_rank::INT AS immediate_rank, at_limit_rank::INT AS at_limit_rank, delayed_rank::INT AS delayed_rank, index_rank::INT AS index_rank FROM r JOIN wide USING (symbol, at)""", digits=2)
+hv AS (SELECT b.symbol, b.pos, reach_i, round((last/price - 1)*100, 2) AS immediate, CASE WHEN reach_i IS NOT NULL THEN round((last/(price*(1 - 0.1::DOUBLE)) - 1)*100, 2) END AS at_limit, round((last/d.close - 1)*100, 2) AS delayed, round((index_last/index_close - 1)*100, 2) AS "index"
+    FROM based b JOIN ends USING (symbol) LEFT JOIN px d ON d.symbol = b.symbol AND d.i = b.pos + 20 LEFT JOIN reach q ON q.symbol = b.symbol AND q.pos = b.pos, fin),
+long AS (SELECT symbol, pos, k, row_number() OVER (PARTITION BY symbol, pos ORDER BY v DESC, k) AS place FROM (SELECT symbol, pos, unnest([0, 1, 2, 3]) AS k, unnest([immediate, at_limit, delayed, "index"]) AS v FROM hv) WHERE v IS NOT NULL),
+wide AS (SELECT symbol, pos, max(place) FILTER (k = 0) AS immediate_rank, max(place) FILTER (k = 1) AS at_limit_rank, max(place) FILTER (k = 2) AS delayed_rank, max(place) FILTER (k = 3) AS index_rank FROM long GROUP BY 1, 2)
+SELECT hv.symbol || ':' || hv.pos AS event, hv.symbol, reach_i, immediate, at_limit, delayed, "index", immediate_rank::INT AS immediate_rank, at_limit_rank::INT AS at_limit_rank, delayed_rank::INT AS delayed_rank, index_rank::INT AS index_rank FROM hv JOIN wide USING (symbol, pos)""", digits=2)
 def w17_variants(t):
     """Signals bought at once, at a limit, 20 rows later or in the index instead, ranked by what they made."""
     from plover.sources.tables import benchmark_prices
