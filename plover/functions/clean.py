@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plover.functions.unicode import nfkc
+
 FULL_DIGITS = "０１２３４５６７８９"
 DIGITS = "0123456789"
 #: Japanese units of money; fixed values.
@@ -161,3 +163,40 @@ def mean_of(*values: Column) -> Column:
 def flags(**rules: Column) -> Column:
     """The names of the rules that hold, in order."""
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+
+
+#: Legal forms and words that news names are compared without (fixed values).
+NEWS_FORMS = "株式会社|有限会社|ホールディングス|holdings?|corporation|corp\\.?|inc\\.?|ltd\\.?"
+#: Forms that the enrichment files' names are compared without, in capitals (fixed values).
+ENRICHMENT_FORMS = ("株式会社", "有限会社", "合同会社", "合名会社", "合資会社", "㈱", "（株）", "(株)", "K.K.", "KK")
+#: Forms that the women's activity file's names are compared without (fixed values).
+WOMEN_FORMS = ("株式会社", "(株)", "（株）", "有限会社", "合同会社", "ホールディングス", "holdings", "inc.", "inc", "co.,ltd.", "co.ltd.", "co ltd", "ltd.", "ltd")
+
+
+def news_name_key(text: Column) -> Column:
+    """Name in compatibility form and lower case, without forms of companies; Latin letters, digits, kana and kanji only."""
+    plain = F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), NEWS_FORMS, "")
+    return F.regexp_replace(plain, "[^0-9a-z\\u3040-\\u30ff\\u3400-\\u9fff]+", "")
+
+
+def enrichment_name_key(text: Column) -> Column:
+    """Name in compatibility form and capitals, without white space and marks, then without forms of companies."""
+    out = F.regexp_replace(F.upper(nfkc(F.coalesce(text, F.lit("")))), r"[\s　]+", "")
+    out = F.regexp_replace(out, r"[()（）・,，.．/／\\\-ー－_＿]", "")
+    for form in ENRICHMENT_FORMS:
+        out = F.replace(out, F.lit(form), F.lit(""))
+    return out
+
+
+def women_name_key(text: Column) -> Column:
+    """Name in compatibility form and lower case, without forms of companies, then without white space and marks."""
+    out = F.lower(nfkc(F.coalesce(text, F.lit(""))))
+    for form in WOMEN_FORMS:
+        out = F.replace(out, F.lit(form), F.lit(""))
+    return F.regexp_replace(out, r"[\s　・･,，.．\-ー―_/／\\()（）\[\]【】]", "")
+
+
+def security_code(text: Column) -> Column:
+    """Four digits; of five that end in zero the first four; else ''."""
+    digits = F.regexp_replace(F.coalesce(text, F.lit("")), r"\D", "")
+    return F.when(digits.rlike("^[0-9]{4}0$"), F.substring(digits, 1, 4)).when(digits.rlike("^[0-9]{4}$"), digits).otherwise("")

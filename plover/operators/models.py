@@ -113,6 +113,27 @@ def logistic(df: DataFrame, features: list[str], label: str, penalty: float = 1.
     return float(w[0]), w[1:]
 
 
+def validated_logistic(df: DataFrame, features: list[str], label: str, train: Column, penalty: float = 1.0) -> DataFrame:
+    """One row: a logistic model fitted where ``train`` holds, and how it does on the other rows against the training rate.
+
+    Rows with a null feature or label don't count. Brier scores are mean squared
+    errors of probabilities; the baseline gives every row the training rate.
+    """
+    complete = df.dropna(subset=[*features, label])
+    train = F.coalesce(train, F.lit(False))
+    intercept, beta = logistic(complete.filter(train), features, label, penalty)
+    p = 1 / (1 + F.exp(-linear(features, intercept, beta)))
+    rate = complete.filter(train).agg(F.avg(label).alias("base_rate"), F.count(F.lit(1)).alias("train_rows"))
+    rest = complete.filter(~train).withColumn("_p", p).crossJoin(F.broadcast(rate))
+    y = F.col(label)
+    hit = lambda guess: F.avg(((guess >= 0.5).cast("int") == y).cast("int"))
+    out = rest.agg(
+        F.max("train_rows").alias("train_rows"), F.count(F.lit(1)).alias("test_rows"), F.max("base_rate").alias("base_rate"), F.avg(y).alias("test_rate"), F.avg(F.pow(F.col("_p") - y, 2)).alias("brier"),
+        F.avg(F.pow(F.col("base_rate") - y, 2)).alias("baseline_brier"), hit(F.col("_p")).alias("accuracy"), hit(F.col("base_rate")).alias("baseline_accuracy"),
+    )
+    return out.withColumn("skill", 1 - F.try_divide(F.col("brier"), F.col("baseline_brier")))
+
+
 def boosted_stumps(df: DataFrame, features: list[str], label: str, rounds: int = 10, rate: float = 0.3, bins: int = 16) -> list[tuple[str, float, float, float]]:
     """Second-order boosting with one split a round; splits are chosen among quantiles.
 

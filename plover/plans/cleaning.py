@@ -62,6 +62,18 @@ def p12(t):
     return t.supplier.select("s_suppkey", c.legal_name_key(F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string"), form)).alias("key"))
 
 
+@query("p13_p14_p15_name_keys", r"""WITH n AS (SELECT s_suppkey, [' Corporation', ' Holdings, Inc.', '株式会社', ' Co.,Ltd.', ' KK'][s_nationkey % 5 + 1] AS form, s_name, s_suppkey * 10 + CASE WHEN s_acctbal < 0 THEN 10000 WHEN s_acctbal < 5000 THEN 1000 ELSE 0 END AS number FROM supplier), r AS (SELECT *, '（株）' || s_name || form AS raw FROM n)
+SELECT s_suppkey, regexp_replace(regexp_replace(lower(replace(replace(raw, '（', '('), '）', ')')), '株式会社|有限会社|ホールディングス|holdings?|corporation|corp\.?|inc\.?|ltd\.?', '', 'g'), '[^0-9a-z\x{3040}-\x{30ff}\x{3400}-\x{9fff}]+', '', 'g') AS news_key,
+    replace(replace(regexp_replace(upper(raw), '[\s()（）,.]', '', 'g'), '株式会社', ''), 'KK', '') AS enrichment_key,
+    regexp_replace(replace(replace(replace(replace(replace(replace(lower(replace(replace(raw, '（', '('), '）', ')')), '株式会社', ''), '(株)', ''), 'holdings', ''), 'inc.', ''), 'co.,ltd.', ''), 'inc', ''), '[\s,.()-]', '', 'g') AS women_key,
+    CASE WHEN length(number::VARCHAR) = 5 THEN substr(number::VARCHAR, 1, 4) WHEN length(number::VARCHAR) = 4 THEN number::VARCHAR ELSE '' END AS code FROM r""")
+def p13(t):
+    """The three ways in which news, enrichment files and the women's activity file compare names, and their codes."""
+    forms = F.array(*[F.lit(x) for x in (" Corporation", " Holdings, Inc.", "株式会社", " Co.,Ltd.", " KK")])
+    raw = F.concat(F.lit("（株）"), "s_name", F.element_at(forms, (F.col("s_nationkey") % 5 + 1).cast("int")))
+    return t.supplier.select("s_suppkey", c.news_name_key(raw).alias("news_key"), c.enrichment_name_key(raw).alias("enrichment_key"), c.women_name_key(raw).alias("women_key"), c.security_code((F.col("s_suppkey") * 10 + F.when(F.col("s_acctbal") < 0, 10000).when(F.col("s_acctbal") < 5000, 1000).otherwise(0)).cast("string")).alias("code"))
+
+
 @query("p16_p17_tickers", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN (1000 + s_suppkey) || '.T' WHEN 1 THEN (1000 + s_suppkey) || '.T' ELSE 'ABC' || s_suppkey END AS ticker FROM supplier")
 def p16(t):
     code = (1000 + F.col("s_suppkey")).cast("string")

@@ -44,5 +44,5 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     return register
 
 
-for _module in ("ranking", "cleaning", "joining", "series", "statistics", "texts", "modelling", "state", "sources", "composites", "entities"):
+for _module in ("ranking", "cleaning", "joining", "series", "statistics", "texts", "modelling", "state", "sources", "composites", "entities", "finance"):
     import_module(f"plover.plans.{_module}")

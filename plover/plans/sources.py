@@ -22,6 +22,22 @@ def s05(t):
     return readers.with_aliases(readers.read_csv(t.spark, path), {"number": ["法人番号"], "company": ["会社名", "企業名"], "note": ["備考"]})
 
 
+@query("s05_s06_encoding_fallback", "SELECT n_nationkey::VARCHAR AS number, '株式会社ソ表 ' || n_name || ', \"引用\"' AS company, origin FROM nation, (VALUES ('utf-8'), ('cp932'), ('plain')) v(origin)")
+def s05_encodings(t):
+    """The same master written in UTF-8, in code page 932, and in the latter under plain ASCII headers; each is read by what its rows are."""
+    rows = t.nation.select(F.col("n_nationkey").cast("string").alias("法人番号"), F.concat(F.lit("株式会社ソ表 "), "n_name", F.lit(', "引用"')).alias("企業名"))
+    out, order = None, ("UTF-8", "cp932", "shift_jis")
+    for origin, df in (("utf-8", rows), ("cp932", rows), ("plain", rows.toDF("number", "company"))):
+        path = scratch_path(t.spark, "encoded")
+        if origin == "utf-8":
+            df.write.option("header", True).option("escape", '"').csv(path)
+        else:
+            readers.write_csv_encoded(df, path, "cp932")
+        found = readers.with_aliases(readers.read_csv(t.spark, path, order), {"number": ["法人番号"], "company": ["会社名", "企業名"]}).withColumn("origin", F.lit(origin))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("s07_s08_s09_p01_job_files", "SELECT lpad(s_suppkey::VARCHAR, 13, '1') AS number, s_name AS company, n_name AS place, 'csv' AS origin FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 4 <> 0 UNION ALL SELECT lpad(s_suppkey::VARCHAR, 13, '1'), s_name, '', 'jsonl' FROM supplier WHERE s_suppkey % 4 <> 0")
 def s08(t):
     """Job files of two kinds with headers of their own become canonical columns; the master keeps 13 digits only."""

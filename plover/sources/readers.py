@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +25,49 @@ def with_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`").cast("string") if c else F.lit("")).alias(name) for name, c in found.items()])
 
 
+#: Encodings that Spark's reader takes; others are read as bytes and decoded.
+_READ_BY_SPARK = ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32")
+
+
+def _csv(spark: SparkSession, path: str, encoding: str, sep: str) -> DataFrame:
+    """A CSV file in one encoding; what it can't hold becomes a replacement character."""
+    read = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).option("escape", '"')
+    if encoding.upper() in _READ_BY_SPARK:
+        return read.option("encoding", encoding).csv(path)
+    # Latin-1 gives each byte as a character. Quotes are doubled, not escaped: a double-byte character may end in a backslash's byte.
+    raw = read.option("encoding", "ISO-8859-1").csv(path)
+    decoded = F.arrow_udf(lambda x: pa.array([None if v is None else v.encode("latin-1").decode(encoding, "replace") for v in x.to_pylist()], pa.string()), T.StringType())
+    names = [c.encode("latin-1", "replace").decode(encoding, "replace") for c in raw.columns]
+    renamed = raw.toDF(*[f"_c{k}" for k in range(len(names))])
+    return renamed.select(*[decoded(F.col(f"_c{k}")).alias(name) for k, name in enumerate(names)])
+
+
+def _readable(df: DataFrame) -> bool:
+    """Whether neither headers nor any row have replacement characters."""
+    if any("\ufffd" in c for c in df.columns):
+        return False
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return not names or df.filter(F.concat_ws("", *names).contains("\ufffd")).limit(1).count() == 0
+
+
 def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8",), sep: str = ",") -> DataFrame:
-    """All columns as text. The first encoding whose header has no replacement characters is used."""
+    """All columns as text, in the first of the encodings in which every header and row can be read, else the last.
+
+    With several encodings, files are read through once for each that is tried.
+    A byte-order mark is taken off the first header.
+    """
     for encoding in encodings:
-        df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("inferSchema", False).csv(path)
-        if not any("�" in c for c in df.columns):
+        df = _csv(spark, path, encoding, sep)
+        if encoding == encodings[-1] or _readable(df):
             break
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
+    return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns})
+
+
+def write_csv_encoded(df: DataFrame, path: str, encoding: str) -> None:
+    """A CSV file of text columns in an encoding that Spark's writer lacks; a character that it can't hold fails the write."""
+    as_bytes = F.arrow_udf(lambda x: pa.array([None if v is None else v.encode(encoding).decode("latin-1") for v in x.to_pylist()], pa.string()), T.StringType())
+    out = df.select(*[as_bytes(F.col(f"`{c}`").cast("string")).alias(c.encode(encoding).decode("latin-1")) for c in df.columns])
+    out.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -46,7 +83,7 @@ def split_values(column: str) -> F.Column:
 
 def write_localised(df: DataFrame, path: str, headers: dict[str, str]) -> None:
     """CSV with user-facing headers; the committer makes the write atomic."""
-    df.withColumnsRenamed(headers).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumnsRenamed(headers).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def html_cells(html: F.Column, tag: str = "li") -> F.Column:

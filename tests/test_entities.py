@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plover.operators import aliases, backfill, candidates, identity, joins, novelty, quantiles, sketches, stability, stats
+from plover.functions import clean
+from plover.operators import aliases, backfill, candidates, identity, joins, models, novelty, quantiles, sketches, stability, stats
 from plover.operators import text as tx
 from plover.operators import timeseries as ts
 from plover.session import scratch_path
+from plover.sources import readers
 from plover.streaming import windows
 
 
@@ -312,3 +314,60 @@ def test_model_overlaps_and_differences(spark):
     found = {(r["a"], r["b"], r["cluster"]): r["difference"] for r in stats.paired_differences(df, "m", "c", "v").collect()}
     mean = lambda m, c: np.mean([r[3] for r in rows if r[0] == m and r[1] == c])
     assert len(found) == 12 and all(math.isclose(v, mean(a, c) - mean(b, c)) for (a, b, c), v in found.items())
+
+
+# Files, names and validation
+
+
+@pytest.mark.parametrize(("encoding", "headers"), [("utf-8", "法人番号,企業名"), ("utf-8-sig", "法人番号,企業名"), ("cp932", "法人番号,企業名"), ("cp932", "number,company"), ("utf-8", "number,company")])
+def test_csv_falls_back_by_headers_and_rows(spark, tmp_path, encoding, headers):
+    lines = [headers, *[f"{k},plain" for k in range(50)], '1,"ソ表 ""引用"", \\"', "2,㈱①能"]
+    (tmp_path / "in.csv").write_bytes("\n".join(lines).encode(encoding))
+    rows = readers.read_csv(spark, f"file://{tmp_path}/in.csv", ("UTF-8", "cp932", "shift_jis"))
+    got = readers.with_aliases(rows, {"number": ["法人番号"], "company": ["企業名"]}).collect()
+    assert len(got) == 52 and {r["company"] for r in got} == {"plain", 'ソ表 "引用", \\', "㈱①能"}
+
+
+def test_name_keys_follow_their_own_rules(spark):
+    import re
+    import unicodedata
+
+    names = ["株式会社　テスト・ホールディングス", "㈱テスト", "（株）ＡＢＣ商事", "Acme Holdings, Inc.", "ACME co.,ltd.", "K.K. Foo", "Fookk", "合名会社ソ-ー表", "", None, "有限会社 A/B\\C_d"]
+    nfkc = lambda s: unicodedata.normalize("NFKC", s or "")
+
+    def women(s):
+        s = nfkc(s).lower()
+        for x in clean.WOMEN_FORMS:
+            s = s.replace(x, "")
+        return re.sub(r"[\s　・･,，.．\-ー―_/／\\()（）\[\]【】]", "", s)
+
+    def enrichment(s):
+        s = re.sub(r"[()（）・,，.．/／\\\-ー－_＿]", "", re.sub(r"\s+", "", nfkc(s).upper()))
+        for x in clean.ENRICHMENT_FORMS:
+            s = s.replace(x, "")
+        return s
+
+    news = lambda s: re.sub("[^0-9a-z぀-ヿ㐀-鿿]+", "", re.sub(clean.NEWS_FORMS, "", nfkc(s).casefold()))
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = df.select("n", clean.news_name_key(F.col("n")), clean.enrichment_name_key(F.col("n")), clean.women_name_key(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [(n, news(n), enrichment(n), women(n)) for n in names]
+    codes = spark.createDataFrame([("1234",), ("12340",), ("12345",), ("証券 7203",), (None,), ("12",)], "c string").select(clean.security_code(F.col("c")).alias("c")).collect()
+    assert [r["c"] for r in codes] == ["1234", "1234", "", "7203", "", ""]
+
+
+def test_validated_logistic_scores_the_later_rows_only(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=600)
+    y = (rng.random(600) < 1 / (1 + np.exp(-(0.3 + 1.5 * x)))).astype(int)
+    df = spark.createDataFrame([(int(t), float(v), int(label)) for t, (v, label) in enumerate(zip(x, y, strict=True))] + [(1000, None, 1)], "t int, v double, label int")
+    r = models.validated_logistic(df, ["v"], "label", F.col("t") < 480, penalty=0.5).first()
+    w = np.zeros(2)
+    design = np.c_[np.ones(480), x[:480]]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ w))
+        hessian = design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1e-9, 0.5 + 1e-9])
+        w = w + np.linalg.solve(hessian, design.T @ (y[:480] - p) - np.array([0.0, 0.5]) * w)
+    p = 1 / (1 + np.exp(-(w[0] + w[1] * x[480:])))
+    base = y[:480].mean()
+    assert (r["train_rows"], r["test_rows"]) == (480, 120) and math.isclose(r["brier"], np.mean((p - y[480:]) ** 2), rel_tol=1e-6)
+    assert math.isclose(r["baseline_brier"], np.mean((base - y[480:]) ** 2)) and math.isclose(r["accuracy"], np.mean((p >= 0.5) == y[480:])) and r["skill"] > 0.1
