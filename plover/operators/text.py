@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.operators.joins import checked_broadcast
+from plover.session import materialize
 
 
 def char_grams(df: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
@@ -78,20 +79,32 @@ def ordered_distinct(items: Column) -> Column:
     return F.array_distinct(items)
 
 
-def diverse_pick(candidates: DataFrame, by: str, count: int, pool: int = 100, same: float = 0.6) -> DataFrame:
-    """Up to ``count`` rows per group, picked greedily from the ``pool`` best by score, then key doc_id.
+def diverse_pick(candidates: DataFrame, by: str, count: int, same: float = 0.6) -> DataFrame:
+    """Up to ``count`` rows per group, picked greedily by score and then doc_id from all of the group's candidates.
 
     A candidate whose title shares ``same`` of the smaller word set with a
     picked one is the same event and is passed over. Rows of a domain that is
-    new come first, then the others in order. ``pool`` belongs to the feature: a
-    short list is drawn from the best only. Needs by, doc_id, score, domain and
-    title; adds place.
+    new come first, then the others in order. Each pick is one pass that takes
+    the best candidate that the picks so far allow, so no list of candidates
+    gathers in a task. Needs by, doc_id, score, domain and title; adds place.
     """
-    n = F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc_nulls_last(), "doc_id"))
     words = F.array_distinct(F.filter(F.split(F.coalesce("title", F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    best = candidates.withColumn("n", n).filter(F.col("n") <= pool).select(by, F.struct("n", "doc_id", F.coalesce("domain", F.lit("")).alias("domain"), words.alias("words")).alias("c"))
-    lists = best.groupBy(by).agg(F.array_sort(F.collect_list("c")).alias("all"))
-    take = f"""(a, x) -> if(size(a) >= {count} or exists(a, y -> y.n = x.n or (size(array_intersect(x.words, y.words)) > 0 and size(array_intersect(x.words, y.words)) >= {same} * least(size(x.words), size(y.words)))), a, concat(a, array(x)))"""
-    fresh = take.replace("exists(a, y -> y.n = x.n or", "exists(a, y -> y.n = x.n or y.domain = x.domain or")
-    picked = F.expr(f"aggregate(`all`, aggregate(`all`, slice(`all`, 1, 0), {fresh}), {take})")
-    return lists.select(by, F.posexplode(picked).alias("at", "c")).select(by, (F.col("at") + 1).alias("place"), "c.doc_id")
+    order = F.struct(F.col("score").isNull().alias("unscored"), (-F.col("score")).alias("less"), "doc_id", F.coalesce("domain", F.lit("")).alias("domain"), words.alias("words"))
+    rows = materialize(candidates.filter(F.col(by).isNotNull()).select(by, order.alias("c")), "candidates")
+    picks = materialize(rows.select(by, F.lit(0).alias("place"), "c").limit(0), "picks")
+
+    def event(p: Column) -> Column:
+        shared = F.size(F.array_intersect("c.words", p["words"]))
+        return (p["doc_id"] == F.col("c.doc_id")) | ((shared > 0) & (shared >= same * F.least(F.size("c.words"), F.size(p["words"]))))
+
+    for fresh in (True, False):
+        for _ in range(count):
+            lists = picks.groupBy(F.col(by).alias("_by")).agg(F.collect_list("c").alias("_picks"))  # ``count`` entries at most
+            left = rows.join(checked_broadcast(lists), F.col(by) == F.col("_by"), "left").withColumn("_n", F.coalesce(F.size("_picks"), F.lit(0))).withColumn("_n", F.greatest("_n", F.lit(0)))
+            taken = F.exists("_picks", lambda p: event(p) | (p["domain"] == F.col("c.domain")) if fresh else event(p))
+            best = left.filter(F.col("_n") < count).filter(~F.coalesce(taken, F.lit(False))).groupBy(by).agg((F.max("_n") + 1).alias("place"), F.min("c").alias("c"))
+            best = materialize(best, "picked")
+            if not best.limit(1).count():
+                break
+            picks = materialize(picks.unionByName(best), "picks")
+    return picks.select(by, "place", "c.doc_id")

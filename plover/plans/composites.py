@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plover.operators import joins, ranks
 from plover.operators.timeseries import by_symbol, year_end
+from plover.operators.candidates import contained_pairs, match_key
 from plover.plans.registry import query
 from plover.sources.tables import BENCHMARK_SQL, PRICES_SQL, benchmark_prices, prices
 
@@ -77,14 +78,18 @@ def e41(t):
     return rows.groupBy("company", "alias").agg(F.count(F.lit(1)).alias("n")).drop("n")
 
 
-@query("e49_mutual_containment", "SELECT q.k, coalesce(min(n_nationkey), -1) AS hit, CASE WHEN min(n_nationkey) IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS status FROM (VALUES (1, 'nation_1'), (2, 'nation'), (3, 'zzz')) q(k, name) LEFT JOIN nation ON contains(lower(n_name), q.name) OR contains(q.name, lower(n_name)) GROUP BY 1")
+@query("e49_mutual_containment", "WITH n AS (SELECT DISTINCT 'The ' || p_name || ' ' || p_size // 10 AS selected, replace(lower('The ' || p_name || ' ' || p_size // 10), ' ', '') AS a FROM part UNION SELECT DISTINCT p_name, replace(lower(p_name), ' ', '') FROM part), m AS (SELECT p_partkey, replace(lower(p_name || ' ' || p_size), ' ', '') AS b FROM part) SELECT selected, count(p_partkey) AS companies, coalesce(min(p_partkey), -1) AS hit, CASE WHEN min(p_partkey) IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS status FROM n LEFT JOIN m ON contains(a, b) OR contains(b, a) GROUP BY 1")
 def e49(t):
-    """A few selected names against a small master, both ways; both sides are bounded lists."""
-    names = t.spark.createDataFrame([(1, "nation_1"), (2, "nation"), (3, "zzz")], "k int, name string")
-    low = F.lower("n_name")
-    met = names.join(joins.checked_broadcast(t.nation), low.contains(F.col("name")) | F.col("name").contains(low), "left")
-    hit = F.min("n_nationkey")
-    return met.groupBy("k").agg(F.coalesce(hit, F.lit(-1)).alias("hit"), F.when(hit.isNull(), "NOT_FOUND").otherwise("FOUND").alias("status"))
+    """Selected names against the whole master, either of which may contain the other once normalised."""
+    whole = F.concat_ws(" ", F.lit("The"), "p_name", F.floor(F.col("p_size") / 10).cast("string"))
+    names = t.part.select(whole.alias("selected")).union(t.part.select("p_name")).distinct().withColumn("a", match_key(F.col("selected")))
+    master = t.part.select("p_partkey", match_key(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("b"))
+    one, two = names.select(F.col("a").alias("inner")), master.select(F.col("b").alias("inner"))
+    held = contained_pairs(one, two.withColumnRenamed("inner", "outer")).select(F.col("inner").alias("x"), F.col("outer").alias("y"))
+    pairs = held.unionByName(contained_pairs(two, one.withColumnRenamed("inner", "outer")).select(F.col("outer").alias("x"), F.col("inner").alias("y"))).distinct()
+    met = names.join(pairs, F.col("a") == F.col("x"), "left").join(master, F.col("y") == F.col("b"), "left")
+    hit = F.min("p_partkey")
+    return met.groupBy("selected").agg(F.count("p_partkey").alias("companies"), F.coalesce(hit, F.lit(-1)).alias("hit"), F.when(hit.isNull(), "NOT_FOUND").otherwise("FOUND").alias("status"))
 
 
 @query("e15_j38_cap_estimates", f"WITH {PRICES_SQL}, l AS (SELECT symbol, max_by(close, i) AS last FROM px GROUP BY 1) SELECT px.symbol, px.i, round(1000000*close/last, 4) AS cap FROM px JOIN l USING (symbol)", digits=4)
@@ -112,10 +117,7 @@ def e21(t):
 
 @query("t08_diverse_pick")
 def t08(t):
-    """Per language five documents of different events, from new sources first; tests hold the fold against plain Python.
-
-    The best hundred candidates a language are the pool, as the pick is a short list.
-    """
+    """Per language five documents of different events, from new sources first, of all documents; tests hold the fold against plain Python."""
     from plover.operators.text import diverse_pick
 
     rows = t.documents.select("lang", "doc_id", F.col("n_chars").cast("double").alias("score"), F.col("source").alias("domain"), F.lower("text").alias("title"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plover.operators import joins, models, stats
 from plover.operators.quantiles import quantiles
+from plover.operators.scoring import Profile, Technology, best_profile, compact_text, technology_score
 from plover.plans.registry import query
 from plover.session import materialize
 from plover.sources.tables import BENCHMARK_SQL, PRICES_SQL, benchmark_prices, prices
@@ -96,6 +97,57 @@ def n06(t):
     return met.select("doc_id", band.alias("band"), F.when(F.col("cap").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).alias("score"))
 
 
+_TARGET = Technology(("THE", "AND"), ("IN",), ("T", "EN"), ("O", "DE"), ("with that", "license"), ("tion", "ing"), ("idiot", "password"))
+
+
+@query("n04_technology_score", r"""WITH p AS (SELECT doc_id, lower(text) AS t, regexp_replace(lower(text), '[^0-9a-z\x{3040}-\x{30ff}\x{3400}-\x{9fff}]', '', 'g') AS k, list_transform(regexp_extract_all(substr(text, 1, 200), '[A-Za-z]{2,}')[1:5], lambda w: upper(w)) AS codes, CASE n_regionkey WHEN 0 THEN 'der' WHEN 1 THEN 'the' WHEN 2 THEN 'que' WHEN 3 THEN 'los' WHEN 4 THEN 'und' END AS tag
+    FROM documents LEFT JOIN nation ON 'src' || n_nationkey = source),
+h AS (SELECT *, (len(list_filter(codes, lambda c: starts_with(c, 'THE'))) > 0)::INT AS c1, (len(list_filter(codes, lambda c: starts_with(c, 'AND'))) > 0)::INT AS c2, (len(list_filter(codes, lambda c: starts_with(c, 'IN'))) > 0)::INT AS i1, (len(list_filter(codes, lambda c: starts_with(c, 'T'))) > 0)::INT AS b1, (len(list_filter(codes, lambda c: starts_with(c, 'EN'))) > 0)::INT AS b2,
+    (len(list_filter(codes, lambda c: starts_with(c, 'O'))) > 0)::INT AS b3, (len(list_filter(codes, lambda c: starts_with(c, 'DE'))) > 0)::INT AS b4, (contains(t, 'with that') OR contains(k, 'withthat'))::INT + (contains(t, 'license') OR contains(k, 'license'))::INT AS kw, (contains(t, 'tion') OR contains(k, 'tion'))::INT + (contains(t, 'ing') OR contains(k, 'ing'))::INT AS bk,
+    coalesce((contains(t, tag) OR contains(k, tag))::INT, 0) + CASE WHEN tag IS NOT NULL THEN (contains(t, 'for') OR contains(k, 'for'))::INT ELSE 0 END AS tg, contains(t, 'idiot')::INT + contains(t, 'password')::INT AS ex FROM p)
+SELECT doc_id, round(greatest(0, least(100, CASE WHEN c1 + c2 > 0 THEN least(55, 35 + 7*(c1 + c2)) ELSE 0 END + CASE WHEN i1 > 0 THEN 12 ELSE 0 END + CASE WHEN b1 + b2 + b3 + b4 > 0 THEN least(30, 12 + 4*(b1 + b2 + b3 + b4)) ELSE 0 END + least(30, 6*kw) + least(24, 3*bk) + least(20, 5*tg) - least(50, 15*ex)))::DOUBLE, 4) AS score FROM h""")
+def n04_technology(t):
+    """Documents as patents whose first words are their codes; tags belong to the source's region."""
+    found = F.regexp_extract_all(F.substring("text", 1, 200), F.lit("([A-Za-z]{2,})"), F.lit(1))
+    region = F.element_at(F.array(*[F.lit(x) for x in ("der", "the", "que", "los", "und")]), F.col("n_regionkey") + 1)
+    tags = F.when(F.col("n_regionkey").isNotNull(), F.array(region, F.lit("for")))
+    makers = t.nation.select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("maker"), "n_regionkey")
+    rows = t.documents.join(joins.checked_broadcast(makers), F.col("maker") == F.col("source"), "left").withColumns({"codes": found, "compact": compact_text(F.col("text"))})
+    return rows.select("doc_id", technology_score(F.slice("codes", 1, 3), F.slice("codes", 4, 2), F.col("text"), F.col("compact"), tags, _TARGET).alias("score"))
+
+
+_PROFILES = (
+    Profile("english", required_groups=(("the", "that"),), strong=("of", "and", "with"), related=("for", "are", "was"), industry=("license",), categories=("en",), excluded=("idiot",)),
+    Profile("german", required_title=("der", "die", "das"), strong=("und", "nicht"), related=("ist", "mit"), categories=("de",)),
+    Profile("open", strong=("token", "secret"), related=("key",)),
+)
+
+
+def _hits_sql(where: str, terms: tuple[str, ...]) -> str:
+    return "(" + (" + ".join(f"regexp_matches({where}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms) or "0") + ")"
+
+
+def _profile_sql(p: Profile) -> str:
+    """The score of one profile as SQL, from counts of hits."""
+    band = lambda n, base, step, cap: f"CASE WHEN {n} > 0 THEN least({cap}, {base} + {step}*{n}) ELSE 0 END"
+    either = " + ".join(f"(regexp_matches(t, '(^|[^a-z0-9]){w}([^a-z0-9]|$)') OR regexp_matches(a, '(^|[^a-z0-9]){w}([^a-z0-9]|$)'))::INT" for w in p.strong + p.related)
+    needs = [f"{_hits_sql('t', p.required_title)} > 0"] * bool(p.required_title) + [f"{_hits_sql('x', g)} > 0" for g in p.required_groups]
+    parts = [
+        "15" if needs else "0", f"CASE WHEN {_hits_sql('c', p.categories)} > 0 THEN 25 ELSE 0 END", band(_hits_sql("t", p.strong), 15, 5, 25), band(_hits_sql("a", p.strong), 8, 3, 20), band(_hits_sql("t", p.related), 5, 2, 10),
+        band(_hits_sql("a", p.related), 3, 1, 10), f"CASE WHEN {either} >= 3 THEN 10 ELSE 0 END", band(_hits_sql("x", p.industry), 4, 2, 10), "CASE WHEN a <> '' THEN 5 ELSE 0 END", "-" + band(_hits_sql("x", p.excluded), 20, 5, 40),
+    ]
+    return f"CASE WHEN {' AND '.join(needs) or 'true'} THEN greatest(0, least(100, {' + '.join(parts)})) ELSE 0 END".replace("+ -", "- ")
+
+
+@query("n13_paper_profiles", f"""WITH p AS (SELECT doc_id, lower(substr(text, 1, 60)) AS t, lower(substr(text, 61)) AS a, lower(substr(text, 1, 60)) || ' ' || lower(substr(text, 61)) AS x, lang AS c FROM documents),
+s AS (SELECT doc_id, {', '.join(f'{_profile_sql(p)} AS s{k}' for k, p in enumerate(_PROFILES))} FROM p)
+SELECT doc_id, greatest(s0, s1, s2)::DOUBLE AS score, CASE WHEN s0 >= greatest(s1, s2) THEN 'english' WHEN s1 >= s2 THEN 'german' ELSE 'open' END AS profile FROM s""")
+def n13_profiles(t):
+    """Each paper's best reader: required groups, strong and related terms in title and abstract, field, use, exclusions."""
+    best = best_profile(F.substring("text", 1, 60), F.expr("substring(text, 61)"), F.col("lang"), _PROFILES)
+    return t.documents.select("doc_id", best.alias("b")).select("doc_id", "b.score", "b.profile")
+
+
 @query("m17_model_against_index", f"""WITH {PRICES_SQL}, {BENCHMARK_SQL}, f AS (SELECT symbol, i, day, volume, close, lead(close, 60) OVER s AS later, lead(day, 60) OVER s AS later_day FROM px WINDOW s AS (PARTITION BY symbol ORDER BY i)),
 r AS (SELECT f.*, floor((later/close - 1)*1000000)::BIGINT AS stock, floor((b.index_close/a.index_close - 1)*1000000)::BIGINT AS idx FROM f JOIN bench a ON a.day = f.day JOIN bench b ON b.day = later_day WHERE later IS NOT NULL),
 q AS (SELECT quantile_cont(volume, 0.8) AS cut FROM r), l AS (SELECT unnest(['all', CASE WHEN volume >= cut THEN 'top20' ELSE 'rest' END]) AS selection, stock, idx FROM r, q)
