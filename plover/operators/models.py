@@ -84,7 +84,7 @@ def preprocess(df: DataFrame, features: list[str]) -> DataFrame:
     bounds = quantiles(df, features, (0.01, 0.5, 0.99)).first()
     clipped = df
     for c in features:
-        low, mid, high = (x or 0.0 for x in bounds[f"q_{c}"])
+        low, mid, high = (x or 0.0 for x in bounds[f"q_{c}"] or (0.0, 0.0, 0.0))
         clipped = clipped.withColumn(c, F.when(F.col(c).isNull(), F.lit(float(mid))).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.col(c)))))
     totals = clipped.agg(*[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
     return clipped.withColumns({c: (F.col(c) - F.lit(totals[f"m_{c}"])) / F.lit(totals[f"s_{c}"] or 1.0) for c in features})
@@ -145,7 +145,7 @@ def boosted_stumps(df: DataFrame, features: list[str], label: str, rounds: int =
     for _ in range(rounds):
         rows = df.withColumn("_p", 1 / (1 + F.exp(-stump_score(stumps))))
         g, h = F.col(label) - F.col("_p"), F.col("_p") * (1 - F.col("_p"))
-        wanted = [(c, v) for c in features for v in sorted(set(cuts[f"q_{c}"]))]
+        wanted = [(c, v) for c in features for v in sorted(set(cuts[f"q_{c}"] or ()))]
         sums = rows.agg(F.sum(g), F.sum(h), *[F.sum(F.when(F.col(c) <= v, g).otherwise(0.0)) for c, v in wanted], *[F.sum(F.when(F.col(c) <= v, h).otherwise(0.0)) for c, v in wanted]).first()
         all_g, all_h, n = sums[0], sums[1], len(wanted)
         gain = [gl * gl / (hl + 1) + (all_g - gl) ** 2 / (all_h - hl + 1) for gl, hl in zip(sums[2 : n + 2], sums[n + 2 :], strict=True)]

@@ -5,7 +5,8 @@ and it is merged like any partial aggregate. One more pass counts the values
 below the bracket and, by distinct value, those within, a few in ten thousand of
 the rows. The quantile's ranks are then found among running counts of the
 bracket, dealt by ranges. A bracket that misses its ranks is widened to the
-whole range, so the result doesn't rest on the sketch.
+whole range, so the result doesn't rest on the sketch. Groups are counted first:
+if the largest is small, each is gathered and sorted instead.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from plover.operators import ranks
 from plover.operators.joins import checked_broadcast
 from plover.session import materialize
 
+#: Groups of at most so many values are gathered, each in one buffer of bounded size.
+GATHERED = 200_000
+
 #: Ranks of the sketch are right to a share of one in so many rows.
 ACCURACY = 10_000
 
@@ -60,10 +64,15 @@ def quantiles(df: DataFrame, values: Sequence[str], shares: Sequence[float], by:
     Quantiles interpolate linearly between ranks, as a percentile does. Nulls
     don't count; a group without values has a count of 0 and null quantiles,
     null keys make a group, and an empty table gives no groups (one row where
-    ``by`` is empty). ``df`` is read three times, so write it first if it is
+    ``by`` is empty). ``df`` is read several times, so write it first if it is
     costly. Column names that begin with ``_`` and ``share`` are used inside.
     """
     by = list(by)
+    most = df.groupBy(*by).agg(*[F.count(v).alias(f"n_{v}") for v in values]).agg(F.greatest(F.lit(0), *[F.max(f"n_{v}") for v in values])).first()[0]
+    if most <= GATHERED:
+        wanted = F.array(*[F.lit(float(s)) for s in shares])
+        exact = [x for v in values for x in (F.count(v).alias(f"n_{v}"), F.percentile(F.col(v).cast("double"), wanted).alias(f"q_{v}"))]
+        return df.groupBy(*by).agg(*exact, *aggregates)
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(v).cast("double").alias("value")) for k, v in enumerate(values)]))
     source = df.select(*by, pairs.alias("_p")).select(*by, F.col("_p.name").alias("_name"), F.col("_p.value").alias("_value"))
     long, keys = source.filter("_value is not null"), [*by, "_name"]
