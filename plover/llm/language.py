@@ -2,7 +2,7 @@
 
 A linear support vector machine per family (one against the rest) picks the
 family; within it, a machine for each pair of languages (one versus one) votes.
-Features are hashed character trigrams and words of the whole text, scaled to
+Features are hashed character trigrams of the whole text, scaled to
 unit length. Families follow `FAMILIES`; a language that it lacks is a family
 of its own, so unknown codes work too.
 """

@@ -1,4 +1,4 @@
-"""Query of the embedding near-duplicate operator over `embeddings`, and its SQL."""
+"""Query of the embedding near-duplicate operator over `embeddings`."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Query of the mixing operator over `documents`, and its SQL."""
+"""Query of the mixing operator over `documents`."""
 
 from __future__ import annotations
 
