@@ -16,7 +16,7 @@ from plover.llm.mixing import WORD, mix
 from plover.llm.near_dedup import near_duplicates
 from plover.llm.quality import quality_scores, surface_features, with_score
 from plover.llm.secrets import redact, scan_versions
-from plover.session import materialize, table
+from plover.session import bounded_batches, materialize, table
 
 #: Tables of ids to drop or of findings with at most so many rows are broadcast.
 BROADCAST_ROWS = 500_000
@@ -58,6 +58,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     columns of any name are handed on. Scores are computed beside the text, so
     whole texts aren't shuffled.
     """
+    bounded_batches(spark)
     _, model, sites, share = quality_scores(docs, table(spark, sf_dir, "labels"))
     features = F.col("_features")
     rows = docs.select(F.struct("*").alias("_doc"), F.col("source").alias("host"), F.col("lang").alias("path"), surface_features(F.col("text")).alias("_features"))
@@ -72,6 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own, after those with ids of their own. Null and empty texts stay. Extra
     columns of any name are handed on.
     """
+    bounded_batches(spark)
     keyed, repeats = _keyed(docs)
     groups = near_duplicates(keyed, id_col="_row")
     gone = materialize(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
@@ -90,6 +92,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows that repeat a text go or stay together. Extra columns of any name are
     handed on.
     """
+    bounded_batches(spark)
     keyed, _ = _keyed(docs)
     found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_row")
     gone = materialize(found.select(F.col("id").alias("gone_id")).distinct(), "gone")
@@ -102,6 +105,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts without a secret are as they were; of others ``n_chars`` is counted
     anew. Extra columns of any name are handed on.
     """
+    bounded_batches(spark)
     keyed, _ = _keyed(docs)
     findings, _ = scan_versions(keyed, path_col="_row")
     some = findings.filter(F.size("spans") > 0).select(F.col("path").alias("found_id"), "spans").dropDuplicates(["found_id"])

@@ -23,6 +23,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let tasks hand ``rows`` rows at a time to Python, unless the session says how many.
+
+    Ten thousand whole texts, Spark's default, take some hundred megabytes in
+    each of a task's buffers, and workers keep what they once took.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read through Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
