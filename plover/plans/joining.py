@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plover.operators import joins
 from plover.plans.registry import query
+from plover.session import materialize
 from plover.sources.tables import BENCHMARK_SQL, PRICES_SQL, benchmark_prices, prices
 
 _FILINGS_SQL = "f AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE k % 10 = 1)"
@@ -67,8 +68,8 @@ def _orders(t):
 @query("j09_j10_j11_asof_orders_to_prices", f"""WITH {PRICES_SQL}, {_ORDERS}
 SELECT o.o_orderkey, p.close, p.day AS price_day FROM o ASOF LEFT JOIN px p ON p.symbol = o.symbol AND p.day <= o.day""")
 def j09(t):
-    """A sweep over ranges of symbol and day, because a hundred symbols hold all orders."""
-    series = prices(t.lineitem).select("symbol", "day", "close", F.col("day").alias("price_day"))
+    """A sweep over ranges of symbol and day, because a hundred symbols hold all orders; prices are written, as ranges are drawn from a sample first."""
+    series = materialize(prices(t.lineitem).select("symbol", "day", "close", F.col("day").alias("price_day")), "prices")
     return joins.sweep_join(_orders(t), series, "symbol", "day", "day", ["price_day"], ["close", "price_day"], "o_orderkey").select("o_orderkey", "close", "price_day")
 
 
