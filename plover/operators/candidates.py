@@ -66,22 +66,38 @@ def address_overlap(job: Column, master: Column) -> Column:
     return F.when((job == "") | (master == ""), 0.0).when(job.contains(master) | master.contains(job), 1.0).otherwise(share)
 
 
-def company_candidates(jobs: DataFrame, master: DataFrame) -> DataFrame:
-    """(key, number, company, address, confidence, name_score, address_score) of jobs and masters whose names are equal or contain each other.
+def company_candidates(jobs: DataFrame, master: DataFrame, shown: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Masters whose names equal a job's, hold it or are held by it: (profile scores, the masters' groups).
 
     ``jobs`` (key, company, location), ``master`` (number, company, address).
     The name counts 1.0 or 0.82 for three quarters, the address' overlap for
-    the rest. Names are compared once however many rows bear them.
+    the rest. Jobs of equal name and place are one profile and masters of equal
+    name and place one group, so that copies of either make no pairs. Scores are
+    (j_name, j_place, m_name, m_place, rows, first, confidence, name_score,
+    address_score); groups (m_name, m_place, rows, first, top) hold their
+    ``shown`` smallest numbers.
     """
-    left = jobs.select("key", match_key(F.col("company")).alias("j_name"), match_key(F.col("location")).alias("j_place"))
-    right = master.select("number", "company", F.col("address"), match_key(F.col("company")).alias("m_name"), match_key(F.col("address")).alias("m_place"))
-    one, two = left.select(F.col("j_name").alias("inner")), right.select(F.col("m_name").alias("inner"))
+    asked = job_profiles(jobs).select("j_name", "j_place").distinct()
+    right = master.select("number", "company", "address", match_key(F.col("company")).alias("m_name"), match_key(F.col("address")).alias("m_place"))
+    order = Window.partitionBy("m_name", "m_place").orderBy("number", "company", "address")
+    some = right.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= shown)
+    some = some.groupBy("m_name", "m_place").agg(F.array_sort(F.collect_list(F.struct("n", "number", "company", "address"))).alias("top"))
+    sizes = right.groupBy(F.col("m_name").alias("s_name"), F.col("m_place").alias("s_place")).agg(F.count(F.lit(1)).alias("rows"))
+    groups = some.join(sizes, (F.col("m_name") == F.col("s_name")) & (F.col("m_place") == F.col("s_place"))).select("m_name", "m_place", "rows", F.col("top")[0]["number"].alias("first"), "top")
+    groups = materialize(groups, "groups")
+    one, two = asked.select(F.col("j_name").alias("inner")), groups.select(F.col("m_name").alias("inner"))
     pairs = contained_pairs(one, two.withColumnRenamed("inner", "outer")).select(F.col("inner").alias("a"), F.col("outer").alias("b"))
     pairs = pairs.unionByName(contained_pairs(two, one.withColumnRenamed("inner", "outer")).select(F.col("outer").alias("a"), F.col("inner").alias("b"))).distinct()
-    met = left.join(pairs, F.col("j_name") == F.col("a")).join(right, F.col("b") == F.col("m_name"))
+    met = asked.join(pairs, F.col("j_name") == F.col("a")).join(groups.drop("top"), F.col("b") == F.col("m_name"))
     name = F.when(F.col("j_name") == F.col("m_name"), 1.0).otherwise(0.82)
     place = address_overlap(F.col("j_place"), F.col("m_place"))
-    return met.select("key", "number", "company", "address", F.round(name * 0.75 + place * 0.25, 3).alias("confidence"), name.alias("name_score"), F.round(place, 3).alias("address_score"))
+    scores = met.select("j_name", "j_place", "m_name", "m_place", "rows", "first", F.round(name * 0.75 + place * 0.25, 3).alias("confidence"), name.alias("name_score"), F.round(place, 3).alias("address_score"))
+    return scores, groups
+
+
+def job_profiles(jobs: DataFrame) -> DataFrame:
+    """Jobs with the forms of their names and places that are compared."""
+    return jobs.withColumns({"j_name": match_key(F.col("company")), "j_place": match_key(F.col("location"))})
 
 
 def resolve_numbers(jobs: DataFrame, master: DataFrame, least: float = 0.92, margin: float = 0.05, shown: int = 5) -> DataFrame:
@@ -91,18 +107,28 @@ def resolve_numbers(jobs: DataFrame, master: DataFrame, least: float = 0.92, mar
     are ordered by confidence and then by number.
     """
     known = F.coalesce(F.col("number").cast("string").rlike("^[0-9]{13}$"), F.lit(False))
-    found = materialize(company_candidates(jobs.filter(~known), master), "candidates")
-    counts = found.groupBy(F.col("key").alias("c_key")).agg(F.count(F.lit(1)).alias("candidates"))
-    # A name that very many companies bear keeps its best in each task, before they meet.
-    order = Window.partitionBy("key").orderBy(F.desc("confidence"), "number")
-    top = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(shown, 2))
+    kept = max(shown, 2)
+    scores, groups = company_candidates(jobs.filter(~known), master, kept)
+    found = materialize(scores, "candidates")
+    counts = found.groupBy(F.col("j_name").alias("c_name"), F.col("j_place").alias("c_place")).agg(F.sum("rows").alias("candidates"))
+    # A group's rows score alike, so the best rows are in the groups that are first by confidence and smallest number;
+    # a profile that very many groups meet keeps its best in each task, before they meet.
+    order = Window.partitionBy("j_name", "j_place").orderBy(F.desc("confidence"), "first", "m_name", "m_place")
+    few = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= kept).drop("n", "rows", "first")
+    tops = groups.select(F.col("m_name").alias("t_name"), F.col("m_place").alias("t_place"), "top")
+    rows = few.join(tops, (F.col("m_name") == F.col("t_name")) & (F.col("m_place") == F.col("t_place"))).withColumn("m", F.explode("top"))
+    rows = rows.select("j_name", "j_place", "m.number", "m.company", "m.address", "confidence", "name_score", "address_score")
+    by = Window.partitionBy("j_name", "j_place").orderBy(F.desc("confidence"), "number", "company", "address")
+    top = rows.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= kept)
     entry = F.struct(*[F.col(c) for c in ("number", "company", "address", "confidence", "name_score", "address_score")])
     at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-    best = top.groupBy(F.col("key").alias("b_key")).agg(
+    best = top.groupBy(F.col("j_name").alias("b_name"), F.col("j_place").alias("b_place")).agg(
         at(1, "number").alias("top"), at(1, "confidence").alias("best"), F.coalesce(at(2, "confidence"), F.lit(0.0)).alias("second"),
         F.array_sort(F.collect_list(F.when(F.col("n") <= shown, F.struct("n", entry.alias("c"))))).alias("shown"),
     )
-    met = jobs.withColumn("known", known).join(best, F.col("key") == F.col("b_key"), "left").join(counts, F.col("key") == F.col("c_key"), "left")
+    best = best.join(counts, (F.col("b_name") == F.col("c_name")) & (F.col("b_place") == F.col("c_place")))
+    mine = job_profiles(jobs).withColumn("known", known)
+    met = mine.join(best, ~F.col("known") & (F.col("j_name") == F.col("b_name")) & (F.col("j_place") == F.col("b_place")), "left")
     sure = (F.col("best") >= least) & (F.round(F.col("best") - F.col("second"), 6) >= margin)
     status = F.when(F.col("known"), "already_present").when(F.col("best").isNull(), "not_found").when(sure, "estimated").otherwise("ambiguous")
     return met.select(
