@@ -17,20 +17,26 @@ def char_grams(df: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_c") - (n - 1), F.lit(1))), lambda k: k <= F.size("_c") - (n - 1))
     # From an array of characters, so that a long text costs its length and not its square.
     grams = F.transform(starts, lambda k: F.concat(*[F.element_at("_c", k + j) for j in range(n)]))
-    return df.select(key, chars.alias("_c")).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    # A small file of many short texts is one split: they are dealt by key first, so its n-grams don't all meet in
+    # one task, and what is grouped by key and n-gram stays where it is.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(key, chars.alias("_c")).repartition(parts, key).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def cosine_pairs(grams: DataFrame, pairs: DataFrame, key: str, one: str, two: str) -> DataFrame:
     """Adds the cosine of both keys' n-gram counts to given pairs.
 
-    The pairs choose what is compared; no pair is made here.
+    The pairs choose what is compared; no pair is made here. All joins are
+    merges: n-grams are many more than the bytes of a small file of texts
+    suggest, and a broadcast of them would pass through the driver.
     """
+    merged = lambda df: df.hint("merge")
     norms = grams.groupBy(key).agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("norm"))
     a = grams.select(F.col(key).alias(one), "gram", F.col("cnt").alias("ca"))
     b = grams.select(F.col(key).alias(two), "gram", F.col("cnt").alias("cb"))
-    dots = pairs.join(a, one).join(b, [two, "gram"]).groupBy(one, two).agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
-    met = pairs.join(dots, [one, two], "left")
-    met = met.join(norms.select(F.col(key).alias(one), F.col("norm").alias("na")), one, "left").join(norms.select(F.col(key).alias(two), F.col("norm").alias("nb")), two, "left")
+    dots = pairs.join(merged(a), one).join(merged(b), [two, "gram"]).groupBy(one, two).agg(F.sum(F.col("ca") * F.col("cb")).alias("dot"))
+    met = pairs.join(merged(dots), [one, two], "left")
+    met = met.join(merged(norms.select(F.col(key).alias(one), F.col("norm").alias("na"))), one, "left").join(merged(norms.select(F.col(key).alias(two), F.col("norm").alias("nb"))), two, "left")
     return met.withColumn("cosine", F.coalesce(F.try_divide(F.col("dot"), F.col("na") * F.col("nb")), F.lit(0.0))).drop("dot", "na", "nb")
 
 

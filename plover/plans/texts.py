@@ -27,7 +27,7 @@ SELECT pr.a, pr.b, round(coalesce(dot/(na.n*nb.n), 0), 6) AS cosine FROM pr LEFT
 
 def _cosines(t):
     keys = t.part.select("p_partkey")
-    pairs = keys.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - 1).alias("b")).join(keys.select(F.col("p_partkey").alias("b")), "b", "left_semi").select("a", "b")
+    pairs = keys.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - 1).alias("b")).join(keys.select(F.col("p_partkey").alias("b")).hint("merge"), "b", "left_semi").select("a", "b")
     return tx.cosine_pairs(_grams(t), pairs, "k", "a", "b")
 
 

@@ -1,6 +1,8 @@
 """Work that grows no faster than the input, on copies and on keys beyond those of the given tables."""
 
-from plover.operators import candidates
+from pyspark.sql import functions as F
+
+from plover.operators import candidates, text
 
 
 def test_copies_of_jobs_and_masters_make_no_pairs(spark):
@@ -11,3 +13,12 @@ def test_copies_of_jobs_and_masters_make_no_pairs(spark):
     got = candidates.resolve_numbers(jobs, master).select("status", "candidates", "confidence", "shown").distinct().collect()
     assert len(got) == 1 and tuple(got[0])[:3] == ("ambiguous", 400, 0.865)
     assert [got[0]["shown"].count(f'"number":{k},') for k in (601, 605, 606)] == [1, 1, 0]
+
+
+def test_ngrams_are_neither_broadcast_nor_in_one_task(spark):
+    texts = spark.range(300).selectExpr("id as k", "concat('name ', id) as s").coalesce(1)
+    grams = text.char_grams(texts, "k", F.col("s"))
+    assert grams.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    out = text.cosine_pairs(grams, spark.range(1, 300).selectExpr("id as a", "id - 1 as b"), "k", "a", "b")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 299
