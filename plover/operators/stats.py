@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,11 @@ def correlations(long: DataFrame, by: Sequence[str], least: int = 20) -> DataFra
     return out.filter((F.col("n") >= least) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))).drop("_x0", "_x1", "_y0", "_y1")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half away from zero of the scaled double, as SQL engines round; Spark's ``round`` takes the shortest decimal instead, which differs at ties."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def robust_scores(df: DataFrame, scores: dict[str, str], where: Column) -> DataFrame:
     """For each value column a score of 0 to 100 between the 5th and 95th percentile of the chosen rows.
 
@@ -74,7 +80,8 @@ def weighted_score(df: DataFrame, weights: dict[str, float], least: int) -> Data
     known = [F.col(c).isNotNull().cast("int") for c in weights]
     count = sum(known[1:], known[0])
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in weights.items()), F.lit(0.0))
-    weight = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
+    # Weights are added as decimals: in doubles 0.3 + 0.4 + 0.2 + 0.1 isn't 1.
+    weight = sum((F.when(F.col(c).isNotNull(), F.lit(Decimal(str(w)))).otherwise(F.lit(Decimal(0))) for c, w in weights.items()), F.lit(Decimal(0))).cast("double")
     enough = (count >= least) & (weight > 0)
     missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in weights])), ",")
     return (

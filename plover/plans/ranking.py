@@ -31,13 +31,13 @@ f AS (SELECT c_custkey, c_mktsegment, matched, round(CASE WHEN n_known >= 3 THEN
 
 def scored(t):
     """Customers with four components, each scored 0 to 100, and their weighted score (N08, W32)."""
-    orders = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.avg("o_totalprice"), 4).alias("mean_value"), F.max("o_orderdate").cast("date").alias("last_day"))
+    orders = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), stats.rounded(F.avg("o_totalprice"), 4).alias("mean_value"), F.max("o_orderdate").cast("date").alias("last_day"))
     met = t.customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         "c_custkey", "c_mktsegment", "n_orders", "mean_value", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"),
         F.datediff("last_day", F.lit("1992-01-01").cast("date")).cast("double").alias("recency"), F.col("o_custkey").isNotNull().alias("matched"),
     )
     met = stats.robust_scores(met, {"n_orders": "orders_score", "mean_value": "value_score", "balance": "balance_score", "recency": "recency_score"}, F.col("matched"))
-    return stats.weighted_score(met, WEIGHTS, 3).withColumn("total_score", F.round("total_score", 6))
+    return stats.weighted_score(met, WEIGHTS, 3).withColumn("total_score", stats.rounded(F.col("total_score"), 6))
 
 
 @query(
@@ -52,7 +52,7 @@ def scored(t):
 )
 def w32(t):
     """Two spread components and one that is the same in all matched rows, so that it scores 50."""
-    orders = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), F.round(F.avg("o_totalprice"), 4).alias("mean_value"))
+    orders = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n_orders"), stats.rounded(F.avg("o_totalprice"), 4).alias("mean_value"))
     met = t.customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         "c_custkey", F.col("o_custkey").isNotNull().alias("matched"), "n_orders", "mean_value", F.when(F.col("o_custkey").isNotNull(), 1.0).alias("level"),
     )

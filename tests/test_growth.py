@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 from pyspark.sql import functions as F
 
-from plover.operators import candidates, text
+from plover.operators import candidates, stats, text
 from plover.plans import registry
 
 
@@ -44,3 +44,12 @@ def differences(spark, name, folder, tables):
 def test_tickers_of_keys_beyond_four_digits(spark, tmp_path):
     suppliers = "SELECT range::BIGINT AS s_suppkey FROM range(8990, 9050) UNION ALL SELECT range FROM range(98990, 99050)"
     assert differences(spark, "p16_p17_tickers", tmp_path, {"supplier": suppliers}) == []
+
+
+def test_means_are_rounded_as_sql_rounds(spark):
+    ties = [298245.50125, 182615.15625, 230486.50375, -7.00005, 0.00015, 2.5]
+    want = [duckdb.sql(f"SELECT round({x}::DOUBLE, 4)").fetchall()[0][0] for x in ties]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(ties)], "k int, x double").withColumn("r", stats.rounded(F.col("x"), 4)).orderBy("k").collect()
+    assert [r["r"] for r in got] == want
+    parts = spark.createDataFrame([(55.5, 55.5, 55.5, 55.5)], "a double, b double, c double, d double")
+    assert stats.weighted_score(parts, {"a": 0.3, "b": 0.4, "c": 0.2, "d": 0.1}, 3).first()["total_score"] == 0.3 * 55.5 + 0.4 * 55.5 + 0.2 * 55.5 + 0.1 * 55.5
