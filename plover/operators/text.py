@@ -92,25 +92,50 @@ def diverse_pick(candidates: DataFrame, by: str, count: int, same: float = 0.6)
     picked one is the same event and is passed over. Rows of a domain that is
     new come first, then the others in order. Each pick is one pass that takes
     the best candidate that the picks so far allow, so no list of candidates
-    gathers in a task. Needs by, doc_id, score, domain and title; adds place.
+    gathers in a task. A group whose first ``HEAD`` candidates give all picks
+    from new domains is done with these, because later ones can't come before;
+    only the other groups' passes are over all candidates. Word sets are read
+    where the domain alone doesn't decide and are never sorted. Needs by,
+    doc_id, score, domain and title; adds place.
     """
     words = F.array_distinct(F.filter(F.split(F.coalesce("title", F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    order = F.struct(F.col("score").isNull().alias("unscored"), (-F.col("score")).alias("less"), "doc_id", F.coalesce("domain", F.lit("")).alias("domain"), words.alias("words"))
-    rows = materialize(candidates.filter(F.col(by).isNotNull()).select(by, order.alias("c")), "candidates")
-    picks = materialize(rows.select(by, F.lit(0).alias("place"), "c").limit(0), "picks")
+    order = F.struct(F.col("score").isNull().alias("unscored"), (-F.col("score")).alias("less"), "doc_id", F.coalesce("domain", F.lit("")).alias("domain"))
+    rows = materialize(candidates.filter(F.col(by).isNotNull()).select(by, order.alias("c"), words.alias("words")), "candidates")
+    first = rows.select(by, "c").withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("c"))).filter(F.col("_n") <= HEAD).groupBy(by).agg(F.max("c").alias("_last"))
+    bounds = materialize(first.withColumnRenamed(by, "_by"), "bounds")
+    head = rows.join(checked_broadcast(bounds), F.col(by) == F.col("_by")).filter("c <= _last").select(by, "c", "words")
+    quick = _picks(materialize(head, "head"), by, count, same, (True,))
+    done = materialize(quick.filter(F.col("place") == count).select(F.col(by).alias("_by")), "done")
+    left = rows.join(checked_broadcast(done), F.col(by) == F.col("_by"), "left_anti")
+    picks = quick.join(checked_broadcast(done), F.col(by) == F.col("_by"), "left_semi").unionByName(_picks(left, by, count, same, (True, False)))
+    return picks.select(by, "place", "c.doc_id")
+
+
+#: Candidates of a group that are tried before all are.
+HEAD = 500
+
+
+def _picks(rows: DataFrame, by: str, count: int, same: float, phases: tuple[bool, ...]) -> DataFrame:
+    """(by, place, c, words): a pass for each pick of `diverse_pick`; phases are True for new domains only."""
+    picks = materialize(rows.select(by, F.lit(0).alias("place"), "c", "words").limit(0), "picks")
 
     def event(p: Column) -> Column:
-        shared = F.size(F.array_intersect("c.words", p["words"]))
-        return (p["doc_id"] == F.col("c.doc_id")) | ((shared > 0) & (shared >= same * F.least(F.size("c.words"), F.size(p["words"]))))
+        shared = F.size(F.array_intersect("words", p["words"]))
+        return (p["c"]["doc_id"] == F.col("c.doc_id")) | ((shared > 0) & (shared >= same * F.least(F.size("words"), F.size(p["words"]))))
 
-    for fresh in (True, False):
+    for fresh in phases:
         for _ in range(count):
-            lists = picks.groupBy(F.col(by).alias("_by")).agg(F.collect_list("c").alias("_picks"))  # ``count`` entries at most
+            lists = picks.groupBy(F.col(by).alias("_by")).agg(F.collect_list(F.struct("c", "words")).alias("_picks"))  # ``count`` entries at most
             left = rows.join(checked_broadcast(lists), F.col(by) == F.col("_by"), "left").withColumn("_n", F.coalesce(F.size("_picks"), F.lit(0))).withColumn("_n", F.greatest("_n", F.lit(0)))
-            taken = F.exists("_picks", lambda p: event(p) | (p["domain"] == F.col("c.domain")) if fresh else event(p))
+            if fresh:  # cheap, so it is asked first
+                known = F.exists("_picks", lambda p: p["c"]["domain"] == F.col("c.domain"))
+                left = left.filter(~F.coalesce(known, F.lit(False)))
+            taken = F.exists("_picks", event)
             best = left.filter(F.col("_n") < count).filter(~F.coalesce(taken, F.lit(False))).groupBy(by).agg((F.max("_n") + 1).alias("place"), F.min("c").alias("c"))
-            best = materialize(best, "picked")
+            best = materialize(best, "best")
             if not best.limit(1).count():
                 break
-            picks = materialize(picks.unionByName(best), "picks")
-    return picks.select(by, "place", "c.doc_id")
+            found = best.select(F.col(by).alias("_by"), "place", F.col("c").alias("_c"))
+            whole = rows.join(checked_broadcast(found), (F.col(by) == F.col("_by")) & (F.col("c") == F.col("_c"))).groupBy(by, "place", "c").agg(F.min("words").alias("words"))
+            picks = materialize(picks.unionByName(materialize(whole, "picked")), "picks")
+    return picks

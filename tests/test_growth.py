@@ -64,3 +64,13 @@ def test_items_with_the_same_terms_are_compared_once(spark, monkeypatch):
     got = {r["key"]: r["near"] for r in novelty.nearest_earlier(items, grams).collect()}
     assert seen == [3] and sorted(got) == list(range(1, 900)) and all(got[k] == 1 for k in range(3, 900))
     assert 0 < got[1] < 1 and got[2] < got[1]
+
+
+def test_picks_from_the_head_leave_no_whole_pass(spark, monkeypatch):
+    data = [("a", k, float(-k), f"site{k}", f"word{k} other{k}") for k in range(40)] + [("b", k, float(-k), "one", f"word{k} other{k}") for k in range(40)]
+    rows = spark.createDataFrame(data, "g string, doc_id int, score double, domain string, title string")
+    seen, plain = [], text._picks
+    monkeypatch.setattr(text, "HEAD", 3)
+    monkeypatch.setattr(text, "_picks", lambda some, *a: seen.append(sorted(r[0] for r in some.select("g").distinct().collect())) or plain(some, *a))
+    got = {(r["g"], r["place"]): r["doc_id"] for r in text.diverse_pick(rows, "g", 2).collect()}
+    assert seen == [["a", "b"], ["b"]] and got == {("a", 1): 0, ("a", 2): 1, ("b", 1): 0, ("b", 2): 1}
