@@ -128,17 +128,35 @@ def employee_table(html: Column) -> Column:
     Values stand as far from the first value as their headers from the first
     header; salaries in thousands are scaled, and implausible values are null.
     """
-    cells = F.filter(cell_texts(html), lambda c: ~c.rlike(r"^[\[〔（(].*[\]〕）)]$"))
     number = lambda c: F.regexp_replace(F.regexp_extract(c, r"-?[\d,]+(?:\.\d+)?", 0), ",", "").try_cast("double")
     heads = {"employees": "従業員数", "service_years": "平均勤続年数", "salary": "平均年間給与"}
-    holds = lambda word: F.transform(cells, lambda c: c.contains(word))
-    at = {name: F.array_position(holds(word), True) for name, word in heads.items()}
-    begin = F.array_min(F.filter(F.array(*at.values()), lambda k: k > 0))
-    is_value = F.transform(cells, lambda c, k: (k + 1 > begin) & number(c).isNotNull() & ~c.rlike("従業員|平均|給与|年齢|勤続|増減率|令和|現在"))
-    row = F.array_position(is_value, True)
-    value = {name: F.when((k > 0) & (row > 0), number(F.try_element_at(cells, (row + k - begin).cast("int")))) for name, k in at.items()}
-    salary = value["salary"] * F.when(F.try_element_at(cells, F.nullif(at["salary"], F.lit(0)).cast("int")).contains("千円"), 1000).otherwise(1)
-    return F.struct(value["employees"].alias("employees"), F.when(value["service_years"] <= 60, value["service_years"]).alias("service_years"), F.when(salary >= 100_000, salary).alias("salary"))
+
+    def placed(cells: Column) -> Column:
+        holds = lambda word: F.transform(cells, lambda c: c.contains(word))
+        return F.struct(cells.alias("cells"), *[F.array_position(holds(word), True).alias(name) for name, word in heads.items()])
+
+    def begun(x: Column) -> Column:
+        return F.struct(x.alias("x"), F.array_min(F.filter(F.array(*[x[name] for name in heads]), lambda k: k > 0)).alias("begin"))
+
+    def rowed(x: Column) -> Column:
+        is_value = F.transform(x["x"]["cells"], lambda c, k: (k + 1 > x["begin"]) & number(c).isNotNull() & ~c.rlike("従業員|平均|給与|年齢|勤続|増減率|令和|現在"))
+        return F.struct(x["x"].alias("x"), x["begin"].alias("begin"), F.array_position(is_value, True).alias("row"))
+
+    def valued(x: Column) -> Column:
+        cells, row, begin = x["x"]["cells"], x["row"], x["begin"]
+        value = {name: F.when((x["x"][name] > 0) & (row > 0), number(F.try_element_at(cells, (row + x["x"][name] - begin).cast("int")))) for name in heads}
+        salary = value["salary"] * F.when(F.try_element_at(cells, F.nullif(x["x"]["salary"], F.lit(0)).cast("int")).contains("千円"), 1000).otherwise(1)
+        return F.struct(value["employees"].alias("employees"), value["service_years"].alias("service_years"), salary.alias("salary"))
+
+    def plausible(x: Column) -> Column:
+        return F.struct(x["employees"].alias("employees"), F.when(x["service_years"] <= 60, x["service_years"]).alias("service_years"), F.when(x["salary"] >= 100_000, x["salary"]).alias("salary"))
+
+    cells = F.filter(cell_texts(html), lambda c: ~c.rlike(r"^[\[〔（(].*[\]〕）)]$"))
+    # Each step is an element that the next reads: as expressions put into each other, the page would be parsed anew for each cell.
+    out = F.array(cells)
+    for step in (placed, begun, rowed, valued, plausible):
+        out = F.transform(out, step)
+    return out[0]
 
 
 # Patents

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plover.operators import candidates, novelty, stats, text
 from plover.plans import registry
+from plover.sources import markup
 
 
 def test_copies_of_jobs_and_masters_make_no_pairs(spark):
@@ -84,3 +85,10 @@ def test_rows_of_the_review_queue_meet_no_candidates(spark, tmp_path):
     assert differences(spark, "e09_review_queue", tmp_path, tables) == []
     plan = registry.QUERIES["e09_review_queue"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.index("Join ") < plan.index("Aggregate ")
+
+
+def test_a_page_is_parsed_once(spark):
+    pages = spark.range(3).selectExpr("concat('<tr><th>従業員数</th><th>平均年間給与（千円）</th></tr><tr><td>', id, '</td><td>9,000</td></tr>') as html")
+    out = pages.select(markup.employee_table(F.col("html")).alias("x")).select("x.*")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert sorted(map(tuple, out.collect())) == [(float(k), None, 9_000_000.0) for k in range(3)]
