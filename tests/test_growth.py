@@ -3,9 +3,10 @@
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from plover.operators import candidates, novelty, stats, text
+from plover.operators import aliases, candidates, novelty, stats, text
 from plover.plans import registry
 from plover.sources import markup
 
@@ -92,3 +93,13 @@ def test_a_page_is_parsed_once(spark):
     out = pages.select(markup.employee_table(F.col("html")).alias("x")).select("x.*")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
     assert sorted(map(tuple, out.collect())) == [(float(k), None, 9_000_000.0) for k in range(3)]
+
+
+@pytest.mark.parametrize("block", [3, 50_000])
+def test_first_aliases_are_found_without_a_shuffle(spark, block, monkeypatch):
+    monkeypatch.setattr(aliases, "ROWS", 10)
+    docs = spark.range(200).selectExpr("id", "concat('one two ', if(id % 2 = 0, 'three', '')) as text")
+    table = spark.createDataFrame([(f"c{k}", w, n) for k in range(40) for n, w in ((2, "one"), (1, "three"))], "company string, alias string, rank int")
+    found = aliases.alias_matches(docs, table, "id", "text", True, block)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.select("key", "company", "alias").collect())) == sorted((i, f"c{k}", "one" if i % 2 else "three") for i in range(200) for k in range(40))
