@@ -103,3 +103,12 @@ def test_first_aliases_are_found_without_a_shuffle(spark, block, monkeypatch):
     found = aliases.alias_matches(docs, table, "id", "text", True, block)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.select("key", "company", "alias").collect())) == sorted((i, f"c{k}", "one" if i % 2 else "three") for i in range(200) for k in range(40))
+
+
+def test_hits_are_handed_on_in_short_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(aliases, "ROWS", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["a word"] * 500)], ["key", "text"])
+    out = list(aliases._firsts([(k, "word", k) for k in range(40)], True)(iter([batch])))
+    assert sum(map(len, out)) == 500 * 40 and max(map(len, out)) <= 140
