@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -73,6 +74,20 @@ def daily_return(value: str = "close") -> Column:
     return F.try_divide(F.col(value), before) * 100 - 100
 
 
+def prior_max(series: DataFrame, value: Column, n: int, out: str) -> DataFrame:
+    """Adds the greatest ``value`` of the ``n`` rows before each; null where there are none.
+
+    The maximum of a short frame is looked up at offsets that cover the ``n``
+    rows, so a row costs about twice the root of ``n`` and not ``n``. Columns
+    named ``_short`` are used inside.
+    """
+    short = max(isqrt(n), 1)
+    found = series.withColumn("_short", F.max(value).over(by_symbol().rowsBetween(-short, -1)))
+    offsets = [*range(short, n - short, short), n - short]
+    near = [F.col("_short"), *[F.lag("_short", k).over(by_symbol()) for k in offsets if k]]
+    return found.withColumn(out, F.greatest(*near) if len(near) > 1 else near[0]).drop("_short")
+
+
 def setup_features(series: DataFrame, rules: SignalRules) -> DataFrame:
     """What is known of each row from the rows before it: peak, its age, drawdowns, range, volatility.
 
@@ -80,11 +95,11 @@ def setup_features(series: DataFrame, rules: SignalRules) -> DataFrame:
     them have no setup.
     """
     prior = lambda n: by_symbol().rowsBetween(-n, -1)
-    peak = F.max(F.struct("close", "i")).over(prior(rules.peak_window))
-    out = series.withColumn("ret", daily_return())
+    out = prior_max(series.withColumn("ret", daily_return()), F.struct("close", "i"), rules.peak_window, "_peak")
+    out = out.withColumns({"peak": F.col("_peak.close"), "peak_age": F.col("i") - F.col("_peak.i")}).drop("_peak")
     out = out.withColumns(
         {
-            "peak": peak["close"], "peak_age": F.col("i") - peak["i"], "previous": F.lag("close").over(by_symbol()),
+            "previous": F.lag("close").over(by_symbol()),
             "low_n": F.min("close").over(prior(rules.range_window)), "high_n": F.max("close").over(prior(rules.range_window)),
             "high_short": F.max("close").over(prior(rules.short_window)), "volatility": F.avg(F.abs("ret")).over(prior(rules.volatility_window)),
             "known_volumes": F.count_if(F.col("volume") > 0).over(prior(rules.volatility_window)),

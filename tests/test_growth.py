@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plover.operators import aliases, candidates, novelty, stats, text
+from plover.operators import timeseries as ts
 from plover.plans import registry
 from plover.sources import markup
 
@@ -112,3 +113,14 @@ def test_hits_are_handed_on_in_short_batches(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["a word"] * 500)], ["key", "text"])
     out = list(aliases._firsts([(k, "word", k) for k in range(40)], True)(iter([batch])))
     assert sum(map(len, out)) == 500 * 40 and max(map(len, out)) <= 140
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_peaks_come_from_short_frames(spark, n):
+    data = [(s, i, None if (i * 7 + s) % 5 == 0 else float((i * i * 13 + s) % 11)) for s in range(2) for i in range(1, 61)]
+    series = spark.createDataFrame(data, "symbol int, i int, close double")
+    plain = series.withColumn("p", F.max(F.struct("close", "i")).over(ts.by_symbol().rowsBetween(-n, -1)))
+    got = ts.prior_max(series, F.struct("close", "i"), n, "p")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    prices = spark.createDataFrame([], "symbol int, i int, day date, close double, high double, low double, volume double")
+    assert "-500, -1" not in ts.setup_features(prices, ts.SignalRules())._jdf.queryExecution().optimizedPlan().toString()
