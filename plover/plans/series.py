@@ -155,11 +155,13 @@ wide AS (SELECT symbol, pos, max(place) FILTER (k = 0) AS immediate_rank, max(pl
 SELECT hv.symbol || ':' || hv.pos AS event, hv.symbol, reach_i, immediate, at_limit, delayed, "index", immediate_rank::INT AS immediate_rank, at_limit_rank::INT AS at_limit_rank, delayed_rank::INT AS delayed_rank, index_rank::INT AS index_rank FROM hv JOIN wide USING (symbol, pos)""", digits=2)
 def w17_variants(t):
     """Signals bought at once, at a limit, 20 rows later or in the index instead, ranked by what they made."""
+    from plover.session import materialize
     from plover.sources.tables import benchmark_prices
 
-    series = prices(t.lineitem)
+    # The variants read prices and signals several times, so both are made once.
+    series = materialize(prices(t.lineitem), "prices")
     events = ts.signals(series, RULES).select(F.concat_ws(":", "symbol", "confirm_i").alias("event"), "symbol", F.col("confirm_i").alias("at"), F.col("confirm_close").alias("price"), F.col("confirm_day").alias("day"))
-    return ts.holding_variants(events, series, benchmark_prices(t.lineitem), "event")
+    return ts.holding_variants(materialize(events, "signals"), series, benchmark_prices(t.lineitem), "event")
 
 
 @query("w20_e16_year_end_returns", f"WITH {PRICES_SQL}, y AS (SELECT symbol, year(day)::INT AS year, max_by(close, day) AS year_close FROM px GROUP BY 1, 2) SELECT px.symbol, px.i, round((year_close/close - 1)*100, 6) AS to_year_end FROM px JOIN y ON y.symbol = px.symbol AND y.year = year(day)")

@@ -124,3 +124,8 @@ def test_peaks_come_from_short_frames(spark, n):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
     prices = spark.createDataFrame([], "symbol int, i int, day date, close double, high double, low double, volume double")
     assert "-500, -1" not in ts.setup_features(prices, ts.SignalRules())._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_holding_variants_make_prices_and_signals_once(spark):
+    plan = registry.QUERIES["w17_w18_holding_variants"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
