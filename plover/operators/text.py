@@ -11,6 +11,10 @@ from plover.operators.joins import checked_broadcast
 from plover.session import materialize
 
 
+#: Texts whose n-grams are counted in one partition, on average at most.
+TEXTS = 20_000
+
+
 def char_grams(df: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
     """(key, gram, cnt): counts of the n-grams of the text without white space, in lower case."""
     chars = F.filter(F.split(F.regexp_replace(F.lower(text), r"\s", ""), ""), lambda c: c != "")
@@ -18,8 +22,9 @@ def char_grams(df: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:
     # From an array of characters, so that a long text costs its length and not its square.
     grams = F.transform(starts, lambda k: F.concat(*[F.element_at("_c", k + j) for j in range(n)]))
     # A small file of many short texts is one split: they are dealt by key first, so its n-grams don't all meet in
-    # one task, and what is grouped by key and n-gram stays where it is.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one task, and what is grouped by key and n-gram stays where it is. More texts are more partitions, so a task's
+    # counts don't grow with the table.
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TEXTS))
     return df.select(key, chars.alias("_c")).repartition(parts, key).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -136,3 +136,10 @@ def test_latest_sizes_are_found_in_one_sorted_series(spark, tmp_path):
     assert differences(spark, "j13_point_in_time_size", tmp_path, {"lineitem": lines}) == []
     plan = registry.QUERIES["j13_point_in_time_size"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("Relation ") == 1
+
+
+def test_more_texts_are_more_partitions(spark, monkeypatch):
+    monkeypatch.setattr(text, "TEXTS", 10)
+    grams = text.char_grams(spark.range(300).selectExpr("id as k", "concat('name ', id) as s"), "k", F.col("s"))
+    assert grams.select(F.spark_partition_id().alias("p")).distinct().count() > 20
+    assert grams.filter("gram = 'nam'").count() == 300
