@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plover.operators.quantiles import quantiles
-from plover.operators.stats import correlations
+from plover.operators.stats import growing_spearman
 
 
 def moments(df: DataFrame, features: list[str], target: str) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, float]:
@@ -26,33 +28,83 @@ def moments(df: DataFrame, features: list[str], target: str) -> tuple[int, np.nd
 
 def ridge(df: DataFrame, features: list[str], target: str, penalty: float) -> tuple[float, np.ndarray]:
     """Ridge on standardised features by the normal equations over n; returns intercept and raw coefficients."""
-    _, mean, gram, cross, target_mean = moments(df, features, target)
+    return _ridge(moments(df, features, target), penalty)
+
+
+def _ridge(sums: tuple[int, np.ndarray, np.ndarray, np.ndarray, float], penalty: float) -> tuple[float, np.ndarray]:
+    _, mean, gram, cross, target_mean = sums
     scale = np.sqrt(np.maximum(np.diag(gram), 0))
     scale[scale < 1e-12] = 1.0
-    beta = np.linalg.solve(gram / np.outer(scale, scale) + penalty * np.eye(len(features)), cross / scale) / scale
+    beta = np.linalg.solve(gram / np.outer(scale, scale) + penalty * np.eye(len(mean)), cross / scale) / scale
     return float(target_mean - beta @ mean), beta
 
 
-def best_ridge(rows: DataFrame, features: list[str], target: str, time: str, last: int, penalties: tuple[float, ...]) -> tuple[float, float, np.ndarray]:
-    """(penalty, intercept, coefficients): the penalty with the least error at ``time`` = ``last`` after a fit before it, then fitted on all.
+def _moments_by(df: DataFrame, sets: list[tuple[str, ...]], target: str, time: str) -> dict[tuple[str, ...], dict[int, tuple[int, np.ndarray, np.ndarray]]]:
+    """For each set of features and each time its complete rows' (n, mean, covariance); the target is the last variable. One aggregate."""
+    columns, places = [], []
+    for s in sets:
+        names = [*s, target]
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+        x = [F.when(whole, F.col(c).cast("double")) for c in names]
+        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+        columns += [F.count_if(whole), *map(F.avg, x), *[F.covar_pop(x[i], x[j]) for i, j in pairs]]
+        places.append((s, len(names), pairs))
+    out: dict[tuple[str, ...], dict[int, tuple[int, np.ndarray, np.ndarray]]] = {s: {} for s in sets}
+    for row in df.groupBy(time).agg(*[c.alias(f"_{k}") for k, c in enumerate(columns)]).collect():  # a row per time
+        values = iter(row[1:])
+        for s, k, pairs in places:
+            n, mean, gram = next(values), np.array([next(values) or 0.0 for _ in range(k)]), np.zeros((k, k))
+            for i, j in pairs:
+                gram[i, j] = gram[j, i] = next(values) or 0.0
+            out[s][row[0]] = n, mean, gram
+    return out
+
+
+def _merged(parts: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, float]:
+    """The `moments` of several times' rows together, with ``k`` features."""
+    n, mean, gram = 0, np.zeros(k + 1), np.zeros((k + 1, k + 1))
+    for m, other, spread in parts:
+        if m:
+            gap, total = other - mean, n + m
+            gram = (n * gram + m * spread + n * m / total * np.outer(gap, gap)) / total
+            mean, n = mean + gap * (m / total), total
+    return n, mean[:k], gram[:k, :k], gram[:k, k], float(mean[k])
+
+
+def walk_forward(df: DataFrame, features: list[str], target: str, time: str, most: int, penalties: tuple[float, ...], first: int = 2, coverage: float = 0.35) -> DataFrame:
+    """(time, n, mae, features, penalty) for each whole-number time but the ``first`` few: a ridge model of the times before, tested on it.
 
-    The sums are taken once for each half; every penalty is a solve on the driver, and all are tried in one pass.
+    Of the features that are known often enough before, the ``most`` that
+    correlate most with the target by rank are taken, ties by name; the penalty
+    is that with the least error at the time just before, after a fit on what
+    came earlier. All times are taken in the same few passes over the rows:
+    counts, ranks, moments of each time that are merged, and errors.
     """
-    inner, held = rows.filter(F.col(time) < last), rows.filter(F.col(time) == last)
-    tried = [(p, *ridge(inner, features, target, p)) for p in penalties]
-    errors = held.agg(*[F.avg(F.abs(F.col(target) - linear(features, b, w))) for _, b, w in tried]).first()
-    scored = [(e, p) for e, (p, *_) in zip(errors, tried, strict=True) if e is not None]
-    penalty = min(scored)[1] if scored else penalties[0]
-    return penalty, *ridge(rows, features, target, penalty)
-
-
-def select_features(rows: DataFrame, features: list[str], target: str, most: int, coverage: float = 0.35) -> list[str]:
-    """The features that are known often enough and correlate most with the target by rank; ties by name."""
-    stacked = ", ".join(f"'{c}', cast({c} as double)" for c in features)
-    long = rows.select(F.col(target).cast("double").alias("y"), F.expr(f"stack({len(features)}, {stacked}) as (feature, x)"))
-    known = long.groupBy("feature").agg((F.count("x") / F.count(F.lit(1))).alias("share")).filter(F.col("share") >= coverage)
-    found = correlations(long.join(F.broadcast(known), "feature").drop("share"), ["feature"], 2)
-    return [r["feature"] for r in found.orderBy(F.abs("spearman").desc_nulls_last(), "feature").limit(most).collect()]
+    df = df.filter(F.col(time).isNotNull())
+    counts = {r[0]: r[1:] for r in df.groupBy(time).agg(F.count(F.lit(1)), *[F.count(c) for c in features]).collect()}
+    cuts = sorted(counts)[first:]
+    known = {t: np.sum([v for s, v in counts.items() if s < t], axis=0) for t in cuts}
+    strength = growing_spearman(df, features, target, time, cuts) if cuts else {}
+    chosen = {}
+    for t in cuts:
+        usable = [c for k, c in enumerate(features) if known[t][k + 1] / known[t][0] >= coverage and (c, t) in strength]
+        chosen[t] = tuple(sorted(usable, key=lambda c: (-abs(strength[c, t]), c))[:most])
+
+    sums = _moments_by(df, sorted(set(chosen.values())), target, time) if cuts else {}
+    until = lambda t, end: _merged([m for s, m in sums[chosen[t]].items() if s < end], len(chosen[t]))
+    at = lambda values: reduce(lambda out, x: out.when(F.col(time) == x[0], x[1]), values.items(), F.when(F.lit(False), F.lit(None)))
+    error = lambda fits: F.abs(F.col(target) - at(fits))
+    inner = {t: until(t, t - 1) for t in cuts}
+    tried = [F.avg(error({t - 1: linear(list(chosen[t]), *_ridge(inner[t], p)) for t in cuts})).alias(f"_{k}") for k, p in enumerate(penalties)]
+    errors = {r[0] + 1: r[1:] for r in df.filter(F.col(time).isin([t - 1 for t in cuts])).groupBy(time).agg(*tried).collect()}
+    penalty = {}
+    for t in cuts:
+        scored = [(e, p) for e, p in zip(errors.get(t, [None] * len(penalties)), penalties, strict=True) if e is not None]
+        penalty[t] = min(scored)[1] if scored else penalties[0]
+
+    final = {t: linear(list(chosen[t]), *_ridge(until(t, t), penalty[t])) for t in cuts}
+    tested = df.filter(F.col(time).isin(cuts)).groupBy(time).agg(F.count(F.lit(1)).alias("n"), F.avg(error(final)).alias("mae"))
+    return tested.withColumns({"features": at({t: F.lit(",".join(c)) for t, c in chosen.items()}).cast("string"), "penalty": at({t: F.lit(p) for t, p in penalty.items()}).cast("double")})
 
 
 def elastic_net(df: DataFrame, features: list[str], target: str, penalty: float, l1_share: float, sweeps: int = 500) -> tuple[float, np.ndarray]:

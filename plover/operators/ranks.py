@@ -7,6 +7,7 @@ one row per partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,14 +16,18 @@ from pyspark.sql import functions as F
 from plover.session import materialize
 
 
-def running(df: DataFrame, order: list[Column | str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None) -> DataFrame:
+def running(df: DataFrame, order: list[Column | str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds running sums and maxima in ``order``, which must tell all rows apart; ``df`` keeps its columns.
 
-    Columns whose names begin with ``_r`` are used inside.
+    ``dealt`` changes the rows once they are dealt by ranges, before they are
+    written; it groups them by ``_r_part`` and ``order`` where these don't tell
+    the rows of ``df`` apart, which needs no shuffle. Columns whose names begin
+    with ``_r`` are used inside.
     """
     sums, maxes = sums or {}, maxes or {}
     parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
-    parts = materialize(parts.withColumn("_r_part", F.spark_partition_id()), "ranges")
+    parts = parts.withColumn("_r_part", F.spark_partition_id())
+    parts = materialize(parts if dealt is None else dealt(parts), "ranges")
     before = Window.orderBy("_r_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     totals = parts.groupBy(F.col("_r_part").alias("_r_key")).agg(*[F.sum(c).alias(f"_r_{k}") for k, c in sums.items()], *[F.max(c).alias(f"_r_{k}") for k, c in maxes.items()])
     totals = totals.withColumnRenamed("_r_key", "_r_part")

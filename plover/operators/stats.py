@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 
@@ -49,6 +50,49 @@ def correlations(long: DataFrame, by: Sequence[str], least: int = 20) -> DataFra
     return out.filter((F.col("n") >= least) & (F.col("_x0") < F.col("_x1")) & (F.col("_y0") < F.col("_y1"))).drop("_x0", "_x1", "_y0", "_y1")
 
 
+def growing_spearman(df: DataFrame, features: Sequence[str], target: str, time: str, cuts: Sequence[int]) -> dict[tuple[str, int], float]:
+    """Spearman of each feature and the target among the rows whose ``time`` is under each cut, by (feature, cut).
+
+    A feature lacks an entry where fewer than two complete rows or values are
+    known. All cuts are taken together: a value has a count and a rank for each
+    of them. Rows are dealt by ranges of the target once, and those of equal
+    target are summed up there, so no rows meet their ranks in a shuffle.
+    Ranks are taken from their mean.
+    """
+    x, y, before = [F.col(c).cast("double") for c in features], F.col(target).cast("double"), [F.col(time) < c for c in cuts]
+    at = [(f, k) for f in range(len(features)) for k in range(len(cuts))]
+    rows = df.select(F.col(time), *[v.alias(f"_x{f}") for f, v in enumerate(x)], y.alias("_y")).filter("_y is not null")
+    rank = lambda upto, n, total: F.col(upto) - (F.col(n) - 1) / 2 - (total + 1) / 2
+
+    long = rows.select(F.col(time), F.expr(f"stack({len(features)}, {', '.join(f'{f}, _x{f}' for f in range(len(features)))}) as (_f, _x)")).filter("_x is not null")
+    counts = long.groupBy("_f", "_x").agg(*[F.count_if(b).alias(f"_n{k}") for k, b in enumerate(before)])
+    values = materialize(ranks.running(counts, ["_f", "_x"], {f"_u{k}": F.col(f"_n{k}") for k in range(len(cuts))}), "values")
+    ends = {r["_f"]: r for r in values.groupBy("_f").agg(*[F.sum(f"_n{k}").alias(f"n{k}") for k in range(len(cuts))], *[F.min(F.col(f"_u{k}") - F.col(f"_n{k}")).alias(f"s{k}") for k in range(len(cuts))]).collect()}
+    if not ends:
+        return {}
+
+    placed, spread = [], {}
+    for f in ends:
+        mine = values.filter(F.col("_f") == f).select(F.col("_x").alias(f"_v{f}"), *[(rank(f"_u{k}", f"_n{k}", F.lit(ends[f][f"n{k}"])) - ends[f][f"s{k}"]).alias(f"_r{f}_{k}") for k in range(len(cuts))], *[F.col(f"_n{k}").alias(f"_m{k}") for k in range(len(cuts))])
+        squares = mine.agg(*[F.sum(F.col(f"_m{k}") * F.col(f"_r{f}_{k}") * F.col(f"_r{f}_{k}")) for k in range(len(cuts))]).first()
+        spread |= {(f, k): v for k, v in enumerate(squares)}
+        placed.append((f, checked_broadcast(mine.drop(*[f"_m{k}" for k in range(len(cuts))]))))
+    at = [(f, k) for f, k in at if f in ends]
+
+    def dealt(parts: DataFrame) -> DataFrame:
+        for f, ranked in placed:
+            parts = parts.join(ranked, F.col(f"_x{f}") == F.col(f"_v{f}"), "left")
+        known = lambda f, k: before[k] & F.col(f"_x{f}").isNotNull()
+        sums = [F.sum(F.when(known(f, k), F.col(f"_r{f}_{k}")).otherwise(0.0)).alias(f"_s{f}_{k}") for f, k in at]
+        return parts.groupBy("_r_part", "_y").agg(*[F.count_if(known(f, k)).alias(f"_n{f}_{k}") for f, k in at], *sums)
+
+    upto = ranks.running(rows, ["_y"], {f"_u{f}_{k}": F.col(f"_n{f}_{k}") for f, k in at}, dealt=dealt)
+    ry = {(f, k): rank(f"_u{f}_{k}", f"_n{f}_{k}", F.lit(ends[f][f"n{k}"])) for f, k in at}
+    row = upto.agg(*[F.sum(F.col(f"_s{f}_{k}") * ry[f, k]) for f, k in at], *[F.sum(F.col(f"_n{f}_{k}") * ry[f, k] * ry[f, k]) for f, k in at]).first()
+    found = zip(at, row[: len(at)], row[len(at) :], strict=True)
+    return {(features[f], cuts[k]): both / math.sqrt(spread[f, k] * own) for (f, k), both, own in found if spread[f, k] and own}
+
+
 def rounded(value: Column, digits: int) -> Column:
     """Half away from zero of the scaled double, as SQL engines round; Spark's ``round`` takes the shortest decimal instead, which differs at ties."""
     return F.round(value * 10.0**digits) / 10.0**digits

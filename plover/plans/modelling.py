@@ -63,15 +63,7 @@ FEATURES = ["q", "l_discount", "l_tax"]
 @query("m03_m11_walk_forward")
 def m11(t):
     """For each year but the first two: the two best features and the penalty are chosen on the years before, tested on the year."""
-    rows, out = _rows(t), []
-    years = sorted(r[0] for r in rows.select("y").distinct().collect())
-    for year in years[2:]:
-        before = rows.filter(F.col("y") < year)
-        chosen = models.select_features(before, FEATURES, "target", 2)
-        penalty, intercept, beta = models.best_ridge(before, chosen, "target", "y", year - 1, (0.01, 0.1, 1.0))
-        tested = rows.filter(F.col("y") == year).withColumn("e", F.abs(F.col("target") - models.linear(chosen, intercept, beta)))
-        out.append(tested.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae")).withColumns({"features": F.lit(",".join(chosen)), "penalty": F.lit(penalty)}))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    return models.walk_forward(_rows(t), FEATURES, "target", "y", 2, (0.01, 0.1, 1.0))
 
 
 def _targets(t):

@@ -3,10 +3,11 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plover.operators import aliases, candidates, novelty, stats, text
+from plover.operators import aliases, candidates, models, novelty, stats, text
 from plover.operators import timeseries as ts
 from plover.plans import registry
 from plover.sources import markup
@@ -143,3 +144,34 @@ def test_more_texts_are_more_partitions(spark, monkeypatch):
     grams = text.char_grams(spark.range(300).selectExpr("id as k", "concat('name ', id) as s"), "k", F.col("s"))
     assert grams.select(F.spark_partition_id().alias("p")).distinct().count() > 20
     assert grams.filter("gram = 'nam'").count() == 300
+
+
+def test_more_years_are_no_more_passes(spark, tmp_path):
+    jobs = []
+    for years in (4, 8):
+        lines = f"SELECT range::BIGINT AS l_orderkey, 1 AS l_linenumber, make_timestamp(1990 + (range % {years})::INT, 5, 1, 0, 0, 0.0) AS l_shipdate, (range * 7 % 50)::DOUBLE AS l_quantity, (range % 11)::DOUBLE / 100 AS l_discount, (range % 9)::DOUBLE / 100 AS l_tax, (range * 31 % 997)::DOUBLE AS l_extendedprice FROM range(400)"
+        duckdb.sql(f"COPY ({lines}) TO '{tmp_path}/lineitem.parquet'")
+        spark.sparkContext.setJobGroup(f"walk-{years}", "")
+        assert len(registry.QUERIES["m03_m11_walk_forward"](spark, str(tmp_path)).collect()) == years - 2
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walk-{years}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+
+
+def test_ranks_of_growing_windows_match_numpy(spark):
+    rng = np.random.default_rng(5)
+    a, b, y, t = rng.integers(0, 6, 300), rng.normal(size=300), rng.integers(0, 40, 300), rng.choice([1, 2, 4, 5], 300)
+    data = [(int(w), None if k % 3 == 0 else float(u), None if w < 4 else float(v), 1.0, None if k % 7 == 0 else float(z)) for k, (u, v, z, w) in enumerate(zip(a, b, y, t, strict=True))]
+    rows = spark.createDataFrame([*data, (None, 1.0, 1.0, 1.0, 1.0)], "t int, a double, b double, c double, y double")
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    want = {}
+    for f, name in ((1, "a"), (2, "b")):
+        for cut in (2, 4, 5):
+            met = np.array([(r[f], r[4]) for r in data if r[0] < cut and r[f] is not None and r[4] is not None])
+            if len(met):
+                want[name, cut] = np.corrcoef(rank(met[:, 0]), rank(met[:, 1]))[0, 1]
+    got = stats.growing_spearman(rows, ["a", "b", "c"], "y", "t", [2, 4, 5])
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+    tested = {r["t"]: r for r in models.walk_forward(rows, ["a", "b", "c"], "y", "t", 2, (0.1, 1.0)).collect()}
+    assert {k: (r["n"], r["features"]) for k, r in tested.items()} == {4: (int((t == 4).sum()), "a"), 5: (int((t == 5).sum()), "a")}
+    assert tested[4]["penalty"] == 0.1  # nothing is known of time 3
