@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plover.operators.joins import checked_broadcast
 from plover.session import materialize
 
 #: Characters of an indexed part; shorter names are parts of their own.
@@ -24,13 +27,12 @@ def match_key(text: Column) -> Column:
     return F.lower(out)
 
 
-def _parts(text: Column, sizes: tuple[int, ...]) -> Column:
+def _parts(text: Column, sizes: Sequence[int]) -> Column:
     """Distinct parts of the given sizes."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
 
     def runs(size: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chars) - (size - 1), F.lit(1))), lambda k: k + (size - 1) <= F.size(chars))
-        return F.transform(starts, lambda k: F.array_join(F.slice(chars, k, size), ""))
+        starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.substring(text, k, F.lit(size)))
 
     return F.array_distinct(F.flatten(F.array(*map(runs, sizes))))
 
@@ -40,14 +42,23 @@ def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
     Each inner string is looked up by its part that fewest outer strings have,
     so the index gives few pairs that aren't contained, and those are dropped.
-    Nulls and empty strings match nothing.
+    Only parts that an inner string has, of the sizes that occur, are indexed,
+    and strings too long or too short for the other side are left out. Nulls
+    and empty strings match nothing.
     """
     one = inner.select("inner").filter("inner <> ''").distinct()
     two = outer.select("outer").filter("outer <> ''").distinct()
-    every = two.select("outer", F.explode(_parts(F.col("outer"), tuple(range(1, PART + 1)))).alias("part"))
-    holders = every.groupBy(F.col("part").alias("h_part")).agg(F.count(F.lit(1)).alias("holders"))
+    longest = two.agg(F.max(F.length("outer"))).first()[0] or 0
+    one = one.filter(F.length("inner") <= longest)
+    lengths = sorted(r[0] for r in one.select(F.least(F.length("inner"), F.lit(PART)).alias("n")).distinct().collect())
+    if not lengths:
+        return one.select("inner", F.col("inner").alias("outer")).limit(0)
+    two = two.filter(F.length("outer") >= lengths[0])
     short = F.length("inner") < PART
     asked = one.select("inner", F.explode(F.when(short, F.array("inner")).otherwise(_parts(F.col("inner"), (PART,)))).alias("part"))
+    wanted = checked_broadcast(materialize(asked.select(F.col("part").alias("w_part")).distinct(), "parts"))
+    every = two.select("outer", F.explode(_parts(F.col("outer"), lengths)).alias("part")).join(wanted, F.col("part") == F.col("w_part"), "left_semi")
+    holders = every.groupBy(F.col("part").alias("h_part")).agg(F.count(F.lit(1)).alias("holders"))
     # A part that no outer string has says that none contains the inner one.
     counted = asked.join(holders, F.col("part") == F.col("h_part"), "left").select("inner", "part", F.coalesce("holders", F.lit(0)).alias("holders"))
     rarest = counted.groupBy("inner").agg(F.min(F.struct("holders", "part")).alias("r")).filter("r.holders > 0").select("inner", F.col("r.part").alias("r_part"))

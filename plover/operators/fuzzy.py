@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.functions.unicode import nfkc, sequence_ratio
 from plover.operators.candidates import contained_pairs
-from plover.operators.joins import best_with_margin
+from plover.operators.joins import best_with_margin, checked_broadcast
+from plover.session import materialize
 
 
 def _tokens(texts: DataFrame, key: str) -> DataFrame:
-    """(key, token): each distinct text's characters, numbered by how often they have come before."""
-    counts = texts.select(key, F.explode(F.split(key, "")).alias("char")).filter("char <> ''").groupBy(key, "char").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(key, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda k: F.struct("char", k.alias("turn")))).alias("token"))
+    """(key, token): each text's characters, numbered by how often they have come before."""
+    chars = F.array_sort(F.filter(F.split(key, ""), lambda c: c != ""))
+    turns = F.transform("_chars", lambda c, i: F.struct(c.alias("char"), (i + 2 - F.array_position("_chars", c)).alias("turn")))
+    return texts.select(key, chars.alias("_chars")).select(key, F.explode(turns).alias("token"))
 
 
-def _keys(tokens: DataFrame, order: DataFrame, key: str, least: float) -> DataFrame:
+def _need(key: str, share: float) -> Column:
+    """How many characters a text has to share with any other for the ratio."""
+    return F.greatest(F.ceil(F.length(key) * share - 1e-9), F.lit(1))
+
+
+def _long_enough(texts: DataFrame, key: str, others: DataFrame, other: str, share: float) -> DataFrame:
+    """Texts that some length among the others' allows."""
+    low, high = others.agg(F.min(F.length(other)), F.max(F.length(other))).first()
+    n = F.length(key)
+    return texts.filter((n * share <= (high or 0) + 1e-9) & (F.lit((low or 0) * share) <= n + 1e-9))
+
+
+def _sharing(texts: DataFrame, key: str, seen: DataFrame, share: float) -> DataFrame:
+    """Texts with enough characters that the other side has at all, so that they have join keys; others are in no pair."""
+    known = checked_broadcast(seen.filter("seen > 0").select("token"))
+    counts = _tokens(texts, key).join(known, "token").groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    return materialize(counts.filter(F.col("_c") >= _need(key, share)).select(key), "sharing")
+
+
+def _keys(tokens: DataFrame, seen: DataFrame, key: str, share: float) -> DataFrame:
     """(text, join key): pairs of each text's rarest tokens, and single ones of the shortest texts.
 
     Texts of lengths m and n with a ratio of ``least`` share at least
@@ -24,12 +45,11 @@ def _keys(tokens: DataFrame, order: DataFrame, key: str, least: float) -> DataFr
     so ``need`` = m * least / (2 - least) of them. In one order of all tokens,
     any two then share two among the first m - need + 2 of both, if both need
     two; texts that need one, and those near enough in length to meet such, have
-    single tokens as keys too.
+    single tokens as keys too. Tokens that only one side has come first and make
+    no keys.
     """
-    share = least / (2 - least)
-    ranked = tokens.join(order, "token").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("seen", "token")))
-    need = F.greatest(F.ceil(F.length(key) * share - 1e-9), F.lit(1))
-    first = ranked.filter(F.col("at") <= F.length(key) - need + 2)
+    ranked = tokens.join(checked_broadcast(seen), "token").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("seen", "token")))
+    first = ranked.filter((F.col("at") <= F.length(key) - _need(key, share) + 2) & (F.col("seen") > 0))
     lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("t"))  # as long as the text at most
     pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x["token"].alias("a"), y["token"].alias("b")))))
     single = F.transform("t", lambda x: F.struct(x["token"].alias("a"), F.lit(None).cast(tokens.schema["token"].dataType).alias("b")))
@@ -40,13 +60,19 @@ def _keys(tokens: DataFrame, order: DataFrame, key: str, least: float) -> DataFr
 def near_pairs(one: DataFrame, two: DataFrame, least: float) -> DataFrame:
     """(name, alias): all pairs of distinct texts that can have a ratio of ``least``, and some more.
 
-    ``one`` has name, ``two`` alias, neither null nor empty.
+    ``one`` has name, ``two`` alias, neither null nor empty. Tokens are ordered
+    by the pairs that they would make. Texts whose length or characters meet no
+    text of the other side leave before they are cut into keys.
     """
-    t1, t2 = _tokens(one, "name"), _tokens(two, "alias")
-    order = t1.select("token").unionByName(t2.select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
-    left, right = _keys(t1, order, "name", least), _keys(t2, order, "alias", least).withColumnRenamed("join_key", "other_key")
+    share = least / (2 - least)
+    one, two = _long_enough(one, "name", two, "alias", share), _long_enough(two, "alias", one, "name", share)
+    sides = [_tokens(x, key).select("token", F.lit(k).alias("side")) for k, (x, key) in enumerate(((one, "name"), (two, "alias")))]
+    seen = sides[0].unionByName(sides[1]).groupBy("token").agg((F.count_if(F.col("side") == 0) * F.count_if(F.col("side") == 1)).alias("seen"))
+    seen = materialize(seen, "tokens")
+    keys = [_keys(_tokens(_sharing(x, key, seen, share), key), seen, key, share) for x, key in ((one, "name"), (two, "alias"))]
+    left, right = keys[0], keys[1].withColumnRenamed("join_key", "other_key")
     same = F.col("join_key.a").eqNullSafe(F.col("other_key.a")) & F.col("join_key.b").eqNullSafe(F.col("other_key.b"))
-    low, high = F.length("name") * (least / (2 - least)), F.length("name") * ((2 - least) / least)
+    low, high = F.length("name") * share, F.length("name") * ((2 - least) / least)
     return left.join(right, same & F.length("alias").between(F.floor(low), F.ceil(high))).select("name", "alias").distinct()
 
 
@@ -62,9 +88,9 @@ def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = 0.75, margi
     ambiguous.
     """
     floor = least - margin
-    left = names.select("key", F.lower(nfkc(F.col("name"))).alias("name"))
-    right = aliases.select("company", F.lower(nfkc(F.col("alias"))).alias("alias")).filter("alias <> ''")
-    one, two = left.select("name").filter("name <> ''").distinct(), right.select("alias").distinct()
+    left = materialize(names.select("key", F.lower(nfkc(F.col("name"))).alias("name")), "names")
+    right = materialize(aliases.select("company", F.lower(nfkc(F.col("alias"))).alias("alias")).filter("alias <> ''"), "aliases")
+    one, two = materialize(left.select("name").filter("name <> ''").distinct(), "names"), materialize(right.select("alias").distinct(), "aliases")
     near = near_pairs(one, two, floor)
     inner, outer = one.select(F.col("name").alias("inner")), two.select(F.col("alias").alias("outer"))
     held = contained_pairs(inner, outer).select(F.col("inner").alias("name"), F.col("outer").alias("alias"))

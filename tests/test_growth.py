@@ -175,3 +175,29 @@ def test_ranks_of_growing_windows_match_numpy(spark):
     tested = {r["t"]: r for r in models.walk_forward(rows, ["a", "b", "c"], "y", "t", 2, (0.1, 1.0)).collect()}
     assert {k: (r["n"], r["features"]) for k, r in tested.items()} == {4: (int((t == 4).sum()), "a"), 5: (int((t == 5).sum()), "a")}
     assert tested[4]["penalty"] == 0.1  # nothing is known of time 3
+
+
+def test_names_that_no_alias_is_like_make_no_keys(spark, monkeypatch):
+    from plover.operators import fuzzy
+
+    cut = []
+    plain = fuzzy._keys
+    monkeypatch.setattr(fuzzy, "_keys", lambda tokens, seen, key, share: cut.append((key, tokens.select(key).distinct().count())) or plain(tokens, seen, key, share))
+    # Too long, of other characters, and one that is near.
+    texts = [*(f"customer number {k:05}" for k in range(300)), *(f"{k:07}" for k in range(200)), "standxrd"]
+    names = spark.createDataFrame([(x,) for x in texts], "name string")
+    types = spark.createDataFrame([("standard",), ("economy",)], "alias string")
+    assert [tuple(r) for r in fuzzy.near_pairs(names, types, 0.65).collect()] == [("standxrd", "standard")]
+    assert dict(cut) == {"name": 1, "alias": 1}
+
+
+def test_only_parts_that_are_asked_for_are_indexed(spark, monkeypatch):
+    sizes, plain = [], candidates._parts
+    monkeypatch.setattr(candidates, "_parts", lambda text, some: sizes.append(tuple(some)) or plain(text, some))
+    pairs = lambda a, b: sorted(map(tuple, candidates.contained_pairs(spark.createDataFrame([(x,) for x in a], "inner string"), spark.createDataFrame([(x,) for x in b], "outer string")).collect()))
+    assert pairs(["standard", "a much longer name than any"], ["no standard here", "sta", None, ""]) == [("standard", "no standard here")]
+    assert set(sizes) == {(3,)}
+    some = ["a", "日本", "𠮷野家", "x", "ab", "abc", "cab", "", None]
+    outer = ["ab", "abcab", "日本電気", "吉", "the 𠮷野家", "bc"]
+    assert pairs(some, outer) == sorted((x, y) for x in some for y in outer if x and x in y)
+    assert pairs([], outer) == pairs(some, []) == []
